@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselattice.llm import chat_format, secret_scan, url_filter
+from caselattice.llm import chat_format, langid, quality, secret_scan, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,5 +81,19 @@ SELECT page_id, p.host, p.path, b.rule, CASE WHEN b.rule IS NOT NULL THEN b.verd
 FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path LEFT JOIN own o ON p.host = o.host AND p.path = o.path
 """
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op6_url_filter": op6_url_filter}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(documents, _read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score_quality(documents, "text", model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    model, trusted = langid.fit(documents.select("doc_id", "text", "lang"))
+    scored = langid.predict_language(documents.select("doc_id", "text"), "text", model, trusted)
+    return scored.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {"op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op10_langid": op10_langid}
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL}
