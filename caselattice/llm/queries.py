@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselattice.llm import chat_format, langid, quality, secret_scan, url_filter
+from caselattice.llm import bpe, chat_format, langid, license_scan, quality, secret_scan, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -95,5 +95,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op10_langid": op10_langid}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_bpe(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    read = bpe.decode_bpe(encoded, "ids")
+    return read.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op9_bpe": op9_bpe, "op10_langid": op10_langid}
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL}

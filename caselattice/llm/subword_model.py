@@ -59,13 +59,14 @@ def featurize(sample: DataFrame, text: str, label: str, features: Features) -> t
     return [r[0] for r in rows], [(np.frombuffer(i, np.uint32), np.frombuffer(n, np.float32)) for _, i, n in rows]
 
 
-def learn(labels: list, docs: list, features: Features, dim: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 7) -> Model:
-    """Fits a model; with fewer than one example or class it is a constant."""
+def learn(labels: list, docs: list, features: Features, dim: int = 16, steps: int = 12000, rate: float = 0.5, seed: int = 7) -> Model:
+    """Fits a model in about `steps` steps, whole passes over the examples; with fewer than two classes it is a constant."""
     classes = sorted(set(labels))
     rng = np.random.default_rng(seed)
     embedding = rng.uniform(-1 / dim, 1 / dim, (features.size, dim)).astype(np.float32)
     output, bias = np.zeros((max(1, len(classes)), dim), np.float32), np.zeros(max(1, len(classes)), np.float32)
     which = np.array([classes.index(x) for x in labels], int)
+    epochs = -(-steps // max(1, len(labels)))
     steps, done = max(1, epochs * len(labels)), 0
     for _ in range(epochs if len(classes) > 1 else 0):
         for k in rng.permutation(len(labels)):
