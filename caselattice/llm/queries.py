@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselattice.llm import bpe, chat_format, langid, license_scan, quality, secret_scan, url_filter
+from caselattice.llm import bpe, chat_format, decontaminate, langid, license_scan, quality, secret_scan, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -110,5 +110,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op9_bpe": op9_bpe, "op10_langid": op10_langid}
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text", _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.round("leak.containment", 6).alias("containment"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+dw AS (SELECT doc_id AS id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+bw AS (SELECT item_id AS id, unnest(w) AS x, unnest(range(len(w))) AS i FROM b),
+ds AS (SELECT DISTINCT id, x || ' ' || lead(x, 1) OVER v || ' ' || lead(x, 2) OVER v || ' ' || lead(x, 3) OVER v || ' ' || lead(x, 4) OVER v AS s FROM dw WINDOW v AS (PARTITION BY id ORDER BY i)),
+bs AS (SELECT DISTINCT id, x || ' ' || lead(x, 1) OVER v || ' ' || lead(x, 2) OVER v || ' ' || lead(x, 3) OVER v || ' ' || lead(x, 4) OVER v AS s FROM bw WINDOW v AS (PARTITION BY id ORDER BY i)),
+q AS (SELECT id, count(s) AS n FROM bs GROUP BY id)
+SELECT ds.id AS doc_id, bs.id AS item_id, round(count(*) / any_value(n), 6) AS containment
+FROM ds JOIN bs ON ds.s = bs.s JOIN q ON q.id = bs.id GROUP BY ds.id, bs.id HAVING count(*) >= 0.8 * any_value(n) - 1e-9
+"""
+
+
+QUERIES = {"op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_langid": op10_langid}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_decontaminate": OP8_SQL}
