@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselattice.llm import bpe, chat_format, decontaminate, langid, license_scan, near_dedup, quality, secret_scan, url_filter
+from caselattice.llm import bpe, chat_format, decontaminate, embedding_dedup, langid, license_scan, near_dedup, quality, secret_scan, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -132,5 +132,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_langid": op10_langid}
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_embeddings(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_embedding_dedup": op7_embedding_dedup, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_langid": op10_langid}
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_decontaminate": OP8_SQL}
