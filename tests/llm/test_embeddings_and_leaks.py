@@ -1,10 +1,10 @@
 import random
-import re
 
 import numpy as np
 import pytest
 
 from caselattice.llm import decontaminate, embedding_dedup, hnsw
+from tests_by_hand import leaks_by_hand
 
 
 def links_by_hand(rows, least=0.93):
@@ -62,23 +62,6 @@ def test_graph_recall_and_round_trip():
     assert (hit & true).sum() >= 0.97 * true.sum() and not (hit & ~true).any()
 
 
-def shingles(t, size):
-    w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
-    n = min(size, len(w))
-    return n, {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
-
-
-def leaks_by_hand(text, items):
-    w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
-    out = {}
-    for item, t in items:
-        n, s = shingles(t, 5)
-        own = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
-        if s and len(s & own) >= 0.8 * len(s) - 1e-9:
-            out[item] = max(out.get(item, 0), len(s & own) / len(s))
-    return sorted(out.items())
-
-
 @pytest.mark.parametrize("block", [1000, 7])
 def test_leaks_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK", block)

@@ -3,16 +3,7 @@ import random
 import numpy as np
 
 from caselattice.llm import alignment, components, near_dedup, text_kernel
-
-
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y)))
-        row = now
-    return row[-1]
+from tests_by_hand import classes_by_hand, distance
 
 
 def test_banded_alignment_against_the_whole_table():
@@ -32,26 +23,6 @@ def test_banded_alignment_against_the_whole_table():
             assert got == (want if want <= most else None), (a, b, most)
 
 
-def classes_by_hand(rows):
-    words = [text_kernel.word_hashes((t or "").encode()).tolist() for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            most = max(len(words[i]), len(words[j]))
-            if words[i] == words[j] or (most * 4 // 5 <= min(len(words[i]), len(words[j])) and 5 * distance(words[i], words[j]) <= most):
-                root[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), d), d)
-    return {d: least[find(i)] for i, (d, _) in enumerate(rows)}
-
-
 def near_copies(rng):
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 8))) for _ in range(900)]
     make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
