@@ -8,7 +8,9 @@ at most 1 - SIMILARITY of the longer one's words. Classes are the connected comp
 Texts with the same words are one node from the start, so groups of copies cost one row each. In the buckets of a value,
 first every member is aligned with the bucket's least id. Where all members are then one component, nothing is left to be
 found; in other buckets the pairs across components follow, in blocks, less those whose lengths or word counts rule a
-link out. So no link between candidates is lost and no group is paired with itself for nothing.
+link out. Such a pair is aligned in the least of the buckets that it shares, and no more once its two components have met;
+a task sends on only the links that unite components. So no link between candidates that would change a class is lost,
+and no group is paired with itself for nothing.
 
 Defined results: documents of fewer words than a k-mer are one k-mer; those without words (null and empty texts among
 them) are copies of each other. Rows without an id are named by a negative hash of their text. Rows that share an id and
@@ -33,7 +35,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 N_SKETCHES, LENGTH = 32, 2
 #: Members of a bucket that one task pairs with as many others.
 BLOCK = 2048
-_BINS = 64
+_BINS = 256
 _STEP = 256
 
 
@@ -100,7 +102,7 @@ def order_minhash(words: np.ndarray, k: int, sketches: int, length: int) -> np.n
 
 def _bag(words: np.ndarray) -> bytes:
     """Counts of words by hash, for a bound on the edits between two texts: one edit changes it by two at most."""
-    return np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % _BINS, minlength=_BINS), 65535).astype(np.uint16).tobytes()
+    return np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % _BINS, minlength=_BINS), 255).astype(np.uint8).tobytes()
 
 
 #: Ids from here down stand for rows without one.
@@ -129,18 +131,22 @@ def _map_texts(df: DataFrame, schema: str, make) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _allowed(a: int, b: int, similarity: float) -> int:
+    """The edits that texts of a and b words may differ by."""
+    return round((1 - similarity) * 1_000_000) * max(a, b) // 1_000_000
+
+
 def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (a, b) those whose alignment is near enough; words has (id, words)."""
     left = words.select(F.col("id").alias("a"), F.col("words").alias("wa"))
     right = words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    allowed = round((1 - similarity) * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
             for k in range(batch.num_rows):
                 a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (2, 3))
-                near.append(alignment.distance_within(a, b, allowed * max(len(a), len(b)) // 1_000_000) is not None)
+                near.append(alignment.distance_within(a, b, _allowed(len(a), len(b), similarity)) is not None)
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
@@ -148,7 +154,9 @@ def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
 
 
 def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """members (key, id, comp, n, bag, size): pairs of ids in a bucket, of unlike components, that could be near."""
+    """members (key, size, least, id, comp, n, bag, keys, words): links (a, b) of ids in a bucket that unite components.
+
+    Pairs with the bucket's least id have been aligned before and are left out."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -156,22 +164,38 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "id"])
-        n, comp, ids, own = (rows[c].to_numpy() for c in ("n", "comp", "id", "own"))
-        bags = np.stack([np.frombuffer(x, np.uint16) for x in rows["bag"]]).astype(np.int32)
-        low, high = int(rows["low"].iloc[0]), int(rows["high"].iloc[0])
+        n, comp, ids, own, key = (rows[c].to_numpy() for c in ("n", "comp", "id", "own", "key"))
+        words = [np.frombuffer(x, np.uint32) for x in rows["words"]]
+        fine = np.stack([np.frombuffer(x, np.uint8) for x in rows["bag"]]).astype(np.int16)
+        coarse = fine.reshape(len(rows), -1, 8).sum(2, dtype=np.int16)
+        keys = np.stack(rows["keys"].to_numpy())
+        first, apart = ids == rows["least"].iloc[0], rows["low"].iloc[0] == rows["high"].iloc[0]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
         out = []
         for i in range(len(rows)):
             # Sorted by length: the longer partner may have no more words than this.
-            end = np.searchsorted(n, n[i] / similarity + 1e-9, "right")
-            j = np.arange(i + 1, end)
-            j = j[(comp[j] != comp[i]) & ((low == high) | (own[j] != own[i]))]
-            if len(j):
-                j = j[np.abs(bags[j] - bags[i]).sum(1) <= 2 * (1 - similarity) * n[j] + 1e-9]
-                out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return dealt.groupBy("key", "low", "high").applyInPandas(pair, "a long, b long").distinct()
+            j = np.arange(i + 1, np.searchsorted(n, n[i] / similarity + 1e-9, "right"))
+            j = j[(comp[j] != comp[i]) & (apart | (own[j] != own[i])) & ~(first[j] | first[i])]
+            for bags in (coarse, fine):
+                far = np.abs(bags[j] - bags[i]).sum(1)
+                near = far <= 2 * (1 - similarity) * n[j] + 1e-9
+                j, far = j[near], far[near]
+            # A sketch value stands at its function's place: the least common one says whose pair this is.
+            same = np.where(keys[j] == keys[i], keys[j], np.iinfo(np.int64).max).min(1) == key[0] if len(j) else np.zeros(0, bool)
+            for k in j[same][np.argsort(far[same], kind="stable")].tolist():
+                a, b = find(int(comp[i])), find(int(comp[k]))
+                if a != b and alignment.distance_within(words[i], words[k], _allowed(n[i], n[k], similarity)) is not None:
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[k]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return dealt.groupBy("key", "low", "high").applyInPandas(pair, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, sketches: int = N_SKETCHES, length: int = LENGTH) -> DataFrame:
@@ -201,9 +225,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     roots = components(near)
     placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    open_members = placed.join(mixed, "key", "left_semi").join(sketched.select("id", "n", "bag").dropDuplicates(["id"]), "id")
-    rest = _across(open_members, similarity).join(stars, ["a", "b"], "left_anti")
-    more = verify(rest, words, similarity)
+    open_members = placed.join(mixed, "key", "left_semi").join(sketched.select("id", "n", "bag", "keys").dropDuplicates(["id"]).join(words, "id"), "id")
+    more = stored(_across(open_members, similarity))
 
     # An id with unlike texts joins their nodes.
     several = owners.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a != hi")
