@@ -133,7 +133,7 @@ def _map_texts(df: DataFrame, schema: str, make) -> DataFrame:
 
 def _allowed(a: int, b: int, similarity: float) -> int:
     """The edits that texts of a and b words may differ by."""
-    return round((1 - similarity) * 1_000_000) * max(a, b) // 1_000_000
+    return round((1 - similarity) * 1_000_000) * max(int(a), int(b)) // 1_000_000
 
 
 def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:

@@ -91,3 +91,8 @@ def test_components_of_paths_stars_and_loops(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {600: 600, 650: 600, 700: 600}
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_allowed_edits_of_long_texts_are_plain_integers():
+    got = near_dedup._allowed(np.int32(20000), np.int32(18000), 0.8)
+    assert type(got) is int and got == 4000
