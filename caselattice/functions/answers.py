@@ -1,9 +1,14 @@
 """Answers out of raw responses, as column expressions: three contracts that differ in what they accept.
 
-A response is first cut into JSON values with Spark's own parser, wrapped in brackets so that trailing text is refused."""
+A response is first cut into JSON values with Spark's own parser, wrapped in brackets so that trailing text is refused. Only
+finding balanced objects in prose needs more than regular expressions can say: that is one Arrow UDF over the raw text."""
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +18,32 @@ _CLAIMS = (
     r"(?im)^\s*THE\s+FINAL\s+ANSWER\s+IS\s+(?:OPTION\s+|CANDIDATE\s+)?([ABCD])\b",
 )
 _FIELD = r'(?i)"answer"\s*:\s*"([ABCD])"'
-#: An object without nested objects; enough for the flat answers asked for, strings with braces included.
-_FLAT_OBJECT = r'\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\}'
+@cache
+def _object_finder():
+    # Made inside a function, it travels to the executors by value.
+    token = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}]', re.S)
+
+    def found_in(text: str | None) -> list[str]:
+        found, opened = [], []
+        for m in token.finditer(text or ""):
+            if m[0] == "{":
+                opened.append(m.start())
+            elif m[0] == "}" and opened:
+                start = opened.pop()
+                if not opened:
+                    found.append(text[start : m.end()])
+        return found
+
+    @F.pandas_udf("array<string>")
+    def objects(raw: pd.Series) -> pd.Series:
+        return raw.map(found_in)
+
+    return objects
+
+
+def json_objects(raw: Column) -> Column:
+    """The outermost balanced objects of a text, in order; braces inside strings do not count."""
+    return _object_finder()(raw)
 
 
 def whole_json(raw: Column) -> Column:
@@ -47,7 +76,7 @@ def mentioned_label(raw: Column) -> Column:
 def parse_screening(raw: Column) -> Column:
     """Struct of answer, confidence, parse_success: strict or embedded JSON, else a mention that never counts as success."""
     # An unbalanced text holds no object; of several the first counts.
-    embedded = F.try_parse_json(_or_null_text(F.regexp_extract(raw, _FLAT_OBJECT, 0)))
+    embedded = F.try_parse_json(F.get(json_objects(raw), F.lit(0)))
     value = F.coalesce(whole_json(raw), embedded)
     answer = loose_label(F.try_variant_get(value, "$.answer", "string"))
     confidence = F.try_variant_get(value, "$.confidence", "string").try_cast("double")
@@ -55,10 +84,6 @@ def parse_screening(raw: Column) -> Column:
     return F.struct(F.when(value.isNull(), mentioned_label(raw)).otherwise(answer).alias("answer"), confidence.alias("confidence"), parsed.alias("parse_success"))
 
 
-def _or_null_text(found: Column) -> Column:
-    return F.when(found != "", found)
-
-
 def parse_calibration(raw: Column) -> Column:
     """Struct of answer, source, candidates, compliant: a strict answer stands; else all claims must agree."""
     strict = whole_json(raw)
@@ -69,7 +94,7 @@ def parse_calibration(raw: Column) -> Column:
     sure = F.when(sure_kind != "BOOLEAN", F.try_variant_get(strict, "$.confidence", "string").try_cast("double"))
     compliant = F.coalesce(told.isNotNull() & reasoned & sure.between(0, 1), F.lit(False))
 
-    objects = F.transform(F.regexp_extract_all(raw, F.lit(_FLAT_OBJECT), F.lit(0)), lambda o: strict_label(F.try_variant_get(F.try_parse_json(o), "$.answer", "string")))
+    objects = F.transform(json_objects(raw), lambda o: strict_label(F.try_variant_get(F.try_parse_json(o), "$.answer", "string")))
     in_json = F.filter(objects, lambda a: a.isNotNull())
     claims = F.concat(*[F.transform(F.regexp_extract_all(raw, F.lit(p), F.lit(1)), lambda a: F.upper(a)) for p in _CLAIMS])
     bare = F.upper(F.trim(raw))

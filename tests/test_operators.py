@@ -81,6 +81,8 @@ def test_ties_have_no_majority(spark):
         (" c ", "C", "bare_answer"),
         ('{"answer": 1}', None, "none"),
         ("", None, "none"),
+        ('say {"x": {"y": 1}, "answer": "D"} so', "D", "embedded_json"),
+        ('set {A and {"reasoning": "B"}', None, "none"),
     ],
 )
 def test_calibration_contract(spark, raw, answer, source):
@@ -94,6 +96,12 @@ def test_screening_contract_takes_mentions(spark):
     assert [(p.answer, p.parse_success) for p in got] == [("B", False), ("A", True), ("A", False), (None, False), (None, False)]
 
 
+def test_balanced_objects(spark):
+    given = ['a {"x": "}{"} b {"y": {"z": 1}} c {', '{"open": "no end}', None, "}{}"]
+    got = [r.o for r in spark.createDataFrame([(x,) for x in given], "raw string").select(answers.json_objects(F.col("raw")).alias("o")).collect()]
+    assert got == [['{"x": "}{"}', '{"y": {"z": 1}}'], [], [], ["{}"]]
+
+
 def test_ranks_and_correlation(spark):
     df = spark.createDataFrame([("m", 1.0, 3.0), ("m", 1.0, 1.0), ("m", 2.0, 2.0), ("z", 5.0, 5.0), ("z", 5.0, 6.0)], "g string, x double, y double")
     ranked = df.withColumn("rx", runs.average_ranks(df, "x", "g")).withColumn("ry", runs.average_ranks(df, "y", "g"))
