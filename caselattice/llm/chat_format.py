@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselattice.llm.names import unused
+
 # The control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -117,15 +119,16 @@ def _cleaner(names: dict[str, str]):
 
 def canonical_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds `layout` and `turns` to df, by the fingerprint of the variant column `record`."""
-    print_of = F.col("_print")
+    (mark,) = unused(df, "_print")
+    print_of = F.col(mark)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for x in reversed(layouts):
         found = F.expr(x.turns.replace("(r,", f"(`{record}`,"))
         is_it = print_of == F.xxhash64(F.lit(skeleton_of(x.paths)))
         layout = F.when(is_it, F.lit(x.name)).otherwise(layout)
         turns = F.when(is_it, F.transform(found, _cleaner(x.roles))).otherwise(turns)
-    known = df.withColumn("_print", fingerprint(F.col(record)))
-    return known.withColumns({"layout": layout, "turns": turns}).drop("_print")
+    known = df.withColumn(mark, fingerprint(F.col(record)))
+    return known.withColumns({"layout": layout, "turns": turns}).drop(mark)
 
 
 def format_chat(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -134,20 +137,22 @@ def format_chat(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUT
     loss_mask has an entry for each turn: the code points of the formatted turn, its start mark included, that come
     before the loss, and those under it (none unless the turn is an assistant's).
     """
+    (shaped,) = unused(df, "_marked")
     marked = canonical_turns(df, record, layouts).withColumn(
-        "_marked",
+        shaped,
         F.transform("turns", lambda t: F.struct(_escape_role(t["role"]).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss"))),
     )
-    formatted = F.array_join(F.transform("_marked", lambda t: F.concat(F.lit(START), t["head"], F.lit("\n"), t["body"], F.lit(END + "\n"))), "")
+    formatted = F.array_join(F.transform(shaped, lambda t: F.concat(F.lit(START), t["head"], F.lit("\n"), t["body"], F.lit(END + "\n"))), "")
     mask = F.transform(
-        "_marked",
+        shaped,
         lambda t: F.struct((F.char_length(t["head"]) + len(START) + 1).alias("skip"), F.when(t["loss"], F.char_length(t["body"])).otherwise(0).alias("take")),
     )
-    return marked.withColumns({"formatted": formatted, "loss_mask": mask}).drop("_marked")
+    return marked.withColumns({"formatted": formatted, "loss_mask": mask}).drop(shaped)
 
 
 def read_back(df: DataFrame) -> DataFrame:
     """Adds `read_turns` and `loss_text`, parsed from `formatted` and `loss_mask` alone."""
+    (held,) = unused(df, "_pieces")
     pieces = F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda x, i: i > 0)
 
     def turn(x: Column) -> Column:
@@ -158,8 +163,8 @@ def read_back(df: DataFrame) -> DataFrame:
     def under_loss(x: Column, m: Column) -> Column:
         return F.when(m["take"] > 0, unescape(F.substr(x, m["skip"] + 1 - len(START), m["take"]))).otherwise("")
 
-    parsed = df.withColumn("_pieces", pieces)
-    return parsed.withColumns({"read_turns": F.transform("_pieces", turn), "loss_text": F.array_join(F.zip_with("_pieces", "loss_mask", under_loss), "")}).drop("_pieces")
+    parsed = df.withColumn(held, pieces)
+    return parsed.withColumns({"read_turns": F.transform(held, turn), "loss_text": F.array_join(F.zip_with(held, "loss_mask", under_loss), "")}).drop(held)
 
 
 def conversations_as_records(conversations: DataFrame) -> DataFrame:

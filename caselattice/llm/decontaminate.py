@@ -24,6 +24,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselattice.llm.names import unused
 from caselattice.llm.storage import stored
 
 SIZE, THRESHOLD = 5, 0.8
@@ -83,16 +84,17 @@ def _with_block(df: DataFrame, text: str, items: list, n: int, item_type: str, t
         F.lit(json.dumps([{"item_id": r["id"], "shingles": r["shingles"], "sketch": r["sketch"]} for r in items], default=str)),
         f"array<struct<item_id:{item_type},shingles:array<string>,sketch:array<bigint>>>",
     )
-    worded = df.withColumn("_words", words_of(F.col(text)))
-    hashed = worded.withColumn("_hashed", F.transform("_words", lambda w: F.xxhash64(w)))
-    hits = hashed.withColumn("_shingle_hashes", _hashes(F.col("_hashed"), n)).withColumn("_hits", F.array_distinct(F.expr(f"filter(_shingle_hashes, h -> h IN ({values}))")))
-    hit = F.coalesce(F.size("_hits") > 0, F.lit(False))
-    near = F.filter(known, lambda x: F.arrays_overlap(x["sketch"], F.col("_hits")))
+    words, hashed_words, own_hashes, found_hits = unused(df, "_words", "_hashed", "_shingle_hashes", "_hits")
+    worded = df.withColumn(words, words_of(F.col(text)))
+    hashed = worded.withColumn(hashed_words, F.transform(words, lambda w: F.xxhash64(w)))
+    hits = hashed.withColumn(own_hashes, _hashes(F.col(hashed_words), n)).withColumn(found_hits, F.array_distinct(F.expr(f"filter({own_hashes}, h -> h IN ({values}))")))
+    hit = F.coalesce(F.size(found_hits) > 0, F.lit(False))
+    near = F.filter(known, lambda x: F.arrays_overlap(x["sketch"], F.col(found_hits)))
 
     def held(own: Column) -> Column:
         share = lambda x: F.size(F.array_intersect(own, x["shingles"])) / F.size(x["shingles"])
         return F.filter(F.transform(near, lambda x: F.struct(x["item_id"].alias("item_id"), share(x).alias("containment"))), lambda x: x["containment"] >= threshold - 1e-9)
 
     # As the element of an array the document's shingles are made once, not once an item.
-    found = F.flatten(F.transform(F.array(_shingles(F.col("_words"), n)), held))
-    return hits.withColumn("leaks", F.when(hit, F.concat("leaks", found)).otherwise(F.col("leaks"))).drop("_words", "_hashed", "_shingle_hashes", "_hits")
+    found = F.flatten(F.transform(F.array(_shingles(F.col(words), n)), held))
+    return hits.withColumn("leaks", F.when(hit, F.concat("leaks", found)).otherwise(F.col("leaks"))).drop(words, hashed_words, own_hashes, found_hits)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caselattice.llm import subword_model
+from caselattice.llm.names import unused
 from caselattice.llm.text_kernel import WORD_BYTES, Features
 
 PER_LANG, MAX_LANGS = 800, 200
@@ -68,6 +69,7 @@ def predict_language(df: DataFrame, text: str, model: subword_model.Model, trust
     if model.classes == [None]:
         return df.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "rejected": F.lit(True)})
     letters = F.coalesce(F.regexp_like(F.col(text), F.lit(r"\p{L}")), F.lit(False))
-    marked = subword_model.score(df.withColumn("_letters", letters), text, model, columns, answer)
-    known = F.col("_letters")
-    return marked.withColumns({"lang_pred": F.when(known, F.col("lang_pred")).otherwise("und"), "score": F.when(known, F.col("score")).otherwise(0.0), "rejected": ~known | F.col("rejected")}).drop("_letters")
+    (lettered,) = unused(df, "_letters")
+    marked = subword_model.score(df.withColumn(lettered, letters), text, model, columns, answer)
+    known = F.col(lettered)
+    return marked.withColumns({"lang_pred": F.when(known, F.col("lang_pred")).otherwise("und"), "score": F.when(known, F.col("score")).otherwise(0.0), "rejected": ~known | F.col("rejected")}).drop(lettered)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from caselattice.llm import alignment
 from caselattice.llm.components import components
+from caselattice.llm.names import unused
 from caselattice.llm.storage import stored
 from caselattice.llm.text_kernel import as_bytes, mix, word_hashes
 
@@ -245,5 +246,6 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **setting
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of df of which one stays from each class; of repeated rows one."""
     found = near_duplicates(df, doc_id, text, **settings)
-    kept = found.filter("id = group_id").select(F.col("id").alias("_kept")).distinct()
-    return df.withColumn("_id", _id(doc_id, text)).join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"]).drop("_id")
+    own, one = unused(df, "_id", "_kept")
+    kept = found.filter("id = group_id").select(F.col("id").alias(one)).distinct()
+    return df.withColumn(own, _id(doc_id, text)).join(kept, F.col(own) == F.col(one), "left_semi").dropDuplicates([own]).drop(own)

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselattice.llm.names import unused
+
 TOKEN = "[A-Za-z0-9]+"
 
 
@@ -56,9 +58,9 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def token_counts(urls: DataFrame, tokens: list[str]) -> dict[str, int]:
+def token_counts(urls: DataFrame, key: str, tokens: list[str]) -> dict[str, int]:
     """How many URLs hold each of these tokens: one row a token comes to the driver."""
-    held = urls.select(F.explode(F.filter(F.array_distinct(F.regexp_extract_all("_key", F.lit(TOKEN), F.lit(0))), lambda t: t.isin(tokens))).alias("t"))
+    held = urls.select(F.explode(F.filter(F.array_distinct(F.regexp_extract_all(key, F.lit(TOKEN), F.lit(0))), lambda t: t.isin(tokens))).alias("t"))
     return {r["t"]: r["n"] for r in held.groupBy("t").agg(F.count("*").alias("n")).collect()}
 
 
@@ -77,19 +79,20 @@ def _index(rules: list[Rule], counts: dict[str, int]) -> tuple[Column, int]:
 def judge_urls(df: DataFrame, url: str, rules: list[Rule], default: str = "allow") -> DataFrame:
     """Adds host, path, n_candidates (rules whose expressions ran), rule and verdict."""
     host, path = split_url(F.col(url))
-    keyed = df.withColumns({"host": host, "path": path}).withColumn("_key", F.concat("host", "path"))
+    key, run, best_of = unused(df, "_key", "_run", "_best")
+    keyed = df.withColumns({"host": host, "path": path}).withColumn(key, F.concat("host", "path"))
     wanted = sorted({t for r in rules for t in r.tokens})
-    index, size = _index(rules, token_counts(keyed, wanted) if wanted else {})
-    tokens = F.array_distinct(F.regexp_extract_all("_key", F.lit(TOKEN), F.lit(0)))
+    index, size = _index(rules, token_counts(keyed, key, wanted) if wanted else {})
+    tokens = F.array_distinct(F.regexp_extract_all(key, F.lit(TOKEN), F.lit(0)))
 
     def filed(t: Column) -> Column:
         return F.filter(F.get(index, F.pmod(F.crc32(F.encode(t, "UTF-8")), F.lit(size)).cast("int")), lambda r: r["token"] == t)
 
-    found = keyed.withColumn("_run", F.concat(F.flatten(F.transform(tokens, filed)), F.get(index, F.lit(size))))
-    fits = F.filter("_run", lambda r: F.expr("true") & F.regexp_like(F.col("_key"), r["pattern"]))
+    found = keyed.withColumn(run, F.concat(F.flatten(F.transform(tokens, filed)), F.get(index, F.lit(size))))
+    fits = F.filter(run, lambda r: F.expr("true") & F.regexp_like(F.col(key), r["pattern"]))
     best = F.array_min(F.transform(fits, lambda r: F.struct((-r["weight"]).alias("w"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
-    judged = found.withColumn("_best", F.when(F.size("_run") > 0, best))
-    return judged.withColumns({"n_candidates": F.size("_run"), "rule": F.col("_best.name"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_key", "_run", "_best")
+    judged = found.withColumn(best_of, F.when(F.size(run) > 0, best))
+    return judged.withColumns({"n_candidates": F.size(run), "rule": F.col(best_of)["name"], "verdict": F.coalesce(F.col(best_of)["verdict"], F.lit(default))}).drop(key, run, best_of)
 
 
 #: Rules of the method's own: expressions for pages that are rarely prose.

@@ -109,7 +109,7 @@ def url_by_hand(url, rules):
 def test_url_rules_against_brute_force(spark):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/e", "block"), ("a-b.org", "", "block")]
     urls = [None, "", "nourl", "http://", "http://a.COM", "http://a.COM/", "x://www.example.com/en/1?q=://z/en/", "http://example.com/english", "http://sub.Example.com/en/", "http://xexample.com/en/", "http://net/es/1", "http://n.net/es", "http://a-b.org?x", "http://a-b.org#f", "http://c.com/\n/en/", "ftp://h://com/"] * 2
-    df = spark.createDataFrame([(i, u, "mine", "r") for i, u in enumerate(urls)], "page_id int, url string, host string, other string")
+    df = spark.createDataFrame([(i, u, "mine", "r") for i, u in enumerate(urls)], "page_id int, url string, host string, _key string")
     got = url_filter.judge_urls(df, "url", [url_filter.host_rule(*r) for r in rules]).collect()
     assert len(got) == len(urls)
     for r in got:
