@@ -102,8 +102,12 @@ def order_minhash(words: np.ndarray, k: int, sketches: int, length: int) -> np.n
 
 
 def _bag(words: np.ndarray) -> bytes:
-    """Counts of words by hash, for a bound on the edits between two texts: one edit changes it by two at most."""
-    return np.minimum(np.bincount((words >> np.uint64(40)).astype(np.int64) % _BINS, minlength=_BINS), 255).astype(np.uint8).tobytes()
+    """Counts of words by hash, then of pairs of neighbouring words, for bounds on the edits between two texts: one edit
+    changes the first by two at most and the second by four."""
+    with np.errstate(over="ignore"):
+        pairs = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+    bags = [np.bincount((x >> np.uint64(40)).astype(np.int64) % _BINS, minlength=_BINS) for x in (words, pairs)]
+    return np.minimum(np.concatenate(bags), 255).astype(np.uint8).tobytes()
 
 
 #: Ids from here down stand for rows without one.
@@ -167,8 +171,9 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
         rows = rows.sort_values(["n", "id"])
         n, comp, ids, own, key = (rows[c].to_numpy() for c in ("n", "comp", "id", "own", "key"))
         words = [np.frombuffer(x, np.uint32) for x in rows["words"]]
-        fine = np.stack([np.frombuffer(x, np.uint8) for x in rows["bag"]]).astype(np.int16)
-        coarse = fine.reshape(len(rows), -1, 8).sum(2, dtype=np.int16)
+        held = np.stack([np.frombuffer(x, np.uint8) for x in rows["bag"]]).astype(np.int16)
+        single, double = held[:, :_BINS], held[:, _BINS:]
+        coarse = single.reshape(len(rows), -1, 8).sum(2, dtype=np.int16)
         keys = np.stack(rows["keys"].to_numpy())
         first, apart = ids == rows["least"].iloc[0], rows["low"].iloc[0] == rows["high"].iloc[0]
         root: dict[int, int] = {}
@@ -183,9 +188,9 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
             # Sorted by length: the longer partner may have no more words than this.
             j = np.arange(i + 1, np.searchsorted(n, n[i] / similarity + 1e-9, "right"))
             j = j[(comp[j] != comp[i]) & (apart | (own[j] != own[i])) & ~(first[j] | first[i])]
-            for bags in (coarse, fine):
+            for bags, each in ((coarse, 2), (single, 2), (double, 4)):
                 far = np.abs(bags[j] - bags[i]).sum(1)
-                near = far <= 2 * (1 - similarity) * n[j] + 1e-9
+                near = far <= each * (1 - similarity) * n[j] + 1e-9
                 j, far = j[near], far[near]
             # A sketch value stands at its function's place: the least common one says whose pair this is.
             same = np.where(keys[j] == keys[i], keys[j], np.iinfo(np.int64).max).min(1) == key[0] if len(j) else np.zeros(0, bool)
