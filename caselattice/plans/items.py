@@ -190,8 +190,17 @@ def win06(spark, sf):
 
 @query("win09_round_robin", _W + "SELECT item_id, cl, chr((65 + (row_number() OVER (PARTITION BY cl ORDER BY item_id) - 1) % 4)::INT) AS label FROM items WHERE item_id % 10 = 0")
 def win09(spark, sf):
-    n = F.row_number().over(W.partitionBy("cl").orderBy("item_id")) - 1
-    return X.items(spark, sf).filter("item_id % 10 = 0").select("item_id", "cl", F.char(65 + F.pmod(n, F.lit(4))).alias("label"))
+    """Labels in turn within each level (WIN-09): rows are numbered inside blocks of ids, which start where the blocks before
+    end. Only the windows over blocks cross blocks: one row for up to 1,024 ids, then one for up to 1,024 blocks."""
+    each = X.items(spark, sf).select("item_id", "cl", F.floor(F.col("item_id") / 1024).alias("block"))
+    wide = F.floor(F.col("block") / 1024)
+    sizes = each.groupBy("cl", "block").agg(F.count("*").alias("size")).withColumn("wide", wide)
+    ahead = lambda keys, by: F.coalesce(F.sum("size").over(W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wides = sizes.groupBy("cl", "wide").agg(F.sum("size").alias("size")).select("cl", "wide", ahead(["cl"], "wide").alias("from_wide"))
+    starts = sizes.select("cl", "block", "wide", ahead(["cl", "wide"], "block").alias("from_block")).join(wides, ["cl", "wide"])
+    n = F.row_number().over(W.partitionBy("cl", "block").orderBy("item_id")) - 1
+    numbered = each.withColumn("n", n).join(starts, ["cl", "block"])
+    return numbered.select("item_id", "cl", F.char(65 + F.pmod(F.col("n") + F.col("from_block") + F.col("from_wide"), F.lit(4))).alias("label"))
 
 
 _DRAW = "('0x' || substr(md5('42|' || item_id), 1, 8))::UBIGINT"

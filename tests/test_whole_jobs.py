@@ -24,3 +24,11 @@ def test_every_item_has_its_subsets(spark, sf, duck):
     items = duck.execute(f"WITH {ITEM_SQL} SELECT item_id, k FROM items").fetchall()
     want = [(i, mask, mask.bit_count()) for i, k in items for mask in range(1, 2**k) if 2 * mask.bit_count() >= k]
     assert rows(spark, sf, "arr02_constraint_subsets", "item_id", "mask", "size") == sorted(want)
+
+
+def test_every_item_has_a_label_in_turn(spark, sf, duck):
+    seen, want = {}, []
+    for i, cl in duck.execute(f"WITH {ITEM_SQL} SELECT item_id, cl FROM items ORDER BY item_id").fetchall():
+        want.append((i, cl, "ABCD"[seen.get(cl, 0) % 4]))
+        seen[cl] = seen.get(cl, 0) + 1
+    assert rows(spark, sf, "win09_round_robin", "item_id", "cl", "label") == want
