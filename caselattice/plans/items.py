@@ -174,11 +174,16 @@ def flt23(spark, sf):
 pairs AS (SELECT t.item_id, c.item_id AS control_id, row_number() OVER (PARTITION BY t.item_id ORDER BY (t.il <> c.il)::INT, c.item_id) AS rn FROM shaped t JOIN shaped c ON t.cl = c.cl AND t.gold = c.gold AND t.item_id % 100 = 1 AND c.item_id % 100 <> 1 AND c.item_id // 1000 = t.item_id // 1000)
 SELECT item_id, control_id FROM pairs WHERE rn = 1""")
 def jon16(spark, sf):
-    """The nearest control for each target, with replacement: an equi-join on the exact factors, then the least score."""
-    shaped = _signed(spark, sf).filter("valid = 1").select("item_id", "cl", "il", "gold", F.floor(F.col("item_id") / 1000).alias("region"))
-    target, control = shaped.filter("item_id % 100 = 1"), shaped.filter("item_id % 100 != 1").select(F.col("item_id").alias("control_id"), "cl", "gold", "region", F.col("il").alias("control_il"))
-    score = F.struct((F.col("il") != F.col("control_il")).cast("int"), "control_id")
-    return target.join(control, ["cl", "gold", "region"]).groupBy("item_id").agg(F.min_by("control_id", score).alias("control_id"))
+    """The nearest control of the same model for each target, with replacement: three valid runs, all wrong for a target and all
+    correct for a control; fewest unlike factors of those that runs have (cl, il), then the least id. Only the least control of
+    each cell can be nearest, so cells meet cells; a target of a model without controls has none (null)."""
+    cell = ["model_alias", "cl", "il"]
+    seen = X.runs(spark, sf).groupBy("item_id", *cell).agg(F.count("answer").alias("valid"), F.count_if("correct").alias("right")).filter("valid = 3")
+    target = seen.filter("right = 0")
+    control = seen.filter("right = 3").groupBy("model_alias", F.col("cl").alias("control_cl"), F.col("il").alias("control_il")).agg(F.min("item_id").alias("control_id"))
+    unlike = (F.col("cl") != F.col("control_cl")).cast("int") + (F.col("il") != F.col("control_il")).cast("int")
+    nearest = target.select(*cell).distinct().join(control, "model_alias").groupBy(*cell).agg(F.min_by("control_id", F.struct(unlike.alias("unlike"), "control_id")).alias("control_id"))
+    return target.join(nearest, cell, "left").select("item_id", "model_alias", "control_id")
 
 
 @query("win06_first_of_cell", _W + "SELECT cl, il, min(item_id) AS item_id, row_number() OVER (ORDER BY cl, il)::INT AS position FROM items GROUP BY cl, il")

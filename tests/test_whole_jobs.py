@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__  # noqa: F401  (it registers the queries)
 from caselattice.plans.registry import QUERIES
+from caselattice.sources import views as X
 from caselattice.sources.views import ITEM_SQL
 
 
@@ -32,3 +33,24 @@ def test_every_item_has_a_label_in_turn(spark, sf, duck):
         want.append((i, cl, "ABCD"[seen.get(cl, 0) % 4]))
         seen[cl] = seen.get(cl, 0) + 1
     assert rows(spark, sf, "win09_round_robin", "item_id", "cl", "label") == want
+
+
+def brute_controls(spark, sf):
+    seen = {}
+    for r in X.runs(spark, sf).collect():
+        seen.setdefault((r.item_id, r.model_alias, r.cl, r.il), []).append((r.answer, r.correct))
+    full = {k: [c for _, c in v] for k, v in seen.items() if len(v) == 3 and all(a is not None for a, _ in v)}
+    controls = [k for k, v in full.items() if all(v)]
+    want = []
+    for i, m, cl, il in (k for k, v in full.items() if not any(v)):
+        near = min((((cl != c[2]) + (il != c[3]), c[0]) for c in controls if c[1] == m), default=(None, None))
+        want.append((i, m, near[1]))
+    return want
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_every_stable_wrong_item_meets_all_controls(spark, sf, folder):
+    at = sf.replace("sf0.001", folder)
+    got = {(r.item_id, r.model_alias): r.control_id for r in QUERIES["jon16_matched_controls"](spark, at).collect()}
+    want = {(i, m): c for i, m, c in brute_controls(spark, at)}
+    assert got == want and want
