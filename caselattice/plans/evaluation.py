@@ -59,7 +59,9 @@ def agg06(spark, sf):
 
 @query("jon02_items_without_runs", _R + f""", ids AS (SELECT unnest(range(0, 200)) AS item_id), a AS (SELECT i.item_id, count(event_id) AS n_runs, count(*) FILTER (correct) AS n_correct FROM ids i LEFT JOIN runs r ON r.item_id = i.item_id GROUP BY i.item_id) SELECT *, {_CATEGORY} AS category FROM a""")
 def jon02(spark, sf):
-    return R.item_analysis(X.runs(spark, sf), spark.range(200).withColumnRenamed("id", "item_id")).select("item_id", "n_runs", "n_correct", "category")
+    """Items with their runs (JON-02, JON-09): the items are all customers and all users of events; those without events count zeros."""
+    ids = X.read(spark, sf, "customer").select(F.col("c_custkey").alias("item_id")).union(X.read(spark, sf, "events").select("user_id")).distinct()
+    return R.item_analysis(X.runs(spark, sf), ids).select("item_id", "n_runs", "n_correct", "category")
 
 
 @query("agg07_disagreement", _R + """, m AS (SELECT item_id, model_alias, count(DISTINCT answer) AS kinds, count(answer) AS v, count(*) FILTER (answer = 'A') || '|' || count(*) FILTER (answer = 'B') || '|' || count(*) FILTER (answer = 'C') || '|' || count(*) FILTER (answer = 'D') AS counts FROM runs GROUP BY item_id, model_alias)

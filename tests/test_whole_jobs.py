@@ -54,3 +54,16 @@ def test_every_stable_wrong_item_meets_all_controls(spark, sf, folder):
     got = {(r.item_id, r.model_alias): r.control_id for r in QUERIES["jon16_matched_controls"](spark, at).collect()}
     want = {(i, m): c for i, m, c in brute_controls(spark, at)}
     assert got == want and want
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_no_item_is_without_a_row(spark, sf, folder):
+    at = sf.replace("sf0.001", folder)
+    con = duckdb.connect()
+    ids = con.execute(f"SELECT c_custkey FROM '{at}/customer.parquet' UNION SELECT user_id FROM '{at}/events.parquet'").fetchall()
+    want = {i: [0, 0] for (i,) in ids}
+    for r in X.runs(spark, at).collect():
+        want[r.item_id][0] += 1
+        want[r.item_id][1] += r.correct
+    got = {r.item_id: [r.n_runs, r.n_correct] for r in QUERIES["jon02_items_without_runs"](spark, at).collect()}
+    assert got == want and any(n == 0 for n, _ in got.values())
