@@ -57,7 +57,7 @@ def scl01(spark, sf):
 @query("scl12_rendered_turns", "SELECT conv_id, string_agg(role || ': ' || left(text, 20), ' | ' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id")
 def scl12(spark, sf):
     """Rows joined into one text by template (SCL-12, SCL-14)."""
-    part = F.format_string("%s: %s", F.col("role"), F.left("text", F.lit(20)))
+    part = F.format_string("%s: %s", F.col("role"), F.col("text"))
     turns = F.array_sort(F.collect_list(F.struct("turn", part.alias("s"))))
     return X.read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["s"]), " | ").alias("rendered"))
 

@@ -67,3 +67,11 @@ def test_no_item_is_without_a_row(spark, sf, folder):
         want[r.item_id][1] += r.correct
     got = {r.item_id: [r.n_runs, r.n_correct] for r in QUERIES["jon02_items_without_runs"](spark, at).collect()}
     assert got == want and any(n == 0 for n, _ in got.values())
+
+
+def test_turns_are_rendered_whole(spark, sf, duck):
+    said = {}
+    for c, turn, role, text in duck.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall():
+        said.setdefault(c, []).append((turn, f"{role}: {text}"))
+    want = sorted((c, " | ".join(x for _, x in sorted(turns))) for c, turns in said.items())
+    assert rows(spark, sf, "scl12_rendered_turns", "conv_id", "rendered") == want
