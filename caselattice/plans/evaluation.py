@@ -73,10 +73,12 @@ def agg07(spark, sf):
 @query("prj06_priority", _R + """, a AS (SELECT item_id, count(*) FILTER (correct) AS n_correct, count(DISTINCT answer) AS kinds FROM runs WHERE run_id <= 2 AND model_alias IN ('click', 'purchase', 'view') GROUP BY item_id)
 SELECT item_id, CASE WHEN n_correct BETWEEN 2 AND 4 AND kinds >= 2 THEN 'high' WHEN n_correct BETWEEN 2 AND 4 THEN 'medium' ELSE 'low' END AS priority FROM a""")
 def prj06(spark, sf):
+    """High is a mixed item with several answers and some wrong answer that breaks one constraint alone (PRJ-06)."""
     six = X.runs(spark, sf).filter((F.col("run_id") <= 2) & F.col("model_alias").isin("click", "purchase", "view"))
-    found = six.groupBy("item_id").agg(F.count_if("correct").alias("n"), F.countDistinct("answer").alias("kinds"))
-    mixed = S.screening_category(F.col("n")) == "mixed_correctness"
-    return found.select("item_id", F.when(mixed & (F.col("kinds") >= 2), "high").when(mixed, "medium").otherwise("low").alias("priority"))
+    single = F.pmod(F.ascii("answer") - F.ascii("gold_answer"), F.lit(4)) == 1
+    found = six.groupBy("item_id").agg(F.count_if("correct").alias("n"), F.count("*").alias("runs"), F.countDistinct("answer").alias("kinds"), F.count_if(single).alias("single"))
+    mixed = (F.col("n") > 0) & (F.col("n") < F.col("runs"))
+    return found.select("item_id", F.when(mixed & (F.col("kinds") >= 2) & (F.col("single") > 0), "high").when(mixed, "medium").otherwise("low").alias("priority"))
 
 
 @query("agg09_grouped_accuracy", _R + """SELECT 'model_alias' AS dimension, model_alias AS level, count(*) AS n, round(count(*) FILTER (correct) / count(*), 6) AS accuracy FROM runs GROUP BY 2
@@ -283,8 +285,9 @@ def top06(spark, sf):
 
 @query("flt18_stable_controls", _C + _MOVES + "SELECT item_id, family FROM happened WHERE family = 'f0' GROUP BY item_id, family HAVING bool_and(event <> 'harmful_revision') ORDER BY item_id LIMIT 5")
 def flt18(spark, sf):
-    moves = D.transitions(X.calls(spark, sf)).filter("family = 'f0'")
-    return moves.groupBy("item_id", "family").agg(F.bool_and(F.col("objective_event") != "harmful_revision").alias("all")).filter("all").orderBy("item_id").limit(5).select("item_id", "family")
+    """The first five stable controls of a family whose every move is stable and right (FLT-18)."""
+    moves = D.transitions(X.calls(spark, sf)).filter("family = 'f0' AND pilot_group = 'stable_control'")
+    return moves.groupBy("item_id", "family").agg(F.bool_and(F.col("objective_event") == "stable_correct").alias("all")).filter("all").orderBy("item_id").limit(5).select("item_id", "family")
 
 
 _CAL = """SELECT event_id, CASE template WHEN 5 THEN NULL WHEN 2 THEN NULL ELSE x END AS answer,

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (it registers the queries)
 from caselattice.plans.registry import QUERIES
@@ -75,3 +76,28 @@ def test_turns_are_rendered_whole(spark, sf, duck):
         said.setdefault(c, []).append((turn, f"{role}: {text}"))
     want = sorted((c, " | ".join(x for _, x in sorted(turns))) for c, turns in said.items())
     assert rows(spark, sf, "scl12_rendered_turns", "conv_id", "rendered") == want
+
+
+def test_stable_controls_are_right_throughout(spark, sf, tmp_path):
+    answers = {u: [u % 4] * 3 for u in (2, 3, 4, 6, 8, 10, 14, 16)}  # 3 is of the other family, 6 is vulnerable
+    answers |= {20: [1, 1, 1], 22: [4, 4, 4], 26: [0, 2, 2]}  # wrong, unparsed, corrected
+    rows = [(u, kind, run, 5 * run + a) for u, given in answers.items() for kind in ("click", "purchase", "view") for run, a in enumerate(given)]
+    made = spark.createDataFrame(rows, "user_id long, event_type string, run int, k int")
+    shaped = made.select((F.col("user_id") * 100 + F.ascii("event_type") * 10000 + F.col("run")).alias("event_id"), F.timestamp_seconds("run").alias("ts"), "user_id", "event_type", F.format_string('{"k": %d}', "k").alias("props"))
+    shaped.write.parquet(str(tmp_path / "events.parquet"))
+    got = [tuple(r) for r in QUERIES["flt18_stable_controls"](spark, str(tmp_path)).orderBy("item_id").collect()]
+    assert got == [(u, "f0") for u in (2, 4, 8, 10, 14)]
+
+
+def test_high_priority_needs_a_single_violation(spark, sf):
+    seen = {}
+    for r in X.runs(spark, sf).collect():
+        if r.run_id <= 2 and r.model_alias in ("click", "purchase", "view"):
+            seen.setdefault(r.item_id, []).append(r)
+    want = {}
+    for i, six in seen.items():
+        mixed = 0 < sum(r.correct for r in six) < len(six)
+        several = len({r.answer for r in six} - {None}) >= 2
+        single = any((ord(r.answer) - ord(r.gold_answer)) % 4 == 1 for r in six if r.answer)
+        want[i] = ("high" if several and single else "medium") if mixed else "low"
+    assert {r.item_id: r.priority for r in QUERIES["prj06_priority"](spark, sf).collect()} == want
