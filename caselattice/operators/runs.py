@@ -102,11 +102,13 @@ def spearman(x: Column, y: Column) -> Column:
     return F.when(n >= 2, F.round(F.try_divide(top, low), 6))
 
 
-def cluster_bootstrap(items: DataFrame, key: str, top: str, bottom: str, resamples: int = 200, seed: int = 17) -> DataFrame:
+def cluster_bootstrap(items: DataFrame, key: str, top: str, bottom: str, resamples: int = 1000, seed: int = 17) -> DataFrame:
     """(lower, upper) of a ratio of sums over resampled clusters: draw number d of resample r takes the cluster whose
     position a hash gives. items: one row a cluster and group `key`, with `pos` from 0 and `size` of its group."""
-    draws = items.select(key, F.col("size").alias("drawn")).distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("d", F.explode(F.sequence(F.lit(0), (F.col("drawn") - 1).cast("int"))))
+    # Resamples are dealt out before they grow; draws are many, so that neither side may be broadcast by a wrong estimate.
+    each = items.select(key, F.col("size").alias("drawn")).distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    draws = each.repartition(max(1, resamples // 50), key, "r").withColumn("d", F.explode(F.sequence(F.lit(0), (F.col("drawn") - 1).cast("int"))))
     picks = draws.withColumn("pos", (draw(F.lit(seed), F.col(key), F.col("r"), F.col("d")) % F.col("drawn")).cast("int"))
-    sums = picks.join(items, [key, "pos"]).groupBy(key, "r").agg(F.try_divide(F.sum(top).cast("double"), F.sum(bottom).cast("double")).alias("rate"))
+    sums = picks.join(items.hint("shuffle_hash"), [key, "pos"]).groupBy(key, "r").agg(F.try_divide(F.sum(top).cast("double"), F.sum(bottom).cast("double")).alias("rate"))
     ordered = sums.groupBy(key).agg(F.array_sort(F.collect_list("rate")).alias("rates"))
     return ordered.select(key, F.round(lower_rank(F.col("rates"), 0.025), 6).alias("lower"), F.round(lower_rank(F.col("rates"), 0.975), 6).alias("upper"))

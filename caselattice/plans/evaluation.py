@@ -173,8 +173,8 @@ draws AS (SELECT model_alias, size, r, unnest(range(size)) AS d FROM (SELECT DIS
 s AS (SELECT w.model_alias, w.r, sum(top)::DOUBLE / sum(bottom) AS rate FROM (SELECT model_alias, r, ('0x' || substr(md5('17|' || model_alias || '|' || r || '|' || d), 1, 8))::UBIGINT % size AS pos FROM draws) w JOIN p ON p.model_alias = w.model_alias AND p.pos = w.pos GROUP BY w.model_alias, w.r)
 SELECT model_alias, round(list_sort(list(rate))[floor(0.025 * (count(*) - 1))::INT + 1], 6) AS lower, round(list_sort(list(rate))[floor(0.975 * (count(*) - 1))::INT + 1], 6) AS upper FROM s GROUP BY model_alias""")
 def agg36(spark, sf):
-    """Percentile interval over resampled items (AGG-36, AGG-37, MTH-03)."""
-    per_item = X.runs(spark, sf).groupBy("model_alias", "item_id").agg(F.count_if("correct").alias("top"), F.count("*").alias("bottom"))
+    """Percentile interval of the share of right among valid answers over 1,000 resamples of items (AGG-36, MTH-03)."""
+    per_item = X.runs(spark, sf).groupBy("model_alias", "item_id").agg(F.count_if("correct").alias("top"), F.count("answer").alias("bottom"))
     whole = W.partitionBy("model_alias")
     placed = per_item.withColumns({"pos": F.row_number().over(whole.orderBy("item_id")) - 1, "size": F.count("*").over(whole)})
     return R.cluster_bootstrap(placed, "model_alias", "top", "bottom")

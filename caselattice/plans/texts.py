@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselattice.functions import scalar as S
+from caselattice.operators import runs as R
 from caselattice.plans.registry import query
 from caselattice.sources import views as X
 
@@ -77,6 +79,9 @@ def flt20(spark, sf):
 
 @query("agg37_source_quality_interval", """WITH l AS (SELECT d.source AS cluster, count(*) FILTER (quality = 1) AS top, count(*) AS bottom FROM labels JOIN documents d USING (doc_id) GROUP BY 1) SELECT cluster, top, bottom, round(top / bottom, 6) AS rate FROM l""")
 def agg37(spark, sf):
-    """Clusters for a bootstrap of label rates by source (AGG-37)."""
+    """Percentile interval of the rate of good labels over 5,000 resamples of sources (AGG-37). The windows are over sources."""
     joined = X.read(spark, sf, "labels").join(X.read(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return joined.groupBy(F.col("source").alias("cluster")).agg(F.count_if(F.col("quality") == 1).alias("top"), F.count("*").alias("bottom")).withColumn("rate", S.ratio(F.col("top"), F.col("bottom")))
+    clusters = joined.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("top"), F.count("*").alias("bottom")).withColumn("scope", F.lit("all"))
+    whole = W.partitionBy("scope")
+    placed = clusters.withColumns({"pos": F.row_number().over(whole.orderBy("source")) - 1, "size": F.count("*").over(whole)})
+    return R.cluster_bootstrap(placed, "scope", "top", "bottom", 5000).select("lower", "upper")

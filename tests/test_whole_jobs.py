@@ -1,5 +1,7 @@
 """Queries against brute force over every row of the given tables, not over the rows that a query's SQL keeps."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +103,28 @@ def test_high_priority_needs_a_single_violation(spark, sf):
         single = any((ord(r.answer) - ord(r.gold_answer)) % 4 == 1 for r in six if r.answer)
         want[i] = ("high" if several and single else "medium") if mixed else "low"
     assert {r.item_id: r.priority for r in QUERIES["prj06_priority"](spark, sf).collect()} == want
+
+
+def bounds(key, clusters, resamples):
+    rates = []
+    for r in range(resamples):
+        drawn = [clusters[int(hashlib.md5(f"17|{key}|{r}|{d}".encode()).hexdigest()[:8], 16) % len(clusters)] for d in range(len(clusters))]
+        if below := sum(b for _, b in drawn):
+            rates.append(sum(t for t, _ in drawn) / below)
+    rates.sort()
+    return pytest.approx(tuple(rates[int(p * (len(rates) - 1))] for p in (0.025, 0.975)), abs=2e-6)
+
+
+def test_sources_are_resampled_5000_times(spark, sf, duck):
+    clusters = duck.execute("SELECT count(*) FILTER (quality = 1), count(*) FROM labels JOIN documents USING (doc_id) GROUP BY source ORDER BY source").fetchall()
+    (got,) = QUERIES["agg37_source_quality_interval"](spark, sf).select("lower", "upper").collect()
+    assert tuple(got) == bounds("all", clusters, 5000) and got.lower < got.upper
+
+
+def test_items_are_resampled_1000_times(spark, sf):
+    seen = {}
+    for r in X.runs(spark, sf).collect():
+        top, bottom = seen.setdefault(r.model_alias, {}).get(r.item_id, (0, 0))
+        seen[r.model_alias][r.item_id] = (top + r.correct, bottom + (r.answer is not None))
+    got = {r.model_alias: (r.lower, r.upper) for r in QUERIES["agg36_cluster_bootstrap"](spark, sf).collect()}
+    assert got == {m: bounds(m, [x for _, x in sorted(items.items())], 1000) for m, items in seen.items()}
