@@ -85,3 +85,19 @@ def test_leaks_against_brute_force(spark, monkeypatch, block):
         assert np.allclose([x.containment for x in r.leaks], [c for _, c in want])
     assert decontaminate.find_leaks(df, "text", spark.createDataFrame([], "item_id int, text string")).filter("size(leaks) > 0").count() == 0
     assert decontaminate.find_leaks(df.limit(0), "text", spark.createDataFrame(items, "item_id int, text string")).count() == 0
+
+
+def test_rare_links_are_audited():
+    class Narrow:
+        """Finds nothing with a beam under 40."""
+
+        vectors = np.eye(500)
+
+        def within(self, query, least, beam, start=None):
+            return np.flatnonzero(self.vectors @ query >= least) if beam >= 40 else np.array([], int)
+
+    ours = Narrow()
+    ours.vectors = np.zeros((500, 500))
+    ours.vectors[3, 7] = 1  # the only link, of a query that 64 evenly spaced ones leave out
+    hit = embedding_dedup.asked(ours, Narrow(), False, 0.93)
+    assert hit[3, 7] and hit.sum() == 1
