@@ -1,24 +1,27 @@
 """Near-duplicates by Order MinHash and banded alignment.
 
-A document is its sequence of words. Its k-mers (SHINGLE words) are labelled by their occurrence; for each of N_SKETCHES
-hash functions the LENGTH labelled k-mers of least hash are taken and kept in the order of the text, and their hash is one
-sketch value. Two documents that share a value are candidates, and near-duplicates if aligning their words takes edits of
+A document is its sequence of words. Its k-mers (SHINGLE words, next to each other or, for half the functions, spaced) are
+labelled by their occurrence; for each of N_SKETCHES hash functions the LENGTH labelled k-mers of least hash are taken and kept in the order of the text, and their hash is
+one sketch value. Two documents that share a value are candidates, and near-duplicates if aligning their words takes edits of
 at most 1 - SIMILARITY of the longer one's words. Classes are the connected components.
 
 Texts with the same words are one node from the start, so groups of copies cost one row each. In the buckets of a value,
-first every member is aligned with the bucket's least id. Where all members are then one component, nothing is left to be
-found; in other buckets the pairs across components follow, in blocks, less those whose lengths or word counts rule a
-link out. Such a pair is aligned in the least of the buckets that it shares, and no more once its two components have met;
-a task sends on only the links that unite components. So no link between candidates that would change a class is lost,
-and no group is paired with itself for nothing.
+first every member is aligned with one other: the bucket's least node or, in a bucket of more than STAR, the least of its
+part, and the parts' least with the bucket's. Where all members are then one component, nothing is left to be found. In
+other buckets the pairs across components follow, less those whose lengths or word counts rule a link out: in buckets of
+up to BLOCK inside a task, each pair in the least of the buckets that it shares and no more once its components have met;
+in larger ones only pairs that share one of their rarest words, of which near texts must share one (see _rare_pairs).
+So no link between candidates that would change a class is lost, and no group is paired with itself for nothing.
 
 Defined results: documents of fewer words than a k-mer are one k-mer; those without words (null and empty texts among
-them) are copies of each other. Rows without an id are named by a negative hash of their text. Rows that share an id and
-differ in text are in one class, as one document, of which one text is aligned if their nodes have one id. Other columns are not carried: the result is one row per input row."""
+them) are copies of each other. Rows without an id are named by a hash of their text, beyond all ids. Rows that share an
+id and differ in text are documents of their own, each in its own class; two classes may then have one name. Very long
+texts are sketched whole, in pieces of bounded memory. Other columns are not carried: the result is one row per input
+row."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,15 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselattice.llm import alignment
-from caselattice.llm.components import components
+from caselattice.llm.components import components, with_least
 from caselattice.llm.names import unused
-from caselattice.llm.storage import stored
+from caselattice.llm.storage import discard, stored
 from caselattice.llm.text_kernel import as_bytes, mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-N_SKETCHES, LENGTH = 32, 2
-#: Members of a bucket that one task pairs with as many others.
-BLOCK = 2048
+N_SKETCHES, LENGTH = 96, 2
+#: Members of a bucket's part, which are aligned with the part's least.
+STAR = 512
+#: Members of a bucket, and words in it, that one task pairs with as many others.
+BLOCK, WEIGHT = 2048, 1 << 22
 _BINS = 256
 _STEP = 256
 
@@ -49,15 +54,22 @@ def fingerprint(words: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([first, second], np.uint64).view(np.int64))
 
 
-def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k-mer together with the number of its occurrence, in text order."""
-    n = len(words) - k + 1
+def spaced(k: int) -> tuple[int, ...]:
+    """Places of k words with a gap before and after the middle one: 0, 1, 3, 5, 6 for five."""
+    return tuple(i + (i >= k // 2) + (i > k // 2) for i in range(k))
+
+
+def labelled_kmers(words: np.ndarray, k: int, places: tuple[int, ...] | None = None) -> np.ndarray:
+    """A hash of each k-mer together with the number of its occurrence, in text order. The k words stand at `places`,
+    counted from the first one, or next to each other."""
+    places = places or tuple(range(k))
+    n = len(words) - places[-1]
     with np.errstate(over="ignore"):
         if n < 1:
             kmers = np.array([mix(words * np.arange(3, 2 * len(words) + 3, 2, dtype=np.uint64)).sum(dtype=np.uint64)], np.uint64)
         else:
             kmers = words[:n].copy()
-            for i in range(1, k):
+            for i in places[1:]:
                 kmers = kmers * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
             kmers = mix(kmers)
         order = np.argsort(kmers, kind="stable")
@@ -72,10 +84,10 @@ def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
         return labelled
 
 
-def order_minhash(words: np.ndarray, k: int, sketches: int, length: int) -> np.ndarray:
-    """The sketch values of a sequence of words, as int64."""
-    kmers = labelled_kmers(words, k)
-    odd = mix(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+def order_minhash(words: np.ndarray, k: int, sketches: int, length: int, places: tuple[int, ...] | None = None, start: int = 1) -> np.ndarray:
+    """The sketch values of a sequence of words, as int64; functions are numbered from `start`."""
+    kmers = labelled_kmers(words, k, places)
+    odd = mix(np.arange(start, start + sketches, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
     rows = np.arange(sketches)
     least: np.ndarray | None = None
     with np.errstate(over="ignore"):
@@ -101,6 +113,13 @@ def order_minhash(words: np.ndarray, k: int, sketches: int, length: int) -> np.n
     return value.view(np.int64)
 
 
+def sketch_of(words: np.ndarray, k: int, sketches: int, length: int) -> np.ndarray:
+    """Half the functions over neighbouring words, half over spaced ones: words replaced at even distances of k or k + 1
+    break every k-mer of neighbours, but not all spaced ones; inserted words break fewer of the former."""
+    half = sketches // 2
+    return np.concatenate([order_minhash(words, k, sketches - half, length), order_minhash(words, k, half, length, spaced(k), sketches - half + 1)])
+
+
 def _bag(words: np.ndarray) -> bytes:
     """Counts of words by hash, then of pairs of neighbouring words, for bounds on the edits between two texts: one edit
     changes the first by two at most and the second by four."""
@@ -110,23 +129,32 @@ def _bag(words: np.ndarray) -> bytes:
     return np.minimum(np.concatenate(bags), 255).astype(np.uint8).tobytes()
 
 
-#: Ids from here down stand for rows without one.
-_NAMELESS = -(1 << 61)
+#: Ids from here up stand for rows without one.
+_NAMELESS = 1 << 61
+
+
+def _text(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit(""))
 
 
 def _id(doc_id: str, text: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_NAMELESS) - F.abs(F.xxhash64(F.coalesce(F.col(text), F.lit(""))) % (1 << 60)))
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_NAMELESS) + F.abs(F.xxhash64(_text(text)) % (1 << 60)))
+
 
+def _mark(text: str) -> Column:
+    """Tells apart the texts of one id."""
+    return F.xxhash64(F.lit("mark"), _text(text))
 
-def _map_texts(df: DataFrame, schema: str, make) -> DataFrame:
-    """For df (id, text, …): a row of make(words) after the columns other than text, for each text."""
+
+def _map_words(df: DataFrame, column: str, schema: str, read: Callable, make: Callable) -> DataFrame:
+    """A row of make(words) after the columns other than `column`, from which read makes words, for each row of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where = batch.schema.get_field_index("text")
+            where = batch.schema.get_field_index(column)
             for at in range(0, batch.num_rows, _STEP):
                 part = batch.slice(at, _STEP)
-                made = [make(word_hashes(x)) for x in as_bytes(part.column(where))]
+                made = [make(read(x)) for x in as_bytes(part.column(where))]
                 fixed = [part.column(i) for i in range(part.num_columns) if i != where]
                 yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(x, t) for x, t in zip(zip(*made, strict=True), types, strict=True))], names=names)
 
@@ -141,41 +169,67 @@ def _allowed(a: int, b: int, similarity: float) -> int:
     return round((1 - similarity) * 1_000_000) * max(int(a), int(b)) // 1_000_000
 
 
+def near_enough(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether aligning two sequences of words takes few enough edits; lengths and counts of words are asked first."""
+    most = _allowed(len(a), len(b), similarity)
+    if abs(len(a) - len(b)) > most or np.abs(np.bincount(a & (_BINS - 1), minlength=_BINS) - np.bincount(b & (_BINS - 1), minlength=_BINS)).sum() > 2 * most:
+        return False
+    return alignment.distance_within(a, b, most) is not None
+
+
 def verify(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those whose alignment is near enough; words has (id, words)."""
-    left = words.select(F.col("id").alias("a"), F.col("words").alias("wa"))
-    right = words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+    """Of pairs (a, b) of nodes those whose alignment is near enough; words has (node, words)."""
+    left = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
+    right = words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
-            for k in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (2, 3))
-                near.append(alignment.distance_within(a, b, _allowed(len(a), len(b), similarity)) is not None)
+            near = [near_enough(*(np.frombuffer(batch.column(c)[k].as_buffer(), np.uint32) for c in (2, 3)), similarity) for k in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """members (key, size, least, id, comp, n, bag, keys, words): links (a, b) of ids in a bucket that unite components.
+def _dealt(members: DataFrame, blocks: Column) -> DataFrame:
+    """members dealt to blocks by a hash of the node, once for each block that theirs is paired with (low, high)."""
+    dealt = members.withColumn("_blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("_blocks", "other")
+
+
+def _bags(rows: pd.DataFrame) -> tuple:
+    """(counts, edits' weight) of words in few bins, in many, and of pairs of neighbouring words."""
+    held = np.stack([np.frombuffer(x, np.uint8) for x in rows["bag"]]).astype(np.int16)
+    single, double = held[:, :_BINS], held[:, _BINS:]
+    return (single.reshape(len(rows), -1, 8).sum(2, dtype=np.int16), 2), (single, 2), (double, 4)
+
 
-    Pairs with the bucket's least id have been aligned before and are left out."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+def _partners(i: int, n: np.ndarray, may: np.ndarray, bags: tuple, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows after i that lengths (n ascends) and bags leave as its partners, and how far off the last bag has them."""
+    # Sorted by length: the longer partner may have no more words than this.
+    j = np.arange(i + 1, np.searchsorted(n, n[i] / similarity + 1e-9, "right"))
+    j = j[may[j]]
+    far = np.zeros(len(j), np.int64)
+    for held, each in bags:
+        far = np.abs(held[j] - held[i]).sum(1)
+        near = far <= each * (1 - similarity) * n[j] + 1e-9
+        j, far = j[near], far[near]
+    return j, far
+
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """members (key, size, least, node, comp, n, bag, keys, words, weight): links (a, b) of nodes in a bucket that unite
+    components. Pairs with the least node of a bucket of up to STAR have been aligned before and are left out."""
+    dealt = _dealt(members, F.greatest(F.lit(1), F.ceil(F.col("weight") / WEIGHT)))
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "id"])
-        n, comp, ids, own, key = (rows[c].to_numpy() for c in ("n", "comp", "id", "own", "key"))
-        words = [np.frombuffer(x, np.uint32) for x in rows["words"]]
-        held = np.stack([np.frombuffer(x, np.uint8) for x in rows["bag"]]).astype(np.int16)
-        single, double = held[:, :_BINS], held[:, _BINS:]
-        coarse = single.reshape(len(rows), -1, 8).sum(2, dtype=np.int16)
+        rows = rows.sort_values(["n", "node"])
+        n, comp, nodes, own, key = (rows[c].to_numpy() for c in ("n", "comp", "node", "own", "key"))
+        words, bags = [np.frombuffer(x, np.uint32) for x in rows["words"]], _bags(rows)
         keys = np.stack(rows["keys"].to_numpy())
-        first, apart = ids == rows["least"].iloc[0], rows["low"].iloc[0] == rows["high"].iloc[0]
+        apart, known = rows["low"].iloc[0] == rows["high"].iloc[0], rows["size"].iloc[0] <= STAR
+        done = (nodes == rows["least"].iloc[0]) & known
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -185,72 +239,123 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
 
         out = []
         for i in range(len(rows)):
-            # Sorted by length: the longer partner may have no more words than this.
-            j = np.arange(i + 1, np.searchsorted(n, n[i] / similarity + 1e-9, "right"))
-            j = j[(comp[j] != comp[i]) & (apart | (own[j] != own[i])) & ~(first[j] | first[i])]
-            for bags, each in ((coarse, 2), (single, 2), (double, 4)):
-                far = np.abs(bags[j] - bags[i]).sum(1)
-                near = far <= each * (1 - similarity) * n[j] + 1e-9
-                j, far = j[near], far[near]
+            if done[i]:
+                continue
+            j, far = _partners(i, n, (comp != comp[i]) & (apart | (own != own[i])) & ~done, bags, similarity)
             # A sketch value stands at its function's place: the least common one says whose pair this is.
             same = np.where(keys[j] == keys[i], keys[j], np.iinfo(np.int64).max).min(1) == key[0] if len(j) else np.zeros(0, bool)
             for k in j[same][np.argsort(far[same], kind="stable")].tolist():
                 a, b = find(int(comp[i])), find(int(comp[k]))
                 if a != b and alignment.distance_within(words[i], words[k], _allowed(n[i], n[k], similarity)) is not None:
                     root[max(a, b)] = min(a, b)
-                    out.append((ids[i], ids[k]))
+                    out.append((nodes[i], nodes[k]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return dealt.groupBy("key", "low", "high").applyInPandas(pair, "a long, b long")
 
 
+def _labelled_words(words: np.ndarray) -> tuple[np.ndarray]:
+    """Each word together with the number of its occurrence."""
+    return (labelled_kmers(words.astype(np.uint64), 1).view(np.int64),)
+
+
+def _rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """members (key, node, comp, n, bag, words) of large buckets: pairs (a, b) across components that may be near.
+
+    Of a text of n words a near one has all but allowed(n) at least. With both texts' words in one order, those two then
+    share one of the first allowed(n) + 1. In the order of how many members of the bucket have a word, these are its
+    rarest, so members meet in small groups. Words of more than BLOCK members are not counted but come last, by hash;
+    where texts have little else, their groups are dealt to blocks of BLOCK."""
+    texts = stored(_map_words(members, "words", "key long, node long, comp long, n int, bag binary, tokens array<bigint>", lambda x: np.frombuffer(x, np.uint32), _labelled_words))
+    each = texts.select("key", "node", F.explode("tokens").alias("w"))
+    counts = each.groupBy("key", "w").agg(F.count("*").alias("c")).filter(F.col("c") <= BLOCK)
+    rare = each.join(counts, ["key", "w"]).groupBy("key", "node").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("rare"))
+    none = F.expr("cast(array() as array<struct<c:bigint,w:bigint>>)")
+    ranked = texts.join(rare, ["key", "node"], "left").withColumn("rare", F.coalesce("rare", none))
+    common = F.transform(F.array_sort(F.array_except("tokens", F.transform("rare", lambda x: x["w"]))), lambda w: F.struct(F.lit(BLOCK + 1).cast("long").alias("c"), w.alias("w")))
+    allowed = F.floor(F.lit(round((1 - similarity) * 1_000_000)) * F.col("n") / 1_000_000).cast("int")
+    first = F.filter(F.slice(F.concat("rare", common), F.lit(1), allowed + 1), lambda x: x["c"] > 1)
+    met = stored(ranked.select("key", "node", "comp", "n", "bag", F.explode(F.transform(first, lambda x: x["w"])).alias("w")))
+    groups = met.groupBy("key", "w").agg(F.count("*").alias("size")).filter("size > 1")
+    dealt = _dealt(met.join(groups, ["key", "w"]), F.ceil(F.col("size") / BLOCK))
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["n", "node"])
+        n, comp, nodes, own = (rows[c].to_numpy() for c in ("n", "comp", "node", "own"))
+        bags, apart = _bags(rows), rows["low"].iloc[0] == rows["high"].iloc[0]
+        found = [(i, _partners(i, n, (comp != comp[i]) & (apart | (own != own[i])), bags, similarity)[0]) for i in range(len(rows))]
+        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([np.full(len(j), nodes[i]) for i, j in found], [nodes[j] for _, j in found]))
+        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+
+    return dealt.select("key", "w", "low", "high", "own", "node", "comp", "n", "bag").groupBy("key", "w", "low", "high").applyInPandas(pair, "a long, b long").distinct()
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are aligned first: each member with the least of its bucket or of its part of it."""
+    small = members.filter(F.col("size") <= STAR).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    parts = members.filter(F.col("size") > STAR).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / STAR)))
+    centres = parts.groupBy("key", "part").agg(F.min("node").alias("a"), F.min("least").alias("top"))
+    spokes = parts.join(centres.drop("top"), ["key", "part"]).select("a", F.col("node").alias("b"))
+    return small.unionByName(spokes).unionByName(centres.select(F.col("top").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, sketches: int = N_SKETCHES, length: int = LENGTH) -> DataFrame:
-    """One row per row of df: id, its words' fingerprint (f1, f2), and group_id, the least id of its class."""
-    texts = df.select(_id(doc_id, text).alias("id"), F.col(text).alias("text"))
+    """One row per row of df: id, mark (a hash of the text), and group_id and group_mark, those of its class's first row
+    by id and mark."""
+    texts = df.select(_id(doc_id, text).alias("id"), _mark(text).alias("mark"), F.col(text).alias("text"))
 
     def sketch(words: np.ndarray) -> tuple:
-        return (*fingerprint(words), len(words), _bag(words), order_minhash(words, shingle, sketches, length))
+        return (*fingerprint(words), sketch_of(words, shingle, sketches, length))
+
+    def body(words: np.ndarray) -> tuple:
+        return len(words), _bag(words), words.astype(np.uint32).tobytes()
 
-    made = stored(_map_texts(texts, "id long, f1 long, f2 long, n int, bag binary, keys array<bigint>", sketch))
-    nodes = stored(made.groupBy("f1", "f2").agg(F.min("id").alias("node")))
-    owners = stored(made.select("id", "f1", "f2").join(nodes, ["f1", "f2"]))
+    made = stored(_map_words(texts, "text", "id long, mark long, f1 long, f2 long, keys array<bigint>", word_hashes, sketch))
+    # Nodes are numbered by the rows of a stored table, so that they stay the same whoever reads them.
+    nodes = stored(made.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min_by("mark", "id").alias("mark")).withColumn("node", F.monotonically_increasing_id()))
+    first = nodes.select("f1", "f2", "node", F.col("id").alias("own_id"), F.col("mark").alias("own_mark"))
+    owners = stored(made.select("id", "mark", "f1", "f2").join(first, ["f1", "f2"]).drop("f1", "f2"))
 
     # From here on each set of copies is the one row of its node.
-    firsts = nodes.withColumnRenamed("node", "id")
-    sketched = stored(made.join(firsts, ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"]))
-    keyed = sketched.select("id", F.explode("keys").alias("key"))
-    buckets = stored(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1"))
+    sketched = stored(made.dropDuplicates(["id", "mark", "f1", "f2"]).join(nodes, ["id", "mark", "f1", "f2"]).select("node", "keys"))
+    discard(made)
+    keyed = sketched.select("node", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1")
     members = stored(keyed.join(buckets, "key"))
 
-    stars = members.filter("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    held = texts.join(members.select("id").distinct(), "id")
-    raw = _map_texts(held, "id long, f1 long, f2 long, words binary", lambda w: (*fingerprint(w), w.astype(np.uint32).tobytes()))
-    words = stored(raw.join(firsts, ["id", "f1", "f2"], "left_semi").select("id", "words").dropDuplicates(["id"]))
-    near = stored(verify(stars, words, similarity))
+    wanted = members.select("node").distinct().join(nodes.select("node", "id", "mark"), "node")
+    held = texts.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark", "node"]).select("node", "text")
+    words = stored(_map_words(held, "text", "node long, n int, bag binary, words binary", word_hashes, body))
+    near = stored(verify(_stars(members), words, similarity))
 
-    roots = components(near)
-    placed = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    placed = members.join(components(near), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    open_members = placed.join(mixed, "key", "left_semi").join(sketched.select("id", "n", "bag", "keys").dropDuplicates(["id"]).join(words, "id"), "id")
-    more = stored(_across(open_members, similarity))
+    open_members = stored(placed.join(mixed, "key", "left_semi"))
+    discard(members)
+    small, large = open_members.filter(F.col("size") <= BLOCK), open_members.filter(F.col("size") > BLOCK)
+    weights = small.join(words.select("node", "n"), "node").groupBy("key").agg(F.sum("n").alias("weight"))
+    more = stored(_across(small.join(weights, "key").join(sketched, "node").join(words, "node"), similarity))
+    late = stored(verify(_rare_pairs(large.select("key", "node", "comp").join(words, "node"), similarity), words, similarity))
+    discard(sketched, open_members, words)
 
-    # An id with unlike texts joins their nodes.
-    several = owners.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a != hi")
-    shared = owners.join(several, "id").select("a", F.col("node").alias("b")).distinct()
-    final = components(near.unionByName(more).unionByName(shared))
-    return owners.join(final, "node", "left").select("id", "f1", "f2", F.coalesce("root", "node").alias("group_id"))
+    final = stored(components(near.unionByName(more).unionByName(late)))
+    named = with_least(nodes.select("node", "id", "mark").join(final, "node"), "root", "node", F.struct("id", "mark"), "first").select("node", "first")
+    return owners.join(named, "node", "left").select("id", "mark", F.coalesce("first.id", "own_id").alias("group_id"), F.coalesce("first.mark", "own_mark").alias("group_mark"))
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """(doc_id, group_id, kept): kept is the class's least id. A null doc_id stays null, as does a class id made for one."""
+    """(doc_id, group_id, kept): group_id is the class's least id, kept marks its row. A null doc_id stays null, as does
+    the name of a class without ids."""
     found = near_duplicates(df, doc_id, text, **settings)
-    real = lambda c: F.when(F.col(c) > _NAMELESS, F.col(c))
-    return found.select(real("id").alias("doc_id"), real("group_id").alias("group_id"), (F.col("id") == F.col("group_id")).alias("kept"))
+    real = lambda c: F.when(F.col(c) < _NAMELESS, F.col(c))
+    kept = (F.col("id") == F.col("group_id")) & (F.col("mark") == F.col("group_mark"))
+    return found.select(real("id").alias("doc_id"), real("group_id").alias("group_id"), kept.alias("kept"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of df of which one stays from each class; of repeated rows one."""
     found = near_duplicates(df, doc_id, text, **settings)
-    own, one = unused(df, "_id", "_kept")
-    kept = found.filter("id = group_id").select(F.col("id").alias(one)).distinct()
-    return df.withColumn(own, _id(doc_id, text)).join(kept, F.col(own) == F.col(one), "left_semi").dropDuplicates([own]).drop(own)
+    own, own_mark, one, one_mark = unused(df, "_id", "_mark", "_kept", "_kept_mark")
+    kept = found.select(F.col("group_id").alias(one), F.col("group_mark").alias(one_mark)).distinct()
+    marked = df.withColumns({own: _id(doc_id, text), own_mark: _mark(text)})
+    return marked.join(kept, (F.col(own) == F.col(one)) & (F.col(own_mark) == F.col(one_mark)), "left_semi").dropDuplicates([own, own_mark]).drop(own, own_mark)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from caselattice.llm import alignment, components, near_dedup, text_kernel
 from tests_by_hand import classes_by_hand, distance
@@ -39,8 +40,12 @@ def near_copies(rng):
     return [" ".join(t) for t in texts]
 
 
-def test_classes_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+@pytest.mark.parametrize("block,star,weight", [(2048, 512, 1 << 22), (2048, 4, 300), (3, 2, 1 << 22)])
+def test_classes_against_all_pairs(spark, monkeypatch, block, star, weight):
+    """Whole buckets in a task; buckets in parts and blocks; buckets too large for one, by their rarest words."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "STAR", star)
+    monkeypatch.setattr(near_dedup, "WEIGHT", weight)
     rng = random.Random(11)
     texts = near_copies(rng) + ["", None, "one", "One!", "two words"]
     texts += texts[:6]
@@ -62,12 +67,60 @@ def test_nulls_repeats_and_empty_tables(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_dedup.classes(df).collect()
     assert len(got) == len(rows)
-    ids = {r.doc_id: r.group_id for r in got if r.doc_id}
-    assert ids[8] == 8 and ids[9] == 8 and ids[7] == ids[10]
-    assert near_dedup.keep_one(df).count() == 3
+    ids = {}
+    for r in got:
+        ids.setdefault(r.doc_id, []).append(r.group_id)
+    # Rows that share an id and differ in text are documents of their own; a class is named by its least real id.
+    assert ids[8] == [8] and ids[9] == [8] and ids[7] == [7, 7] and sorted(ids[10]) == [7, 10]
+    assert sorted(ids[None], key=str) == [7, 7, None]
+    kept = near_dedup.keep_one(df)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone here"), (7, text), (8, other), (10, "far away")]
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_unite_nothing(spark):
+    words = [" ".join(f"{c}{i * i}" for i in range(50)) for c in "abcd"]
+    rows = [(1, words[0]), (1, words[1]), (2, words[0] + " x"), (3, words[1] + " y"), (4, words[2]), (4, words[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.group_id, r.kept) for r in near_dedup.classes(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)]
+    assert sorted(r.text for r in near_dedup.keep_one(df).collect()) == sorted(words)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    copy = list(words)
+    for at in rng.sample(range(len(words)), 3000):
+        copy[at] = "other"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(words[:60_000]))], "doc_id long, text string")
+    assert {r.doc_id: r.group_id for r in near_dedup.classes(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def edited(words, share, kind, rng):
+    n, m = len(words), round(len(words) * share)
+    at = np.arange(m) * n // m if kind == "even" else np.sort(rng.permutation(n)[:m])
+    if kind == "deleted":
+        return np.delete(words, at)
+    out = words.copy()
+    out[at] = rng.integers(0, 2**63, m).astype(np.uint64)
+    return out
+
+
+@pytest.mark.parametrize("kind,least", [("random", 0.95), ("even", 0.9), ("deleted", 0.93)])
+def test_near_texts_share_a_sketch(kind, least):
+    """Recall of candidates for texts that differ in 15 to 20 % of their words."""
+    rng, found = np.random.default_rng(3), []
+    for share in (0.15, 0.17, 0.19, 0.2):
+        for n in (100, 200, 600):
+            for _ in range(60):
+                a = rng.integers(0, 2**63, n).astype(np.uint64)
+                b = edited(a, share, kind, rng)
+                sketch = lambda x: near_dedup.sketch_of(x, near_dedup.SHINGLE, near_dedup.N_SKETCHES, near_dedup.LENGTH)
+                found.append((sketch(a) == sketch(b)).any())
+    assert np.mean(found) >= least
+
+
 def test_order_minhash_keeps_order_and_occurrences():
     w = np.arange(1, 40, dtype=np.uint64)
     sketch = lambda x: near_dedup.order_minhash(text_kernel.mix(x), 5, 64, 2)
