@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,11 +197,11 @@ def _dealt(members: DataFrame, blocks: Column) -> DataFrame:
     return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("_blocks", "other")
 
 
-def _bags(rows: pd.DataFrame) -> tuple:
+def _bags(rows: pa.Table) -> tuple:
     """(counts, edits' weight) of words in few bins, in many, and of pairs of neighbouring words."""
-    held = np.stack([np.frombuffer(x, np.uint8) for x in rows["bag"]]).astype(np.int16)
+    held = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(rows.num_rows, -1).astype(np.int16)
     single, double = held[:, :_BINS], held[:, _BINS:]
-    return (single.reshape(len(rows), -1, 8).sum(2, dtype=np.int16), 2), (single, 2), (double, 4)
+    return (single.reshape(rows.num_rows, -1, 8).sum(2, dtype=np.int16), 2), (single, 2), (double, 4)
 
 
 def _partners(i: int, n: np.ndarray, may: np.ndarray, bags: tuple, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -218,18 +217,52 @@ def _partners(i: int, n: np.ndarray, may: np.ndarray, bags: tuple, similarity: f
     return j, far
 
 
+def _in_groups(df: DataFrame, keys: list[str], run: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Pairs (a, b) that run makes of each group of rows with equal keys. A task sorts its rows and works off run after run
+    of a group, which is cheaper than a data frame a group where most are of a few rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(batch.num_rows, bool)
+            for x in values:
+                new[1:] |= x[1:] != x[:-1]
+            new[0] = last is not None and last != tuple(x[0] for x in values)
+            last = tuple(x[-1] for x in values)
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            found = []
+            for k, (at, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if k and held:
+                    found.append(run(pa.Table.from_batches(held)))
+                    held = []
+                if end > at:
+                    held.append(batch.slice(at, end - at))
+            yield from told(found)
+        if held:
+            yield from told([run(pa.Table.from_batches(held))])
+
+    def told(found: list) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in found]).astype(np.int64)) for i in (0, 1)], names=["a", "b"])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, "n", "node").mapInArrow(work, "a long, b long")
+
+
 def _across(members: DataFrame, similarity: float) -> DataFrame:
     """members (key, size, least, node, comp, n, bag, keys, words, weight): links (a, b) of nodes in a bucket that unite
     components. Pairs with the least node of a bucket of up to STAR have been aligned before and are left out."""
     dealt = _dealt(members, F.greatest(F.lit(1), F.ceil(F.col("weight") / WEIGHT)))
 
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "node"])
-        n, comp, nodes, own, key = (rows[c].to_numpy() for c in ("n", "comp", "node", "own", "key"))
-        words, bags = [np.frombuffer(x, np.uint32) for x in rows["words"]], _bags(rows)
-        keys = np.stack(rows["keys"].to_numpy())
-        apart, known = rows["low"].iloc[0] == rows["high"].iloc[0], rows["size"].iloc[0] <= STAR
-        done = (nodes == rows["least"].iloc[0]) & known
+    def pair(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        n, comp, nodes, own = (rows.column(c).to_numpy() for c in ("n", "comp", "node", "own"))
+        key, size, least, low, high = (rows.column(c)[0].as_py() for c in ("key", "size", "least", "low", "high"))
+        words, bags = [np.frombuffer(x, np.uint32) for x in rows.column("words").to_pylist()], _bags(rows)
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+        done = (nodes == least) & (size <= STAR)
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -238,20 +271,22 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
             return c
 
         out = []
-        for i in range(len(rows)):
+        for i in range(len(n)):
             if done[i]:
                 continue
-            j, far = _partners(i, n, (comp != comp[i]) & (apart | (own != own[i])) & ~done, bags, similarity)
+            j, far = _partners(i, n, (comp != comp[i]) & ((low == high) | (own != own[i])) & ~done, bags, similarity)
+            if not len(j):
+                continue
             # A sketch value stands at its function's place: the least common one says whose pair this is.
-            same = np.where(keys[j] == keys[i], keys[j], np.iinfo(np.int64).max).min(1) == key[0] if len(j) else np.zeros(0, bool)
+            same = np.where(keys[j] == keys[i], keys[j], np.iinfo(np.int64).max).min(1) == key
             for k in j[same][np.argsort(far[same], kind="stable")].tolist():
                 a, b = find(int(comp[i])), find(int(comp[k]))
                 if a != b and alignment.distance_within(words[i], words[k], _allowed(n[i], n[k], similarity)) is not None:
                     root[max(a, b)] = min(a, b)
                     out.append((nodes[i], nodes[k]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        return tuple(np.array(out, np.int64).reshape(-1, 2).T)
 
-    return dealt.groupBy("key", "low", "high").applyInPandas(pair, "a long, b long")
+    return _in_groups(dealt, ["key", "low", "high"], pair)
 
 
 def _labelled_words(words: np.ndarray) -> tuple[np.ndarray]:
@@ -260,34 +295,36 @@ def _labelled_words(words: np.ndarray) -> tuple[np.ndarray]:
 
 
 def _rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """members (key, node, comp, n, bag, words) of large buckets: pairs (a, b) across components that may be near.
+    """members (node, comp, n, bag, words) of large buckets: pairs (a, b) across components that may be near.
 
     Of a text of n words a near one has all but allowed(n) at least. With both texts' words in one order, those two then
-    share one of the first allowed(n) + 1. In the order of how many members of the bucket have a word, these are its
-    rarest, so members meet in small groups. Words of more than BLOCK members are not counted but come last, by hash;
-    where texts have little else, their groups are dealt to blocks of BLOCK."""
-    texts = stored(_map_words(members, "words", "key long, node long, comp long, n int, bag binary, tokens array<bigint>", lambda x: np.frombuffer(x, np.uint32), _labelled_words))
-    each = texts.select("key", "node", F.explode("tokens").alias("w"))
-    counts = each.groupBy("key", "w").agg(F.count("*").alias("c")).filter(F.col("c") <= BLOCK)
-    rare = each.join(counts, ["key", "w"]).groupBy("key", "node").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("rare"))
+    share one of the first allowed(n) + 1. In the order of how many members have a word, these are its rarest, so members
+    meet in small groups. Words of more than BLOCK members are not counted but come last, by hash; where texts have little
+    else, their groups are dealt to blocks of BLOCK. Members of all large buckets are one set: a pair that no bucket
+    holds but that is near is a link all the same."""
+    texts = stored(_map_words(members, "words", "node long, comp long, n int, bag binary, tokens array<bigint>", lambda x: np.frombuffer(x, np.uint32), _labelled_words))
+    each = texts.select("node", F.explode("tokens").alias("w"))
+    counts = each.groupBy("w").agg(F.count("*").alias("c")).filter(F.col("c") <= BLOCK)
+    rare = each.join(counts, "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("rare"))
     none = F.expr("cast(array() as array<struct<c:bigint,w:bigint>>)")
-    ranked = texts.join(rare, ["key", "node"], "left").withColumn("rare", F.coalesce("rare", none))
+    ranked = texts.join(rare, "node", "left").withColumn("rare", F.coalesce("rare", none))
     common = F.transform(F.array_sort(F.array_except("tokens", F.transform("rare", lambda x: x["w"]))), lambda w: F.struct(F.lit(BLOCK + 1).cast("long").alias("c"), w.alias("w")))
     allowed = F.floor(F.lit(round((1 - similarity) * 1_000_000)) * F.col("n") / 1_000_000).cast("int")
     first = F.filter(F.slice(F.concat("rare", common), F.lit(1), allowed + 1), lambda x: x["c"] > 1)
-    met = stored(ranked.select("key", "node", "comp", "n", "bag", F.explode(F.transform(first, lambda x: x["w"])).alias("w")))
-    groups = met.groupBy("key", "w").agg(F.count("*").alias("size")).filter("size > 1")
-    dealt = _dealt(met.join(groups, ["key", "w"]), F.ceil(F.col("size") / BLOCK))
+    met = stored(ranked.select("node", "comp", F.explode(F.transform(first, lambda x: x["w"])).alias("w")))
+    # Groups of one component have no pair across.
+    groups = met.groupBy("w").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("w", "size")
+    dealt = _dealt(met.join(groups, "w"), F.ceil(F.col("size") / BLOCK)).join(texts.select("node", "n", "bag"), "node")
 
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "node"])
-        n, comp, nodes, own = (rows[c].to_numpy() for c in ("n", "comp", "node", "own"))
-        bags, apart = _bags(rows), rows["low"].iloc[0] == rows["high"].iloc[0]
-        found = [(i, _partners(i, n, (comp != comp[i]) & (apart | (own != own[i])), bags, similarity)[0]) for i in range(len(rows))]
-        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([np.full(len(j), nodes[i]) for i, j in found], [nodes[j] for _, j in found]))
-        return pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)})
+    def pair(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        n, comp, nodes, own = (rows.column(c).to_numpy() for c in ("n", "comp", "node", "own"))
+        low, high = (rows.column(c)[0].as_py() for c in ("low", "high"))
+        bags = _bags(rows)
+        found = [(i, _partners(i, n, (comp != comp[i]) & ((low == high) | (own != own[i])), bags, similarity)[0]) for i in range(len(n))]
+        left, right = np.concatenate([np.full(len(j), nodes[i]) for i, j in found]), np.concatenate([nodes[j] for _, j in found])
+        return np.minimum(left, right), np.maximum(left, right)
 
-    return dealt.select("key", "w", "low", "high", "own", "node", "comp", "n", "bag").groupBy("key", "w", "low", "high").applyInPandas(pair, "a long, b long").distinct()
+    return _in_groups(dealt, ["w", "low", "high"], pair).distinct()
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -329,13 +366,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     near = stored(verify(_stars(members), words, similarity))
 
     placed = members.join(components(near), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    # Only pairs without the least of a small bucket are left to be aligned.
+    mixed = placed.filter((F.col("size") > STAR) | (F.col("node") != F.col("least"))).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
     open_members = stored(placed.join(mixed, "key", "left_semi"))
     discard(members)
     small, large = open_members.filter(F.col("size") <= BLOCK), open_members.filter(F.col("size") > BLOCK)
     weights = small.join(words.select("node", "n"), "node").groupBy("key").agg(F.sum("n").alias("weight"))
     more = stored(_across(small.join(weights, "key").join(sketched, "node").join(words, "node"), similarity))
-    late = stored(verify(_rare_pairs(large.select("key", "node", "comp").join(words, "node"), similarity), words, similarity))
+    late = stored(verify(_rare_pairs(large.select("node", "comp").distinct().join(words, "node"), similarity), words, similarity))
     discard(sketched, open_members, words)
 
     final = stored(components(near.unionByName(more).unionByName(late)))
