@@ -62,11 +62,10 @@ def test_graph_recall_and_round_trip():
     assert (hit & true).sum() >= 0.97 * true.sum() and not (hit & ~true).any()
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_leaks_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK", block)
-    monkeypatch.setattr(decontaminate, "BLOCKS_A_PASS", 1)
-    rng = random.Random(block)
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_leaks_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(broadcast)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 4)))
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 4, 5, 6, 15, 40])))) for i in range(12)] + [(12, None), (13, "!!"), (3, "again the third item is here")]
     texts = [None, "", "only", *(t for _, t in items)]
@@ -101,3 +100,49 @@ def test_rare_links_are_audited():
     ours.vectors[3, 7] = 1  # the only link, of a query that 64 evenly spaced ones leave out
     hit = embedding_dedup.asked(ours, Narrow(), False, 0.93)
     assert hit[3, 7] and hit.sum() == 1
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_a_failed_audit_ends_in_comparing_all(monkeypatch, same):
+    class Broken(hnsw.Graph):
+        """Its links lead nowhere, so no beam finds anything."""
+
+        def within(self, query, least, beam, start=None):
+            return np.zeros(0, np.int64)
+
+    monkeypatch.setattr(embedding_dedup, "LINKS", 10)
+    rng = np.random.default_rng(2)
+    v = hnsw.unit(np.repeat(rng.normal(size=(40, 12)), 5, 0) + rng.normal(size=(200, 12)) * 0.1)
+    graph = Broken(v)
+    true = v @ v.T >= 0.93
+    if same:
+        np.fill_diagonal(true, False)
+    assert (embedding_dedup.asked(graph, graph, same, 0.93) == true).all()
+
+
+def test_rows_that_share_an_id_are_one_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0)]
+    got = sorted((r.vec_id, r.component_id) for r in embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_signatures_lose_no_holder(spark):
+    """Of any item, with as many shingles missing as may be, a document has as many signature values as are asked for."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))) for i, n in enumerate([1, 3, 5, 6, 9, 14, 20, 21, 37, 120, 400])]
+    for r in decontaminate.signatures(spark.createDataFrame(items, "item_id int, text string"), "item_id", "text", 5, 0.8).collect():
+        q = len(r.shingles)
+        missing = q - -(-8 * q // 10)
+        assert 2 ** (r.part - 1) < q <= 2**r.part and r.need >= 1
+        assert r.need == len(r.signature) - missing and len(r.signature) <= q
+
+
+def test_leaks_of_very_long_and_clashing_rows(spark):
+    rng = random.Random(3)
+    item = " ".join(f"q{rng.randrange(10**6)}" for _ in range(30))
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(100_000))
+    rows = [(1, long + " " + item, 1, "a", "x"), (1, long + " " + item, 1, "a", "x"), (2, long, None, "a", "x"), (3, None, 2, "b", "y")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _t1 int, leaks string, near string")
+    got = decontaminate.find_leaks(df, "text", spark.createDataFrame([(7, item)], "item_id int, text string"))
+    assert sorted(got.columns) == sorted(df.columns)
+    assert sorted((r.doc_id, [tuple(x) for x in r.leaks], r._t1 or 0, r.near) for r in got.collect()) == [(1, [(7, 1.0)], 1, "x"), (1, [(7, 1.0)], 1, "x"), (2, [], 0, "x"), (3, [], 2, "y")]
