@@ -1,13 +1,15 @@
 r"""Secret scans with built-in functions only: fixed patterns, then sliding-window entropy with an allow list.
 
 Fixed patterns give spans of the kinds assign, access and hex, leftmost and non-overlapping within a kind. Runs of key-like
-characters give candidate strings; a candidate's character class (hex, or mixed case with digits) sets the entropy that
-some window of WINDOW characters must reach. The window slides by one character: the counts of the one that leaves and
-the one that enters change, and the sum of c*log2(c) with them. Candidates that an allow-list pattern matches are
-dropped; the allow list never touches the fixed patterns. Offsets are code points, the end exclusive.
+characters give candidate strings; a candidate's character class (hex, mixed case with digits, or one case with digits and
+nothing else) sets the entropy that some window of WINDOW characters must reach. The window slides by one character: the
+counts of the one that leaves and the one that enters change, and the sum of c*log2(c) with them. Candidates that an
+allow-list pattern matches are dropped; the allow list never touches the fixed patterns. Offsets are code points, the end
+exclusive.
 
 Defined results: null text counts as empty and has no spans; an empty table gives an empty table; repeated rows are
-judged each for itself. Other columns pass through; the operator's own columns replace those of the same names.
+judged each for itself; a very long text with very many hits takes time in proportion to its length, its hits and little
+more (see arrays.before). Other columns pass through; the operator's own columns replace those of the same names.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselattice.llm.arrays import before, bound
+
 # The base patterns and the least lengths of what they must find.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
@@ -27,7 +31,7 @@ WINDOW = 24
 _CANDIDATE_CLASS = "[A-Za-z0-9+/_=-]"
 CANDIDATE = f"{_CANDIDATE_CLASS}{{{WINDOW},}}"
 #: Bits that a window must reach, by the class of its candidate.
-HEX_BITS, MIXED_BITS = 3.0, 3.9
+HEX_BITS, MIXED_BITS, ONE_CASE_BITS = 3.0, 3.9, 3.9
 #: Whole candidates that are no secrets: UUIDs, alphabets and digits in order, example markers, one repeated character.
 ALLOW = (
     r"(?i)\A[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\z",
@@ -44,16 +48,15 @@ PLACEHOLDER = "[SECRET]"
 
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, hit) of a pattern's leftmost non-overlapping matches: the text between them has their offsets."""
-    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(hits, F.slice(between, 1, F.size(hits)), lambda h, b: F.struct(h.alias("hit"), F.char_length(b).alias("gap"), F.char_length(h).alias("n")))
-    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)").alias("out"))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(hits, F.split(text, pattern, -1), lambda h, b: F.struct(h.alias("hit"), F.char_length(b).alias("gap"), F.char_length(h).alias("n")))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        found = F.struct(start.alias("start"), (start + p["n"]).alias("end"), p["hit"].alias("hit"))
-        return F.struct((start + p["n"]).alias("at"), F.array_append(acc["out"], found).alias("out"))
+    def placed(pairs: Column) -> Column:
+        ends = before(F.transform(pairs, lambda p: p["gap"] + p["n"]), lambda a, b: a + b, F.lit(0), "int")
+        return F.zip_with(pairs, ends, lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["n"]).alias("end"), p["hit"].alias("hit")))
 
-    return F.aggregate(pairs, none, step, lambda acc: acc["out"])
+    # The text after the last match has no hit.
+    return bound(F.filter(pairs, lambda p: p["hit"].isNotNull()), placed)
 
 
 def window_entropy(token: Column, window: int = WINDOW) -> Column:
@@ -89,10 +92,11 @@ def _entropy_spans(text: Column) -> Column:
         t = m["hit"]
         hexed = F.regexp_like(t, F.lit(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z")) & F.regexp_like(t, F.lit("[0-9]")) & F.regexp_like(t, F.lit("[A-Fa-f]"))
         mixed = F.regexp_like(t, F.lit("[0-9]")) & F.regexp_like(t, F.lit("[a-z]")) & F.regexp_like(t, F.lit("[A-Z]"))
+        one_case = F.regexp_like(t, F.lit(r"\A(?:[0-9a-z]+|[0-9A-Z]+)\z")) & F.regexp_like(t, F.lit("[0-9].*[0-9].*[0-9].*[0-9]")) & F.regexp_like(t, F.lit("[A-Za-z]"))
         allowed = F.lit(False)
         for pattern in ALLOW:
             allowed = allowed | F.regexp_like(t, F.lit(pattern))
-        bits = F.when(hexed, F.lit(HEX_BITS)).when(mixed, F.lit(MIXED_BITS))
+        bits = F.when(hexed, F.lit(HEX_BITS)).when(mixed, F.lit(MIXED_BITS)).when(one_case, F.lit(ONE_CASE_BITS))
         return F.when(bits.isNull() | allowed, F.lit(False)).otherwise(window_entropy(t) >= bits)
 
     return F.filter(_matches(text, CANDIDATE), secret)
@@ -123,13 +127,19 @@ def joined(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str) -> DataFrame:
-    """Replaces each stretch of overlapping spans in `text` by PLACEHOLDER; needs `secrets`."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    t = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = F.concat(acc["out"], F.substr(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit(PLACEHOLDER))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]) | (acc["at"] == 0), apart).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("secrets", begin, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.char_length(t))))
-    return df.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(t))
+    """Replaces each stretch of overlapping spans in `text` by PLACEHOLDER; needs `secrets`.
+
+    The text is cut in an encoding of four bytes a code point, in which a piece is found without reading what is before."""
+    shape = F.struct(F.col("secrets"), F.encode(F.col(text), "UTF-32").alias("code"))
+
+    def cut(held: Column) -> Column:
+        spans, code = held["secrets"], held["code"]
+        piece = lambda a, b: F.decode(F.substring(code, a * 4 + 1, (b - a) * 4), "UTF-32")
+        reached = before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0), "int")
+        # A stretch begins where a span starts at or after the end of all before it; the text before it is kept.
+        heads = F.filter(F.zip_with(spans, reached, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"))), lambda x: x["start"] >= x["at"])
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        rest = F.decode(F.substring(code, last * 4 + 1, F.octet_length(code)), "UTF-32")
+        return F.concat(F.array_join(F.transform(heads, lambda x: F.concat(piece(x["at"], x["start"]), F.lit(PLACEHOLDER))), ""), rest)
+
+    return df.withColumn(text, F.when(F.size("secrets") > 0, bound(shape, cut)).otherwise(F.col(text)))
