@@ -1,10 +1,12 @@
 """Answers out of raw responses, as column expressions: three contracts that differ in what they accept.
 
-A response is first cut into JSON values with Spark's own parser, wrapped in brackets so that trailing text is refused. Only
-finding balanced objects in prose needs more than regular expressions can say: that is one Arrow UDF over the raw text."""
+A response is first read by Spark's own JSON parser, with an end mark behind it so that trailing text is refused. What that
+parser refuses and a brace stands in (prose around objects, repeated keys, NaN) goes to one Arrow function, which finds
+balanced objects and reads them; all other responses reach it as nulls and are not looked at."""
 
 from __future__ import annotations
 
+import json
 import re
 from functools import cache
 
@@ -12,20 +14,33 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MENTIONS = (r"(?i)\bANSWER\s*[:：-]\s*([ABCD])\b", r"(?i)\bSELECTED\s+ANSWER\s*[:：-]\s*([ABCD])\b", r"(?i)\bOPTION\s+([ABCD])\b", r"(?i)\bCANDIDATE\s+([ABCD])\b")
+# Kinds of mention, claims and fields in which an answer may stand, and the names and texts of the outcomes.
+_MENTIONS = (r"(?iU)\bANSWER\s*[:：-]\s*([ABCD])\b", r"(?iU)\bSELECTED\s+ANSWER\s*[:：-]\s*([ABCD])\b", r"(?iU)\bOPTION\s+([ABCD])\b", r"(?iU)\bCANDIDATE\s+([ABCD])\b")
 _CLAIMS = (
-    r"(?im)^\s*(?:FINAL\s+ANSWER|ANSWER|SELECTED\s+ANSWER)\s*[:=\-]\s*(?:OPTION\s+|CANDIDATE\s+)?([ABCD])\b",
-    r"(?im)^\s*THE\s+FINAL\s+ANSWER\s+IS\s+(?:OPTION\s+|CANDIDATE\s+)?([ABCD])\b",
+    r"(?imdU)^\s*(?:FINAL\s+ANSWER|ANSWER|SELECTED\s+ANSWER)\s*[:=\-]\s*(?:OPTION\s+|CANDIDATE\s+)?([ABCD])\b",
+    r"(?imdU)^\s*THE\s+FINAL\s+ANSWER\s+IS\s+(?:OPTION\s+|CANDIDATE\s+)?([ABCD])\b",
 )
-_FIELD = r'(?i)"answer"\s*:\s*"([ABCD])"'
+_NAME_CLAIM = r"(?imdU)^\s*(?:FINAL\s+ANSWER|ANSWER|SELECTED\s+ANSWER)\s*[:=\-]\s*"
+_FIELD = r'(?iU)"answer"\s*:\s*"([ABCD])"'
+NO_OBJECT, NO_DECODE, NOT_OBJECT = "No JSON object found", "JSON decode error", "Parsed JSON is not an object"
+BAD_ANSWER, NO_CONFIDENCE, OUT_OF_RANGE = "Answer is not one of A/B/C/D", "Confidence is missing or not numeric", "Confidence is outside [0, 1]"
+BAD_FIELD, NO_STRICT, CONFLICT = "JSON object is missing or has an invalid required field", "Strict JSON does not contain an unambiguous valid answer", "Conflicting explicit answers were found"
+RECOVERED, NOTHING = "Answer recovered from noncompliant output", "No unambiguous final answer found"
+NAME_RECOVERED, OTHER_FORM = "Candidate name recovered from noncompliant output", "Answer used a non-protocol representation"
+
+_END = "<end of the response>"
+_TEXTS = "cast(array() as array<string>)"
+
+
 @cache
-def _object_finder():
+def _salvager():
     # Made inside a function, it travels to the executors by value.
     token = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}]', re.S)
 
-    def found_in(text: str | None) -> list[str]:
+    def objects(text: str) -> list[str]:
+        """The outermost balanced objects; braces inside strings do not count."""
         found, opened = [], []
-        for m in token.finditer(text or ""):
+        for m in token.finditer(text):
             if m[0] == "{":
                 opened.append(m.start())
             elif m[0] == "}" and opened:
@@ -34,22 +49,52 @@ def _object_finder():
                     found.append(text[start : m.end()])
         return found
 
-    @F.pandas_udf("array<string>")
-    def objects(raw: pd.Series) -> pd.Series:
-        return raw.map(found_in)
+    def first_object(text: str) -> str | None:
+        """The object that the first brace opens, whatever quotes stand before it."""
+        return next(iter(objects(text[text.index("{") :])), None) if "{" in text else None
 
-    return objects
+    def read(text: str | None) -> str | None:
+        """Plain JSON of what Python reads: the last of repeated keys, NaN and infinities as texts."""
+        try:
+            return None if text is None else json.dumps(json.loads(text, parse_constant=str))
+        except ValueError:
+            return None
 
+    @F.pandas_udf("struct<whole:string,first:string,found:boolean,objects:array<string>>")
+    def salvage(raw: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in raw:
+            if text is None:
+                rows.append((None, None, False, None))
+                continue
+            first = first_object(text)
+            rows.append((read(text.strip()), read(first), first is not None, [x for x in map(read, objects(text)) if x is not None]))
+        return pd.DataFrame(rows, columns=["whole", "first", "found", "objects"])
+
+    return salvage
 
-def json_objects(raw: Column) -> Column:
-    """The outermost balanced objects of a text, in order; braces inside strings do not count."""
-    return _object_finder()(raw)
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
 def whole_json(raw: Column) -> Column:
     """The response as a variant if it is one JSON value and nothing else, else null."""
-    one = F.try_parse_json(F.concat(F.lit("["), F.trim(raw), F.lit("]")))
-    return F.when(F.try_variant_get(one, "$[1]", "variant").isNull(), F.try_variant_get(one, "$[0]", "variant"))
+    one = F.try_parse_json(F.concat(F.lit("["), strip(raw), F.lit(f',"{_END}"]')))
+    # A response that holds the mark itself is not read here.
+    alone = (F.try_variant_get(one, "$[1]", "string") == _END) & F.try_variant_get(one, "$[2]", "variant").isNull() & ~F.contains(raw, F.lit(_END))
+    return F.when(alone, F.try_variant_get(one, "$[0]", "variant"))
+
+
+def salvage(raw: Column) -> Column:
+    """Struct of whole, first, found and objects: JSON texts in what whole_json does not read as an object."""
+    return _salvager()(F.when(~_is_object(whole_json(raw)) & F.contains(raw, F.lit("{")), raw))
+
+
+def json_objects(raw: Column) -> Column:
+    """The outermost balanced objects of a text that is not JSON itself, in order, as far as they can be read."""
+    return F.coalesce(salvage(raw)["objects"], F.expr(_TEXTS))
 
 
 def _or_null(found: Column) -> Column:
@@ -58,58 +103,166 @@ def _or_null(found: Column) -> Column:
 
 def loose_label(text: Column) -> Column:
     """A label with an optional prefix, space and dot."""
-    return _or_null(F.regexp_extract(F.upper(F.trim(text)), r"^(?:OPTION|CANDIDATE)?\s*([ABCD])\.?$", 1))
+    return _or_null(F.regexp_extract(F.upper(strip(text)), r"(?U)\A(?:OPTION|CANDIDATE)?\s*([ABCD])\.?\z", 1))
 
 
 def strict_label(text: Column) -> Column:
     """A bare label, or one after a prefix and white space, then with an optional dot."""
-    t = F.upper(F.trim(text))
-    return F.coalesce(F.when(t.isin("A", "B", "C", "D"), t), _or_null(F.regexp_extract(t, r"^(?:OPTION|CANDIDATE)\s+([ABCD])\.?$", 1)))
+    t = F.upper(strip(text))
+    return F.coalesce(F.when(t.isin("A", "B", "C", "D"), t), _or_null(F.regexp_extract(t, r"(?U)\A(?:OPTION|CANDIDATE)\s+([ABCD])\.?\z", 1)))
+
+
+def bare_label(raw: Column) -> Column:
+    bare = F.upper(strip(raw))
+    return F.when(bare.isin("A", "B", "C", "D"), bare)
 
 
 def mentioned_label(raw: Column) -> Column:
     """The first of four kinds of mention that the text holds."""
-    bare = F.upper(F.trim(raw))
-    return F.coalesce(F.when(bare.isin("A", "B", "C", "D"), bare), *[_or_null(F.regexp_extract(raw, p, 1)) for p in _MENTIONS])
+    return F.coalesce(bare_label(raw), *[_or_null(F.regexp_extract(raw, p, 1)) for p in _MENTIONS])
+
+
+def _kind(value: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+
+
+def _text(value: Column, path: str) -> Column:
+    """The text at a path, null for values of other types."""
+    return F.when(_kind(value, path) == "STRING", F.try_variant_get(value, path, "string"))
 
 
-def parse_screening(raw: Column) -> Column:
-    """Struct of answer, confidence, parse_success: strict or embedded JSON, else a mention that never counts as success."""
-    # An unbalanced text holds no object; of several the first counts.
-    embedded = F.try_parse_json(F.get(json_objects(raw), F.lit(0)))
-    value = F.coalesce(whole_json(raw), embedded)
+def parse_screening(raw: Column, salvaged: Column | None = None) -> Column:
+    """Struct of answer, confidence, parse_success, strict_json_success, fallback_parse_success and parse_error: strict or
+    embedded JSON; where that gives no answer, a mention, which never counts as success.
+
+    salvaged: salvage(raw), where the caller has it as a column."""
+    salvaged = salvage(raw) if salvaged is None else salvaged
+    strict = F.coalesce(whole_json(raw), F.try_parse_json(salvaged["whole"]))
+    value = F.coalesce(strict, F.try_parse_json(salvaged["first"]))
     answer = loose_label(F.try_variant_get(value, "$.answer", "string"))
-    confidence = F.try_variant_get(value, "$.confidence", "string").try_cast("double")
-    parsed = F.coalesce(answer.isNotNull() & confidence.between(0, 1), F.lit(False))
-    return F.struct(F.when(value.isNull(), mentioned_label(raw)).otherwise(answer).alias("answer"), confidence.alias("confidence"), parsed.alias("parse_success"))
-
-
-def parse_calibration(raw: Column) -> Column:
-    """Struct of answer, source, candidates, compliant: a strict answer stands; else all claims must agree."""
-    strict = whole_json(raw)
-    kind = F.schema_of_variant(F.try_variant_get(strict, "$.answer", "variant"))
-    told = F.when(kind == "STRING", strict_label(F.try_variant_get(strict, "$.answer", "string")))
-    reasoned = F.schema_of_variant(F.try_variant_get(strict, "$.reasoning", "variant")) == "STRING"
-    sure_kind = F.schema_of_variant(F.try_variant_get(strict, "$.confidence", "variant"))
-    sure = F.when(sure_kind != "BOOLEAN", F.try_variant_get(strict, "$.confidence", "string").try_cast("double"))
-    compliant = F.coalesce(told.isNotNull() & reasoned & sure.between(0, 1), F.lit(False))
-
-    objects = F.transform(json_objects(raw), lambda o: strict_label(F.try_variant_get(F.try_parse_json(o), "$.answer", "string")))
-    in_json = F.filter(objects, lambda a: a.isNotNull())
+    sure = F.when(_kind(value, "$.confidence") == "BOOLEAN", F.try_variant_get(value, "$.confidence", "boolean").cast("double")).otherwise(F.try_variant_get(value, "$.confidence", "string").try_cast("double"))
+    errors = F.array_compact(F.array(F.when(answer.isNull(), BAD_ANSWER), F.when(sure.isNull(), NO_CONFIDENCE).when(~sure.between(0, 1), OUT_OF_RANGE)))
+    parsed = _is_object(value) & (F.size(errors) == 0)
+    unread = F.when(F.coalesce(salvaged["found"], F.lit(False)), NO_DECODE).otherwise(NO_OBJECT)
+    error = F.when(value.isNull(), unread).when(~_is_object(value), NOT_OBJECT).when(F.size(errors) > 0, F.array_join(errors, "; "))
+    return F.struct(
+        F.coalesce(F.when(_is_object(value), answer), mentioned_label(raw)).alias("answer"),
+        F.when(_is_object(value), sure).alias("confidence"),
+        parsed.alias("parse_success"),
+        (parsed & strict.isNotNull()).alias("strict_json_success"),
+        (parsed & strict.isNull()).alias("fallback_parse_success"),
+        error.alias("parse_error"),
+    )
+
+
+def _payload(value: Column) -> dict[str, Column]:
+    """answer, reasoning, confidence and compliant of an object."""
+    answer, reasoning = strict_label(_text(value, "$.answer")), _text(value, "$.reasoning")
+    number = F.when(_kind(value, "$.confidence") != "BOOLEAN", F.try_variant_get(value, "$.confidence", "string").try_cast("double"))
+    sure = F.when(number.between(0, 1), number)
+    return {"answer": answer, "reasoning": F.coalesce(reasoning, F.lit("")), "confidence": sure, "compliant": answer.isNotNull() & reasoning.isNotNull() & sure.isNotNull()}
+
+
+def parse_calibration(raw: Column, salvaged: Column | None = None) -> Column:
+    """Struct of answer, source, candidates, compliant, extractable, fallback_used, ambiguous, strict_syntax, reasoning,
+    confidence and parse_error: a strict answer stands; else all claims must agree.
+
+    salvaged: salvage(raw), where the caller has it as a column."""
+    salvaged = salvage(raw) if salvaged is None else salvaged
+    strict = F.coalesce(whole_json(raw), F.try_parse_json(salvaged["whole"]))
+    told = _payload(strict)
+    # An object alone is the response, an array may hold objects, and what is salvaged has them listed.
+    listed = F.coalesce(salvaged["objects"], F.expr(_TEXTS))
+
+    def read(o: Column) -> Column:
+        p = _payload(F.try_parse_json(o))
+        return F.struct(*[p[x].alias(x) for x in ("answer", "reasoning", "confidence")])
+
+    payloads = F.filter(F.transform(listed, read), lambda p: p["answer"].isNotNull())
+    in_json = F.transform(payloads, lambda p: p["answer"])
     claims = F.concat(*[F.transform(F.regexp_extract_all(raw, F.lit(p), F.lit(1)), lambda a: F.upper(a)) for p in _CLAIMS])
-    bare = F.upper(F.trim(raw))
-    is_bare = bare.isin("A", "B", "C", "D")
+    bare = bare_label(raw)
     fields = F.transform(F.regexp_extract_all(raw, F.lit(_FIELD), F.lit(1)), lambda a: F.upper(a))
-    found = F.array_sort(F.array_distinct(F.concat(in_json, claims, F.when(is_bare, F.array(bare)).otherwise(F.expr("cast(array() as array<string>)")), fields)))
+    found = F.array_sort(F.array_distinct(F.concat(in_json, claims, F.when(bare.isNotNull(), F.array(bare)).otherwise(F.expr(_TEXTS)), fields)))
+    found = F.coalesce(found, F.expr(_TEXTS))
+    is_told, one = told["answer"].isNotNull(), F.size(found) == 1
+    first = F.when(one & (F.size(in_json) > 0), F.get(payloads, F.lit(0)))
     source = (
-        F.when(told.isNotNull(), "strict_json")
+        F.when(is_told, "strict_json")
         .when(F.size(found) > 1, "conflicting_answers")
         .when(F.size(found) == 0, "none")
         .when(F.size(in_json) > 0, "embedded_json")
-        .when(is_bare, "bare_answer")
+        .when(bare.isNotNull(), "bare_answer")
         .when(F.size(fields) > 0, "malformed_json_answer_field")
         .otherwise("explicit_final_answer")
     )
-    answer = F.when(told.isNotNull(), told).when(F.size(found) == 1, found[0])
-    candidates = F.when(told.isNotNull(), F.expr("cast(array() as array<string>)")).otherwise(found)
-    return F.struct(answer.alias("answer"), source.alias("source"), candidates.alias("candidates"), compliant.alias("compliant"))
+    error = (
+        F.when(is_told, F.when(~told["compliant"], BAD_FIELD))
+        .when(F.size(found) > 1, CONFLICT)
+        .when(one, RECOVERED)
+        .when(strict.isNotNull(), NO_STRICT)
+        .otherwise(NOTHING)
+    )
+    return F.struct(
+        F.when(is_told, told["answer"]).when(one, F.get(found, F.lit(0))).alias("answer"),
+        source.alias("source"),
+        F.when(is_told, F.expr(_TEXTS)).otherwise(found).alias("candidates"),
+        (is_told & told["compliant"]).alias("compliant"),
+        (is_told | one).alias("extractable"),
+        (~is_told & one).alias("fallback_used"),
+        (~is_told & (F.size(found) > 1)).alias("ambiguous"),
+        strict.isNotNull().alias("strict_syntax"),
+        F.when(is_told, told["reasoning"]).otherwise(F.coalesce(first["reasoning"], F.lit(""))).alias("reasoning"),
+        F.when(is_told, told["confidence"]).otherwise(first["confidence"]).alias("confidence"),
+        error.alias("parse_error"),
+    )
+
+
+def name_map(names: Column) -> Column:
+    """Map from lower-cased name to label of an array of four names; null unless they are not empty and unlike."""
+    keys = F.transform(names, lambda n: F.lower(strip(n)))
+    sound = (F.size(F.array_distinct(F.filter(keys, lambda k: k != ""))) == 4) & (F.size(names) == 4)
+    return F.when(sound, F.map_from_arrays(keys, F.array(*[F.lit(x) for x in "ABCD"])))
+
+
+def parse_followup(raw: Column, names: Column, base: Column, salvaged: Column) -> Column:
+    """Struct of answer, source, candidates, extractable, compliant, strict_format, name_used, fallback_used, ambiguous and
+    parse_error: labels as in parse_calibration, and whole names of candidates, which are right but never compliant.
+
+    names: name_map of the item; base: parse_calibration(raw, salvaged), salvaged: salvage(raw), as columns."""
+    strict = F.coalesce(whole_json(raw), F.try_parse_json(salvaged["whole"]))
+    said = F.when(_is_object(strict), _text(strict, "$.answer"))
+    named = lambda t: F.element_at(names, F.lower(F.regexp_replace(strip(t), r"\.+\z", "")))
+    label, payload = strict_label(said), _payload(strict)
+    by_name = F.when(label.isNull(), named(said))
+    whole = F.coalesce(label, by_name)
+    strict_format = label.isNotNull() & strip(said).isin("A", "B", "C", "D")
+
+    def from_object(o: Column) -> Column:
+        text = _text(F.try_parse_json(o), "$.answer")
+        return F.when(strict_label(text).isNull(), named(text))
+
+    listed = F.coalesce(salvaged["objects"], F.when(_is_object(strict), F.array(F.to_json(strict))), F.expr(_TEXTS))
+    claimed = F.filter(F.map_entries(names), lambda e: F.regexp_like(F.lower(raw), F.concat(F.lit(_NAME_CLAIM + r"\Q"), e["key"], F.lit(r"\E[.]?\s*$"))))
+    told = F.coalesce(F.array_compact(F.concat(F.transform(listed, from_object), F.transform(claimed, lambda e: e["value"]))), F.expr(_TEXTS))
+    every = F.array_sort(F.array_union(told, base["candidates"]))
+    is_whole, labels_only = whole.isNotNull(), base["extractable"] & (F.size(told) == 0)
+    one, several = ~labels_only & (F.size(every) == 1), ~labels_only & (F.size(every) > 1)
+    pick = lambda strictly, alone, many, rest: F.when(is_whole, strictly).when(labels_only, rest).when(one, alone).when(several, many).otherwise(rest)
+    no, yes = F.lit(False), F.lit(True)
+    return F.struct(
+        pick(whole, F.get(every, F.lit(0)), F.lit(None).cast("string"), base["answer"]).alias("answer"),
+        pick(F.when(label.isNotNull(), "strict_json_label").otherwise("strict_json_candidate_name"), F.lit("fallback_candidate_name"), F.lit("conflicting_answers"), base["source"]).alias("source"),
+        pick(F.array(whole), every, every, base["candidates"]).alias("candidates"),
+        pick(yes, yes, no, base["extractable"]).alias("extractable"),
+        pick(strict_format & F.coalesce(payload["compliant"], no), base["compliant"], base["compliant"], base["compliant"]).alias("compliant"),
+        F.coalesce(is_whole & strict_format, no).alias("strict_format"),
+        pick(label.isNull(), yes, F.size(told) > 0, no).alias("name_used"),
+        pick(label.isNull(), yes, F.size(told) > 0, base["fallback_used"]).alias("fallback_used"),
+        pick(no, no, yes, base["ambiguous"]).alias("ambiguous"),
+        pick(F.when(~strict_format, OTHER_FORM), F.lit(NAME_RECOVERED), F.lit(CONFLICT), base["parse_error"]).alias("parse_error"),
+    )

@@ -58,6 +58,11 @@ def overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.least(F.size(a), F.size(b)).cast("double")), F.lit(0.0))
 
 
+def shown(text: Column, instead: str) -> Column:
+    """The text without white space at its ends, or a fixed word where nothing is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", ""), F.lit("")), F.lit(instead))
+
+
 def content_hash(text: Column) -> Column:
     """SHA-256 of the trimmed, lower-cased text with runs of white space as one space."""
     squeezed = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")

@@ -82,3 +82,12 @@ def transition_statistics(moves: DataFrame) -> DataFrame:
         F.sum(F.size("resolved")).alias("resolved"),
         F.count_if("adopted").alias("adopted"),
     )
+
+
+def open_rounds(calls: DataFrame, agents: int) -> DataFrame:
+    """(item_id, family, next_round): the first round, from 0, that not all agents have called. Later whole rounds do not
+    close an open one."""
+    rounds = calls.groupBy(*GAME, "round").agg((F.countDistinct("agent_id") == agents).alias("whole"))
+    whole = F.array_sort(F.collect_list(F.when(F.col("whole"), F.col("round"))))
+    # Whole rounds 0, 1, … stand at their own places of the sorted list, up to the first gap.
+    return rounds.groupBy(*GAME).agg(whole.alias("whole")).select(*GAME, F.size(F.filter("whole", lambda r, i: r == i)).cast("long").alias("next_round"))

@@ -6,9 +6,10 @@ bit masks of the level that the cell asks for; nothing is drawn and thrown away.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caselattice.functions.scalar import draw
+from caselattice.functions.scalar import complexity, draw
 from caselattice.operators.validation import far_threshold
 from caselattice.sources import catalog
 
@@ -19,12 +20,18 @@ def eligible(spark: SparkSession) -> DataFrame:
     return found.filter(F.coalesce(F.array_contains("keys", F.col("key")), F.lit(True))).select("scenario", "key", "category", "may_be_false")
 
 
-def _drawn(values: Column, *parts: Column) -> Column:
+def drawn(values: Column, *parts: Column) -> Column:
     """An array in the order of its elements' draws."""
     keyed = F.transform(values, lambda v: F.struct(draw(*parts, v).alias("d"), v.alias("v")))
     return F.transform(F.array_sort(keyed), lambda x: x["v"])
 
 
+def cells(spark: SparkSession) -> DataFrame:
+    """The 18 cells of the three factors: constants, not rows of a table."""
+    level = lambda name, n: F.explode(F.array(*[F.lit(f"{name.upper()}{i + 1}") for i in range(n)])).alias(name)
+    return spark.range(1).select(level("cl", 3)).select("cl", level("ds", 3)).select("cl", "ds", level("il", 2))
+
+
 def generate(spark: SparkSession, per_cell: int, seed: int) -> DataFrame:
     """(item_id, scenario, cl, ds, il, gold, constraints, wrong masks): per_cell items of each of the 18 cells."""
     level = lambda n, name: spark.range(n).select(F.col("id").alias(name))
@@ -34,17 +41,59 @@ def generate(spark: SparkSession, per_cell: int, seed: int) -> DataFrame:
     items = base.select(number.alias("item_id"), scenario.alias("scenario"), (F.col("c") * 2 + 3).cast("int").alias("k"), F.concat(F.lit("CL"), F.col("c") + 1).alias("cl"), F.concat(F.lit("DS"), F.col("d") + 1).alias("ds"), F.concat(F.lit("IL"), F.col("i") + 1).alias("il"), F.char(65 + number % 4).alias("gold"))
     # Catalogs are constants of this module's size; a scenario's attributes are one array.
     pools = eligible(spark).groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("key", "may_be_false"))).alias("pool"))
-    drawn = items.join(F.broadcast(pools), "scenario")
+    chosen = items.join(F.broadcast(pools), "scenario")
     flags = F.map_from_entries("pool")
-    keys = F.slice(_drawn(F.map_keys(flags), F.lit(seed), F.col("item_id")), F.lit(1), F.col("k"))
+    keys = F.slice(drawn(F.map_keys(flags), F.lit(seed), F.col("item_id")), F.lit(1), F.col("k"))
     required = lambda a: ~(F.element_at(flags, a) & (draw(F.lit(seed), F.lit("required"), F.col("item_id"), a) % 2 == 0))
     constraints = F.transform(keys, lambda a, p: F.struct((p + 1).alias("pos"), F.concat(F.lit("C"), p + 1).alias("constraint_id"), a.alias("attribute"), required(a).alias("required_value")))
-    masks = _drawn(F.sequence(F.lit(1), (F.pow(F.lit(2), F.col("k")) - 1).cast("int")), F.lit(seed), F.lit("mask"), F.col("item_id"))
+    masks = drawn(F.sequence(F.lit(1), (F.pow(F.lit(2), F.col("k")) - 1).cast("int")), F.lit(seed), F.lit("mask"), F.col("item_id"))
     of = lambda test: F.filter("masks", test)
     single, several = of(lambda m: F.bit_count(m) == 1), of(lambda m: F.bit_count(m) >= 2)
     far = of(lambda m: F.bit_count(m) >= far_threshold(F.col("k")))
     wrong = F.when(F.col("ds") == "DS1", F.slice(far, 1, 3)).when(F.col("ds") == "DS2", F.concat(F.slice(single, 1, 1), F.slice(several, 1, 2))).otherwise(F.slice(single, 1, 3))
-    return drawn.withColumns({"constraints": constraints, "masks": masks}).withColumn("wrong", wrong).select("item_id", "scenario", "k", "cl", "ds", "il", "gold", "constraints", "wrong")
+    return chosen.withColumns({"constraints": constraints, "masks": masks}).withColumn("wrong", wrong).select("item_id", "scenario", "k", "cl", "ds", "il", "gold", "constraints", "wrong")
+
+
+def feasible_counts(closeness: Column) -> Column:
+    """Numbers of constraints that a closeness can be made with."""
+    return F.when(closeness == "hard", F.array(F.lit(3))).when(closeness == "medium", F.array(F.lit(3), F.lit(4))).when(closeness == "easy", F.array(F.lit(3), F.lit(4), F.lit(5)))
+
+
+def ratio_counts(total: int, ratios: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in these shares: floors, then one each for the largest shares, in the order given."""
+    counts = {k: int(total * r) for k, r in ratios.items()}
+    for k in sorted(ratios, key=lambda k: -ratios[k])[: total - sum(counts.values())]:
+        counts[k] += 1
+    return counts
+
+
+def generate_by_closeness(spark: SparkSession, n: int, seed: int, ratios: dict[str, float] | None = None) -> DataFrame:
+    """n items in shares of closeness (0.2 easy, 0.6 medium, 0.2 hard), shuffled; scenarios and gold labels take turns in
+    each closeness. Wrong options' masks are made to fit and to exclude by every constraint, not drawn until they do."""
+    counts = ratio_counts(n, ratios or {"easy": 0.2, "medium": 0.6, "hard": 0.2})
+    quota = F.posexplode(F.concat(*[F.array_repeat(F.lit(k), c) for k, c in counts.items()])).alias("slot", "closeness")
+    slots = spark.range(1).select(quota).withColumn("slot", F.col("slot").cast("long"))
+    turn = F.row_number().over(W.partitionBy("closeness").orderBy(draw(F.lit(seed), F.lit("slot"), F.col("slot")), "slot")) - 1
+    number = lambda xs, i: F.element_at(xs, (i % F.size(xs) + 1).cast("int"))
+    names = F.array(*[F.lit(s[0]) for s in catalog.SCENARIOS])
+    items = slots.withColumn("turn", turn).select(F.col("slot").alias("item_id"), F.col("closeness").alias("option_closeness"), number(names, F.col("turn")).alias("scenario"), number(feasible_counts(F.col("closeness")), F.floor(F.col("turn") / 4)).alias("k"), F.char(65 + F.col("turn") % 4).alias("gold"))
+    pools = eligible(spark).groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("key", "may_be_false"))).alias("pool"))
+    flags = F.map_from_entries("pool")
+    keys = F.slice(drawn(F.map_keys(flags), F.lit(seed), F.col("item_id")), F.lit(1), F.col("k"))
+    required = lambda a: ~(F.element_at(flags, a) & (draw(F.lit(seed), F.lit("required"), F.col("item_id"), a) % 2 == 0))
+    constraints = F.transform(keys, lambda a, p: F.struct((p + 1).alias("pos"), F.concat(F.lit("C"), p + 1).alias("constraint_id"), a.alias("attribute"), required(a).alias("required_value")))
+    places = drawn(F.sequence(F.lit(0), F.col("k") - 1), F.lit(seed), F.lit("place"), F.col("item_id"))
+    of = lambda *at: sum((F.pow(F.lit(2), F.get("places", F.lit(i))) for i in at), F.lit(0)).cast("int")
+    wrong = (
+        F.when(F.col("option_closeness") == "hard", F.array(of(0), of(1), of(2)))
+        .when(F.col("option_closeness") == "medium", F.when(F.col("k") == 3, F.array(of(0), of(1), of(2, 0))).otherwise(F.array(of(0), of(1), of(2, 3))))
+        .when(F.col("k") == 3, F.array(of(0, 1), of(1, 2), of(0, 1, 2)))
+        .when(F.col("k") == 4, F.array(of(0, 1), of(2, 3), of(0, 1, 2)))
+        .otherwise(F.array(of(0, 1), of(2, 3), of(4, 0)))
+    )
+    made = items.join(F.broadcast(pools), "scenario").withColumns({"constraints": constraints, "places": places}).withColumn("wrong", wrong)
+    cl = F.when(F.col("k") == 3, "CL1").when(F.col("k") == 5, "CL2")
+    return made.select("item_id", "scenario", "k", cl.alias("cl"), F.lit(None).cast("string").alias("ds"), F.lit("IL1").alias("il"), "gold", "constraints", "wrong", "option_closeness", complexity(F.col("k")).alias("structural_complexity"))
 
 
 def candidates_of(items: DataFrame) -> DataFrame:
@@ -58,8 +107,10 @@ def candidates_of(items: DataFrame) -> DataFrame:
 
 
 def rendered(spark: SparkSession, items: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(item_id, label, option): a candidate's facts in an order that a hash gives, joined by the catalog's texts."""
+    """(item_id, label, option): a candidate's facts in an order that a hash gives, joined by the catalog's texts. A fact that
+    the catalog lacks makes the option null, not shorter."""
     texts = F.broadcast(catalog.attributes(spark).select("key", "text_true", "text_false"))
-    each = candidates.select("item_id", "label", F.explode("attributes").alias("key", "value")).join(texts, "key")
+    each = candidates.select("item_id", "label", F.explode("attributes").alias("key", "value")).join(texts, "key", "left")
     said = F.struct(draw(F.lit("order"), F.col("item_id"), F.col("label"), F.col("key")).alias("d"), F.when(F.col("value"), F.col("text_true")).otherwise(F.col("text_false")).alias("t"))
-    return each.groupBy("item_id", "label").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["t"]), ", "), F.lit(".")).alias("option"))
+    said = F.array_sort(F.collect_list(said))
+    return each.groupBy("item_id", "label").agg(F.when(F.forall(said, lambda x: x["t"].isNotNull()), F.concat(F.array_join(F.transform(said, lambda x: x["t"]), ", "), F.lit("."))).alias("option"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,19 +16,35 @@ def constraint_matrix(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return each.select("item_id", "label", F.col("c.pos").alias("pos"), F.col("c.constraint_id").alias("constraint_id"), F.col("c.attribute").alias("attribute"), (F.element_at("attributes", F.col("c.attribute")) == F.col("c.required_value")).alias("satisfied"))
 
 
+def broken_ids(attributes: Column, constraints: Column) -> Column:
+    """The ids of the constraints that these attributes do not satisfy, in the order of the constraints.
+
+    What a candidate lacks it does not satisfy; a null is no value, so a plain comparison would let it pass."""
+    broken = F.filter(constraints, lambda c: ~F.coalesce(F.element_at(attributes, c["attribute"]) == c["required_value"], F.lit(False)))
+    return F.transform(broken, lambda c: c["constraint_id"])
+
+
 def violation_signatures(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, label, signature): the unsatisfied constraints' ids in the order of the constraints, without a group-by."""
     both = candidates.select("item_id", "label", "attributes").join(items.select("item_id", "constraints"), "item_id")
-    broken = F.filter("constraints", lambda c: F.element_at(F.col("attributes"), c["attribute"]) != c["required_value"])
-    return both.select("item_id", "label", F.transform(broken, lambda c: c["constraint_id"]).alias("signature"))
+    return both.select("item_id", "label", broken_ids(F.col("attributes"), F.col("constraints")).alias("signature"))
+
+
+def missing_attributes(candidates: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, label, constraint_id, attribute): constrained attributes that a candidate lacks."""
+    return constraint_matrix(candidates, items).filter(F.col("satisfied").isNull()).select("item_id", "label", "constraint_id", "attribute")
 
 
 def item_signatures(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """One row an item: sigs (map from label to signature), gold (the one label without violations, else null), valid (how
     many have none), wrong (sorted sizes of the others' signatures)."""
-    sigs = violation_signatures(candidates, items)
+    return gathered(violation_signatures(candidates, items))
+
+
+def gathered(signatures: DataFrame) -> DataFrame:
+    """item_signatures of (item_id, label, signature)."""
     size = F.size("signature")
-    found = sigs.groupBy("item_id").agg(
+    found = signatures.groupBy("item_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "signature")))).alias("sigs"),
         F.count_if(size == 0).alias("valid"),
         F.max(F.when(size == 0, F.col("label"))).alias("first_gold"),

@@ -11,7 +11,7 @@ from caselattice.operators import debate as D
 from caselattice.operators import runs as R
 from caselattice.plans.registry import query
 from caselattice.sources import views as X
-from caselattice.sources.views import CALL_SQL, RESPONSE_SQL, RUN_SQL
+from caselattice.sources.views import CALL_SQL, FOLLOWUP_SQL, PICK_SQL, RESPONSE_SQL, RUN_SQL
 
 _R, _C = f"WITH {RUN_SQL} ", f"WITH {CALL_SQL} "
 _CATEGORY = "CASE WHEN n_correct = 6 THEN 'stable_correct' WHEN n_correct = 5 THEN 'mildly_vulnerable' WHEN n_correct BETWEEN 2 AND 4 THEN 'mixed_correctness' ELSE 'mostly_wrong' END"
@@ -57,7 +57,7 @@ def agg06(spark, sf):
     return R.item_analysis(X.runs(spark, sf))
 
 
-@query("jon02_items_without_runs", _R + f""", ids AS (SELECT unnest(range(0, 200)) AS item_id), a AS (SELECT i.item_id, count(event_id) AS n_runs, count(*) FILTER (correct) AS n_correct FROM ids i LEFT JOIN runs r ON r.item_id = i.item_id GROUP BY i.item_id) SELECT *, {_CATEGORY} AS category FROM a""")
+@query("jon02_items_without_runs", _R + f""", ids AS (SELECT c_custkey AS item_id FROM customer UNION SELECT user_id FROM events), a AS (SELECT i.item_id, count(event_id) AS n_runs, count(*) FILTER (correct) AS n_correct FROM ids i LEFT JOIN runs r ON r.item_id = i.item_id GROUP BY i.item_id) SELECT *, {_CATEGORY} AS category FROM a""")
 def jon02(spark, sf):
     """Items with their runs (JON-02, JON-09): the items are all customers and all users of events; those without events count zeros."""
     ids = X.read(spark, sf, "customer").select(F.col("c_custkey").alias("item_id")).union(X.read(spark, sf, "events").select("user_id")).distinct()
@@ -70,13 +70,12 @@ def agg07(spark, sf):
     return R.disagreement(X.runs(spark, sf))
 
 
-@query("prj06_priority", _R + """, a AS (SELECT item_id, count(*) FILTER (correct) AS n_correct, count(DISTINCT answer) AS kinds FROM runs WHERE run_id <= 2 AND model_alias IN ('click', 'purchase', 'view') GROUP BY item_id)
-SELECT item_id, CASE WHEN n_correct BETWEEN 2 AND 4 AND kinds >= 2 THEN 'high' WHEN n_correct BETWEEN 2 AND 4 THEN 'medium' ELSE 'low' END AS priority FROM a""")
+@query("prj06_priority", _R + """, a AS (SELECT item_id, count(*) AS n, count(*) FILTER (correct) AS n_correct, count(DISTINCT answer) AS kinds, count(*) FILTER ((ascii(answer) - ascii(gold_answer) + 4) % 4 = 1) AS single FROM runs GROUP BY item_id)
+SELECT item_id, CASE WHEN n_correct > 0 AND n_correct < n AND kinds >= 2 AND single > 0 THEN 'high' WHEN n_correct > 0 AND n_correct < n THEN 'medium' ELSE 'low' END AS priority FROM a""")
 def prj06(spark, sf):
     """High is a mixed item with several answers and some wrong answer that breaks one constraint alone (PRJ-06)."""
-    six = X.runs(spark, sf).filter((F.col("run_id") <= 2) & F.col("model_alias").isin("click", "purchase", "view"))
     single = F.pmod(F.ascii("answer") - F.ascii("gold_answer"), F.lit(4)) == 1
-    found = six.groupBy("item_id").agg(F.count_if("correct").alias("n"), F.count("*").alias("runs"), F.countDistinct("answer").alias("kinds"), F.count_if(single).alias("single"))
+    found = X.runs(spark, sf).groupBy("item_id").agg(F.count_if("correct").alias("n"), F.count("*").alias("runs"), F.countDistinct("answer").alias("kinds"), F.count_if(single).alias("single"))
     mixed = (F.col("n") > 0) & (F.col("n") < F.col("runs"))
     return found.select("item_id", F.when(mixed & (F.col("kinds") >= 2) & (F.col("single") > 0), "high").when(mixed, "medium").otherwise("low").alias("priority"))
 
@@ -152,14 +151,26 @@ def agg19(spark, sf):
     return R.controlled_contrasts(X.runs(spark, sf), "cl", ["CL1", "CL2", "CL3"], ["model_alias", "il"])
 
 
-@query("agg22_factor_replication", _R + """, a AS (SELECT model_alias, run_id = 1 AS dev, count(*) FILTER (correct AND il = 'IL2') / nullif(count(*) FILTER (il = 'IL2'), 0) - count(*) FILTER (correct AND il = 'IL1') / nullif(count(*) FILTER (il = 'IL1'), 0) AS delta FROM runs GROUP BY ALL)
-SELECT d.model_alias, round(d.delta, 6) AS dev_delta, round(v.delta, 6) AS val_delta, sign(d.delta) = sign(v.delta) AS same_direction FROM a d JOIN a v ON d.model_alias = v.model_alias AND d.dev AND NOT v.dev""")
+_ENDS = {"cl": ("CL1", "CL3"), "ds": ("DS1", "DS3"), "il": ("IL1", "IL2")}
+
+
+@query("agg22_factor_replication", f"WITH {PICK_SQL}" + """, s AS (SELECT *, run_id = 1 AS dev FROM picks), f AS (SELECT * FROM (VALUES ('cl', 'CL1', 'CL3'), ('ds', 'DS1', 'DS3'), ('il', 'IL1', 'IL2')) t(factor, low, high)),
+d AS (SELECT model_alias, factor, dev, count(*) FILTER (correct AND level = high) / nullif(count(*) FILTER (valid AND level = high), 0) - count(*) FILTER (correct AND level = low) / nullif(count(*) FILTER (valid AND level = low), 0) AS delta
+  FROM (SELECT s.*, f.*, CASE factor WHEN 'cl' THEN cl WHEN 'ds' THEN ds ELSE il END AS level FROM s, f) GROUP BY ALL)
+SELECT d.model_alias, d.factor, round(d.delta, 6) AS dev_delta, round(v.delta, 6) AS val_delta, sign(d.delta) = sign(v.delta) AS same_direction, CASE WHEN sign(d.delta) = sign(v.delta) AND d.delta <> 0 THEN 'direction replicated on the independent extension' ELSE 'direction did not replicate clearly' END AS interpretation
+FROM d JOIN d v ON d.model_alias = v.model_alias AND d.factor = v.factor AND d.dev AND NOT v.dev""")
 def agg22(spark, sf):
-    """Endpoint change of a factor in two splits, and whether its sign agrees (AGG-21, AGG-22, AGG-35, JON-14)."""
-    share = lambda split, level: F.try_divide(F.count_if(F.col("correct") & split & (F.col("il") == level)).cast("double"), F.count_if(split & (F.col("il") == level)).cast("double"))
+    """Endpoint change of each factor among valid answers in two splits, and whether its sign agrees; no change in either is
+    the same direction but no replication (AGG-21, AGG-22)."""
     dev = F.col("run_id") == 1
-    delta = X.runs(spark, sf).groupBy("model_alias").agg((share(dev, "IL2") - share(dev, "IL1")).alias("d"), (share(~dev, "IL2") - share(~dev, "IL1")).alias("v"))
-    return delta.select("model_alias", F.round("d", 6).alias("dev_delta"), F.round("v", 6).alias("val_delta"), (F.signum("d") == F.signum("v")).alias("same_direction"))
+    share = lambda split, level: F.try_divide(F.count_if(F.col("correct") & split & (F.col("level") == level)).cast("double"), F.count_if(F.col("valid") & split & (F.col("level") == level)).cast("double"))
+    factors = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).alias("level"), F.lit(a).alias("low"), F.lit(b).alias("high")) for f, (a, b) in _ENDS.items()]))
+    each = X.picks(spark, sf).select("model_alias", "run_id", "correct", "valid", factors.alias("f")).select("model_alias", "run_id", "correct", "valid", "f.*")
+    change = lambda split: share(split, F.col("high")) - share(split, F.col("low"))
+    delta = each.groupBy("model_alias", "factor").agg(change(dev).alias("d"), change(~dev).alias("v"))
+    same = F.signum("d") == F.signum("v")
+    said = F.when(same & (F.col("d") != 0), "direction replicated on the independent extension").otherwise("direction did not replicate clearly")
+    return delta.select("model_alias", "factor", F.round("d", 6).alias("dev_delta"), F.round("v", 6).alias("val_delta"), same.alias("same_direction"), said.alias("interpretation"))
 
 
 @query("agg23_item_behaviour", _R + """SELECT item_id, model_alias, count(answer) = 3 AS complete, bool_and(correct) AS all_correct, NOT bool_or(correct) AS all_wrong, bool_or(correct) AND NOT bool_and(correct) AS mixed, count(DISTINCT answer) > 1 AS disagrees FROM runs GROUP BY ALL""")
@@ -168,16 +179,14 @@ def agg23(spark, sf):
     return X.runs(spark, sf).groupBy("item_id", "model_alias").agg((F.count("answer") == 3).alias("complete"), F.bool_and("correct").alias("all_correct"), (~F.bool_or("correct")).alias("all_wrong"), (F.bool_or("correct") & ~F.bool_and("correct")).alias("mixed"), (F.countDistinct("answer") > 1).alias("disagrees"))
 
 
-@query("agg36_cluster_bootstrap", _R + """, i AS (SELECT model_alias, item_id, count(*) FILTER (correct) AS top, count(*) AS bottom FROM runs GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY model_alias ORDER BY item_id) - 1 AS pos, count(*) OVER (PARTITION BY model_alias) AS size FROM i),
-draws AS (SELECT model_alias, size, r, unnest(range(size)) AS d FROM (SELECT DISTINCT model_alias, size FROM p), (SELECT unnest(range(200)) AS r)),
+@query("agg36_cluster_bootstrap", _R + """, i AS (SELECT model_alias, item_id, count(*) FILTER (correct) AS top, count(answer) AS bottom FROM runs GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY model_alias ORDER BY item_id) - 1 AS pos, count(*) OVER (PARTITION BY model_alias) AS size FROM i),
+draws AS (SELECT model_alias, size, r, unnest(range(size)) AS d FROM (SELECT DISTINCT model_alias, size FROM p), (SELECT unnest(range(1000)) AS r)),
 s AS (SELECT w.model_alias, w.r, sum(top)::DOUBLE / sum(bottom) AS rate FROM (SELECT model_alias, r, ('0x' || substr(md5('17|' || model_alias || '|' || r || '|' || d), 1, 8))::UBIGINT % size AS pos FROM draws) w JOIN p ON p.model_alias = w.model_alias AND p.pos = w.pos GROUP BY w.model_alias, w.r)
-SELECT model_alias, round(list_sort(list(rate))[floor(0.025 * (count(*) - 1))::INT + 1], 6) AS lower, round(list_sort(list(rate))[floor(0.975 * (count(*) - 1))::INT + 1], 6) AS upper FROM s GROUP BY model_alias""")
+SELECT model_alias, round(list_sort(list(rate))[floor(0.025 * (count(*) - 1))::INT + 1], 6) AS lower, round(list_sort(list(rate))[floor(0.975 * (count(*) - 1))::INT + 1], 6) AS upper FROM s WHERE rate IS NOT NULL GROUP BY model_alias""")
 def agg36(spark, sf):
     """Percentile interval of the share of right among valid answers over 1,000 resamples of items (AGG-36, MTH-03)."""
     per_item = X.runs(spark, sf).groupBy("model_alias", "item_id").agg(F.count_if("correct").alias("top"), F.count("answer").alias("bottom"))
-    whole = W.partitionBy("model_alias")
-    placed = per_item.withColumns({"pos": F.row_number().over(whole.orderBy("item_id")) - 1, "size": F.count("*").over(whole)})
-    return R.cluster_bootstrap(placed, "model_alias", "top", "bottom")
+    return R.cluster_bootstrap(R.placed(per_item, "model_alias", "item_id"), "model_alias", "top", "bottom")
 
 
 @query("agg38_spearman", _R + """, c AS (SELECT model_alias, item_id % 18 AS cell, round(count(*) FILTER (correct) / count(*), 6) AS acc FROM runs GROUP BY ALL), k AS (SELECT *, rank() OVER (PARTITION BY model_alias ORDER BY acc) + (count(*) OVER (PARTITION BY model_alias, acc) - 1) / 2.0::DOUBLE AS rk FROM c)
@@ -283,33 +292,53 @@ def top06(spark, sf):
     return moves.orderBy(F.desc(differs), "item_id", "family", "agent_id", "from_round").limit(10).select("item_id", "family", "agent_id", "from_round")
 
 
-@query("flt18_stable_controls", _C + _MOVES + "SELECT item_id, family FROM happened WHERE family = 'f0' GROUP BY item_id, family HAVING bool_and(event <> 'harmful_revision') ORDER BY item_id LIMIT 5")
+@query("flt18_stable_controls", _C + _MOVES + "SELECT item_id, family FROM happened WHERE family = 'f0' AND pilot_group = 'stable_control' GROUP BY item_id, family HAVING bool_and(event = 'stable_correct') ORDER BY item_id LIMIT 5")
 def flt18(spark, sf):
     """The first five stable controls of a family whose every move is stable and right (FLT-18)."""
     moves = D.transitions(X.calls(spark, sf)).filter("family = 'f0' AND pilot_group = 'stable_control'")
     return moves.groupBy("item_id", "family").agg(F.bool_and(F.col("objective_event") == "stable_correct").alias("all")).filter("all").orderBy("item_id").limit(5).select("item_id", "family")
 
 
-_CAL = """SELECT event_id, CASE template WHEN 5 THEN NULL WHEN 2 THEN NULL ELSE x END AS answer,
-CASE template WHEN 0 THEN 'strict_json' WHEN 1 THEN 'embedded_json' WHEN 2 THEN 'none' WHEN 3 THEN 'bare_answer' WHEN 4 THEN 'explicit_final_answer' WHEN 5 THEN 'conflicting_answers' ELSE 'malformed_json_answer_field' END AS source,
-CASE WHEN template IN (0, 2) THEN '' WHEN template = 5 THEN least(x, y) || ',' || greatest(x, y) ELSE x END AS candidates, template = 0 AS compliant FROM raws"""
+_CAL = """SELECT event_id, CASE WHEN template IN (2, 5, 11, 13) THEN NULL ELSE x END AS answer,
+CASE WHEN template IN (0, 10, 12) THEN 'strict_json' WHEN template IN (1, 9) THEN 'embedded_json' WHEN template IN (2, 11, 13) THEN 'none' WHEN template IN (3, 7) THEN 'bare_answer' WHEN template = 4 THEN 'explicit_final_answer' WHEN template = 5 THEN 'conflicting_answers' ELSE 'malformed_json_answer_field' END AS source,
+CASE WHEN template IN (0, 2, 10, 11, 12, 13) THEN '' WHEN template = 5 THEN least(x, y) || ',' || greatest(x, y) ELSE x END AS candidates, template IN (0, 10) AS compliant, template NOT IN (2, 5, 11, 13) AS extractable, template IN (1, 3, 4, 6, 7, 8, 9) AS fallback_used, template = 5 AS ambiguous, template IN (0, 10, 11, 12) AS strict_syntax,
+CASE WHEN template IN (0, 1, 9) THEN 'option A' WHEN template IN (10, 12) THEN 'r' ELSE '' END AS reasoning, CASE WHEN template IN (0, 1, 9) THEN k / 100.0::DOUBLE WHEN template = 10 THEN 0.5::DOUBLE END AS confidence,
+CASE WHEN template IN (0, 10) THEN NULL WHEN template = 12 THEN 'JSON object is missing or has an invalid required field' WHEN template = 5 THEN 'Conflicting explicit answers were found' WHEN template = 11 THEN 'Strict JSON does not contain an unambiguous valid answer' WHEN template IN (2, 13) THEN 'No unambiguous final answer found' ELSE 'Answer recovered from noncompliant output' END AS parse_error FROM raws"""
+
+
+def _salvaged(df):
+    """df with what the parsers share, made once a response."""
+    return df.withColumn("salvaged", A.salvage(F.col("raw")))
 
 
 @query("jsn09_calibration_parse", f"WITH {RESPONSE_SQL} " + _CAL)
 def jsn09(spark, sf):
     """Claims gathered and compared (JSN-04, JSN-06, JSN-09); the SQL knows what each shape of text says."""
-    parsed = X.responses(spark, sf).select("event_id", A.parse_calibration(F.col("raw")).alias("p"))
-    return parsed.select("event_id", "p.answer", "p.source", F.array_join("p.candidates", ",").alias("candidates"), "p.compliant")
+    parsed = _salvaged(X.responses(spark, sf)).select("event_id", A.parse_calibration(F.col("raw"), F.col("salvaged")).alias("p"))
+    return parsed.select("event_id", "p.*").withColumn("candidates", F.array_join("candidates", ","))
 
 
-@query("jsn01_screening_parse", f"WITH {RESPONSE_SQL} SELECT event_id, CASE WHEN template IN (2, 6) THEN NULL ELSE x END AS answer, CASE WHEN template IN (0, 1) THEN k / 100.0::DOUBLE END AS confidence, template IN (0, 1) AS parse_success FROM raws")
+@query("jsn01_screening_parse", f"""WITH {RESPONSE_SQL} SELECT event_id, CASE WHEN template IN (2, 6) THEN NULL ELSE x END AS answer, CASE WHEN template IN (0, 1, 8, 9) THEN k / 100.0::DOUBLE WHEN template IN (10, 11) THEN 0.5 WHEN template = 12 THEN 1.0 END AS confidence, template IN (0, 1, 8, 9, 10, 12) AS parse_success, template IN (0, 10, 12) AS strict_json_success, template IN (1, 8, 9) AS fallback_parse_success,
+CASE WHEN template IN (0, 1, 8, 9, 10, 12) THEN NULL WHEN template = 2 THEN 'JSON decode error' WHEN template = 11 THEN 'Answer is not one of A/B/C/D' ELSE 'No JSON object found' END AS parse_error FROM raws""")
 def jsn01(spark, sf):
     """Strict JSON, then an object in the text, then a mention (JSN-01 to JSN-03, JSN-05, JSN-07, JSN-08)."""
-    return X.responses(spark, sf).select("event_id", A.parse_screening(F.col("raw")).alias("p")).select("event_id", "p.answer", "p.confidence", "p.parse_success")
+    return _salvaged(X.responses(spark, sf)).select("event_id", A.parse_screening(F.col("raw"), F.col("salvaged")).alias("p")).select("event_id", "p.*")
+
+
+@query("jsn10_followup_parse", f"""WITH {FOLLOWUP_SQL} SELECT event_id, CASE WHEN template IN (5, 7) THEN NULL ELSE x END AS answer,
+['strict_json_label', 'strict_json_label', 'strict_json_candidate_name', 'fallback_candidate_name', 'fallback_candidate_name', 'conflicting_answers', 'bare_answer', 'none'][template + 1] AS source, CASE WHEN template = 7 THEN '' WHEN template = 5 THEN least(x, y) || ',' || greatest(x, y) ELSE x END AS candidates,
+template NOT IN (5, 7) AS extractable, template = 0 AS compliant, template = 0 AS strict_format, template IN (2, 3, 4, 5) AS name_used, template IN (2, 3, 4, 5, 6) AS fallback_used, template = 5 AS ambiguous,
+CASE WHEN template = 0 THEN NULL WHEN template IN (1, 2) THEN 'Answer used a non-protocol representation' WHEN template IN (3, 4) THEN 'Candidate name recovered from noncompliant output' WHEN template = 5 THEN 'Conflicting explicit answers were found' WHEN template = 6 THEN 'Answer recovered from noncompliant output' ELSE 'Strict JSON does not contain an unambiguous valid answer' END AS parse_error FROM told""")
+def jsn10(spark, sf):
+    """Labels or whole names of candidates (JSN-10, JON-17): a name is right but never compliant."""
+    told = _salvaged(X.followups(spark, sf)).withColumns({"map": A.name_map(F.col("names")), "base": A.parse_calibration(F.col("raw"), F.col("salvaged"))})
+    parsed = told.select("event_id", A.parse_followup(F.col("raw"), F.col("map"), F.col("base"), F.col("salvaged")).alias("p"))
+    return parsed.select("event_id", "p.*").withColumn("candidates", F.array_join("candidates", ","))
 
 
-@query("agg39_reparse_audit", f"WITH {RESPONSE_SQL} SELECT template, count(*) AS n, count(*) FILTER (template NOT IN (2, 6)) AS before, count(*) FILTER (template NOT IN (2, 5)) AS after, count(*) FILTER (template IN (5, 6)) AS n_changed FROM raws GROUP BY template")
+@query("agg39_reparse_audit", f"WITH {RESPONSE_SQL} SELECT template, count(*) AS n, count(*) FILTER (template NOT IN (2, 6)) AS before, count(*) FILTER (template NOT IN (2, 5, 11, 13)) AS after, count(*) FILTER (template IN (5, 6, 11, 13)) AS n_changed, true AS raw_unchanged FROM raws GROUP BY template")
 def agg39(spark, sf):
-    """What another contract recovers from the same text (AGG-39, JON-19, STR-06)."""
-    both = X.responses(spark, sf).select("template", A.parse_screening(F.col("raw"))["answer"].alias("old"), A.parse_calibration(F.col("raw"))["answer"].alias("new"))
-    return both.groupBy("template").agg(F.count("*").alias("n"), F.count("old").alias("before"), F.count("new").alias("after"), F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("n_changed"))
+    """What another contract recovers from the same text, and whether the text itself stayed (AGG-39, JON-19, STR-06)."""
+    raw = F.col("raw")
+    both = _salvaged(X.responses(spark, sf)).select("template", F.xxhash64(raw).alias("was"), raw, A.parse_screening(raw, F.col("salvaged"))["answer"].alias("old"), A.parse_calibration(raw, F.col("salvaged"))["answer"].alias("new"))
+    return both.groupBy("template").agg(F.count("*").alias("n"), F.count("old").alias("before"), F.count("new").alias("after"), F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("n_changed"), F.bool_and(F.col("was") == F.xxhash64("raw")).alias("raw_unchanged"))

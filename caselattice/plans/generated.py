@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caselattice.functions import answers as A
 from caselattice.functions import scalar as S
+from caselattice.operators import debate as D
 from caselattice.operators import generation as G
 from caselattice.operators import matrix as M
 from caselattice.operators import validation as V
@@ -15,7 +16,7 @@ from caselattice.sources import views as X
 from caselattice.sources.views import CALL_SQL, RUN_SQL
 
 PER_CELL, SEED = 12, 42
-_CATALOG = f"""WITH attrs(key, category, may_be_false, scenarios, t, f) AS ({C.values_sql(C.ATTRIBUTES)}), scen(scenario, title, categories, keys) AS ({C.values_sql(C.SCENARIOS)}), facts(key, category, text) AS ({C.values_sql(C.FACTS)}) """
+_CATALOG = f"""WITH attrs(key, category, may_be_false, scenarios, t, f) AS ({C.values_sql(C.ATTRIBUTES)}), scen(scenario, title, categories, keys) AS ({C.values_sql(C.SCENARIOS)}), facts(key, category, text, scenarios) AS ({C.values_sql(C.FACTS)}) """
 
 
 @query("src06_catalogs", _CATALOG + "SELECT 'attribute' AS catalog, category, count(*) AS n FROM attrs GROUP BY category UNION ALL SELECT 'fact', category, count(*) FROM facts GROUP BY category UNION ALL SELECT 'scenario', scenario, 1 FROM scen")
@@ -48,16 +49,6 @@ def scl12b(spark, sf):
     return texts.groupBy("item_id").agg(F.count("*").alias("n_options"), F.sum(F.size(F.split("option", ", "))).alias("n_facts"), F.bool_and(F.endswith("option", F.lit("."))).alias("all_closed"))
 
 
-@query("flt05_semantic_violations", _CATALOG + "SELECT NULL::VARCHAR AS rule, NULL::BIGINT AS n WHERE false")
-def flt05(spark, sf):
-    """Rules on generated constraints against the catalogs: none is broken (FLT-05 to FLT-07, AGG-30)."""
-    items = G.generate(spark, PER_CELL, SEED)
-    each = items.select("item_id", "scenario", F.explode("constraints").alias("c")).select("item_id", "scenario", F.col("c.attribute").alias("key"), F.col("c.required_value").alias("required"))
-    known = each.join(F.broadcast(G.eligible(spark)), ["scenario", "key"], "left")
-    broken = V.violations(known, [("known_and_eligible", F.col("category").isNotNull()), ("polarity", F.col("required") | F.col("may_be_false"))])
-    return broken.groupBy("rule").agg(F.count("*").alias("n"))
-
-
 @query("flt10_facts_beside_the_point", _CATALOG + f"SELECT il, CASE il WHEN 'IL1' THEN 0 ELSE 2 END::BIGINT AS facts, {9 * PER_CELL}::BIGINT AS n_items, 0::BIGINT AS n_collisions FROM (VALUES ('IL1'), ('IL2')) t(il)")
 def flt10(spark, sf):
     """Two drawn facts for the items of the second information level, none of them an attribute (FLT-10, FLT-13, RND-07, SET-04)."""
@@ -67,40 +58,36 @@ def flt10(spark, sf):
     return held.groupBy("il").agg(F.max(F.size("facts")).cast("long").alias("facts"), F.count("*").alias("n_items"), F.count_if(F.arrays_overlap("facts", named)).alias("n_collisions"))
 
 
-@query("rnd10_information_pairs", f"SELECT {9 * PER_CELL}::BIGINT AS n_pairs, {9 * PER_CELL}::BIGINT AS n_equal, {9 * PER_CELL}::BIGINT AS n_restored")
-def rnd10(spark, sf):
-    """Items with and without their appended facts: formal fields stay, the suffix comes off exactly (RND-10, SCL-10, SCL-11, FLT-23)."""
-    one = G.generate(spark, PER_CELL, SEED).filter("il = 'IL2'").select("item_id", "gold", F.to_json("constraints").alias("formal"), F.concat(F.lit("Item "), F.col("item_id").cast("string"), F.lit(".")).alias("text"))
-    suffix = F.lit(" Also: plays chess on Thursdays.")
-    pairs = one.select("*", F.explode(F.array(F.lit("IL1"), F.lit("IL2"))).alias("version")).withColumn("shown", F.when(F.col("version") == "IL2", F.concat("text", suffix)).otherwise(F.col("text")))
-    back = F.when(F.endswith("shown", suffix), F.left("shown", F.char_length("shown") - F.char_length(suffix))).otherwise(F.col("shown"))
-    both = pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.countDistinct("formal", "gold").alias("kinds"), F.countDistinct(back).alias("texts"))
-    return both.agg(F.count_if(F.col("n") == 2).alias("n_pairs"), F.count_if(F.col("kinds") == 1).alias("n_equal"), F.count_if(F.col("texts") == 1).alias("n_restored"))
-
-
-@query("scl13_translated_facts", f"SELECT key, value, text, length(text) AS n FROM ({C.values_sql([(k, v, t) for (k, v), t in C.TRANSLATIONS.items()])}) t(key, value, text)")
+@query("scl13_translated_facts", f"SELECT a.key, v AS value, t.text, coalesce(length(t.text), 0) AS n, t.key IS NULL AS missing FROM (SELECT key, unnest([true, false]) AS v FROM ({C.values_sql(C.ATTRIBUTES)}) x(key, category, may_be_false, scenarios, t, f)) a LEFT JOIN ({C.values_sql([(k, v, t) for (k, v), t in C.TRANSLATIONS.items()])}) t(key, value, text) ON t.key = a.key AND t.value = a.v")
 def scl13(spark, sf):
-    """Facts looked up in the dictionary by key and value; a missing entry would be a row less (SCL-13, FLT-20)."""
+    """Facts looked up in the dictionary by key and value; one that it lacks is a marked row, not a row less (SCL-13, FLT-20)."""
     facts = C.attributes(spark).select("key", F.explode(F.array(F.lit(True), F.lit(False))).alias("value"))
-    return facts.join(F.broadcast(C.translations(spark)), ["key", "value"]).select("key", "value", "text", S.cjk_count(F.col("text")).cast("long").alias("n"))
+    found = facts.join(F.broadcast(C.translations(spark)), ["key", "value"], "left")
+    return found.select("key", "value", "text", F.coalesce(S.cjk_count(F.col("text")), F.lit(0)).cast("long").alias("n"), F.col("text").isNull().alias("missing"))
 
 
-@query("jon17_answers_by_name", f"WITH {RUN_SQL} SELECT item_id, model_alias, run_id, answer AS label FROM runs WHERE answer IS NOT NULL")
+@query("jon17_answers_by_name", f"""WITH {RUN_SQL}, pool AS (SELECT {C.values_sql([(C.NAMES,)])[8:-1]} AS names), n AS (SELECT r.*, names[((item_id + ascii(answer) - 65) % {len(C.NAMES)} + 1)::INT] AS own, names[((item_id + event_id) % {len(C.NAMES)} + 1)::INT] AS said, names FROM runs r, pool)
+SELECT item_id, model_alias, run_id, CASE list_position(list_transform(range(4), lambda i: names[((item_id + i) % {len(C.NAMES)} + 1)::INT]), said) WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'D' END AS label FROM n""")
 def jon17(spark, sf):
-    """Answers given as a candidate's name, in any case and with blanks, mapped to its label (JON-17, JSN-10, MAP-01)."""
+    """Names said, in any case and with blanks and a dot, against the item's four candidates: others map to none (JON-17, MAP-01)."""
     names = F.array(*[F.lit(n) for n in C.NAMES])
-    r = X.runs(spark, sf)
-    own = F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.lower(F.element_at(names, (F.pmod(F.col("item_id") + i, F.lit(len(C.NAMES))) + 1).cast("int")))), F.array(*[F.lit(x) for x in X.LETTERS]))
-    given = F.concat(F.lit("  "), F.upper(F.element_at(names, (F.pmod(F.col("item_id") + F.ascii("answer") - 65, F.lit(len(C.NAMES))) + 1).cast("int"))), F.lit(" "))
-    told = r.filter(F.col("answer").isNotNull()).withColumns({"raw": given, "names": own})
-    return told.select("item_id", "model_alias", "run_id", F.element_at("names", F.lower(F.trim("raw"))).alias("label"))
+    at = lambda i: F.element_at(names, (F.pmod(i, F.lit(len(C.NAMES))) + 1).cast("int"))
+    own = A.name_map(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: at(F.col("item_id") + i)))
+    said = F.concat(F.lit(" \t"), F.upper(at(F.col("item_id") + F.col("event_id"))), F.lit(".\n"))
+    told = X.runs(spark, sf).withColumns({"raw": said, "names": own})
+    return told.select("item_id", "model_alias", "run_id", F.element_at("names", F.lower(F.regexp_replace(A.strip(F.col("raw")), r"\.+\z", ""))).alias("label"))
 
 
-@query("jsn11_polymorphic_answers", "SELECT kind, n FROM (VALUES ('ARRAY<STRING>', 1::BIGINT), ('STRING', 2::BIGINT), ('BIGINT', 1::BIGINT)) t(kind, n)")
+@query("jsn11_polymorphic_answers", f"""WITH {RUN_SQL} SELECT ['STRING', 'ARRAY<STRING>', 'BIGINT', 'BOOLEAN', 'VOID'][(event_id % 5)::INT + 1] AS kind, count(*) AS n, count(*) FILTER (event_id % 5 = 0 AND answer IS NOT NULL) AS n_labels FROM runs GROUP BY 1""")
 def jsn11(spark, sf):
-    given = spark.createDataFrame([('{"a": "B"}',), ('{"a": ["B", "C"]}',), ('{"a": "x"}',), ('{"a": 1}',), ("bad",)], "raw string")
-    kind = F.schema_of_variant(F.try_variant_get(A.whole_json(F.col("raw")), "$.a", "variant"))
-    return given.select(kind.alias("kind")).filter("kind IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n"))
+    """Answers of several types in one field, by their type (JSN-11)."""
+    runs = X.runs(spark, sf)
+    one = F.concat(F.lit('"'), F.coalesce("answer", F.lit("?")), F.lit('"'))
+    value = F.element_at(F.array(one, F.concat(F.lit("["), one, F.lit("]")), F.lit("1"), F.lit("true"), F.lit("null")), (F.col("event_id") % 5 + 1).cast("int"))
+    held = F.try_variant_get(A.whole_json(F.concat(F.lit('{"a": '), value, F.lit("}"))), "$.a", "variant")
+    kind = F.schema_of_variant(held)
+    label = F.when(kind == "STRING", A.strict_label(F.try_variant_get(held, "$", "string")))
+    return runs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count(label).alias("n_labels"))
 
 
 @query("agg34_position_effects", f"WITH {RUN_SQL}, a AS (SELECT item_id, run_id - 1 AS rotation, round(count(*) FILTER (correct) / count(*), 6) AS acc, count(DISTINCT answer) FILTER (NOT correct) AS wrong_kinds, count(answer) FILTER (NOT correct) AS n_wrong FROM runs GROUP BY ALL) SELECT item_id, count(*) AS n_rotations, count(DISTINCT acc) > 1 AS changes, bool_or(n_wrong > 1 AND wrong_kinds = 1) AS same_wrong FROM a GROUP BY item_id")
@@ -111,11 +98,10 @@ def agg34(spark, sf):
     return by.groupBy("item_id").agg(F.count("*").alias("n_rotations"), (F.countDistinct("acc") > 1).alias("changes"), F.bool_or((F.col("n") > 1) & (F.col("kinds") == 1)).alias("same_wrong"))
 
 
-@query("str05_open_rounds", f"WITH {CALL_SQL}, r AS (SELECT item_id, family, round, count(DISTINCT agent_id) = 3 AS whole FROM calls GROUP BY ALL) SELECT item_id, family, max(round) + 1 AS next_round FROM r WHERE whole GROUP BY item_id, family")
+@query("str05_open_rounds", f"WITH {CALL_SQL}, r AS (SELECT item_id, family, round, count(DISTINCT agent_id) = 3 AS whole FROM calls GROUP BY ALL) SELECT g.item_id, g.family, min(n) AS next_round FROM (SELECT DISTINCT item_id, family FROM calls) g, (SELECT unnest(range(0, (SELECT max(round) + 2 FROM calls))) AS n) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.item_id = g.item_id AND r.family = g.family AND r.round = n AND whole) GROUP BY g.item_id, g.family")
 def str05(spark, sf):
-    """The round that may start: all agents of the one before it are there (STR-05)."""
-    rounds = X.calls(spark, sf).groupBy("item_id", "family", "round").agg((F.countDistinct("agent_id") == 3).alias("whole"))
-    return rounds.filter("whole").groupBy("item_id", "family").agg((F.max("round") + 1).alias("next_round"))
+    """The first round that is not whole: it may start as all agents of the rounds before it are there (STR-05)."""
+    return D.open_rounds(X.calls(spark, sf), 3)
 
 
 @query("top09_review_order", f"WITH {RUN_SQL}, a AS (SELECT item_id, count(*) FILTER (correct) AS n_correct, count(DISTINCT answer) AS kinds FROM runs GROUP BY item_id) SELECT item_id, row_number() OVER (ORDER BY kinds DESC, n_correct, item_id)::INT AS position FROM a ORDER BY kinds DESC, n_correct, item_id LIMIT 15")

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from caselattice.functions import scalar as S
 from caselattice.operators import matrix as M
+from caselattice.operators import runs as R
 from caselattice.operators import validation as V
 from caselattice.plans.registry import query
 from caselattice.sources import views as X
-from caselattice.sources.views import ITEM_SQL
+from caselattice.sources.views import ITEM_SQL, PICK_SQL, RUN_SQL
 
 _W = f"WITH {ITEM_SQL}"
 
 
 def _signed(spark, sf):
     """Items with their signatures, gold label and wrong sizes."""
-    items = X.items(spark, sf)
-    return items.join(M.item_signatures(X.candidates(spark, sf), items), "item_id")
+    return X.item_signatures(spark, sf)
 
 
 @query("prj01_constraint_matrix", _W + "SELECT item_id, label, pos::INT AS pos, constraint_id, attr AS attribute, satisfied FROM matrix")
@@ -132,23 +132,6 @@ def agg43(spark, sf):
     return _signed(spark, sf).filter(F.size(F.array_distinct(wrong)) < F.size(wrong)).groupBy("cl").agg(F.count("*").alias("n"))
 
 
-@query("agg13_violations_by_size", _W + """SELECT CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '2' ELSE '3_or_more' END AS bucket, count(*) AS n_options, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM sigs GROUP BY 1""")
-def agg13(spark, sf):
-    """An empty signature falls in the last bucket, as the reference counts it."""
-    n = F.size("signature")
-    found = M.violation_signatures(X.candidates(spark, sf), X.items(spark, sf)).groupBy(F.when(n == 1, "1").when(n == 2, "2").otherwise("3_or_more").alias("bucket")).agg(F.count("*").alias("n_options"))
-    return found.crossJoin(F.broadcast(found.agg(F.sum("n_options").alias("all")))).select("bucket", "n_options", S.ratio(F.col("n_options"), F.col("all")).alias("share"))
-
-
-@query("agg20_violatable_exposure", _W + """SELECT attr AS attribute, count(DISTINCT m.item_id) AS n_items FROM matrix m JOIN golds g ON g.item_id = m.item_id WHERE NOT satisfied AND g.valid = 1 AND label <> gold GROUP BY attr""")
-def agg20(spark, sf):
-    """Items in which some wrong option breaks the attribute: an item counts once for each constraint."""
-    broken = F.explode(F.array_distinct(F.flatten(F.map_values("sigs")))).alias("constraint_id")
-    each = _signed(spark, sf).filter("valid = 1").select("item_id", "constraints", broken)
-    named = F.filter("constraints", lambda c: c["constraint_id"] == F.col("constraint_id"))[0]["attribute"]
-    return each.groupBy(named.alias("attribute")).agg(F.count("*").alias("n_items"))
-
-
 @query("jon06_broken_constraints", _W + "SELECT m.item_id, m.label, m.constraint_id, m.attr AS attribute FROM matrix m JOIN golds g ON g.item_id = m.item_id WHERE NOT satisfied AND valid = 1")
 def jon06(spark, sf):
     """Signatures exploded and looked up in the item's own constraints (JON-05 to JON-07)."""
@@ -170,22 +153,38 @@ def flt23(spark, sf):
     return jon12(spark, sf).groupBy("item_id").agg(F.size(F.collect_set("rotated_gold")).cast("long").alias("n_labels"), F.count("*").alias("n_variants")).filter("n_labels = 4 AND n_variants = 4")
 
 
-@query("jon16_matched_controls", _W + """, shaped AS (SELECT item_id, cl, il, gold FROM items JOIN golds USING (item_id) WHERE valid = 1),
-pairs AS (SELECT t.item_id, c.item_id AS control_id, row_number() OVER (PARTITION BY t.item_id ORDER BY (t.il <> c.il)::INT, c.item_id) AS rn FROM shaped t JOIN shaped c ON t.cl = c.cl AND t.gold = c.gold AND t.item_id % 100 = 1 AND c.item_id % 100 <> 1 AND c.item_id // 1000 = t.item_id // 1000)
-SELECT item_id, control_id FROM pairs WHERE rn = 1""")
+_STABLE = f"""WITH {RUN_SQL}, seen AS (SELECT item_id, model_alias, cl, il, count(answer) AS valid, count(*) FILTER (correct) AS hits FROM runs GROUP BY ALL), shaped AS (SELECT *, hits = 0 AS target FROM seen WHERE valid = 3 AND hits IN (0, 3))"""
+
+
+def _stable(spark, sf):
+    """(item_id, model_alias, cl, il, target): three valid runs, all wrong for a target and all right for a control."""
+    seen = X.runs(spark, sf).groupBy("item_id", "model_alias", "cl", "il").agg(F.count("answer").alias("valid"), F.count_if("correct").alias("hits"))
+    return seen.filter("valid = 3 AND hits IN (0, 3)").select("item_id", "model_alias", "cl", "il", (F.col("hits") == 0).alias("target"))
+
+
+@query("jon16_matched_controls", _STABLE + """, pairs AS (SELECT t.item_id, t.model_alias, c.item_id AS control_id, row_number() OVER (PARTITION BY t.item_id, t.model_alias ORDER BY (t.cl <> c.cl)::INT + (t.il <> c.il)::INT, c.item_id) AS rn FROM shaped t LEFT JOIN shaped c ON t.model_alias = c.model_alias AND NOT c.target WHERE t.target)
+SELECT item_id, model_alias, control_id FROM pairs WHERE rn = 1""")
 def jon16(spark, sf):
-    """The nearest control of the same model for each target, with replacement: three valid runs, all wrong for a target and all
-    correct for a control; fewest unlike factors of those that runs have (cl, il), then the least id. Only the least control of
-    each cell can be nearest, so cells meet cells; a target of a model without controls has none (null)."""
+    """The nearest control of the same model for each target, with replacement: fewest unlike factors of those that runs have
+    (cl, il), then the least id. Only the least control of each cell can be nearest, so cells meet cells; a target of a
+    model without controls has none (null)."""
     cell = ["model_alias", "cl", "il"]
-    seen = X.runs(spark, sf).groupBy("item_id", *cell).agg(F.count("answer").alias("valid"), F.count_if("correct").alias("right")).filter("valid = 3")
-    target = seen.filter("right = 0")
-    control = seen.filter("right = 3").groupBy("model_alias", F.col("cl").alias("control_cl"), F.col("il").alias("control_il")).agg(F.min("item_id").alias("control_id"))
+    seen = _stable(spark, sf)
+    target = seen.filter("target")
+    control = seen.filter("NOT target").groupBy("model_alias", F.col("cl").alias("control_cl"), F.col("il").alias("control_il")).agg(F.min("item_id").alias("control_id"))
     unlike = (F.col("cl") != F.col("control_cl")).cast("int") + (F.col("il") != F.col("control_il")).cast("int")
     nearest = target.select(*cell).distinct().join(control, "model_alias").groupBy(*cell).agg(F.min_by("control_id", F.struct(unlike.alias("unlike"), "control_id")).alias("control_id"))
     return target.join(nearest, cell, "left").select("item_id", "model_alias", "control_id")
 
 
+@query("jon16b_controls_used_once", None)
+def jon16b(spark, sf):
+    """The same without replacement: targets in the order of their ids, each with the nearest control that is still free; one
+    for whom none is left has none (null). A greedy choice depends on all before it, so SQL has no short form: a test
+    compares it with a plain loop."""
+    return R.matched_once(_stable(spark, sf), "model_alias", ["cl", "il"])
+
+
 @query("win06_first_of_cell", _W + "SELECT cl, il, min(item_id) AS item_id, row_number() OVER (ORDER BY cl, il)::INT AS position FROM items GROUP BY cl, il")
 def win06(spark, sf):
     """The least id of each cell, numbered (WIN-06, WIN-08, RND-12, PRJ-17). The window is over cells, not items."""
@@ -193,19 +192,11 @@ def win06(spark, sf):
     return first.withColumn("position", F.row_number().over(W.orderBy("cl", "il")))
 
 
-@query("win09_round_robin", _W + "SELECT item_id, cl, chr((65 + (row_number() OVER (PARTITION BY cl ORDER BY item_id) - 1) % 4)::INT) AS label FROM items WHERE item_id % 10 = 0")
+@query("win09_round_robin", _W + "SELECT item_id, cl, chr((65 + (row_number() OVER (PARTITION BY cl ORDER BY item_id) - 1) % 4)::INT) AS label FROM items")
 def win09(spark, sf):
-    """Labels in turn within each level (WIN-09): rows are numbered inside blocks of ids, which start where the blocks before
-    end. Only the windows over blocks cross blocks: one row for up to 1,024 ids, then one for up to 1,024 blocks."""
-    each = X.items(spark, sf).select("item_id", "cl", F.floor(F.col("item_id") / 1024).alias("block"))
-    wide = F.floor(F.col("block") / 1024)
-    sizes = each.groupBy("cl", "block").agg(F.count("*").alias("size")).withColumn("wide", wide)
-    ahead = lambda keys, by: F.coalesce(F.sum("size").over(W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wides = sizes.groupBy("cl", "wide").agg(F.sum("size").alias("size")).select("cl", "wide", ahead(["cl"], "wide").alias("from_wide"))
-    starts = sizes.select("cl", "block", "wide", ahead(["cl", "wide"], "block").alias("from_block")).join(wides, ["cl", "wide"])
-    n = F.row_number().over(W.partitionBy("cl", "block").orderBy("item_id")) - 1
-    numbered = each.withColumn("n", n).join(starts, ["cl", "block"])
-    return numbered.select("item_id", "cl", F.char(65 + F.pmod(F.col("n") + F.col("from_block") + F.col("from_wide"), F.lit(4))).alias("label"))
+    """Labels in turn within each level (WIN-09)."""
+    numbered = R.placed(X.items(spark, sf).select("item_id", "cl"), "cl", "item_id")
+    return numbered.select("item_id", "cl", F.char(65 + F.pmod("pos", F.lit(4))).alias("label"))
 
 
 _DRAW = "('0x' || substr(md5('42|' || item_id), 1, 8))::UBIGINT"
@@ -223,7 +214,7 @@ def top13(spark, sf):
     return X.items(spark, sf).orderBy(S.draw(F.lit(42), F.col("item_id")), "item_id").limit(3).select("item_id")
 
 
-@query("arr02_constraint_subsets", _W + """SELECT item_id, mask::INT AS mask, bit_count(mask)::INT AS size FROM items, (SELECT unnest(range(1, 128)) AS mask) WHERE mask < (1 << k) AND bit_count(mask) >= ceil(k / 2.0) AND item_id % 50 = 0""")
+@query("arr02_constraint_subsets", _W + """SELECT item_id, mask::INT AS mask, bit_count(mask)::INT AS size FROM items, (SELECT unnest(range(1, 128)) AS mask) WHERE mask < (1 << k) AND bit_count(mask) >= ceil(k / 2.0)""")
 def arr02(spark, sf):
     """All sets of at least half of an item's constraints, as bit masks (ARR-02, RND-04)."""
     masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 7) - 1)

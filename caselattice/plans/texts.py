@@ -45,18 +45,23 @@ def agg40(spark, sf):
     return hashed.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids"), (F.count("*") - F.countDistinct("h")).alias("n_repeated"))
 
 
-@query("scl06_label_mentions", r"SELECT doc_id, len(regexp_extract_all(text, '\bA\b')) AS n_a, regexp_matches(text, '\b[ABCD]\b') AS any_label FROM documents WHERE lang = 'en'")
+@query("scl06_label_mentions", r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*')) AS n_words, regexp_matches(text, '(?:^|[^\p{L}\p{N}\p{M}_])A(?:$|[^\p{L}\p{N}\p{M}_])') AS a, regexp_matches(text, '(?:^|[^\p{L}\p{N}\p{M}_])B(?:$|[^\p{L}\p{N}\p{M}_])') AS b, regexp_matches(text, '(?:^|[^\p{L}\p{N}\p{M}_])' || chr((65 + doc_id % 4)::INT) || '(?:$|[^\p{L}\p{N}\p{M}_])') AS selected FROM documents")
 def scl06(spark, sf):
-    return X.read(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.regexp_count("text", F.lit(r"\bA\b")).cast("long").alias("n_a"), F.regexp_like("text", F.lit(r"\b[ABCD]\b")).alias("any_label"))
+    """Words, whole-word mentions of labels and of the selected one, which the id gives here (SCL-06)."""
+    text, edge = F.col("text"), r"[\p{L}\p{N}\p{M}_]"
+    whole = lambda label: F.regexp_like(text, F.concat(F.lit(f"(?<!{edge})"), label, F.lit(f"(?!{edge})")))
+    return X.read(spark, sf, "documents").select("doc_id", S.word_count(text).cast("long").alias("n_words"), whole(F.lit("A")).alias("a"), whole(F.lit("B")).alias("b"), whole(F.char(65 + F.col("doc_id") % 4)).alias("selected"))
 
 
-@query("scl01_cjk_counts", "SELECT s, n FROM (VALUES ('abc 漢字', 2::BIGINT), ('', 0::BIGINT), ('㐀漢a', 2::BIGINT), ('ア', 0::BIGINT)) t(s, n)")
+@query("scl01_cjk_counts", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 3 END::BIGINT AS n FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[㐀-䶿一-鿿]')")
 def scl01(spark, sf):
-    given = spark.createDataFrame([("abc 漢字",), ("",), ("㐀漢a",), ("ア",)], "s string")
-    return given.select("s", S.cjk_count(F.col("s")).cast("long").alias("n"))
+    """Chinese characters over several fields of a row: the text, here without any, and a made title (SCL-01)."""
+    title = F.element_at(F.array(F.lit("abc 漢字"), F.lit("アab"), F.lit("㐀漢a字")), (F.col("doc_id") % 3 + 1).cast("int"))
+    count = lambda c: F.coalesce(S.cjk_count(c), F.lit(0))
+    return X.read(spark, sf, "documents").filter(count(F.col("text")) == 0).select("doc_id", (count(F.col("text")) + count(title)).cast("long").alias("n"))
 
 
-@query("scl12_rendered_turns", "SELECT conv_id, string_agg(role || ': ' || left(text, 20), ' | ' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id")
+@query("scl12_rendered_turns", "SELECT conv_id, string_agg(role || ': ' || text, ' | ' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id")
 def scl12(spark, sf):
     """Rows joined into one text by template (SCL-12, SCL-14)."""
     part = F.format_string("%s: %s", F.col("role"), F.col("text"))
@@ -77,7 +82,25 @@ def flt20(spark, sf):
     return d.filter("doc_id % 2 = 0").join(pair, "doc_id").select("doc_id", (F.col("lang") == F.col("lang_b")).alias("same_lang"), F.col("n_chars").eqNullSafe(F.col("n_b")).alias("same_length"))
 
 
-@query("agg37_source_quality_interval", """WITH l AS (SELECT d.source AS cluster, count(*) FILTER (quality = 1) AS top, count(*) AS bottom FROM labels JOIN documents d USING (doc_id) GROUP BY 1) SELECT cluster, top, bottom, round(top / bottom, 6) AS rate FROM l""")
+@query("scl14_shown_answers", """SELECT conv_id, turn, 'Agent ' || role || ' said: ' || CASE WHEN trim(coalesce(text, ''), E' \\t\\n\\r') = '' OR turn % 3 = 0 THEN 'UNPARSED' ELSE trim(text, E' \\t\\n\\r') END AS shown FROM conversations""")
+def scl14(spark, sf):
+    """Prompt lines with a fixed word where there is nothing to show (SCL-14). Every third turn is taken as not read."""
+    read = F.when(F.col("turn") % 3 != 0, F.col("text"))
+    return X.read(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("Agent "), "role", F.lit(" said: "), S.shown(read, "UNPARSED")).alias("shown"))
+
+
+@query("rnd11_unused_texts", r"WITH h AS (SELECT doc_id, sha256(lower(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))) AS h FROM documents), used AS (SELECT DISTINCT h FROM h WHERE doc_id % 5 = 0) SELECT min(doc_id) AS doc_id FROM h WHERE doc_id % 5 <> 0 AND h NOT IN (SELECT h FROM used) GROUP BY h")
+def rnd11(spark, sf):
+    """New texts whose hash no used text has, one of each (RND-11): ids that 5 divides stand for the texts used before."""
+    hashed = X.read(spark, sf, "documents").select("doc_id", S.content_hash(F.coalesce("text", F.lit(""))).alias("h"))
+    used = hashed.filter("doc_id % 5 = 0").select("h").distinct()
+    return hashed.filter("doc_id % 5 != 0").join(used, "h", "left_anti").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query("agg37_source_quality_interval", """WITH l AS (SELECT d.source AS cluster, count(*) FILTER (quality = 1) AS top, count(*) AS bottom FROM labels JOIN documents d USING (doc_id) GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS pos, count(*) OVER () AS size FROM l),
+w AS (SELECT r, ('0x' || substr(md5('17|all|' || r || '|' || d), 1, 8))::UBIGINT % size AS pos FROM (SELECT DISTINCT size FROM p), (SELECT unnest(range(5000)) AS r), (SELECT unnest(range((SELECT count(*) FROM p))) AS d)),
+s AS (SELECT r, sum(top)::DOUBLE / nullif(sum(bottom), 0) AS rate FROM w JOIN p ON p.pos = w.pos GROUP BY r)
+SELECT round(list_sort(list(rate))[floor(0.025 * (count(*) - 1))::INT + 1], 6) AS lower, round(list_sort(list(rate))[floor(0.975 * (count(*) - 1))::INT + 1], 6) AS upper FROM s""")
 def agg37(spark, sf):
     """Percentile interval of the rate of good labels over 5,000 resamples of sources (AGG-37). The windows are over sources."""
     joined = X.read(spark, sf, "labels").join(X.read(spark, sf, "documents").select("doc_id", "source"), "doc_id")

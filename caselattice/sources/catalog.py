@@ -25,13 +25,14 @@ SCENARIOS = [
     ("museum", "A guide for the gallery", ["ability", "qualification", "availability", "restriction"], None),
     ("orchard", "A hand for the harvest", ["ability", "qualification", "availability", "preference", "restriction"], ["speaks_two", "lifts", "first_aid", "weekends", "mornings", "outdoors", "evenings", "pollen", "seasick"]),
 ]
+#: key, category, text, scenarios that it belongs to.
 FACTS = [
-    ("chess", "hobby", "plays chess on Thursdays"),
-    ("cat", "home", "lives with an old cat"),
-    ("tea", "taste", "drinks only green tea"),
-    ("trains", "hobby", "collects model trains"),
-    ("attic", "home", "rents a room under the roof"),
-    ("blue", "taste", "wears blue most of the time"),
+    ("chess", "hobby", "plays chess on Thursdays", ["harbour", "museum", "orchard"]),
+    ("cat", "home", "lives with an old cat", ["harbour", "museum"]),
+    ("tea", "taste", "drinks only green tea", ["museum", "orchard"]),
+    ("trains", "hobby", "collects model trains", ["harbour", "museum", "orchard"]),
+    ("attic", "home", "rents a room under the roof", ["harbour", "orchard"]),
+    ("blue", "taste", "wears blue most of the time", ["harbour", "museum", "orchard"]),
 ]
 NAMES = ["Ada", "Bela", "Ciro", "Dana", "Eero", "Fay", "Gus", "Hana", "Igor", "Juno", "Kai", "Lena"]
 TRANSLATIONS = {("drives", True): "会开车", ("drives", False): "不会开车", ("swims", True): "会游泳", ("swims", False): "不会游泳", ("weekends", True): "周末有空", ("weekends", False): "周末没空"}
@@ -46,7 +47,7 @@ def scenarios(spark: SparkSession) -> DataFrame:
 
 
 def facts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FACTS, "key string, category string, text string")
+    return spark.createDataFrame(FACTS, "key string, category string, text string, scenarios array<string>")
 
 
 def translations(spark: SparkSession) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caselattice.functions.scalar import draw
+from caselattice.operators.matrix import broken_ids, gathered
+from caselattice.operators.validation import distractor_level
+from caselattice.sources import catalog
+
 ATTRIBUTES = ["qty_ge_10", "disc_le_08", "not_returned", "tax_le_06", "price_lt_60k", "status_open", "shipped_from_1997"]
 LETTERS = ["A", "B", "C", "D"]
 
@@ -33,12 +38,25 @@ def constraints_of(item_id: Column) -> Column:
     )
 
 
+def _shaped(found: DataFrame) -> DataFrame:
+    """found (item_id, …) with k, cl, il and constraints, which depend on the id alone."""
+    k = F.size("constraints")
+    level = F.when(k == 3, "CL1").when(k == 5, "CL2").otherwise("CL3")
+    return found.withColumn("constraints", constraints_of(F.col("item_id"))).withColumns({"k": k, "cl": level, "il": F.when(F.col("item_id") % 2 == 0, "IL1").otherwise("IL2")})
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, k, cl, il, constraints)."""
     ids = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("item_id")).agg(F.count("*").alias("n")).filter("n >= 4")
-    found = ids.select("item_id", constraints_of(F.col("item_id")).alias("constraints"))
-    k = F.size("constraints")
-    return found.select("item_id", k.alias("k"), F.when(k == 3, "CL1").when(k == 5, "CL2").otherwise("CL3").alias("cl"), F.when(F.col("item_id") % 2 == 0, "IL1").otherwise("IL2").alias("il"), "constraints")
+    return _shaped(ids).select("item_id", "k", "cl", "il", "constraints")
+
+
+def item_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """items with sigs, valid, wrong and gold of matrix.item_signatures. Constraints follow from the id, so one shuffle of
+    the lines by it is all that this takes."""
+    lines = candidates(spark, sf)
+    signed = lines.select("item_id", "label", broken_ids(F.col("attributes"), constraints_of(F.col("item_id"))).alias("signature"))
+    return _shaped(gathered(signed)).select("item_id", "k", "cl", "il", "constraints", "sigs", "valid", "wrong", "gold")
 
 
 def _letter(n: Column) -> Column:
@@ -69,20 +87,68 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """(event_id, template, raw): seven shapes of raw text."""
+    """(event_id, template, raw): fourteen shapes of raw text."""
     k = F.get_json_object("props", "$.k").cast("int")
-    e = read(spark, sf, "events").select("event_id", (F.col("event_id") % 7).cast("int").alias("template"), _letter(k % 4).alias("x"), _letter((k + 1) % 4).alias("y"), k.alias("k"))
-    json = F.format_string('{"answer": "%s", "reasoning": "option A", "confidence": %s}', F.col("x"), (F.col("k") / 100.0).cast("string"))
-    raw = (
-        F.when(F.col("template") == 0, json)
-        .when(F.col("template") == 1, F.concat(json, F.lit(" and that is all")))
-        .when(F.col("template") == 2, F.concat(F.lit("{'answer': '"), F.col("x"), F.lit("'}")))
-        .when(F.col("template") == 3, F.concat(F.lit(" "), F.lower("x"), F.lit(" ")))
-        .when(F.col("template") == 4, F.concat(F.lit("Some thought.\nFinal answer: "), F.col("x")))
-        .when(F.col("template") == 5, F.concat(F.lit("Answer: "), F.col("x"), F.lit("\nFinal answer: "), F.col("y")))
-        .otherwise(F.concat(F.lit('{"answer": "'), F.col("x"), F.lit('", "confidence": ')))
-    )
-    return e.select("event_id", "template", raw.alias("raw"))
+    e = read(spark, sf, "events").select("event_id", (F.col("event_id") % 14).cast("int").alias("template"), _letter(k % 4).alias("x"), _letter((k + 1) % 4).alias("y"), k.alias("k"))
+    x, y, sure = F.col("x"), F.col("y"), (F.col("k") / 100.0).cast("string")
+    json = F.concat(F.lit('{"answer": "'), x, F.lit('", "reasoning": "option A", "confidence": '), sure, F.lit("}"))
+    shapes = [
+        json,
+        F.concat(json, F.lit(" and that is all")),
+        F.concat(F.lit("{'answer': '"), x, F.lit("'}")),
+        F.concat(F.lit(" "), F.lower(x), F.lit(" ")),
+        F.concat(F.lit("Some thought.\nFinal answer: "), x),
+        F.concat(F.lit("Answer: "), x, F.lit("\nFinal answer: "), y),
+        F.concat(F.lit('{"answer": "'), x, F.lit('", "confidence": ')),
+        F.concat(F.lit("\n"), x, F.lit("\t\n")),
+        F.concat(F.lit('The 5" one: '), json),
+        F.concat(json, F.lit("] and more")),
+        F.concat(F.lit('{"answer": "'), y, F.lit('", "answer": "'), x, F.lit('", "reasoning": "r", "confidence": 0.5}')),
+        F.concat(F.lit('{"reasoning": "Option '), x, F.lit('", "confidence": 0.5}')),
+        F.concat(F.lit('{"answer": "'), x, F.lit('", "reasoning": "r", "confidence": true}')),
+        F.concat(F.lit("I would take option "), x, F.lit(" over the rest")),
+    ]
+    return e.select("event_id", "template", F.element_at(F.array(*shapes), F.col("template") + 1).alias("raw"))
+
+
+def followups(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_id, template, raw, names): eight shapes of answers by label or by candidate's name."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    pool = F.array(*[F.lit(n) for n in catalog.NAMES])
+    names = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.element_at(pool, (F.pmod(F.col("event_id") + i, F.lit(len(catalog.NAMES))) + 1).cast("int")))
+    e = read(spark, sf, "events").select("event_id", (F.col("event_id") % 8).cast("int").alias("template"), _letter(k % 4).alias("x"), _letter((k + 1) % 4).alias("y"), (k % 4).alias("at"), names.alias("names"))
+    x, name = F.col("x"), F.get("names", F.col("at"))
+    rest = F.lit('", "reasoning": "r", "confidence": 0.5}')
+    shapes = [
+        F.concat(F.lit('{"answer": "'), x, rest),
+        F.concat(F.lit('{"answer": "option '), F.lower(x), rest),
+        F.concat(F.lit('{"answer": " '), F.upper(name), F.lit("."), rest),
+        F.concat(F.lit('So: {"answer": "'), name, F.lit('"}')),
+        F.concat(F.lit("Thought.\nFinal answer: "), F.lower(name), F.lit(". ")),
+        F.concat(F.lit("Answer: "), F.col("y"), F.lit("\nFinal answer: "), name),
+        F.concat(F.lit(" "), x, F.lit("\n")),
+        F.lit('{"answer": "Nobody", "reasoning": "r", "confidence": 0.5}'),
+    ]
+    return e.select("event_id", "template", F.element_at(F.array(*shapes), F.col("template") + 1).alias("raw"), "names")
+
+
+MODELS = ["m1", "m2"]
+
+
+def signed_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with exactly one valid candidate: (item_id, k, cl, ds, il, scenario, gold, constraints, sigs, wrong)."""
+    return item_signatures(spark, sf).filter("valid = 1").select("item_id", "k", "cl", F.coalesce(distractor_level(F.col("wrong"), F.col("k")), F.lit("other")).alias("ds"), "il", F.concat(F.lit("s"), F.col("item_id") % 4).alias("scenario"), "gold", "constraints", "sigs", "wrong")
+
+
+def picks(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs over the one-gold items: two models, three runs each, an answer drawn for each; (signed_items' columns,
+    model_alias, run_id, answer, extractable, valid, correct, selected signature)."""
+    grid = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(r).cast("long").alias("r")) for m in MODELS for r in (1, 2, 3)]))
+    each = signed_items(spark, sf).select("*", grid.alias("g")).select("*", F.col("g.m").alias("model_alias"), F.col("g.r").alias("run_id")).drop("g")
+    d = draw(F.lit("pick"), F.col("item_id"), F.col("model_alias"), F.col("run_id")) % 10
+    drawn = each.withColumn("d", d).withColumn("answer", F.when(F.col("d") < 4, _letter(F.col("d"))).when(F.col("d") != 8, F.col("gold")))
+    valid = F.col("answer").isNotNull() & (F.col("d") < 8)
+    return drawn.withColumns({"extractable": F.col("d") < 8, "valid": valid, "correct": valid & (F.col("answer") == F.col("gold"))}).withColumn("selected", F.coalesce(F.element_at("sigs", F.col("answer")), F.expr("cast(array() as array<string>)"))).drop("d")
 
 
 # The same tables for the DuckDB side, to stand before a query after WITH.
@@ -107,5 +173,16 @@ calls AS (SELECT item_id, 'f' || (item_id % 2) AS family, CASE model_alias WHEN
   run_id - 1 AS round, answer, correct, CASE WHEN answer IS NULL THEN [] ELSE ['C1', 'C2', 'C3'][1 : (ascii(answer) - ascii(gold_answer) + 4) % 4] END AS violations FROM runs WHERE model_alias IN ('click', 'purchase', 'view'))
 """
 RESPONSE_SQL = """
-raws AS (SELECT event_id, (event_id % 7)::INT AS template, ['A', 'B', 'C', 'D'][CAST(json_extract_string(props, '$.k') AS INT) % 4 + 1] AS x, ['A', 'B', 'C', 'D'][(CAST(json_extract_string(props, '$.k') AS INT) + 1) % 4 + 1] AS y, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+raws AS (SELECT event_id, (event_id % 14)::INT AS template, ['A', 'B', 'C', 'D'][CAST(json_extract_string(props, '$.k') AS INT) % 4 + 1] AS x, ['A', 'B', 'C', 'D'][(CAST(json_extract_string(props, '$.k') AS INT) + 1) % 4 + 1] AS y, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)
+"""
+FOLLOWUP_SQL = """
+told AS (SELECT event_id, (event_id % 8)::INT AS template, ['A', 'B', 'C', 'D'][CAST(json_extract_string(props, '$.k') AS INT) % 4 + 1] AS x, ['A', 'B', 'C', 'D'][(CAST(json_extract_string(props, '$.k') AS INT) + 1) % 4 + 1] AS y FROM events)
+"""
+# The one-gold items and the runs over them.
+DS_SQL = "CASE WHEN wrong[3] = 1 THEN 'DS3' WHEN wrong[1] >= ceil(k / 2.0) THEN 'DS1' WHEN wrong[1] = 1 AND wrong[2] >= 2 THEN 'DS2' ELSE 'other' END"
+PICK_SQL = ITEM_SQL + f""",
+signed AS (SELECT item_id, k, cl, {DS_SQL} AS ds, il, 's' || (item_id % 4) AS scenario, gold, wrong FROM items JOIN golds USING (item_id) WHERE valid = 1),
+drawn AS (SELECT *, ('0x' || substr(md5('pick|' || item_id || '|' || model_alias || '|' || run_id), 1, 8))::UBIGINT % 10 AS d FROM signed, (VALUES ('m1'), ('m2')) m(model_alias), (SELECT unnest(range(1, 4)) AS run_id)),
+chosen AS (SELECT *, CASE WHEN d < 4 THEN ['A', 'B', 'C', 'D'][d::INT + 1] WHEN d <> 8 THEN gold END AS answer, d < 8 AS extractable FROM drawn),
+picks AS (SELECT *, answer IS NOT NULL AND extractable AS valid, answer IS NOT NULL AND extractable AND answer = gold AS correct FROM chosen)
 """

@@ -12,19 +12,27 @@ def missing(jobs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return jobs.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends the batch's rows whose keys the table at path lacks; of a key's rows in the batch one."""
+def first_records(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of each key the row of the least `order`."""
+    rest = [c for c in batch.columns if c not in keys]
+    first = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_row"))
+    return first.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in batch.columns])
+
+
+def append_new(batch: DataFrame, path: str, keys: list[str], order: str | None = None) -> None:
+    """Appends the batch's rows whose keys the table at path lacks; of a key's rows in the batch the first by `order`, an
+    ingest sequence, or without one any. One writer at a time: two could both find a key missing."""
     spark = batch.sparkSession
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fresh = batch.dropDuplicates(keys)
+    fresh = first_records(batch, keys, order) if order else batch.dropDuplicates(keys)
     if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
         fresh = missing(fresh, spark.read.schema(batch.schema).parquet(path), keys)
     fresh.write.mode("append").parquet(path)
 
 
-def follow(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+def follow(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str | None = None) -> StreamingQuery:
     """Keeps the log at path up to date with a stream. A batch that is run again after a failure adds nothing twice."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: append_new(batch, path, keys)).start()
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: append_new(batch, path, keys, order)).start()
 
 
 def backfill(preflight: DataFrame, formal: DataFrame, keys: list[str], phase: str = "formal") -> DataFrame:

@@ -51,8 +51,11 @@ def test_signatures_follow_the_order_of_constraints(spark):
     assert got["A"] == ["C2", "C10"] and got["B"] == []
     cells = matrix.constraint_matrix(candidates, items)
     assert cells.filter("satisfied IS NULL").count() == 10
-    whole = matrix.item_signatures(candidates.filter("label != 'C'"), items).first()
-    assert (whole.gold, whole.valid, whole.wrong) == ("B", 1, [2])
+    # C has one of eleven attributes: what it lacks is not satisfied.
+    assert got["C"] == [f"C{i}" for i in range(2, 12)]
+    whole = matrix.item_signatures(candidates, items).first()
+    assert (whole.gold, whole.valid, whole.wrong) == ("B", 1, [2, 10])
+    assert matrix.missing_attributes(candidates, items).filter("label = 'C'").count() == 10
 
 
 def test_tampering_is_found(spark):
@@ -83,6 +86,16 @@ def test_ties_have_no_majority(spark):
         ("", None, "none"),
         ('say {"x": {"y": 1}, "answer": "D"} so', "D", "embedded_json"),
         ('set {A and {"reasoning": "B"}', None, "none"),
+        ("A\n", "A", "bare_answer"),
+        ("\n\tB ", "B", "bare_answer"),
+        ('{"answer": "A", "reasoning": "r", "confidence": 1}] junk', "A", "embedded_json"),
+        ('{"answer": "A"}, "<end of the response>"], [1', "A", "embedded_json"),
+        ('{"answer": "B", "answer": "C", "reasoning": "", "confidence": NaN}', "C", "strict_json"),
+        ('[{"answer": "D"}]', "D", "embedded_json"),
+        ('{"answer": ["A"]}', None, "none"),
+        ("1, 2", None, "none"),
+        ('The 5" one: {"answer": "C"}', "C", "malformed_json_answer_field"),
+        ("prose\nFinal answer = candidate a, surely", "A", "explicit_final_answer"),
     ],
 )
 def test_calibration_contract(spark, raw, answer, source):
@@ -96,6 +109,52 @@ def test_screening_contract_takes_mentions(spark):
     assert [(p.answer, p.parse_success) for p in got] == [("B", False), ("A", True), ("A", False), (None, False), (None, False)]
 
 
+@pytest.mark.parametrize(
+    "raw,answer,confidence,success,error",
+    [
+        ("A\n", "A", None, False, answers.NO_OBJECT),
+        ('The 5" one: {"answer": "C", "confidence": 0.8}', "C", 0.8, True, None),
+        ('{"reasoning": "Option B", "confidence": 0.5}', "B", 0.5, False, answers.BAD_ANSWER),
+        ('{"answer": "a.", "confidence": true}', "A", 1.0, True, None),
+        ('{"answer": "A", "confidence": 1.5}', "A", 1.5, False, answers.OUT_OF_RANGE),
+        ('{"answer": "Q"}', None, None, False, f"{answers.BAD_ANSWER}; {answers.NO_CONFIDENCE}"),
+        ('["Option C"]', "C", None, False, answers.NOT_OBJECT),
+        ("{'answer': 'A'}", None, None, False, answers.NO_DECODE),
+        ('{"answer": "A", "answer": "B", "confidence": 0}', "B", 0.0, True, None),
+        ('x {"answer": "D", "confidence": "0.25"} {"answer": "A"}', "D", 0.25, True, None),
+    ],
+)
+def test_screening_contract(spark, raw, answer, confidence, success, error):
+    got = spark.createDataFrame([(raw,)], "raw string").select(answers.parse_screening(F.col("raw")).alias("p")).first().p
+    assert (got.answer, got.confidence, got.parse_success, got.parse_error) == (answer, confidence, success, error)
+
+
+def test_followup_contract(spark):
+    names = ["Ann Lee", "Bo", "Cy", "Di"]
+    given = ['{"answer": "ann lee", "reasoning": "r", "confidence": 0.5}', '{"answer": "b", "reasoning": "r", "confidence": 0.5}', '{"answer": "B", "reasoning": "r", "confidence": 0.5}', "Answer: Bo.", "Answer: A\nAnswer: Bo", "Bo", None]
+    df = spark.createDataFrame([(x, names) for x in given], "raw string, names array<string>").withColumn("s", answers.salvage(F.col("raw")))
+    df = df.withColumns({"base": answers.parse_calibration(F.col("raw"), F.col("s")), "map": answers.name_map(F.col("names"))})
+    got = [r.p for r in df.select(answers.parse_followup(F.col("raw"), F.col("map"), F.col("base"), F.col("s")).alias("p")).collect()]
+    assert [p.answer for p in got] == ["A", "B", "B", "B", None, None, None]
+    assert [p.compliant for p in got] == [False, False, True, False, False, False, False]
+    assert got[4].source == "conflicting_answers" and got[4].candidates == ["A", "B"] and got[0].name_used
+    odd = spark.createDataFrame([(["a", "A", "b", "c"],), (["a", " ", "b", "c"],), (names,)], "names array<string>")
+    assert [r.m is None for r in odd.select(answers.name_map(F.col("names")).alias("m")).collect()] == [True, True, False]
+
+
+def test_open_rounds_stop_at_the_first_gap(spark):
+    rows = [(1, "f", a, r) for r in (0, 1) for a in ("A1", "A2", "A3")] + [(2, "f", "A1", 0)] + [(2, "f", a, 1) for a in ("A1", "A2", "A3")]
+    got = {r.item_id: r.next_round for r in debate.open_rounds(spark.createDataFrame(rows, "item_id int, family string, agent_id string, round int"), 3).collect()}
+    assert got == {1: 2, 2: 0}
+
+
+def test_positions_across_blocks(spark):
+    ids = [3, 5, 9, 10, 11, 40, 41, 99, 100, 250]
+    df = spark.createDataFrame([(k, i) for k in "ab" for i in ids[: len(ids) - (k == "b")]], "key string, id long")
+    got = sorted((r.key, r.id, r.pos, r.size) for r in runs.placed(df, "key", "id", block=4).collect())
+    assert got == [(k, i, p, len(ids) - (k == "b")) for k in "ab" for p, i in enumerate(ids[: len(ids) - (k == "b")])]
+
+
 def test_balanced_objects(spark):
     given = ['a {"x": "}{"} b {"y": {"z": 1}} c {', '{"open": "no end}', None, "}{}"]
     got = [r.o for r in spark.createDataFrame([(x,) for x in given], "raw string").select(answers.json_objects(F.col("raw")).alias("o")).collect()]

@@ -49,6 +49,9 @@ def test_keyed_logs(spark, tmp_path):
     logs.append_new(log, f"{tmp_path}/log", ["item_id"])
     logs.append_new(log.withColumn("item_id", F.col("item_id") + 1), f"{tmp_path}/log", ["item_id"])
     assert sorted(r.item_id for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [1, 2, 3]
+    again = spark.createDataFrame([(8, 2, "later"), (8, 1, "first")], "item_id int, seq int, what string")
+    logs.append_new(again, f"{tmp_path}/first", ["item_id"], order="seq")
+    assert [r.what for r in spark.read.parquet(f"{tmp_path}/first").collect()] == ["first"]
     assert logs.backfill(log, spark.read.parquet(f"{tmp_path}/log"), ["item_id"]).count() == 0
 
 

@@ -59,6 +59,23 @@ def test_every_stable_wrong_item_meets_all_controls(spark, sf, folder):
     assert got == want and want
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_controls_are_used_once(spark, sf, folder):
+    at = sf.replace("sf0.001", folder)
+    seen = {}
+    for r in X.runs(spark, at).collect():
+        seen.setdefault((r.model_alias, r.item_id, r.cl, r.il), []).append((r.answer, r.correct))
+    full = {k: [c for _, c in v] for k, v in seen.items() if len(v) == 3 and all(a is not None for a, _ in v)}
+    free, want = {k for k, v in full.items() if all(v)}, {}
+    for m, i, cl, il in sorted(k for k, v in full.items() if not any(v)):
+        near = min((((cl != c[2]) + (il != c[3]), c[1], c) for c in free if c[0] == m), default=None)
+        want[m, i] = near and near[1]
+        if near:
+            free.remove(near[2])
+    got = {(r.model_alias, r.item_id): r.control_id for r in QUERIES["jon16b_controls_used_once"](spark, at).collect()}
+    assert got == want and len(set(want.values())) > 1
+
+
 @pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
 def test_no_item_is_without_a_row(spark, sf, folder):
     at = sf.replace("sf0.001", folder)
@@ -94,8 +111,7 @@ def test_stable_controls_are_right_throughout(spark, sf, tmp_path):
 def test_high_priority_needs_a_single_violation(spark, sf):
     seen = {}
     for r in X.runs(spark, sf).collect():
-        if r.run_id <= 2 and r.model_alias in ("click", "purchase", "view"):
-            seen.setdefault(r.item_id, []).append(r)
+        seen.setdefault(r.item_id, []).append(r)
     want = {}
     for i, six in seen.items():
         mixed = 0 < sum(r.correct for r in six) < len(six)
