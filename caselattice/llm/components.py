@@ -1,13 +1,14 @@
 """Connected components by alternating stars, with built-in functions.
 
 Each round points every node at the least id among itself and its neighbours, first over the larger neighbours, then over
-the smaller; paths become stars in about log rounds. Edges are kept in a stored table between rounds. A centre's edges are
-dealt to SALTS parts by their other end: each part sends its least id only, and learns the centre's, so a node of any number
-of neighbours is never read by one task."""
+the smaller; paths become stars in about log rounds. Edges are kept in a stored table between rounds. A centre that many
+larger nodes are linked to has its edges dealt to SALTS parts by their other end: each part sends its least id only, and
+learns the centre's, so such a node is never read by one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselattice.llm.names import unused
@@ -21,21 +22,21 @@ def with_least(df: DataFrame, key: str, by: str, value: Column, out: str) -> Dat
     (part,) = unused(df, "_part")
     salted = df.withColumn(part, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     least = salted.groupBy(key, part).agg(F.min(value).alias(out))
-    whole = least.groupBy(F.col(key).alias("_whole")).agg(F.min(out).alias(out))
-    told = least.select(F.col(key).alias("_key"), F.col(part).alias("_told")).join(whole, F.col("_key") == F.col("_whole")).drop("_whole")
+    # At most SALTS rows a key.
+    told = least.select(F.col(key).alias("_key"), F.col(part).alias("_told"), F.min(out).over(W.partitionBy(key)).alias(out))
     return salted.join(told, (F.col(key) == F.col("_key")) & (F.col(part) == F.col("_told"))).select(*df.columns, out)
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     known = with_least(both, "u", "v", F.col("v"), "m").filter("v > u")
-    return known.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v").distinct()
+    return known.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    known = with_least(edges, "u", "v", F.col("v"), "m")
-    # The edge to the least neighbour stays; the other neighbours are pointed at it.
-    return known.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return least.withColumnRenamed("m", "v").unionByName(moved).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

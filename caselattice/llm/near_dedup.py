@@ -9,7 +9,7 @@ Texts with the same words are one node from the start, so groups of copies cost
 first every member is aligned with one other: the bucket's least node or, in a bucket of more than STAR, the least of its
 part, and the parts' least with the bucket's. Where all members are then one component, nothing is left to be found. In
 other buckets the pairs across components follow, less those whose lengths or word counts rule a link out: in buckets of
-up to BLOCK inside a task, each pair in the least of the buckets that it shares and no more once its components have met;
+up to LARGE inside a task, each pair in the least of the buckets that it shares and no more once its components have met;
 in larger ones only pairs that share one of their rarest words, of which near texts must share one (see _rare_pairs).
 So no link between candidates that would change a class is lost, and no group is paired with itself for nothing.
 
@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselattice.llm import alignment
@@ -38,7 +39,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 N_SKETCHES, LENGTH = 96, 2
 #: Members of a bucket's part, which are aligned with the part's least.
 STAR = 512
-#: Members of a bucket, and words in it, that one task pairs with as many others.
+#: Members of a bucket that are paired in a task; those of larger ones meet by their rarest words.
+LARGE = 256
+#: Members with a rare word, and words in a bucket, that one task pairs with as many others.
 BLOCK, WEIGHT = 2048, 1 << 22
 _BINS = 256
 _STEP = 256
@@ -362,21 +365,30 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     wanted = members.select("node").distinct().join(nodes.select("node", "id", "mark"), "node")
     held = texts.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark", "node"]).select("node", "text")
-    words = stored(_map_words(held, "text", "node long, n int, bag binary, words binary", word_hashes, body))
+    words = stored(_map_words(held, "text", "node long, n int, bag binary, words binary", word_hashes, body).join(sketched, "node"))
     near = stored(verify(_stars(members), words, similarity))
 
-    placed = members.join(components(near), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    roots = stored(components(near))
+    placed = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     # Only pairs without the least of a small bucket are left to be aligned.
     mixed = placed.filter((F.col("size") > STAR) | (F.col("node") != F.col("least"))).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
     open_members = stored(placed.join(mixed, "key", "left_semi"))
     discard(members)
-    small, large = open_members.filter(F.col("size") <= BLOCK), open_members.filter(F.col("size") > BLOCK)
-    weights = small.join(words.select("node", "n"), "node").groupBy("key").agg(F.sum("n").alias("weight"))
-    more = stored(_across(small.join(weights, "key").join(sketched, "node").join(words, "node"), similarity))
-    late = stored(verify(_rare_pairs(large.select("node", "comp").distinct().join(words, "node"), similarity), words, similarity))
+    small, large = open_members.filter(F.col("size") <= LARGE), open_members.filter(F.col("size") > LARGE)
+    # A window over a bucket of at most LARGE.
+    weighed = small.join(words.select("node", "n"), "node").withColumn("weight", F.sum("n").over(W.partitionBy("key"))).drop("n")
+    more = stored(_across(weighed.join(words, "node"), similarity))
+    late = stored(verify(_rare_pairs(large.select("node", "comp").distinct().join(words.drop("keys"), "node"), similarity), words, similarity))
     discard(sketched, open_members, words)
 
-    final = stored(components(near.unionByName(more).unionByName(late)))
+    # Later links unite whole components: those few are the nodes of a graph of their own.
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    links = more.unionByName(late).join(root("a"), "a", "left").join(root("b"), "b", "left")
+    merged = components(links.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+    # A node that is in no earlier component is its own.
+    alone = merged.join(roots.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
+    moved = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    final = stored(roots.unionByName(alone).join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")))
     named = with_least(nodes.select("node", "id", "mark").join(final, "node"), "root", "node", F.struct("id", "mark"), "first").select("node", "first")
     return owners.join(named, "node", "left").select("id", "mark", F.coalesce("first.id", "own_id").alias("group_id"), F.coalesce("first.mark", "own_mark").alias("group_mark"))
 

@@ -40,9 +40,10 @@ def near_copies(rng):
     return [" ".join(t) for t in texts]
 
 
-@pytest.mark.parametrize("block,star,weight", [(2048, 512, 1 << 22), (2048, 4, 300), (3, 2, 1 << 22)])
-def test_classes_against_all_pairs(spark, monkeypatch, block, star, weight):
+@pytest.mark.parametrize("large,block,star,weight", [(256, 2048, 512, 1 << 22), (256, 2048, 4, 300), (3, 3, 2, 1 << 22)])
+def test_classes_against_all_pairs(spark, monkeypatch, large, block, star, weight):
     """Whole buckets in a task; buckets in parts and blocks; buckets too large for one, by their rarest words."""
+    monkeypatch.setattr(near_dedup, "LARGE", large)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "STAR", star)
     monkeypatch.setattr(near_dedup, "WEIGHT", weight)
