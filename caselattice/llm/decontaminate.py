@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from caselattice.llm.arrays import bound
 from caselattice.llm.names import unused
-from caselattice.llm.storage import stored
+from caselattice.llm.storage import discard, stored
 
 SIZE, THRESHOLD = 5, 0.8
 #: Signature values, of 24 bytes, that go to every executor at most.
@@ -88,9 +88,14 @@ def find_leaks(df: DataFrame, text: str, items: DataFrame, item_id: str = "item_
     hits = each.join(F.broadcast(values) if small else values, F.col("h") == F.col("value"))
     # Copies of a text add up to more than its own hits: its need is met all the sooner, and what holds is compared below.
     candidates = hits.groupBy("_t1", "_t2", "item").agg(F.count("*").alias("hits"), F.first("need").alias("need")).filter("hits >= need")
-    near = candidates.join(known.select("item", "item_id", "n", "shingles"), "item").groupBy("_t1", "_t2").agg(F.collect_list(F.struct("item_id", "n", "shingles")).alias("near"))
+    pairs = stored(candidates.select("_t1", "_t2", "item"))
+    # Few documents are candidates: their keys, not the corpus, go where the other is, as long as they fit a broadcast.
+    texts = df.select(*[v.alias(k) for k, v in keys.items()], F.col(text).alias("text"))
+    held = stored(texts.join(pairs.select("_t1", "_t2").distinct(), ["_t1", "_t2"], "left_semi").dropDuplicates(["_t1", "_t2"]))
+    near = pairs.join(known.select("item", "item_id", "n", "shingles"), "item").groupBy("_t1", "_t2").agg(F.collect_list(F.struct("item_id", "n", "shingles")).alias("near"))
     # Stored before it is filtered: a filter would be pushed below with a copy of all the comparing in it.
-    found = stored(_compared(df.select(*[v.alias(k) for k, v in keys.items()], F.col(text).alias("text")), stored(near), lengths, threshold)).filter(F.size("leaks") > 0)
+    found = stored(_compared(held.join(near, ["_t1", "_t2"]), lengths, threshold)).filter(F.size("leaks") > 0)
+    discard(pairs, held)
 
     own1, own2 = unused(df, "_t1", "_t2")
     told = found.select(F.col("_t1").alias(f"{own1}_of"), F.col("_t2").alias(f"{own2}_of"), F.col("leaks").alias(f"{own1}_leaks"))
@@ -98,8 +103,8 @@ def find_leaks(df: DataFrame, text: str, items: DataFrame, item_id: str = "item_
     return joined.withColumn("leaks", F.coalesce(f"{own1}_leaks", none)).drop(own1, own2, f"{own1}_of", f"{own2}_of", f"{own1}_leaks")
 
 
-def _compared(texts: DataFrame, near: DataFrame, lengths: list[int], threshold: float) -> DataFrame:
-    """(_t1, _t2, leaks) of the texts (_t1, _t2, text) that are near to an item."""
+def _compared(candidates: DataFrame, lengths: list[int], threshold: float) -> DataFrame:
+    """(_t1, _t2, leaks) of candidates (_t1, _t2, text, near: array of items)."""
 
     def held(n: int):
         def by(own: Column) -> Column:
@@ -110,8 +115,6 @@ def _compared(texts: DataFrame, near: DataFrame, lengths: list[int], threshold:
         return by
 
     none = F.expr("cast(array() as array<string>)")
-    one = texts.join(near, ["_t1", "_t2"]).dropDuplicates(["_t1", "_t2"])
-
     def every(words: Column) -> Column:
         # A document's shingles are made once, not once an item.
         return F.flatten(F.array(*[bound(F.coalesce(_shingles(words, n), none), held(n)) for n in lengths]))
@@ -120,4 +123,4 @@ def _compared(texts: DataFrame, near: DataFrame, lengths: list[int], threshold:
         F.array_distinct(F.transform(all_, lambda x: x["item_id"])),
         lambda i: F.struct(i.alias("item_id"), F.array_max(F.transform(F.filter(all_, lambda x: x["item_id"].eqNullSafe(i)), lambda x: x["containment"])).alias("containment")),
     )
-    return one.select("_t1", "_t2", F.array_sort(bound(bound(words_of(F.col("text")), every), best)).alias("leaks"))
+    return candidates.select("_t1", "_t2", F.array_sort(bound(bound(words_of(F.col("text")), every), best)).alias("leaks"))
