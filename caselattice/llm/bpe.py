@@ -5,7 +5,7 @@ may take; each chunk is pre-tokenised from its own start. The pre-token boundari
 their overlap (from one common boundary on they agree for good, as a match depends on what follows alone), and there
 the text is stitched: the pieces between such boundaries are encoded apart and their ids joined. If an overlap holds no
 common boundary, as in one run of letters longer than it, the stitch pre-tokenises on from the last sure boundary until
-it meets the next chunk's. Decoding concatenates the bytes of the ids.
+it meets the next chunk's, and goes on from there in later chunks. Decoding concatenates the bytes of the ids.
 
 Defined results: null text counts as empty and gives no ids; ids decode to the very bytes; a null list of ids decodes to
 the empty text; an id outside the vocabulary is an error. Other columns pass through. `ids` takes the place of the text:
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caselattice.llm.storage import stored
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
 #: A match that ends this near to the end of a chunk might go on, or be another, in the whole text.
@@ -77,24 +79,25 @@ def stitch(text: str, chunks: list[tuple[int, list[int]]], pattern: regex.Patter
 
     chunks: start and absolute pre-token ends of each, in order. A chunk's ends are sure from a boundary on that is
     sure in the one before, and up to _MARGIN before the chunk's end."""
-    cuts, sure = [0], {0}
+    cuts, sure, walk = [0], {0}, None
     for k, (start, ends) in enumerate(chunks):
         limit = len(text) if k == len(chunks) - 1 else chunks[k + 1][0] + overlap - _MARGIN
         own = {e for e in (start, *ends) if e <= limit}
         met = min(own & sure, default=None)
         if met is None:
-            # No common boundary in the overlap: walk on from the last sure one until this chunk's are met or end.
-            walked = {max(sure)}
-            for e in boundaries(text, pattern, max(sure)):
-                walked.add(e)
-                if e in own or e > limit:
-                    break
-            met = min(own & walked, default=None)
+            # No common boundary in the overlap: walk on from the last sure one until this chunk's are met or end. A walk
+            # that has not met a chunk's goes on in the next, so no stretch of the text is walked twice.
+            at = max(sure)
+            if walk is None:
+                walk, sure = boundaries(text, pattern, at), {at}
+            while at <= limit and at not in own and (e := next(walk, None)) is not None:
+                at = e
+                sure.add(e)
+            met = min(own & sure, default=None)
             if met is None:
-                sure = walked
                 continue
         cuts.append(met)
-        sure = {met, *(e for e in own if e > met)}
+        sure, walk = {met, *(e for e in own if e > met)}, None
     return sorted({*cuts, len(text)})
 
 
@@ -118,7 +121,7 @@ def _encode_long(df: DataFrame, text: str, ids: str, vocabulary: Vocabulary, siz
     """The long texts' way: cut, pre-tokenise, stitch, encode, join."""
     others = [c for c in df.columns if c not in (text, ids)]
     pattern = vocabulary.pattern
-    # The number only tells rows apart inside this plan; a row's chunks are all cut from one reading of it.
+    # The number tells rows apart in one stored table, which all that follows reads.
     numbered = df.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("_others"))
     others_type = numbered.schema["_others"].dataType
     shape = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_start", T.LongType()), T.StructField("_chunk", T.StringType()), T.StructField("_others", others_type)])
@@ -130,7 +133,7 @@ def _encode_long(df: DataFrame, text: str, ids: str, vocabulary: Vocabulary, siz
                     rest = batch.column(2).slice(k, 1) if start == 0 else pa.nulls(1, batch.column(2).type)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([start], pa.int64()), pa.array([piece], pa.string()), rest], names=shape.names)
 
-    chunks = numbered.mapInArrow(chunk, shape).repartition("_row", "_start")
+    chunks = stored(numbered.mapInArrow(chunk, shape).repartition("_row", "_start"))
     with_ends = T.StructType([*shape.fields, T.StructField("_ends", T.ArrayType(T.LongType()))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

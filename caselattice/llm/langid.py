@@ -1,9 +1,10 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax and a calibrated rejection.
 
-Learns from about per_lang documents of each of the max_langs commonest languages, picked by a hash of the id; a fifth of
-them sets the temperature and the least score from which on a prediction is trusted. Defined results: text that is null
-or has no letter gets `und` and score 0; if nothing could be learned, so does every text. `rejected` marks predictions
-below the trusted score; their best language is still given."""
+Learns from about per_lang documents of every language, picked by a hash of the id; a fifth of them sets the temperature
+and the least score from which on a prediction is trusted. Defined results: text that is null or has no letter gets `und`
+and score 0; if nothing could be learned, so does every text. `rejected` marks predictions below the trusted score; their
+best language is still given. Rows that share an id and a language teach by one text, the least; ties between languages go
+to the first by name. Very long texts are read whole. The operator's own columns replace columns of the same names."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ from caselattice.llm import subword_model
 from caselattice.llm.names import unused
 from caselattice.llm.text_kernel import WORD_BYTES, Features
 
-PER_LANG, MAX_LANGS = 800, 200
+PER_LANG = 800
 #: Share of calibration rows that a trusted prediction gets right, at least.
 TRUST = 0.99
 
@@ -27,17 +28,22 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(documents: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> tuple[subword_model.Model, float]:
+def fit(documents: DataFrame, per_lang: int = PER_LANG) -> tuple[subword_model.Model, float]:
     """documents (doc_id, text, lang): the model and the least trusted score."""
     usable = documents.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    # A row a language, as many as the model then has classes.
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
     features = Features(WORD_BYTES)
+    nothing = subword_model.Model([None], features, np.zeros((features.size, 1)), np.zeros(1)), 0.0
     if not counts:
-        return subword_model.Model([None], features, np.zeros((features.size, 1)), np.zeros(1)), 0.0
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_lang / r["n"])])
+        return nothing
+    share = F.map_from_arrays(F.array(*[F.lit(r["lang"]) for r in counts]), F.array(*[F.lit(per_lang / r["n"]) for r in counts]))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    sample = usable.filter(place < F.element_at(share, F.col("lang"))).select("text", "lang")
+    # One text an id, so that a repeated id does not fill the sample.
+    sample = usable.filter(place < F.element_at(share, F.col("lang"))).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     y, docs = subword_model.featurize(sample, "text", "lang", features)
+    if not y:
+        return nothing
     back = np.arange(len(y)) % 5 == 4
     pick = lambda values, keep: [v for v, k in zip(values, keep, strict=True) if k]
     model = subword_model.learn(pick(y, ~back), pick(docs, ~back), features)

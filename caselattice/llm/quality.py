@@ -1,9 +1,11 @@
 """Quality classifier: supervised subword embeddings over case and punctuation as they stand.
 
-Learns from at most 2 * per_class labelled rows, those of the smallest hashes of their ids in each class, so that the
+Learns from at most 2 * per_class labelled documents, those of the smallest hashes of their ids in each class, so that the
 sample does not change with partitioning; the classes' true shares then correct the score. Defined results: null and
 empty texts get the score of the classes' shares; without labels of both classes every text gets the share of label 1
-(0.5 without any). Rows of labels that name no document, or hold a null, teach nothing."""
+(0.5 without any). Rows of labels that name no document or hold a null teach nothing and are in no share, nor is an id that
+is labelled both ways. Documents that share an id teach by one text, the least. A score of just the threshold is predicted
+1. Very long texts are read whole. The operator's own columns replace columns of the same names."""
 
 from __future__ import annotations
 
@@ -27,11 +29,13 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> subword_model.Model:
     """documents (doc_id, text), labels (doc_id, quality): a model whose classes are 0 and 1."""
-    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    named = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+    agreed = named.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("most")).filter("quality = most").drop("most")
+    usable = agreed.join(documents.select("doc_id"), "doc_id", "left_semi")
     shares = {r["quality"]: r["n"] for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    picks = [usable.filter(F.col("quality") == c).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    picks = [usable.filter(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     # Broadcast: at most 2 * per_class ids.
-    sample = documents.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")
+    sample = documents.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     y, docs = subword_model.featurize(sample, "text", "quality", Features(PRINT_BYTES))
     model = subword_model.learn(y, docs, Features(PRINT_BYTES))
     if model.classes != [0, 1]:

@@ -37,6 +37,33 @@ def test_stitch_finds_only_true_boundaries():
         assert set(bpe.stitch(t, chunks, compiled, 8)) <= true
 
 
+def test_bpe_of_long_texts_at_the_default_sizes(spark):
+    rng = random.Random(8)
+    prose = " ".join("".join(rng.choice("abcdefé ") for _ in range(rng.randint(1, 9))) for _ in range(40_000))
+    texts = [prose, "a" * 200_000, "x" * 70_000 + " " + prose[:90_000]]
+    df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id int, text string, ids string")
+    encoder = bpe.Vocabulary(bpe.RANKS, public_tokenizers.PATTERN).encoder()
+    for r in bpe.decode_bpe(bpe.encode_bpe(df, "text"), "ids").collect():
+        assert len(texts[r.doc_id]) > bpe.CHUNK_CHARS and bytes(r.decoded).decode() == texts[r.doc_id]
+        if r.doc_id != 1:  # one run of 200,000 letters takes the plain encoder minutes
+            assert r.ids == encoder.encode_ordinary(texts[r.doc_id])
+
+
+def test_a_run_without_boundaries_is_walked_once():
+    class Counted:
+        pattern, steps = regex.compile(public_tokenizers.PATTERN), 0
+
+        def finditer(self, text, start):
+            for m in self.pattern.finditer(text, start):
+                Counted.steps += 1
+                yield m
+
+    text = "a b " + "c" * 4000 + " d e f g h"
+    chunks = [(s, [s + e for e in bpe.boundaries(c, Counted.pattern)]) for s, c in bpe.cut(text, 20, 8)]
+    cuts = bpe.stitch(text, chunks, Counted(), 8)
+    assert set(cuts) <= {0, *bpe.boundaries(text, Counted.pattern)} and Counted.steps < 20
+
+
 def test_bpe_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id int, text string")
     assert bpe.decode_bpe(bpe.encode_bpe(df, "text"), "ids").count() == 0
@@ -123,6 +150,50 @@ def test_held_out_accuracy(spark, sf):
     assert len(out) > 30 and np.mean([r.lang_pred == r.lang for r in out]) >= 0.95
 
 
+def by_every_feature(model, text):
+    """Embeds each feature, averages, softmax: in plain Python, from the features' own definition."""
+    total, n = [0.0] * len(model.classes), 0
+    ids, counts = model.features.counts(text.encode())
+    for i, c in zip(ids.tolist(), counts.tolist(), strict=True):
+        n += c
+        total = [t + c * model.scores[i][k] for k, t in enumerate(total)]
+    z = [(t / max(n, 1) + b) * model.temperature for t, b in zip(total, model.bias.tolist(), strict=True)]
+    e = [2.718281828459045 ** (x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_queries_score_as_by_every_feature(spark, sf):
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    model = quality.fit(documents, labels)
+    for r in quality.score_quality(documents.select("doc_id", "text"), "text", model).collect():
+        assert r.score == pytest.approx(by_every_feature(model, texts[r.doc_id])[1], abs=1e-6) and r.predicted == (r.score >= quality.THRESHOLD)
+    spoken, trusted = langid.fit(documents)
+    for r in langid.predict_language(documents.select("doc_id", "text"), "text", spoken, trusted).collect():
+        if r.lang_pred != "und":
+            p = by_every_feature(spoken, texts[r.doc_id])
+            assert r.lang_pred == spoken.classes[int(np.argmax(p))] and r.score == pytest.approx(max(p), abs=1e-6)
+
+
+def test_labels_without_documents_fill_no_sample(spark):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad $$ %% junk ") * 5) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1) for i in range(1000, 4000)] + [(7, 0), (9, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, per_class=40)
+    got = quality.score_quality(docs, "text", model).collect()
+    assert model.classes == [0, 1] and np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.9
+
+
+def test_every_language_can_be_named(spark):
+    names = [f"l{i:03d}" for i in range(230)]
+    rows = [(k * 230 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 12, n) for k in range(6) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, _ = langid.fit(df, per_lang=4)
+    assert model.classes == names
+    clash = df.limit(3).withColumn("score", F.lit("x")).withColumn("rejected", F.lit(1))
+    got = langid.predict_language(clash, "text", model)
+    assert got.schema["score"].dataType.simpleString() == "double" and got.count() == 3
+
+
 def test_models_of_odd_tables(spark):
     shape = "doc_id long, text string, lang string"
     odd = spark.createDataFrame([(None, None, "en"), (1, "", None), (1, "123 ...", "en"), (2, "the cat", "en"), (2, "the cat", "en")], shape)
