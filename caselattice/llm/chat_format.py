@@ -1,13 +1,16 @@
 """Chat formatting by schema fingerprints, with built-in functions only.
 
-A record arrives as a VARIANT. The set of its nested field paths, without scalar types, is hashed; the hash selects one
-of the declared layouts, whose mapping turns the record into canonical turns (role, text). A template then marks the
-turns and escapes control strings inside roles and texts reversibly, and a loss mask covers the assistant texts.
+A record arrives as a VARIANT. The set of its nested field paths, without scalar types and without fields whose names no
+layout knows, is hashed; the hash selects one of the declared layouts, whose mapping turns the record into canonical turns
+(role, text). A template then marks the turns and escapes control strings inside roles and texts reversibly, and a loss mask
+covers the assistant texts.
 
 Defined results: a null or malformed record, and one whose fingerprint no layout declares, has a null layout, null turns
-and null formatted text and stays in the output; null roles and texts are empty strings; a record without turns has
-empty formatted text. Other columns pass through, whatever their names: the operator's own columns replace columns of the
-same names.
+and null formatted text and stays in the output; null roles and texts are empty strings; a record of a layout's list
+without turns has empty formatted text; repeated rows are each formatted for themselves; very long texts are formatted
+whole, a conversation within the limits of one VARIANT (128 MB); turns that tie are ordered by role, then text. Other columns
+pass through, whatever their names: the operator's own columns replace columns of the same names. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -41,6 +44,11 @@ def _list_of(path: str, role: str, text: str) -> str:
     return f"transform(try_variant_get(r, '{path}', 'array<struct<{role}:string,{text}:string>>'), x -> struct(x.{role} AS role, x.{text} AS text))"
 
 
+def _none_of(path: str) -> str:
+    """No turns if the list is empty; a list of other things than turns gives null."""
+    return f"CASE WHEN size(try_variant_get(r, '{path}', 'array<variant>')) = 0 THEN cast(array() AS {_TURNS}) END"
+
+
 def _turn(role: str, text: str) -> str:
     return f"struct('{role}' AS role, {text} AS text)"
 
@@ -54,6 +62,9 @@ LAYOUTS = (
     Layout("messages", ("messages[].content", "messages[].role"), _list_of("$.messages", "role", "content")),
     Layout("bare_messages", ("[].content", "[].role"), _list_of("$", "role", "content")),
     Layout("from_value", ("conversations[].from", "conversations[].value"), _list_of("$.conversations", "`from`", "value"), _HUMAN),
+    Layout("no_messages", ("messages[]",), _none_of("$.messages")),
+    Layout("no_bare_messages", ("[]",), _none_of("$")),
+    Layout("no_from_value", ("conversations[]",), _none_of("$.conversations")),
     Layout("instruction", ("instruction", "output"), f"array({_turn('user', _get('instruction'))}, {_turn('assistant', _get('output'))})"),
     Layout(
         "instruction_input",
@@ -83,9 +94,19 @@ def skeleton_of(paths: tuple[str, ...]) -> str:
     return show(tree)
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of a variant's nested field paths; scalar types and nulls do not matter."""
-    return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), _SCALARS, "_"))
+def field_names(layouts: tuple[Layout, ...]) -> set[str]:
+    return {part for x in layouts for path in x.paths for part in path.replace("[]", "").split(".") if part}
+
+
+def fingerprint(record: Column, known: set[str]) -> Column:
+    """Hash of a variant's nested field paths; scalar types, nulls and fields of unknown names do not matter. An unknown
+    field goes with what it holds, from the inside out, three levels deep; one that holds a known name stays."""
+    shape = F.regexp_replace(F.schema_of_variant(record), _SCALARS, "_")
+    names = "|".join(sorted(known))
+    for _ in range(3):
+        shape = F.regexp_replace(shape, rf"(?<=[<,] ?)(?!(?:{names}): )(?:`[^`]*`|[^<>,:` ]+): (?:_|OBJECT<>|ARRAY<_>|ARRAY<OBJECT<>>)(?=[,>])(?:, )?", "")
+        shape = F.regexp_replace(shape, ", >", ">")
+    return F.xxhash64(shape)
 
 
 def escape(text: Column) -> Column:
@@ -127,7 +148,7 @@ def canonical_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LA
         is_it = print_of == F.xxhash64(F.lit(skeleton_of(x.paths)))
         layout = F.when(is_it, F.lit(x.name)).otherwise(layout)
         turns = F.when(is_it, F.transform(found, _cleaner(x.roles))).otherwise(turns)
-    known = df.withColumn(mark, fingerprint(F.col(record)))
+    known = df.withColumn(mark, fingerprint(F.col(record), field_names(layouts)))
     return known.withColumns({"layout": layout, "turns": turns}).drop(mark)
 
 

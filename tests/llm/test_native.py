@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -125,6 +126,81 @@ def test_pattern_rules_run_only_on_their_token(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "url string"), "url", []).count() == 0
 
 
+def spans_by_hand(text):
+    """The entropy spans: candidate strings of a class of which some window reaches the class's bits."""
+    out = []
+    for m in re.finditer(f"{secret_scan._CANDIDATE_CLASS}{{{secret_scan.WINDOW},}}", text):
+        t = m[0]
+        digit, low, high = (re.search(x, t) is not None for x in ("[0-9]", "[a-z]", "[A-Z]"))
+        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) and digit and re.search("[A-Fa-f]", t):
+            bits = secret_scan.HEX_BITS
+        elif digit and low and high:
+            bits = secret_scan.MIXED_BITS
+        elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", t) and len(re.findall("[0-9]", t)) >= 4 and (low or high):
+            bits = secret_scan.ONE_CASE_BITS
+        else:
+            continue
+        allowed = any(re.search(p.replace(r"\z", r"\Z"), t) for p in secret_scan.ALLOW)
+        if not allowed and entropy(t) >= bits - 1e-12:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_entropy_spans_and_many_hits_against_brute_force(spark):
+    rng = random.Random(4)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEFGHJKLMNP", "abcdefghijklmnopqrstuvwxyz0123456789", "aAbB019", "ab01", "abcXYZ0123456789+/_=-", "abcdefgh-"]
+    texts = []
+    for n in (40, 700, 1500):
+        words = ["".join(rng.choice(rng.choice(alphabets)) if rng.random() < 0.1 else rng.choice(a) for _ in range(rng.randint(5, 60))) for a in (rng.choice(alphabets) for _ in range(n))]
+        texts.append(" é".join(words + ["token = " + words[0], "0123456789abcdefghijklmnop", "x" * 40]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = secret_scan.find_secrets(df, "text")
+    for r in secret_scan.redact(found.withColumn("was", F.col("text")), "text").collect():
+        assert [tuple(s) for s in r.secrets if s.rank < 3] == base_spans(r.was)
+        assert [(s.start, s.end) for s in r.secrets if s.kind == "entropy"] == spans_by_hand(r.was)
+        want, at = "", 0
+        for s in r.secrets:
+            if s.start >= at or not at:
+                want += r.was[at : s.start] + secret_scan.PLACEHOLDER
+            at = max(at, s.end)
+        assert r.text == want + r.was[at:]
+
+
+def test_secrets_replace_a_column_of_their_name(spark):
+    df = spark.createDataFrame([(1, "token=abcdefgh1", "mine", 3)], "doc_id int, text string, secrets string, rank int")
+    r = secret_scan.redact(secret_scan.find_secrets(df, "text"), "text").first()
+    assert [s.kind for s in r.secrets] == ["assign"] and r.rank == 3 and r.text == secret_scan.PLACEHOLDER
+
+
+def test_chat_records_without_turns_and_with_more_fields(spark):
+    given = [
+        '{"messages":[]}',
+        "[]",
+        '{"conversations":[]}',
+        '{"messages":["a"]}',
+        '{"id":7,"meta":{"a":[1,2],"b":{"c":{"d":null}}},"messages":[{"role":"user","name":"x","content":"q"},{"content":"a","role":"assistant","tags":["t"]}]}',
+        '{"instruction":"do","output":"done","source":"s"}',
+    ]
+    df = spark.createDataFrame([(i, j, "k", 1) for i, j in enumerate(given)] * 2, "i int, j string, turns string, loss_mask int").withColumn("record", F.try_parse_json("j"))
+    rows = {}
+    for r in chat_format.format_chat(df, "record").drop("record").collect():
+        assert rows.setdefault(r.i, r) == r
+    assert [rows[i].formatted for i in (0, 1, 2, 3)] == ["", "", "", None]
+    assert [rows[i].turns for i in (0, 1, 2)] == [[], [], []]
+    assert [tuple(t) for t in rows[4].turns] == [("user", "q"), ("assistant", "a")] and rows[5].layout == "instruction"
+    assert chat_format.format_chat(df.limit(0), "record").count() == 0
+    ties = spark.createDataFrame([(1, 0, "b", "x"), (1, 0, "a", "z"), (1, 0, "a", "y")], "conv_id int, turn int, role string, text string")
+    read = chat_format.read_back(chat_format.format_chat(chat_format.conversations_as_records(ties), "record")).drop("record").first()
+    assert [tuple(t) for t in read.read_turns] == [("a", "y"), ("a", "z"), ("b", "x")]
+
+
+def test_rules_that_tie_go_by_name(spark):
+    rules = [url_filter.pattern_rule("b", "allow", "x", ("x",)), url_filter.pattern_rule("a", "block", "x", ("x",))]
+    long = "http://h.com/x/" + "p" * 200_000
+    got = url_filter.judge_urls(spark.createDataFrame([("http://h.com/x",), (long,)], "url string"), "url", rules).collect()
+    assert [(r.rule, r.verdict) for r in got] == [("a", "block")] * 2
+
+
 def test_digest_of_base_spans(spark):
     df = secret_scan.find_secrets(spark.createDataFrame([(0, TEXTS[4])], "doc_id int, text string"), "text")
     want = ",".join(f"{k}:{s}:{e}" for s, _, k, e in base_spans(TEXTS[4]))
