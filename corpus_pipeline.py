@@ -3,7 +3,9 @@
 quality: rows that the classifier rejects go. near_dedup: one row of each class of near-duplicates stays. decontaminate:
 rows that hold a benchmark item go. secrets: secrets in texts are replaced by a placeholder, n_chars follows. bpe: texts
 are encoded, and decoded from the ids again. Columns other than those the stages are about pass through whatever their
-names; the stages' own columns have names that no table has."""
+names; the stages' own columns have names that no table has. Null and empty texts are of one class and stay or go as the
+classifier says; repeated rows are one document; very long texts are worked on whole; an empty table gives an empty one.
+The table between two stages is deleted once the next is written."""
 
 from __future__ import annotations
 
@@ -13,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselattice.llm import bpe, decontaminate, near_dedup, quality, secret_scan
-from caselattice.llm.storage import stored
+from caselattice.llm.names import unused
+from caselattice.llm.storage import discard, stored
 
 #: The classifier and the greedy choice of one document a class are no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -51,12 +54,13 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, text as decoded from the ids (null texts: empty), token_ids and n_tokens."""
+    """The columns of documents, text as decoded from the ids (null texts: empty), and token_ids and n_tokens, which get
+    underscores before them where documents has columns of these names."""
     held, back = _aside(docs)
     text = held.columns[docs.columns.index("text")]
     read = bpe.decode_bpe(bpe.encode_bpe(held, text, "token_ids"), "token_ids", "decoded").withColumn(text, F.decode("decoded", "UTF-8"))
-    named = read.withColumns({"n_tokens": F.size("token_ids")})
-    return named.select(*[F.col(h).alias(c) for h, c in zip(held.columns, docs.columns, strict=True) if c not in ("token_ids", "n_tokens")], "token_ids", "n_tokens")
+    ids, n = unused(docs, "token_ids", "n_tokens")
+    return read.select(*[F.col(h).alias(c) for h, c in zip(held.columns, docs.columns, strict=True)], F.col("token_ids").alias(ids), F.size("token_ids").alias(n))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -70,7 +74,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = last = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if hasattr(last, "_stored_at"):
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
