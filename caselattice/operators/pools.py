@@ -5,10 +5,12 @@ signatures, factors and metadata. Catalogs are constants of fixed size and stand
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselattice.functions.scalar import LABELS, draw
+from caselattice.functions.scalar import LABELS, draw, normalized, overlap, tokens
 from caselattice.operators.generation import drawn, generate, generate_by_closeness
 from caselattice.sources import catalog
 
@@ -138,3 +140,31 @@ def information_pairs(items: DataFrame) -> DataFrame:
     entities = F.transform_values("entities", lambda _, e: F.when(low, e.withField("non_target", F.slice(e["non_target"], 1, 0))).otherwise(e))
     made = high.withColumn("options", bare).withColumns({"entities": entities, "il": F.col("pair_version")})
     return made.withColumns({"question": replace_candidates(F.col("question"), F.col("options")), "variant_id": F.concat_ws("_", F.col("item_id").cast("string"), "pair_version")})
+
+
+def lexical_audit(items: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(n_pairs, mean_overlap, n_exact, n_high) of displayed facts and the constraints on their attributes, of which the last
+    counts where several are on one."""
+    constraint = lambda f: F.element_at(F.filter("constraints", lambda c: c["attribute"] == f["attribute"]), -1)["text"]
+    shown = F.flatten(F.transform(F.map_values("entities"), lambda e: e["displayed"]))
+    held = F.transform(F.filter(shown, lambda f: F.exists("constraints", lambda c: c["attribute"] == f["attribute"])), lambda f: F.struct(f["text"].alias("fact"), constraint(f).alias("constraint")))
+    pairs = items.select(F.explode(held).alias("p")).select("p.*").withColumn("o", overlap(tokens(F.col("fact")), tokens(F.col("constraint"))))
+    same = normalized(F.col("fact")) == normalized(F.col("constraint"))
+    return pairs.agg(F.count("*").alias("n_pairs"), F.round(F.avg("o"), 6).alias("mean_overlap"), F.count_if(same).alias("n_exact"), F.count_if(F.col("o") >= threshold).alias("n_high"))
+
+
+def shown_facts(items: DataFrame, shows: Callable[[Column], Column]) -> DataFrame:
+    """(item_id, label, constraint_id, attribute, category, fact): each broken constraint with what the option shows of its
+    attribute, or a fixed text where it shows nothing; shows(pos) says for which constraints to look."""
+    categories = F.create_map(*[F.lit(x) for a in catalog.ATTRIBUTES for x in (a[0], a[1])])
+
+    def of(entry: Column) -> Column:
+        broken = F.filter("constraints", lambda c: F.array_contains(entry["value"]["expected"], c["constraint_id"]))
+
+        def told(c: Column) -> Column:
+            fact = F.get(F.transform(F.filter(entry["value"]["displayed"], lambda f: f["attribute"] == c["attribute"]), lambda f: f["text"]), F.lit(0))
+            return F.struct(entry["key"].alias("label"), c["constraint_id"].alias("constraint_id"), c["attribute"].alias("attribute"), F.element_at(categories, c["attribute"]).alias("category"), F.coalesce(F.when(shows(c["pos"]), fact), F.lit("<missing displayed fact>")).alias("fact"))
+
+        return F.transform(broken, told)
+
+    return items.select("item_id", F.explode(F.flatten(F.transform(F.map_entries("entities"), of))).alias("f")).select("item_id", "f.*")

@@ -268,3 +268,17 @@ def agg29b(spark, sf):
     by = items.groupBy("cl", "ds", "il").agg(F.count("*").alias("n"), F.round(F.avg(S.word_count(F.col("question"))), 3).alias("question_words"), F.round(F.sum(options) / F.sum(F.size("options")), 3).alias("option_words"))
     domain = G.cells(spark)
     return domain.join(by, ["cl", "ds", "il"], "left").select("cl", "ds", "il", F.coalesce("n", F.lit(0)).alias("n"), "question_words", "option_words")
+
+
+@query("agg31b_lexical_audit", None)
+def agg31b(spark, sf):
+    """Displayed facts against their constraints' texts (AGG-31, JON-08). No SQL: the texts are generated here; a test compares
+    it with a plain loop over the same documents."""
+    return P.lexical_audit(P.pool(spark, PER_CELL, SEED))
+
+
+@query("jon15_shown_facts", None)
+def jon15(spark, sf):
+    """Broken constraints with the fact that the option shows for each, or a fixed text (JON-15, JON-07). Facts are hidden where
+    an item's id and the constraint's number add up to a multiple of five; no SQL, as above."""
+    return P.shown_facts(P.pool(spark, PER_CELL, SEED), lambda pos: (F.col("item_id") + pos) % 5 != 0)

@@ -32,7 +32,7 @@ def prj21(spark, sf):
     return G.eligible(spark)
 
 
-@query("rnd08_generated_cells", f"SELECT 'CL' || c AS cl, 'DS' || d AS ds, 'IL' || i AS il, {PER_CELL}::BIGINT AS n, {PER_CELL}::BIGINT AS n_sound, {PER_CELL // 4}::BIGINT AS least_gold FROM (SELECT unnest(range(1, 4)) AS c), (SELECT unnest(range(1, 4)) AS d), (SELECT unnest(range(1, 3)) AS i)")
+@query("rnd08_generated_cells", f"WITH i AS (SELECT unnest(range({18 * PER_CELL})) AS id), c AS (SELECT 'CL' || (id // {6 * PER_CELL} + 1) AS cl, 'DS' || (id // {2 * PER_CELL} % 3 + 1) AS ds, 'IL' || (id // {PER_CELL} % 2 + 1) AS il, id % 4 AS gold FROM i), g AS (SELECT cl, ds, il, gold, count(*) AS n FROM c GROUP BY ALL) SELECT cl, ds, il, sum(n)::BIGINT AS n, sum(n)::BIGINT AS n_sound, min(n) AS least_gold FROM g GROUP BY ALL")
 def rnd08(spark, sf):
     """Generated pools hold what they were made for: validated from their candidates alone (RND-01 to RND-08, FLT-08, FLT-12)."""
     items = G.generate(spark, PER_CELL, SEED)
@@ -49,15 +49,6 @@ def scl12b(spark, sf):
     return texts.groupBy("item_id").agg(F.count("*").alias("n_options"), F.sum(F.size(F.split("option", ", "))).alias("n_facts"), F.bool_and(F.endswith("option", F.lit("."))).alias("all_closed"))
 
 
-@query("flt10_facts_beside_the_point", _CATALOG + f"SELECT il, CASE il WHEN 'IL1' THEN 0 ELSE 2 END::BIGINT AS facts, {9 * PER_CELL}::BIGINT AS n_items, 0::BIGINT AS n_collisions FROM (VALUES ('IL1'), ('IL2')) t(il)")
-def flt10(spark, sf):
-    """Two drawn facts for the items of the second information level, none of them an attribute (FLT-10, FLT-13, RND-07, SET-04)."""
-    pool, named = F.array(*[F.lit(f[0]) for f in C.FACTS]), F.array(*[F.lit(a[0]) for a in C.ATTRIBUTES])
-    drawn = F.transform(F.slice(F.array_sort(F.transform(pool, lambda v: F.struct(S.draw(F.lit(SEED), F.lit("fact"), F.col("item_id"), v).alias("d"), v.alias("v")))), 1, 2), lambda x: x["v"])
-    held = G.generate(spark, PER_CELL, SEED).withColumn("facts", F.when(F.col("il") == "IL2", drawn).otherwise(F.expr("cast(array() as array<string>)")))
-    return held.groupBy("il").agg(F.max(F.size("facts")).cast("long").alias("facts"), F.count("*").alias("n_items"), F.count_if(F.arrays_overlap("facts", named)).alias("n_collisions"))
-
-
 @query("scl13_translated_facts", f"SELECT a.key, v AS value, t.text, coalesce(length(t.text), 0) AS n, t.key IS NULL AS missing FROM (SELECT key, unnest([true, false]) AS v FROM ({C.values_sql(C.ATTRIBUTES)}) x(key, category, may_be_false, scenarios, t, f)) a LEFT JOIN ({C.values_sql([(k, v, t) for (k, v), t in C.TRANSLATIONS.items()])}) t(key, value, text) ON t.key = a.key AND t.value = a.v")
 def scl13(spark, sf):
     """Facts looked up in the dictionary by key and value; one that it lacks is a marked row, not a row less (SCL-13, FLT-20)."""

@@ -37,7 +37,7 @@ def prj03(spark, sf):
     return X.items(spark, sf).groupBy("k").agg(F.count("*").alias("n")).withColumn("complexity", S.complexity(F.col("k")))
 
 
-@query("prj10_difficulty_cells", "SELECT 'CL' || c || '__DS' || d || '__IL' || i AS cell, [3, 5, 7][c] AS k, ceil([3, 5, 7][c] / 2.0)::INT AS far, [4, 16, 64][c]::BIGINT AS capacity FROM (SELECT unnest(range(1, 4))::INT AS c), (SELECT unnest(range(1, 4)) AS d), (SELECT unnest(range(1, 3)) AS i)")
+@query("prj10_difficulty_cells", "SELECT 'CL' || c || '__DS' || d || '__IL' || i AS cell, [3, 5, 7][c] AS k, ceil([3, 5, 7][c] / 2.0)::INT AS far, (SELECT sum(factorial([3, 5, 7][c]) // (factorial(s) * factorial([3, 5, 7][c] - s)))::BIGINT FROM (SELECT unnest(range(1, 8))::INT AS s) WHERE s BETWEEN ceil([3, 5, 7][c] / 2.0) AND [3, 5, 7][c]) AS capacity FROM (SELECT unnest(range(1, 4))::INT AS c), (SELECT unnest(range(1, 4)) AS d), (SELECT unnest(range(1, 3)) AS i)")
 def prj10(spark, sf):
     """All cells of the three factors (PRJ-10 to PRJ-12, ARR-03)."""
     level = lambda name, n: spark.range(1, n + 1).select(F.col("id").alias(name))
@@ -147,7 +147,7 @@ def jon12(spark, sf):
     return one.select("item_id", "rotation", F.char(65 + F.pmod(F.ascii("gold") - 65 + F.col("rotation"), F.lit(4))).alias("rotated_gold"))
 
 
-@query("flt23_rotation_coverage", _W + "SELECT item_id, 4::BIGINT AS n_labels, 4::BIGINT AS n_variants FROM golds WHERE valid = 1")
+@query("flt23_rotation_coverage", _W + "SELECT item_id, count(DISTINCT (ascii(gold) - 65 + r) % 4) AS n_labels, count(*) AS n_variants FROM golds, (SELECT unnest(range(4)) AS r) WHERE valid = 1 GROUP BY item_id HAVING n_labels = 4")
 def flt23(spark, sf):
     """Each item has every gold label once over its rotations."""
     return jon12(spark, sf).groupBy("item_id").agg(F.size(F.collect_set("rotated_gold")).cast("long").alias("n_labels"), F.count("*").alias("n_variants")).filter("n_labels = 4 AND n_variants = 4")
@@ -252,11 +252,12 @@ def set06(spark, sf):
     return both.filter(F.arrays_overlap("a", "b")).select("item_id", F.size(F.array_intersect("a", "b")).cast("long").alias("n_shared"))
 
 
-@query("mth04_quota_remainders", "SELECT level, n::BIGINT AS n FROM (VALUES ('easy', 20), ('hard', 20), ('medium', 61)) q(level, n)")
+@query("mth04_quota_remainders", "WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), f AS (SELECT lang, n, (101 * n) // sum(n) OVER () AS floor_, row_number() OVER (ORDER BY n DESC, lang) AS place FROM c) SELECT lang, (floor_ + CASE WHEN place <= 101 - sum(floor_) OVER () THEN 1 ELSE 0 END)::BIGINT AS n FROM f")
 def mth04(spark, sf):
-    """101 items in shares of 0.2, 0.6 and 0.2: floors, then the rest to the largest shares."""
-    shares = spark.createDataFrame([("easy", 0.2), ("medium", 0.6), ("hard", 0.2)], "level string, share double")
-    floors = shares.withColumn("n", F.floor(F.lit(101) * F.col("share")))
-    rest = F.lit(101) - F.sum("n").over(W.partitionBy(F.lit(0)))
-    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("share"), "level"))
-    return floors.select("level", (F.col("n") + (place <= rest).cast("long")).alias("n"))
+    """101 places in the languages' shares: floors, then the rest to the largest shares (MTH-04). The windows are over one row
+    a language."""
+    counts = X.read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("rows"))
+    whole = W.partitionBy(F.lit(0))
+    floors = counts.withColumn("n", F.floor(F.lit(101) * F.col("rows") / F.sum("rows").over(whole)))
+    place = F.row_number().over(whole.orderBy(F.desc("rows"), "lang"))
+    return floors.select("lang", (F.col("n") + (place <= F.lit(101) - F.sum("n").over(whole)).cast("long")).alias("n"))

@@ -1,7 +1,8 @@
-"""JSON lines, JSON and CSV: readers with explicit schemas, writers, and frozen files."""
+"""JSON lines, JSON and CSV: readers with explicit schemas, writers, digests, configurations and frozen files."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of lines that are neither blank nor a JSON object: what to look at after a failed read. Lines are
+    numbered from 1 within a file, so a file is one row here."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("at", "text"))
+    kind = F.schema_of_variant(F.try_parse_json("text"))
+    return whole.filter((F.trim("text") != "") & ~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))).select("file", (F.col("at") + 1).alias("line"), "text")
+
+
 def load_json(spark: SparkSession, path: str) -> dict:
     """A configuration: one JSON object, however many lines it takes, from any path that Spark reads."""
     rows = spark.read.text(path, wholetext=True).limit(2).collect()
@@ -41,6 +50,69 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.select(*flat).write.mode(mode).option("header", True).csv(path)
 
 
+def write_json(spark: SparkSession, path: str, data: dict) -> None:
+    """One indented object with sorted keys, as one file at any path that Spark writes."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    try:
+        out.write(bytearray((json.dumps(data, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode()))
+    finally:
+        out.close()
+
+
+def write_cells_csv(df: DataFrame, path: str, cell: str = "cell", mode: str = "errorifexists") -> None:
+    """Cell statistics as CSV: the cell's name in its three parts, columns of structs, maps and arrays left out."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    parts = F.split(cell, "__")
+    rest = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name != cell and not isinstance(f.dataType, nested)]
+    df.select(*[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(("cl", "ds", "il"))], *rest).write.mode(mode).option("header", True).csv(path)
+
+
+def entity_json(df: DataFrame, *columns: str, out: str = "entity") -> DataFrame:
+    """Adds the columns as one JSON object without those that are null, as entities are written."""
+    return df.withColumn(out, F.to_json(F.struct(*columns)))
+
+
+def canonical_hash(data: object) -> str:
+    """SHA-256 of compact JSON with sorted keys."""
+    return hashlib.sha256(json.dumps(data, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of the files at a path, by their bytes."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def model_alias(config: dict) -> str:
+    """The alias of a model's configuration."""
+    alias = config.get("alias") or config.get("model_alias")
+    if not alias:
+        raise ValueError("a model needs an alias or model_alias")
+    return str(alias)
+
+
+def public_config(config: dict) -> dict:
+    """A configuration without keys of services, at any depth."""
+    if isinstance(config, dict):
+        return {k: public_config(v) for k, v in config.items() if k != "api_key"}
+    return [public_config(x) for x in config] if isinstance(config, list) else config
+
+
+def experiment_config(config: dict, name: str) -> dict:
+    """One experiment's configuration over what all share."""
+    experiments = config.get("experiments", {})
+    if name not in experiments:
+        raise ValueError(f"no experiment is named {name}")
+    return {k: v for k, v in config.items() if k != "experiments"} | dict(experiments[name])
+
+
+def assert_compatible(manifest: dict, expected: dict, keys: tuple[str, ...] = ("experiment_id", "fingerprints")) -> None:
+    """A log may only go on under the experiment and the fingerprints that it was begun with."""
+    unlike = [k for k in keys if manifest.get(k) != expected.get(k)]
+    if unlike:
+        raise FrozenContentError(f"the manifest differs in {', '.join(unlike)}")
+
+
 def latest_records(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of each key the row of the greatest order value."""
     rest = [c for c in df.columns if c not in keys]
