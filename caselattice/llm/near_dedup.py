@@ -9,7 +9,7 @@ Texts with the same words are one node from the start, so groups of copies cost
 first every member is aligned with one other: the bucket's least node or, in a bucket of more than STAR, the least of its
 part, and the parts' least with the bucket's. Where all members are then one component, nothing is left to be found. In
 other buckets the pairs across components follow, less those whose lengths or word counts rule a link out: in buckets of
-up to LARGE inside a task, each pair in the least of the buckets that it shares and no more once its components have met;
+up to LARGE, one part, inside a task, each pair in the least of the buckets that it shares and no more once its components have met;
 in larger ones only pairs that share one of their rarest words, of which near texts must share one (see _rare_pairs).
 So no link between candidates that would change a class is lost, and no group is paired with itself for nothing.
 
@@ -39,8 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 N_SKETCHES, LENGTH = 96, 2
 #: Members of a bucket's part, which are aligned with the part's least.
 STAR = 512
-#: Members of a bucket that are paired in a task; those of larger ones meet by their rarest words.
-LARGE = 256
+#: Members of a bucket that are paired in a task, one part; those of larger ones meet by their rarest words.
+LARGE = STAR
 #: Members with a rare word, and words in a bucket, that one task pairs with as many others.
 BLOCK, WEIGHT = 2048, 1 << 22
 _BINS = 256
