@@ -92,6 +92,11 @@ def salvage(raw: Column) -> Column:
     return _salvager()(F.when(~_is_object(whole_json(raw)) & F.contains(raw, F.lit("{")), raw))
 
 
+def strict_json(raw: Column, salvaged: Column) -> Column:
+    """The whole response as a variant, read by either parser."""
+    return F.coalesce(whole_json(raw), F.try_parse_json(salvaged["whole"]))
+
+
 def json_objects(raw: Column) -> Column:
     """The outermost balanced objects of a text that is not JSON itself, in order, as far as they can be read."""
     return F.coalesce(salvage(raw)["objects"], F.expr(_TEXTS))
@@ -135,13 +140,13 @@ def _text(value: Column, path: str) -> Column:
     return F.when(_kind(value, path) == "STRING", F.try_variant_get(value, path, "string"))
 
 
-def parse_screening(raw: Column, salvaged: Column | None = None) -> Column:
+def parse_screening(raw: Column, salvaged: Column | None = None, strict: Column | None = None) -> Column:
     """Struct of answer, confidence, parse_success, strict_json_success, fallback_parse_success and parse_error: strict or
     embedded JSON; where that gives no answer, a mention, which never counts as success.
 
-    salvaged: salvage(raw), where the caller has it as a column."""
+    salvaged: salvage(raw), and strict: strict_json(raw, salvaged), where the caller has them as columns."""
     salvaged = salvage(raw) if salvaged is None else salvaged
-    strict = F.coalesce(whole_json(raw), F.try_parse_json(salvaged["whole"]))
+    strict = strict_json(raw, salvaged) if strict is None else strict
     value = F.coalesce(strict, F.try_parse_json(salvaged["first"]))
     answer = loose_label(F.try_variant_get(value, "$.answer", "string"))
     sure = F.when(_kind(value, "$.confidence") == "BOOLEAN", F.try_variant_get(value, "$.confidence", "boolean").cast("double")).otherwise(F.try_variant_get(value, "$.confidence", "string").try_cast("double"))
@@ -167,13 +172,13 @@ def _payload(value: Column) -> dict[str, Column]:
     return {"answer": answer, "reasoning": F.coalesce(reasoning, F.lit("")), "confidence": sure, "compliant": answer.isNotNull() & reasoning.isNotNull() & sure.isNotNull()}
 
 
-def parse_calibration(raw: Column, salvaged: Column | None = None) -> Column:
+def parse_calibration(raw: Column, salvaged: Column | None = None, strict: Column | None = None) -> Column:
     """Struct of answer, source, candidates, compliant, extractable, fallback_used, ambiguous, strict_syntax, reasoning,
     confidence and parse_error: a strict answer stands; else all claims must agree.
 
-    salvaged: salvage(raw), where the caller has it as a column."""
+    salvaged: salvage(raw), and strict: strict_json(raw, salvaged), where the caller has them as columns."""
     salvaged = salvage(raw) if salvaged is None else salvaged
-    strict = F.coalesce(whole_json(raw), F.try_parse_json(salvaged["whole"]))
+    strict = strict_json(raw, salvaged) if strict is None else strict
     told = _payload(strict)
     # An object alone is the response, an array may hold objects, and what is salvaged has them listed.
     listed = F.coalesce(salvaged["objects"], F.expr(_TEXTS))
@@ -229,12 +234,12 @@ def name_map(names: Column) -> Column:
     return F.when(sound, F.map_from_arrays(keys, F.array(*[F.lit(x) for x in "ABCD"])))
 
 
-def parse_followup(raw: Column, names: Column, base: Column, salvaged: Column) -> Column:
+def parse_followup(raw: Column, names: Column, base: Column, salvaged: Column, strict: Column | None = None) -> Column:
     """Struct of answer, source, candidates, extractable, compliant, strict_format, name_used, fallback_used, ambiguous and
     parse_error: labels as in parse_calibration, and whole names of candidates, which are right but never compliant.
 
     names: name_map of the item; base: parse_calibration(raw, salvaged), salvaged: salvage(raw), as columns."""
-    strict = F.coalesce(whole_json(raw), F.try_parse_json(salvaged["whole"]))
+    strict = strict_json(raw, salvaged) if strict is None else strict
     said = F.when(_is_object(strict), _text(strict, "$.answer"))
     named = lambda t: F.element_at(names, F.lower(F.regexp_replace(strip(t), r"\.+\z", "")))
     label, payload = strict_label(said), _payload(strict)

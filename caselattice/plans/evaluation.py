@@ -308,13 +308,13 @@ CASE WHEN template IN (0, 10) THEN NULL WHEN template = 12 THEN 'JSON object is
 
 def _salvaged(df):
     """df with what the parsers share, made once a response."""
-    return df.withColumn("salvaged", A.salvage(F.col("raw")))
+    return df.withColumn("salvaged", A.salvage(F.col("raw"))).withColumn("strict", A.strict_json(F.col("raw"), F.col("salvaged")))
 
 
 @query("jsn09_calibration_parse", f"WITH {RESPONSE_SQL} " + _CAL)
 def jsn09(spark, sf):
     """Claims gathered and compared (JSN-04, JSN-06, JSN-09); the SQL knows what each shape of text says."""
-    parsed = _salvaged(X.responses(spark, sf)).select("event_id", A.parse_calibration(F.col("raw"), F.col("salvaged")).alias("p"))
+    parsed = _salvaged(X.responses(spark, sf)).select("event_id", A.parse_calibration(F.col("raw"), F.col("salvaged"), F.col("strict")).alias("p"))
     return parsed.select("event_id", "p.*").withColumn("candidates", F.array_join("candidates", ","))
 
 
@@ -322,7 +322,7 @@ def jsn09(spark, sf):
 CASE WHEN template IN (0, 1, 8, 9, 10, 12) THEN NULL WHEN template = 2 THEN 'JSON decode error' WHEN template = 11 THEN 'Answer is not one of A/B/C/D' ELSE 'No JSON object found' END AS parse_error FROM raws""")
 def jsn01(spark, sf):
     """Strict JSON, then an object in the text, then a mention (JSN-01 to JSN-03, JSN-05, JSN-07, JSN-08)."""
-    return _salvaged(X.responses(spark, sf)).select("event_id", A.parse_screening(F.col("raw"), F.col("salvaged")).alias("p")).select("event_id", "p.*")
+    return _salvaged(X.responses(spark, sf)).select("event_id", A.parse_screening(F.col("raw"), F.col("salvaged"), F.col("strict")).alias("p")).select("event_id", "p.*")
 
 
 @query("jsn10_followup_parse", f"""WITH {FOLLOWUP_SQL} SELECT event_id, CASE WHEN template IN (5, 7) THEN NULL ELSE x END AS answer,
@@ -331,8 +331,8 @@ template NOT IN (5, 7) AS extractable, template = 0 AS compliant, template = 0 A
 CASE WHEN template = 0 THEN NULL WHEN template IN (1, 2) THEN 'Answer used a non-protocol representation' WHEN template IN (3, 4) THEN 'Candidate name recovered from noncompliant output' WHEN template = 5 THEN 'Conflicting explicit answers were found' WHEN template = 6 THEN 'Answer recovered from noncompliant output' ELSE 'Strict JSON does not contain an unambiguous valid answer' END AS parse_error FROM told""")
 def jsn10(spark, sf):
     """Labels or whole names of candidates (JSN-10, JON-17): a name is right but never compliant."""
-    told = _salvaged(X.followups(spark, sf)).withColumns({"map": A.name_map(F.col("names")), "base": A.parse_calibration(F.col("raw"), F.col("salvaged"))})
-    parsed = told.select("event_id", A.parse_followup(F.col("raw"), F.col("map"), F.col("base"), F.col("salvaged")).alias("p"))
+    told = _salvaged(X.followups(spark, sf)).withColumns({"map": A.name_map(F.col("names")), "base": A.parse_calibration(F.col("raw"), F.col("salvaged"), F.col("strict"))})
+    parsed = told.select("event_id", A.parse_followup(F.col("raw"), F.col("map"), F.col("base"), F.col("salvaged"), F.col("strict")).alias("p"))
     return parsed.select("event_id", "p.*").withColumn("candidates", F.array_join("candidates", ","))
 
 
@@ -340,5 +340,5 @@ def jsn10(spark, sf):
 def agg39(spark, sf):
     """What another contract recovers from the same text, and whether the text itself stayed (AGG-39, JON-19, STR-06)."""
     raw = F.col("raw")
-    both = _salvaged(X.responses(spark, sf)).select("template", F.xxhash64(raw).alias("was"), raw, A.parse_screening(raw, F.col("salvaged"))["answer"].alias("old"), A.parse_calibration(raw, F.col("salvaged"))["answer"].alias("new"))
+    both = _salvaged(X.responses(spark, sf)).select("template", F.xxhash64(raw).alias("was"), raw, A.parse_screening(raw, F.col("salvaged"), F.col("strict"))["answer"].alias("old"), A.parse_calibration(raw, F.col("salvaged"), F.col("strict"))["answer"].alias("new"))
     return both.groupBy("template").agg(F.count("*").alias("n"), F.count("old").alias("before"), F.count("new").alias("after"), F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("n_changed"), F.bool_and(F.col("was") == F.xxhash64("raw")).alias("raw_unchanged"))
