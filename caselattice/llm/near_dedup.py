@@ -305,7 +305,7 @@ def _rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
     meet in small groups. Words of more than BLOCK members are not counted but come last, by hash; where texts have little
     else, their groups are dealt to blocks of BLOCK. Members of all large buckets are one set: a pair that no bucket
     holds but that is near is a link all the same."""
-    texts = stored(_map_words(members, "words", "node long, comp long, n int, bag binary, tokens array<bigint>", lambda x: np.frombuffer(x, np.uint32), _labelled_words))
+    texts = stored(_map_words(members.select("node", "comp", "n", "bag", "words"), "words", "node long, comp long, n int, bag binary, tokens array<bigint>", lambda x: np.frombuffer(x, np.uint32), _labelled_words))
     each = texts.select("node", F.explode("tokens").alias("w"))
     counts = each.groupBy("w").agg(F.count("*").alias("c")).filter(F.col("c") <= BLOCK)
     rare = each.join(counts, "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("rare"))
@@ -314,10 +314,11 @@ def _rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
     common = F.transform(F.array_sort(F.array_except("tokens", F.transform("rare", lambda x: x["w"]))), lambda w: F.struct(F.lit(BLOCK + 1).cast("long").alias("c"), w.alias("w")))
     allowed = F.floor(F.lit(round((1 - similarity) * 1_000_000)) * F.col("n") / 1_000_000).cast("int")
     first = F.filter(F.slice(F.concat("rare", common), F.lit(1), allowed + 1), lambda x: x["c"] > 1)
-    met = stored(ranked.select("node", "comp", F.explode(F.transform(first, lambda x: x["w"])).alias("w")))
+    # Lengths and bags ride along: as equal values in a row of rows they take little room.
+    met = stored(ranked.select("node", "comp", "n", "bag", F.explode(F.transform(first, lambda x: x["w"])).alias("w")))
     # Groups of one component have no pair across.
     groups = met.groupBy("w").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("w", "size")
-    dealt = _dealt(met.join(groups, "w"), F.ceil(F.col("size") / BLOCK)).join(texts.select("node", "n", "bag"), "node")
+    dealt = _dealt(met.join(groups, "w"), F.ceil(F.col("size") / BLOCK))
 
     def pair(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         n, comp, nodes, own = (rows.column(c).to_numpy() for c in ("n", "comp", "node", "own"))
@@ -345,27 +346,27 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     texts = df.select(_id(doc_id, text).alias("id"), _mark(text).alias("mark"), F.col(text).alias("text"))
 
     def sketch(words: np.ndarray) -> tuple:
-        return (*fingerprint(words), sketch_of(words, shingle, sketches, length))
+        return (*fingerprint(words), len(words), sketch_of(words, shingle, sketches, length))
 
     def body(words: np.ndarray) -> tuple:
-        return len(words), _bag(words), words.astype(np.uint32).tobytes()
+        return _bag(words), words.astype(np.uint32).tobytes()
 
-    made = stored(_map_words(texts, "text", "id long, mark long, f1 long, f2 long, keys array<bigint>", word_hashes, sketch))
+    made = stored(_map_words(texts, "text", "id long, mark long, f1 long, f2 long, n int, keys array<bigint>", word_hashes, sketch))
     # Nodes are numbered by the rows of a stored table, so that they stay the same whoever reads them.
     nodes = stored(made.groupBy("f1", "f2").agg(F.min("id").alias("id"), F.min_by("mark", "id").alias("mark")).withColumn("node", F.monotonically_increasing_id()))
     first = nodes.select("f1", "f2", "node", F.col("id").alias("own_id"), F.col("mark").alias("own_mark"))
     owners = stored(made.select("id", "mark", "f1", "f2").join(first, ["f1", "f2"]).drop("f1", "f2"))
 
     # From here on each set of copies is the one row of its node.
-    sketched = stored(made.dropDuplicates(["id", "mark", "f1", "f2"]).join(nodes, ["id", "mark", "f1", "f2"]).select("node", "keys"))
+    sketched = stored(made.dropDuplicates(["id", "mark", "f1", "f2"]).join(nodes, ["id", "mark", "f1", "f2"]).select("node", "n", "keys"))
     discard(made)
-    keyed = sketched.select("node", F.explode("keys").alias("key"))
+    keyed = sketched.select("node", "n", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1")
     members = stored(keyed.join(buckets, "key"))
 
     wanted = members.select("node").distinct().join(nodes.select("node", "id", "mark"), "node")
     held = texts.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark", "node"]).select("node", "text")
-    words = stored(_map_words(held, "text", "node long, n int, bag binary, words binary", word_hashes, body).join(sketched, "node"))
+    words = stored(_map_words(held, "text", "node long, bag binary, words binary", word_hashes, body).join(sketched, "node"))
     near = stored(verify(_stars(members), words, similarity))
 
     roots = stored(components(near))
@@ -376,8 +377,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     discard(members)
     small, large = open_members.filter(F.col("size") <= LARGE), open_members.filter(F.col("size") > LARGE)
     # A window over a bucket of at most LARGE.
-    weighed = small.join(words.select("node", "n"), "node").withColumn("weight", F.sum("n").over(W.partitionBy("key"))).drop("n")
-    more = stored(_across(weighed.join(words, "node"), similarity))
+    weighed = small.withColumn("weight", F.sum("n").over(W.partitionBy("key")))
+    more = stored(_across(weighed.join(words.drop("n"), "node"), similarity))
     late = stored(verify(_rare_pairs(large.select("node", "comp").distinct().join(words.drop("keys"), "node"), similarity), words, similarity))
     discard(sketched, open_members, words)
 
