@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprints, with built-in functions only.
 
-A record arrives as a VARIANT. The set of its nested field paths, without scalar types and without fields whose names no
-layout knows, is hashed; the hash selects one of the declared layouts, whose mapping turns the record into canonical turns
+A record arrives as a VARIANT. The set of its nested field paths, without scalar types and without paths that no layout
+declares, is hashed; the hash selects one of the declared layouts, whose mapping turns the record into canonical turns
 (role, text). A template then marks the turns and escapes control strings inside roles and texts reversibly, and a loss mask
 covers the assistant texts.
 
@@ -25,7 +25,8 @@ from caselattice.llm.names import unused
 # The control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 
-_SCALARS = r"(BOOLEAN|BIGINT|DOUBLE|FLOAT|STRING|VOID|DECIMAL\([0-9, ]+\)|DATE|TIMESTAMP_NTZ|TIMESTAMP|BINARY|UUID)(?=[,>]|$)"
+#: A name with its colon, an opening or closing bracket, or a scalar type of a type skeleton.
+_TOKEN = r"(?:`(?:[^`]++|``)*+`|[^<>,:`() ]++): |OBJECT<|ARRAY<|>|[A-Z_]++(?:\([0-9, ]++\))?"
 _TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -76,37 +77,38 @@ LAYOUTS = (
 )
 
 
-def skeleton_of(paths: tuple[str, ...]) -> str:
-    """The type skeleton that records with just these paths have."""
-    tree: dict = {}
-    for path in paths:
-        node = tree
-        for part in path.replace("[]", ".[]").strip(".").split("."):
-            node = node.setdefault(part, {})
+def leaf_paths(layouts: tuple[Layout, ...]) -> list[str]:
+    return sorted({path for x in layouts for path in x.paths})
 
-    def show(node: dict) -> str:
-        if not node:
-            return "_"
-        if "[]" in node:
-            return f"ARRAY<{show(node['[]'])}>"
-        return "OBJECT<" + ", ".join(f"{k}: {show(node[k])}" for k in sorted(node)) + ">"
 
-    return show(tree)
+def _print_of(paths: Column) -> Column:
+    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
 
 
-def field_names(layouts: tuple[Layout, ...]) -> set[str]:
-    return {part for x in layouts for path in x.paths for part in path.replace("[]", "").split(".") if part}
+def fingerprint(record: Column, known: list[str]) -> Column:
+    """Hash of those nested paths of a variant that end in a scalar, a null or an empty list and that some layout declares,
+    at any depth; other paths do not matter, whatever lies below them.
 
+    The type skeleton is read once from left to right: the names and brackets on the way to a value are its path."""
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(_TOKEN), F.lit(0))
+    begin = F.struct(F.expr("array('')").alias("open"), F.lit("").alias("at"), F.expr("cast(array() as array<string>)").alias("found"))
 
-def fingerprint(record: Column, known: set[str]) -> Column:
-    """Hash of a variant's nested field paths; scalar types, nulls and fields of unknown names do not matter. An unknown
-    field goes with what it holds, from the inside out, three levels deep; one that holds a known name stays."""
-    shape = F.regexp_replace(F.schema_of_variant(record), _SCALARS, "_")
-    names = "|".join(sorted(known))
-    for _ in range(3):
-        shape = F.regexp_replace(shape, rf"(?<=[<,] ?)(?!(?:{names}): )(?:`[^`]*`|[^<>,:` ]+): (?:_|OBJECT<>|ARRAY<_>|ARRAY<OBJECT<>>)(?=[,>])(?:, )?", "")
-        shape = F.regexp_replace(shape, ", >", ">")
-    return F.xxhash64(shape)
+    def step(acc: Column, token: Column) -> Column:
+        outer = F.element_at(acc["open"], -1)
+        name = F.concat(F.when(outer == "", "").otherwise(F.concat(outer, F.lit("."))), F.rtrim(F.rtrim(token), F.lit(":")))
+        items = F.concat(acc["at"], F.lit("[]"))
+        leaf = F.array_contains(F.lit(known), acc["at"]) & (token != "VARIANT")
+        keep = lambda open=acc["open"], at=acc["at"], found=acc["found"]: F.struct(open.alias("open"), at.alias("at"), found.alias("found"))
+        return (
+            F.when(token == "OBJECT<", keep(open=F.array_append(acc["open"], acc["at"])))
+            .when(token == "ARRAY<", keep(open=F.array_append(acc["open"], acc["at"]), at=items))
+            .when(token == ">", keep(open=F.slice(acc["open"], 1, F.size(acc["open"]) - 1)))
+            .when(F.endswith(token, F.lit(": ")), keep(at=name))
+            .when(leaf, keep(found=F.array_append(acc["found"], acc["at"])))
+            .otherwise(acc)
+        )
+
+    return _print_of(F.aggregate(tokens, begin, step, lambda acc: acc["found"]))
 
 
 def escape(text: Column) -> Column:
@@ -145,10 +147,10 @@ def canonical_turns(df: DataFrame, record: str, layouts: tuple[Layout, ...] = LA
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for x in reversed(layouts):
         found = F.expr(x.turns.replace("(r,", f"(`{record}`,"))
-        is_it = print_of == F.xxhash64(F.lit(skeleton_of(x.paths)))
+        is_it = print_of == _print_of(F.lit(list(x.paths)))
         layout = F.when(is_it, F.lit(x.name)).otherwise(layout)
         turns = F.when(is_it, F.transform(found, _cleaner(x.roles))).otherwise(turns)
-    known = df.withColumn(mark, fingerprint(F.col(record), field_names(layouts)))
+    known = df.withColumn(mark, fingerprint(F.col(record), leaf_paths(layouts)))
     return known.withColumns({"layout": layout, "turns": turns}).drop(mark)
 
 

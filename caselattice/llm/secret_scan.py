@@ -36,8 +36,8 @@ HEX_BITS, MIXED_BITS, ONE_CASE_BITS = 3.0, 3.9, 3.9
 ALLOW = (
     r"(?i)\A[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\z",
     r"(?i)abcdefghijkl|0123456789ab|example|placeholder|changeme",
-    r"(?s)\A(.)\1*\z",
-    r"\A[a-z]+(?:[-_/][a-z]+)*\z",
+    r"(?s)\A(.)\1*+\z",
+    r"\A[a-z]++(?:[-_/][a-z]++)*+\z",
 )
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _ANY = rf"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{{12}}|[0-9a-f]{{32}}|(?<!{_CANDIDATE_CLASS}){_CANDIDATE_CLASS}{{{WINDOW}}}"""

@@ -206,3 +206,33 @@ def test_digest_of_base_spans(spark):
     want = ",".join(f"{k}:{s}:{e}" for s, _, k, e in base_spans(TEXTS[4]))
     got = df.select(secret_scan.joined(F.filter("secrets", lambda s: s["rank"] < 3)).alias("x")).first().x
     assert hashlib.sha256(got.encode()).hexdigest() == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_chat_fields_nested_at_any_depth_do_not_matter(spark):
+    deep = "1"
+    for i in range(20):
+        deep = f'{{"level{i}": {deep}}}' if i % 2 else f"[{deep}]"
+    turns = '[{"role":"user","content":"q"}]'
+    given = [
+        (f'{{"meta":{deep},"messages":{turns}}}', "messages"),
+        (f'{{"x y":[[[[1]]]],"messages":[{{"role":"user","content":"q","a":{deep}}}]}}', "messages"),
+        (f'{{"meta":{{"role":"x","messages":["y"]}},"odd`: name":{{"z":null}},"messages":{turns}}}', "messages"),
+        ('{"messages":[{"role":"user","content":{"parts":["q"]}}]}', None),
+        ('{"messages":[{"role":"user","content":"q"},"q"]}', None),
+        ('{"instruction":1.25,"output":true,"meta":{"input":"x"}}', "instruction"),
+        ('{"messages":null,"prompt":"p","response":"r"}', "prompt_response"),
+        ("7", None),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(i, j) for i, (j, _) in enumerate(given)], "i int, j string").withColumn("record", F.try_parse_json("j"))
+    rows = {r.i: r for r in chat_format.format_chat(df, "record").drop("record").collect()}
+    assert [rows[i].layout for i in range(len(given))] == [x for _, x in given]
+    assert all([tuple(t) for t in rows[i].turns] == [("user", "q")] for i in range(3))
+    assert [tuple(t) for t in rows[5].turns] == [("user", "1.25"), ("assistant", "true")]
+
+
+def test_secrets_in_runs_of_a_megabyte(spark):
+    runs = ["ab-" * 350_000, "x" * 1_000_000, "AKIA" + "A" * 1_000_000, "token=" + "z" * 1_000_000, "ab-" * 20_000 + "A1x9", "f0" * 16_000]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id int, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets if s.rank < 3] for r in secret_scan.find_secrets(df, "text").collect()}
+    assert got == {0: [], 1: [], 2: [("access", 0, 1_000_004)], 3: [("assign", 0, 1_000_006)], 4: [], 5: [("hex", 0, 32_000)]}
