@@ -50,7 +50,7 @@ def normalized(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"))
+    return F.regexp_count(text, F.lit("[A-Za-z0-9]++(?:['-][A-Za-z0-9]++)*+"))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -180,3 +180,8 @@ def test_draws_are_fixed(spark):
     one = [r.d for r in df.select(scalar.draw(F.lit(1), F.col("id")).alias("d")).collect()]
     assert one == [r.d for r in df.select(scalar.draw(F.lit(1), F.col("id")).alias("d")).collect()] and len(set(one)) > 45
     assert random.Random(0).random() < 1 and all(0 <= d < 2**32 for d in one)
+
+
+def test_words_in_a_run_of_a_megabyte(spark):
+    df = spark.createDataFrame([("ab-" * 350_000 + "x",), ("a--b c'd-e f-",), ("",), (None,)], "text string")
+    assert [r.n for r in df.select(scalar.word_count(F.col("text")).alias("n")).collect()] == [1, 4, 0, None]
