@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselattice.llm import bpe, chat_format, decontaminate, embedding_dedup, langid, license_scan, near_dedup, quality, secret_scan, url_filter
+from caselattice.llm import bpe, chat_format, decontaminate, embedding_dedup, langid, lexical_search, license_scan, near_dedup, quality, secret_scan, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -136,5 +136,26 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_embedding_dedup": op7_embedding_dedup, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_langid": op10_langid}
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_decontaminate": OP8_SQL}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+OP13_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, len(w) AS n, w FROM dw WHERE len(w) > 0),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM d),
+b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT item_id, term, count(*) AS k FROM b GROUP BY item_id, term),
+held AS (SELECT doc_id, n, unnest(w) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, whole GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // words)))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term), whole GROUP BY item_id, doc_id
+), ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_embedding_dedup": op7_embedding_dedup, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_langid": op10_langid, "op13_lexical_search": op13_lexical_search}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_decontaminate": OP8_SQL, "op13_lexical_search": OP13_SQL}
