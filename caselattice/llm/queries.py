@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselattice.llm import bpe, chat_format, decontaminate, embedding_dedup, langid, lexical_search, license_scan, near_dedup, quality, secret_scan, url_filter
+from caselattice.llm import bpe, chat_format, decontaminate, embedding_dedup, langid, lexical_search, license_scan, near_dedup, quality, secret_scan, turn_repair, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -136,6 +136,66 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(_read(spark, sf_dir, "embeddings"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of conversations, damaged by the checksum of conversation and turn, with the column `copies`."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    act = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn"))) % 20
+    text = F.when(F.col("act") == 1, "").when(F.col("act") == 2, F.regexp_replace(spaced("text"), "[.!?]", "")).otherwise(spaced("text"))
+    marked = conversations.select("conv_id", "turn", "role", "text", act.alias("act"))
+    return marked.select("conv_id", "turn", F.when(F.col("act") == 4, "user").otherwise(spaced("role")).alias("role"), text.alias("text"), F.when(F.col("act") == 0, 0).when(F.col("act") == 3, 2).otherwise(1).alias("copies"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = turn_repair.repair(damaged(_read(spark, sf_dir, "conversations")), "conv_id", "turn", "role", "text", "copies")
+    return turn_repair.digests(pieces)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), summed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, j: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 20 AS act FROM keyed
+), dealt AS (
+  SELECT conv_id, turn, CASE act WHEN 4 THEN 'user' ELSE role END AS role, CASE act WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE act WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM summed
+), placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dealt
+), judged AS (
+  SELECT *, substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS ini_before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (ini_before IS NOT NULL AND ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id
+), ids AS (SELECT DISTINCT conv_id FROM conversations
+), follows(state, ini, state_after) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')
+), fills(state, ins, n, state_in, lines) AS (
+  VALUES ('', '', 0, '', []::VARCHAR[]), ('s', '', 0, 's', []), ('u', '', 0, 'u', []), ('a', '', 0, 'a', []), ('', 'I', 1, 'u', ['user:']), ('s', 'I', 1, 'u', ['user:']), ('a', 'I', 1, 'u', ['user:']), ('u', 'I', 1, 'a', ['assistant:']),
+    ('', 'II', 2, 'a', ['user:', 'assistant:']), ('s', 'II', 2, 'a', ['user:', 'assistant:']), ('a', 'II', 2, 'a', ['user:', 'assistant:']), ('u', 'II', 2, 'u', ['assistant:', 'user:'])
+), search AS (
+  SELECT conv_id, 0::BIGINT AS i, '' AS state, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM ids
+  UNION ALL
+  SELECT conv_id, i, state, min(cost), arg_min(audit, (cost, audit)), arg_min(lines, (cost, audit)) FROM (
+    SELECT s.conv_id, j.i, f.state_in AS state, s.cost + 2 * f.n + 3 AS cost, s.audit || f.ins || 'D' AS audit, s.lines || f.lines AS lines
+    FROM search s JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.i = s.i + 1 JOIN fills f ON f.state = s.state
+    UNION ALL
+    SELECT s.conv_id, j.i, w.state_after, s.cost + 2 * f.n + (j.fault = 't')::BIGINT, s.audit || f.ins || 'K', s.lines || f.lines || [j.role || ':' || j.text]
+    FROM search s JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.i = s.i + 1 AND j.fault NOT IN ('b', 'd') JOIN fills f ON f.state = s.state JOIN follows w ON w.state = f.state_in AND w.ini = j.ini
+    UNION ALL
+    SELECT s.conv_id, j.i, w.state_after, s.cost + 2 * f.n + 2 + (j.fault = 't')::BIGINT, s.audit || f.ins || 'R', s.lines || f.lines || [CASE w.ini WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || j.text]
+    FROM search s JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.i = s.i + 1 AND j.fault NOT IN ('b', 'd') JOIN fills f ON f.state = s.state JOIN follows w ON w.state = f.state_in AND w.ini <> 's'
+  ) GROUP BY conv_id, i, state
+), ended AS (
+  SELECT s.conv_id, s.cost + 2 * f.n AS cost, s.audit || f.ins AS audit, s.lines || f.lines AS lines
+  FROM search s LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id JOIN fills f ON f.state = s.state WHERE s.i = coalesce(c.n, 0) AND f.state_in IN ('', 'a')
+), best AS (SELECT conv_id, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(lines, (cost, audit)) AS lines FROM ended GROUP BY conv_id
+)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit,
+  sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "benchmark"), "item_id", "text")
 
@@ -157,5 +217,5 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 2
 """
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_embedding_dedup": op7_embedding_dedup, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_langid": op10_langid, "op13_lexical_search": op13_lexical_search}
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_decontaminate": OP8_SQL, "op13_lexical_search": OP13_SQL}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_embedding_dedup": op7_embedding_dedup, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_langid": op10_langid, "op12_turn_repair": op12_turn_repair, "op13_lexical_search": op13_lexical_search}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_decontaminate": OP8_SQL, "op12_turn_repair": OP12_SQL, "op13_lexical_search": OP13_SQL}
