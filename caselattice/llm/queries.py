@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselattice.llm import bpe, chat_format, decontaminate, embedding_dedup, langid, lexical_search, license_scan, near_dedup, quality, secret_scan, turn_repair, url_filter
+from caselattice.llm import bpe, chat_format, decontaminate, embedding_dedup, langid, lexical_search, license_scan, near_dedup, personal_data, quality, secret_scan, turn_repair, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -136,6 +136,13 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal(_read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    base = F.filter("personal", lambda s: s["rank"] < 4)
+    count = lambda kind: F.size(F.filter("personal", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, personal_data.KINDS[:4]), F.sha2(personal_data.joined(base), 256).alias("base_sha256"), personal_data.joined(F.col("personal")).alias("spans"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """The rows of conversations, damaged by the checksum of conversation and turn, with the column `copies`."""
     spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -217,5 +224,5 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 2
 """
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_embedding_dedup": op7_embedding_dedup, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_langid": op10_langid, "op12_turn_repair": op12_turn_repair, "op13_lexical_search": op13_lexical_search}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_secret_scan": op3_secret_scan, "op4_license_scan": op4_license_scan, "op5_quality": op5_quality, "op6_url_filter": op6_url_filter, "op7_embedding_dedup": op7_embedding_dedup, "op8_decontaminate": op8_decontaminate, "op9_bpe": op9_bpe, "op10_langid": op10_langid, "op11_personal_data": op11_personal_data, "op12_turn_repair": op12_turn_repair, "op13_lexical_search": op13_lexical_search}
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL, "op8_decontaminate": OP8_SQL, "op12_turn_repair": OP12_SQL, "op13_lexical_search": OP13_SQL}
