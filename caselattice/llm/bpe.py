@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary.
 
-Texts of up to chunk_chars characters are encoded as they are. A longer text is cut into overlapping chunks that any task
-may take; each chunk is pre-tokenised from its own start. The pre-token boundaries of two neighbours agree somewhere in
+Every text is cut into overlapping chunks, each pre-tokenised from its own start: of TASK_CHARS characters within the text's
+task, and those of more than chunk_chars first into chunks that any task may take. The pre-token boundaries of two neighbours agree somewhere in
 their overlap (from one common boundary on they agree for good, as a match depends on what follows alone), and there
 the text is stitched: the pieces between such boundaries are encoded apart and their ids joined. If an overlap holds no
 common boundary, as in one run of letters longer than it, the stitch pre-tokenises on from the last sure boundary until
-it meets the next chunk's, and goes on from there in later chunks. Decoding concatenates the bytes of the ids.
+it meets the next chunk's, and goes on from there in later chunks. A task remembers the ids of short pre-tokens. Decoding concatenates the bytes of the ids.
 
 Defined results: null text counts as empty and gives no ids; ids decode to the very bytes; a null list of ids decodes to
 the empty text; an id outside the vocabulary is an error. Other columns pass through. `ids` takes the place of the text:
@@ -14,7 +14,9 @@ decoding restores it."""
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import public_tokenizers
@@ -29,6 +31,8 @@ from caselattice.llm.storage import stored
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
+#: Chunks of a text within its task, and pre-tokens whose ids a task remembers.
+TASK_CHARS, TASK_OVERLAP, KNOWN = 1024, 128, 500_000
 #: A match that ends this near to the end of a chunk might go on, or be another, in the whole text.
 _MARGIN = 4
 
@@ -83,17 +87,19 @@ def stitch(text: str, chunks: list[tuple[int, list[int]]], pattern: regex.Patter
     for k, (start, ends) in enumerate(chunks):
         limit = len(text) if k == len(chunks) - 1 else chunks[k + 1][0] + overlap - _MARGIN
         own = {e for e in (start, *ends) if e <= limit}
-        met = min(own & sure, default=None)
+        # A piece that ended in white space would lose sight of what follows, on which the end of such a match depends.
+        joints = {e for e in own if not text[e - 1].isspace()}
+        met = min(joints & sure, default=None)
         if met is None:
             # No common boundary in the overlap: walk on from the last sure one until this chunk's are met or end. A walk
             # that has not met a chunk's goes on in the next, so no stretch of the text is walked twice.
             at = max(sure)
             if walk is None:
                 walk, sure = boundaries(text, pattern, at), {at}
-            while at <= limit and at not in own and (e := next(walk, None)) is not None:
+            while at <= limit and at not in joints and (e := next(walk, None)) is not None:
                 at = e
                 sure.add(e)
-            met = min(own & sure, default=None)
+            met = min(joints & sure, default=None)
             if met is None:
                 continue
         cuts.append(met)
@@ -101,17 +107,58 @@ def stitch(text: str, chunks: list[tuple[int, list[int]]], pattern: regex.Patter
     return sorted({*cuts, len(text)})
 
 
+def pre_tokens(text: str, pattern: regex.Pattern, size: int, overlap: int) -> list[str]:
+    """The text's pre-tokens: those of overlapping chunks, each from the first boundary that it shares with the one before.
+
+    A chunk's ends are sure as in stitch, which also settles texts in which two chunks share no boundary."""
+    out, last, last_ends = [], [], []
+    starts = range(0, max(1, len(text) - overlap), size)
+    for start in starts:
+        tokens = pattern.findall(text[start : start + size + overlap])
+        ends = list(accumulate(map(len, tokens), initial=start))
+        if ends[-1] != min(len(text), start + size + overlap):
+            raise ValueError("the pattern must match every character")
+        at = 0
+        if start:
+            i, limit = bisect_left(last_ends, start), start + overlap - _MARGIN
+            while i < len(last_ends) and at < len(ends) and last_ends[i] != ends[at]:
+                i, at = (i + 1, at) if last_ends[i] < ends[at] else (i, at + 1)
+            if i == len(last_ends) or at == len(ends) or ends[at] > limit:
+                chunks = [(s, [s + e for e in boundaries(text[s : s + size + overlap], pattern)]) for s in starts]
+                cuts = stitch(text, chunks, pattern, overlap)
+                return [t for a, b in zip(cuts, cuts[1:], strict=False) for t in pattern.findall(text[a:b])]
+            out += last[:i]
+        # From the shared boundary on.
+        last, last_ends = tokens[at:], ends[at:]
+    return out + last
+
+
 def _encode(df: DataFrame, text: str, ids: str, vocabulary: Vocabulary) -> DataFrame:
     where = df.columns.index(text)
     kept = [i for i, c in enumerate(df.columns) if c not in (text, ids)]
     schema = T.StructType([df.schema[i] for i in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary.encoder().encode_ordinary
+        compiled, encode = regex.compile(vocabulary.pattern), vocabulary.encoder().encode_ordinary
+        known: dict[str, list[int]] = {}
+
+        def encoded(whole: str) -> list[int]:
+            found: list[int] = []
+            for token in pre_tokens(whole, compiled, TASK_CHARS, TASK_OVERLAP):
+                part = known.get(token)
+                if part is None:
+                    part = encode(token)
+                    if len(token) < 64:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        known[token] = part
+                found += part
+            return found
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [encode(x) if x else [] for x in part.column(where).to_pylist()]
+                found = [encoded(x) if x else [] for x in part.column(where).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(found, pa.list_(pa.int32()))], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -37,6 +37,24 @@ def test_stitch_finds_only_true_boundaries():
         assert set(bpe.stitch(t, chunks, compiled, 8)) <= true
 
 
+def test_every_text_is_cut_and_stitched(spark, sf, monkeypatch):
+    rng, pattern = random.Random(7), regex.compile(public_tokenizers.PATTERN)
+    texts = ["".join(rng.choice(["a", "bc", "12", " ", "  ", "\n", "'s", "'re", "é", "日", "!?", "\u0301", "z" * 40]) for _ in range(rng.randint(0, 300))) for _ in range(300)]
+    seams = 0
+    for text in texts:
+        for size, overlap in ((16, 8), (50, 20), (200, 64)):
+            assert bpe.pre_tokens(text, pattern, size, overlap) == pattern.findall(text)
+            seams += len(text) > size + overlap
+    assert seams > 500
+    asked = []
+    monkeypatch.setattr(bpe, "stitch", lambda *a: asked.append(a))
+    whole = next(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and 2000 <= len(r.text) <= 4000)
+    chunks = []
+    counted = type("P", (), {"findall": lambda self, x: chunks.append(x) or pattern.findall(x)})()
+    assert bpe.pre_tokens(whole, counted, bpe.TASK_CHARS, bpe.TASK_OVERLAP) == pattern.findall(whole)
+    assert len(chunks) >= 2 and not asked
+
+
 def test_bpe_of_long_texts_at_the_default_sizes(spark):
     rng = random.Random(8)
     prose = " ".join("".join(rng.choice("abcdefé ") for _ in range(rng.randint(1, 9))) for _ in range(40_000))
