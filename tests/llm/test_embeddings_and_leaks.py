@@ -102,6 +102,24 @@ def test_rare_links_are_audited():
     assert hit[3, 7] and hit.sum() == 1
 
 
+def test_the_graph_answers_with_the_recall_that_it_assures(monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = hnsw.unit(rng.normal(size=(1500, 24)))
+    v = hnsw.unit(np.concatenate([centres, centres[:200] + rng.normal(size=(200, 24)) * 0.05]))
+    graph, true = hnsw.Graph(v), v @ v.T >= 0.93
+    np.fill_diagonal(true, False)
+    asked = []
+    within = graph.within
+    graph.within = lambda query, least, beam, start=None: asked.append(start) or within(query, least, beam, start)
+    monkeypatch.setattr(embedding_dedup, "AUDITED", 128)
+    hit = embedding_dedup.asked(graph, graph, True, 0.93)
+    assert not (hit & ~true).any() and (hit | hit.T)[true].mean() >= 0.97 and true.sum() >= 300
+    assert set(range(len(v))) <= set(asked)
+    at = embedding_dedup.probes(v, 0.93, 64)
+    assert np.allclose((at * at).sum(axis=1), 1) and ((at @ v.T).max(axis=1) >= 0.93 - 1e-12).all()
+    assert embedding_dedup.assured(256, 256) > 0.98 > 0.97 > embedding_dedup.assured(240, 256)
+
+
 @pytest.mark.parametrize("same", [True, False])
 def test_a_failed_audit_ends_in_comparing_all(monkeypatch, same):
     class Broken(hnsw.Graph):
@@ -110,7 +128,7 @@ def test_a_failed_audit_ends_in_comparing_all(monkeypatch, same):
         def within(self, query, least, beam, start=None):
             return np.zeros(0, np.int64)
 
-    monkeypatch.setattr(embedding_dedup, "LINKS", 10)
+    monkeypatch.setattr(embedding_dedup, "AUDITED", 10)
     rng = np.random.default_rng(2)
     v = hnsw.unit(np.repeat(rng.normal(size=(40, 12)), 5, 0) + rng.normal(size=(200, 12)) * 0.1)
     graph = Broken(v)
