@@ -49,7 +49,8 @@ def rollup(runs: DataFrame, *keys: str) -> DataFrame:
         ratio(F.count_if(F.col("correct") & valid.isNotNull()), F.count(valid)).alias("valid_accuracy"),
         ratio(F.count_if("truncated"), F.count_if(F.col("request_error").isNull())).alias("truncated_rate"),
         ratio(F.count_if("json_compliant"), F.count("*")).alias("compliant_rate"),
-        F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+        # Sums of decimals do not depend on the order of rows.
+        F.round(F.try_divide(F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double"), F.count("confidence")), 6).alias("mean_confidence"),
     )
 
 

@@ -18,8 +18,9 @@ def first_failures(found: DataFrame) -> DataFrame:
 
 
 def closeness(wrong: Column) -> Column:
-    """From the sorted numbers of violations of the three wrong options; null if no pattern fits."""
-    return F.when((wrong[0] == 2) & (wrong[1] == 2) & (wrong[2] >= 2), "easy").when((wrong[0] == 1) & (wrong[1] == 1) & (wrong[2] == 2), "medium").when((wrong[0] == 1) & (wrong[1] == 1) & (wrong[2] == 1), "hard")
+    """From the sorted numbers of violations of the three wrong options; null if no pattern fits or an option is missing."""
+    one, two, three = (F.get(wrong, F.lit(i)) for i in range(3))
+    return F.when((one == 2) & (two == 2) & (three >= 2), "easy").when((one == 1) & (two == 1) & (three == 2), "medium").when((one == 1) & (two == 1) & (three == 1), "hard")
 
 
 def far_threshold(k: Column) -> Column:
@@ -27,9 +28,10 @@ def far_threshold(k: Column) -> Column:
 
 
 def distractor_level(wrong: Column, k: Column) -> Column:
-    """DS1: all far from the gold option; DS2: one near, the others not; DS3: all near."""
+    """DS1: all far from the gold option; DS2: one near, the others not; DS3: all near. Null without three wrong options."""
     far, near = F.array_min(wrong) >= far_threshold(k), F.array_max(wrong) == 1
-    return F.when(near, "DS3").when(far, "DS1").when((wrong[0] == 1) & (wrong[1] >= 2), "DS2")
+    level = F.when(near, "DS3").when(far, "DS1").when((F.get(wrong, F.lit(0)) == 1) & (F.get(wrong, F.lit(1)) >= 2), "DS2")
+    return F.when(F.size(wrong) >= 3, level)
 
 
 def signature_capacity(k: Column) -> Column:

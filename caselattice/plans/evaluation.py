@@ -57,10 +57,10 @@ def agg06(spark, sf):
     return R.item_analysis(X.runs(spark, sf))
 
 
-@query("jon02_items_without_runs", _R + f""", ids AS (SELECT c_custkey AS item_id FROM customer UNION SELECT user_id FROM events), a AS (SELECT i.item_id, count(event_id) AS n_runs, count(*) FILTER (correct) AS n_correct FROM ids i LEFT JOIN runs r ON r.item_id = i.item_id GROUP BY i.item_id) SELECT *, {_CATEGORY} AS category FROM a""")
+@query("jon02_items_without_runs", _R + f""", ids AS (SELECT c_custkey AS item_id FROM customer UNION SELECT item_id FROM runs), a AS (SELECT i.item_id, count(event_id) AS n_runs, count(*) FILTER (correct) AS n_correct FROM ids i LEFT JOIN runs r ON r.item_id = i.item_id GROUP BY i.item_id) SELECT *, {_CATEGORY} AS category FROM a""")
 def jon02(spark, sf):
-    """Items with their runs (JON-02, JON-09): the items are all customers and all users of events; those without events count zeros."""
-    ids = X.read(spark, sf, "customer").select(F.col("c_custkey").alias("item_id")).union(X.read(spark, sf, "events").select("user_id")).distinct()
+    """Items with their runs (JON-02, JON-09): the items are all customers and all items of runs; those without runs count zeros."""
+    ids = X.read(spark, sf, "customer").select(F.col("c_custkey").alias("item_id")).union(X.runs(spark, sf).select("item_id")).distinct()
     return R.item_analysis(X.runs(spark, sf), ids).select("item_id", "n_runs", "n_correct", "category")
 
 
@@ -90,7 +90,7 @@ def agg09(spark, sf):
 
 _ROLL = """count(*) AS n, count(*) FILTER (request_error IS NOT NULL) AS n_errors, count(*) FILTER (answer IS NOT NULL AND extractable) AS n_valid, count(*) FILTER (correct AND answer IS NOT NULL AND extractable) AS n_correct,
 round(count(*) FILTER (correct AND answer IS NOT NULL AND extractable) / nullif(count(*) FILTER (answer IS NOT NULL AND extractable), 0), 6) AS valid_accuracy, round(count(*) FILTER (truncated) / nullif(count(*) FILTER (request_error IS NULL), 0), 6) AS truncated_rate,
-round(count(*) FILTER (json_compliant) / count(*), 6) AS compliant_rate, round(avg(confidence), 6) AS mean_confidence"""
+round(count(*) FILTER (json_compliant) / count(*), 6) AS compliant_rate, round(sum(confidence::DECIMAL(18, 6))::DOUBLE / count(confidence), 6) AS mean_confidence"""
 
 
 @query("agg10_model_rollup", _R + f"SELECT model_alias, {_ROLL} FROM runs GROUP BY model_alias")

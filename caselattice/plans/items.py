@@ -71,14 +71,14 @@ def flt01b(spark, sf):
     return V.first_failures(V.violations(_signed(spark, sf), [("three_to_five_constraints", F.col("k").between(3, 5)), ("one_valid_label", F.col("valid") == 1)]))
 
 
-@query("flt02_closeness", _W + """SELECT CASE WHEN wrong[1] = 2 AND wrong[2] = 2 THEN 'easy' WHEN wrong[1] = 1 AND wrong[2] = 1 AND wrong[3] = 2 THEN 'medium' WHEN wrong[1] = 1 AND wrong[2] = 1 AND wrong[3] = 1 THEN 'hard' ELSE 'none' END AS closeness, count(*) AS n
+@query("flt02_closeness", _W + """SELECT CASE WHEN wrong[1] = 2 AND wrong[2] = 2 AND wrong[3] >= 2 THEN 'easy' WHEN wrong[1] = 1 AND wrong[2] = 1 AND wrong[3] = 2 THEN 'medium' WHEN wrong[1] = 1 AND wrong[2] = 1 AND wrong[3] = 1 THEN 'hard' ELSE 'none' END AS closeness, count(*) AS n
 FROM golds WHERE valid = 1 GROUP BY 1""")
 def flt02(spark, sf):
     one = _signed(spark, sf).filter("valid = 1")
     return one.groupBy(F.coalesce(V.closeness(F.col("wrong")), F.lit("none")).alias("closeness")).agg(F.count("*").alias("n"))
 
 
-_DS = "CASE WHEN wrong[3] = 1 THEN 'DS3' WHEN wrong[1] >= ceil(k / 2.0) THEN 'DS1' WHEN wrong[1] = 1 AND wrong[2] >= 2 THEN 'DS2' ELSE 'none' END"
+_DS = "CASE WHEN wrong[3] IS NULL THEN 'none' WHEN wrong[3] = 1 THEN 'DS3' WHEN wrong[1] >= ceil(k / 2.0) THEN 'DS1' WHEN wrong[1] = 1 AND wrong[2] >= 2 THEN 'DS2' ELSE 'none' END"
 
 
 @query("flt09_distractor_levels", _W + f"SELECT cl, {_DS} AS ds, il, count(*) AS n FROM items JOIN golds USING (item_id) WHERE valid = 1 GROUP BY ALL")

@@ -13,6 +13,8 @@ from caselattice.sources import catalog
 
 ATTRIBUTES = ["qty_ge_10", "disc_le_08", "not_returned", "tax_le_06", "price_lt_60k", "status_open", "shipped_from_1997"]
 LETTERS = ["A", "B", "C", "D"]
+#: What the ids of an order's second and further fours of lines, or of a user's second and further threes of runs, are apart.
+NEXT_ITEM = 10_000_000_000
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -20,12 +22,16 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """(item_id, label, attributes map): the first four lines of each order of four or more."""
+    """(item_id, label, attributes map): an order's lines, dealt to items in fours; an order's last item may have fewer."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    line = read(spark, sf, "lineitem").withColumns({"rn": F.row_number().over(order), "lines": F.count("*").over(W.partitionBy("l_orderkey"))})
+    line = read(spark, sf, "lineitem").withColumn("rn", F.row_number().over(order) - 1)
     tests = [F.col("l_quantity") >= 10, F.col("l_discount") <= 0.08, F.col("l_returnflag") != "R", F.col("l_tax") <= 0.06, F.col("l_extendedprice") < 60000, F.col("l_linestatus") == "O", F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp")]
     held = F.create_map(*[x for name, test in zip(ATTRIBUTES, tests, strict=True) for x in (F.lit(name), test)])
-    return line.filter("lines >= 4 AND rn <= 4").select(F.col("l_orderkey").alias("item_id"), F.char(F.col("rn") + 64).alias("label"), held.alias("attributes"))
+    return line.select(_numbered(F.col("l_orderkey"), F.floor(F.col("rn") / 4)).alias("item_id"), F.char(F.col("rn") % 4 + 65).alias("label"), held.alias("attributes"))
+
+
+def _numbered(key: Column, block: Column) -> Column:
+    return key.cast("long") + block.cast("long") * NEXT_ITEM
 
 
 def constraints_of(item_id: Column) -> Column:
@@ -47,7 +53,8 @@ def _shaped(found: DataFrame) -> DataFrame:
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, k, cl, il, constraints)."""
-    ids = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("item_id")).agg(F.count("*").alias("n")).filter("n >= 4")
+    orders = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.floor((F.count("*") - 1) / 4).alias("last"))
+    ids = orders.select("l_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block")).select(_numbered(F.col("l_orderkey"), F.col("block")).alias("item_id"))
     return _shaped(ids).select("item_id", "k", "cl", "il", "constraints")
 
 
@@ -64,9 +71,11 @@ def _letter(n: Column) -> Column:
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a run: a user's events of a type, dealt to items in threes; the last item may have fewer."""
     order = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
-    e = read(spark, sf, "events").withColumns({"run_id": F.row_number().over(order).cast("long"), "k": k}).filter("run_id <= 3")
+    place = F.row_number().over(order).cast("long") - 1
+    e = read(spark, sf, "events").withColumns({"place": place, "k": k}).withColumns({"run_id": F.col("place") % 3 + 1, "user_id": _numbered(F.col("user_id"), F.floor(F.col("place") / 3))})
     answer, gold = _letter(F.col("k") % 5), _letter(F.col("user_id") % 4)
     return e.select(
         F.col("user_id").alias("item_id"), F.col("event_type").alias("model_alias"), "run_id", (F.col("run_id") * 11).alias("seed"), "event_id",
@@ -136,8 +145,8 @@ MODELS = ["m1", "m2"]
 
 
 def signed_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Items with exactly one valid candidate: (item_id, k, cl, ds, il, scenario, gold, constraints, sigs, wrong)."""
-    return item_signatures(spark, sf).filter("valid = 1").select("item_id", "k", "cl", F.coalesce(distractor_level(F.col("wrong"), F.col("k")), F.lit("other")).alias("ds"), "il", F.concat(F.lit("s"), F.col("item_id") % 4).alias("scenario"), "gold", "constraints", "sigs", "wrong")
+    """Items of four candidates with exactly one valid: (item_id, k, cl, ds, il, scenario, gold, constraints, sigs, wrong)."""
+    return item_signatures(spark, sf).filter("valid = 1 AND size(sigs) = 4").select("item_id", "k", "cl", F.coalesce(distractor_level(F.col("wrong"), F.col("k")), F.lit("other")).alias("ds"), "il", F.concat(F.lit("s"), F.col("item_id") % 4).alias("scenario"), "gold", "constraints", "sigs", "wrong")
 
 
 def picks(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,20 +162,22 @@ def picks(spark: SparkSession, sf: str) -> DataFrame:
 
 # The same tables for the DuckDB side, to stand before a query after WITH.
 ITEM_SQL = """
-lines AS (SELECT l_orderkey AS item_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS c,
-  [l_quantity >= 10, l_discount <= 0.08, l_returnflag <> 'R', l_tax <= 0.06, l_extendedprice < 60000, l_linestatus = 'O', l_shipdate >= TIMESTAMP '1997-01-01'] AS held FROM lineitem),
-candidates AS (SELECT item_id, chr(64 + rn::INT) AS label, unnest(['qty_ge_10', 'disc_le_08', 'not_returned', 'tax_le_06', 'price_lt_60k', 'status_open', 'shipped_from_1997']) AS attr, unnest(held) AS value FROM lines WHERE c >= 4 AND rn <= 4),
+placed_lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS place FROM lineitem),
+lines AS (SELECT l_orderkey + place // 4 * 10000000000 AS item_id, place % 4 + 1 AS rn,
+  [l_quantity >= 10, l_discount <= 0.08, l_returnflag <> 'R', l_tax <= 0.06, l_extendedprice < 60000, l_linestatus = 'O', l_shipdate >= TIMESTAMP '1997-01-01'] AS held FROM placed_lines),
+candidates AS (SELECT item_id, chr(64 + rn::INT) AS label, unnest(['qty_ge_10', 'disc_le_08', 'not_returned', 'tax_le_06', 'price_lt_60k', 'status_open', 'shipped_from_1997']) AS attr, unnest(held) AS value FROM lines),
 items AS (SELECT item_id, [3, 5, 7][(item_id % 3 + 1)::INT] AS k, 'CL' || (item_id % 3 + 1) AS cl, 'IL' || (item_id % 2 + 1) AS il FROM (SELECT DISTINCT item_id FROM candidates)),
 constraints AS (SELECT item_id, pos, 'C' || pos AS constraint_id, ['qty_ge_10', 'disc_le_08', 'not_returned', 'tax_le_06', 'price_lt_60k', 'status_open', 'shipped_from_1997'][pos] AS attr, CASE WHEN pos = 6 THEN item_id % 2 = 0 ELSE true END AS required_value FROM items, (SELECT unnest(range(1, 8)) AS pos) WHERE pos <= k),
 matrix AS (SELECT c.item_id, c.label, k.pos, k.constraint_id, k.attr, c.value = k.required_value AS satisfied FROM candidates c JOIN constraints k ON c.item_id = k.item_id AND c.attr = k.attr),
 sigs AS (SELECT item_id, label, coalesce(string_agg(constraint_id, ',' ORDER BY pos) FILTER (NOT satisfied), '[]') AS signature, count(*) FILTER (NOT satisfied) AS n FROM matrix GROUP BY item_id, label),
-golds AS (SELECT item_id, max(label) FILTER (n = 0) AS gold, count(*) FILTER (n = 0) AS valid, list_sort(list(n) FILTER (n > 0)) AS wrong FROM sigs GROUP BY item_id)
+golds AS (SELECT item_id, max(label) FILTER (n = 0) AS gold, count(*) FILTER (n = 0) AS valid, list_sort(list(n) FILTER (n > 0)) AS wrong, count(*) AS options FROM sigs GROUP BY item_id)
 """
 RUN_SQL = """
-ev AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+placed_events AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS place, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+ev AS (SELECT * REPLACE (user_id + place // 3 * 10000000000 AS user_id), place % 3 + 1 AS run_id FROM placed_events),
 runs AS (SELECT user_id AS item_id, event_type AS model_alias, run_id, run_id * 11 AS seed, event_id, ['A', 'B', 'C', 'D', NULL][k % 5 + 1] AS answer, ['A', 'B', 'C', 'D'][(user_id % 4 + 1)::INT] AS gold_answer,
   coalesce(['A', 'B', 'C', 'D', NULL][k % 5 + 1] = ['A', 'B', 'C', 'D'][(user_id % 4 + 1)::INT], false) AS correct, k / 100.0::DOUBLE AS confidence, k % 5 < 4 AS extractable, k % 3 <> 0 AS json_compliant, k % 17 = 0 AS truncated,
-  CASE WHEN k % 13 = 0 THEN 'timeout' END AS request_error, 'CL' || (user_id % 3 + 1) AS cl, 'IL' || (user_id % 2 + 1) AS il FROM ev WHERE run_id <= 3)
+  CASE WHEN k % 13 = 0 THEN 'timeout' END AS request_error, 'CL' || (user_id % 3 + 1) AS cl, 'IL' || (user_id % 2 + 1) AS il FROM ev)
 """
 CALL_SQL = RUN_SQL + """,
 calls AS (SELECT item_id, 'f' || (item_id % 2) AS family, CASE model_alias WHEN 'click' THEN 'A1' WHEN 'purchase' THEN 'A2' ELSE 'A3' END AS agent_id, CASE WHEN item_id % 3 = 0 THEN 'vulnerable' ELSE 'stable_control' END AS pilot_group,
@@ -179,9 +190,9 @@ FOLLOWUP_SQL = """
 told AS (SELECT event_id, (event_id % 8)::INT AS template, ['A', 'B', 'C', 'D'][CAST(json_extract_string(props, '$.k') AS INT) % 4 + 1] AS x, ['A', 'B', 'C', 'D'][(CAST(json_extract_string(props, '$.k') AS INT) + 1) % 4 + 1] AS y FROM events)
 """
 # The one-gold items and the runs over them.
-DS_SQL = "CASE WHEN wrong[3] = 1 THEN 'DS3' WHEN wrong[1] >= ceil(k / 2.0) THEN 'DS1' WHEN wrong[1] = 1 AND wrong[2] >= 2 THEN 'DS2' ELSE 'other' END"
+DS_SQL = "CASE WHEN wrong[3] IS NULL THEN 'other' WHEN wrong[3] = 1 THEN 'DS3' WHEN wrong[1] >= ceil(k / 2.0) THEN 'DS1' WHEN wrong[1] = 1 AND wrong[2] >= 2 THEN 'DS2' ELSE 'other' END"
 PICK_SQL = ITEM_SQL + f""",
-signed AS (SELECT item_id, k, cl, {DS_SQL} AS ds, il, 's' || (item_id % 4) AS scenario, gold, wrong FROM items JOIN golds USING (item_id) WHERE valid = 1),
+signed AS (SELECT item_id, k, cl, {DS_SQL} AS ds, il, 's' || (item_id % 4) AS scenario, gold, wrong FROM items JOIN golds USING (item_id) WHERE valid = 1 AND options = 4),
 drawn AS (SELECT *, ('0x' || substr(md5('pick|' || item_id || '|' || model_alias || '|' || run_id), 1, 8))::UBIGINT % 10 AS d FROM signed, (VALUES ('m1'), ('m2')) m(model_alias), (SELECT unnest(range(1, 4)) AS run_id)),
 chosen AS (SELECT *, CASE WHEN d < 4 THEN ['A', 'B', 'C', 'D'][d::INT + 1] WHEN d <> 8 THEN gold END AS answer, d < 8 AS extractable FROM drawn),
 picks AS (SELECT *, answer IS NOT NULL AND extractable AS valid, answer IS NOT NULL AND extractable AND answer = gold AS correct FROM chosen)
