@@ -53,6 +53,25 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[A-Za-z0-9]++(?:['-][A-Za-z0-9]++)*+"))
 
 
+_WORD_CHAR = r"[\p{L}\p{N}_]"
+
+
+def mentioned(text: Column, label: str) -> Column:
+    """Whether the label stands in the text as a whole word, by any language's letters."""
+    return F.regexp_like(text, F.lit(f"(?<!{_WORD_CHAR}){label}(?!{_WORD_CHAR})"))
+
+
+def reasoning_diagnostics(text: Column, answer: Column) -> Column:
+    """Struct of n_words, mentions_all (of the four labels) and mentions_selected; all null for a null text. A word begins with a
+    word character and goes on over these, apostrophes and hyphens."""
+    words = F.regexp_count(text, F.lit(f"{_WORD_CHAR}[\\p{{L}}\\p{{N}}_'-]*+")).cast("long")
+    every, selected = F.lit(True), F.when(text.isNotNull(), F.lit(False))
+    for label in LABELS:
+        every = every & mentioned(text, label)
+        selected = F.when(answer == label, mentioned(text, label)).otherwise(selected)
+    return F.struct(words.alias("n_words"), every.alias("mentions_all"), selected.alias("mentions_selected"))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Overlap coefficient of two token sets: the share of the smaller one that is in both; 0 if either is empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.least(F.size(a), F.size(b)).cast("double")), F.lit(0.0))

@@ -9,6 +9,7 @@ from caselattice.functions import answers as A
 from caselattice.functions import scalar as S
 from caselattice.operators import debate as D
 from caselattice.operators import runs as R
+from caselattice.operators import sampling as N
 from caselattice.plans.registry import query
 from caselattice.sources import views as X
 from caselattice.sources.views import CALL_SQL, FOLLOWUP_SQL, PICK_SQL, RESPONSE_SQL, RUN_SQL
@@ -199,6 +200,13 @@ def agg38(spark, sf):
     return a.join(b, "cell").filter("model_a < model_b").groupBy("model_a", "model_b").agg(R.spearman(F.col("x"), F.col("y")).alias("rho"))
 
 
+@query("win01_rank_correlation", """WITH r AS (SELECT l_returnflag AS flag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0::DOUBLE AS y FROM lineitem)
+SELECT flag, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY flag""")
+def win01(spark, sf):
+    """Rank correlation of two columns over all lines of a flag (WIN-01, AGG-38)."""
+    return N.rank_correlation(X.read(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag").withColumnRenamed("l_returnflag", "flag")
+
+
 @query("agg42_error_histogram", _R + "SELECT kind, count(*) AS n FROM (SELECT unnest([CASE WHEN request_error IS NOT NULL THEN 'request' END, CASE WHEN truncated THEN 'truncated' END, CASE WHEN NOT json_compliant THEN 'format' END]) AS kind FROM runs) WHERE kind IS NOT NULL GROUP BY kind")
 def agg42(spark, sf):
     """One failure may count in several classes (AGG-41, AGG-42)."""

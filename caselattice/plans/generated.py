@@ -89,7 +89,10 @@ def agg34(spark, sf):
     return by.groupBy("item_id").agg(F.count("*").alias("n_rotations"), (F.countDistinct("acc") > 1).alias("changes"), F.bool_or((F.col("n") > 1) & (F.col("kinds") == 1)).alias("same_wrong"))
 
 
-@query("str05_open_rounds", f"WITH {CALL_SQL}, r AS (SELECT item_id, family, round, count(DISTINCT agent_id) = 3 AS whole FROM calls GROUP BY ALL) SELECT g.item_id, g.family, min(n) AS next_round FROM (SELECT DISTINCT item_id, family FROM calls) g, (SELECT unnest(range(0, (SELECT max(round) + 2 FROM calls))) AS n) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.item_id = g.item_id AND r.family = g.family AND r.round = n AND whole) GROUP BY g.item_id, g.family")
+STR05_SQL = f"WITH {CALL_SQL}, r AS (SELECT item_id, family, round, count(DISTINCT agent_id) = 3 AS whole FROM calls GROUP BY ALL) SELECT g.item_id, g.family, min(n) AS next_round FROM (SELECT DISTINCT item_id, family FROM calls) g, (SELECT unnest(range(0, (SELECT max(round) + 2 FROM calls))) AS n) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.item_id = g.item_id AND r.family = g.family AND r.round = n AND whole) GROUP BY g.item_id, g.family"
+
+
+@query("str05_open_rounds", STR05_SQL)
 def str05(spark, sf):
     """The first round that is not whole: it may start as all agents of the rounds before it are there (STR-05)."""
     return D.open_rounds(X.calls(spark, sf), 3)
@@ -103,10 +106,3 @@ def top09(spark, sf):
     order = [F.desc("kinds"), "n_correct", "item_id"]
     found = X.runs(spark, sf).groupBy("item_id").agg(F.count_if("correct").alias("n_correct"), F.countDistinct("answer").alias("kinds"))
     return found.orderBy(*order).limit(15).select("item_id", F.row_number().over(W.orderBy(*order)).alias("position"))
-
-
-@query("agg15_diagnostics", "SELECT lang, round(avg(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*'))), 6) AS mean_words, round(avg(regexp_matches(text, '\\bA\\b')::INT), 6) AS mentions FROM documents GROUP BY lang")
-def agg15(spark, sf):
-    """Means over a struct of diagnostics (AGG-15, SCL-06, SCL-07)."""
-    held = X.read(spark, sf, "documents").select("lang", F.struct(S.word_count(F.col("text")).alias("words"), F.regexp_like("text", F.lit(r"\bA\b")).cast("int").alias("a")).alias("d"))
-    return held.groupBy("lang").agg(F.round(F.avg("d.words"), 6).alias("mean_words"), F.round(F.avg("d.a"), 6).alias("mentions"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caselattice.functions import scalar as S
 from caselattice.operators import matrix as M
 from caselattice.operators import runs as R
+from caselattice.operators import sampling as N
 from caselattice.operators import validation as V
 from caselattice.plans.registry import query
 from caselattice.sources import views as X
@@ -222,6 +223,21 @@ def arr02(spark, sf):
     return each.filter((F.col("mask") < F.pow(F.lit(2), F.col("k"))) & (F.bit_count("mask") >= V.far_threshold(F.col("k")))).select("item_id", "mask", F.bit_count("mask").alias("size"))
 
 
+@query("rnd04_unique_signatures", _W + """, subsets AS (SELECT k, list_filter(range(1, k + 1), lambda p: (mask >> (p - 1)::INT) & 1 = 1) AS found FROM (VALUES (3), (5), (7)) s(k), (SELECT unnest(range(1, 128)) AS mask) WHERE mask < (1 << k) AND bit_count(mask) >= ceil(k / 2.0)),
+numbered AS (SELECT k, found, row_number() OVER (PARTITION BY k ORDER BY len(found), found) - 1 AS number, count(*) OVER (PARTITION BY k) AS total FROM subsets),
+drawn AS (SELECT item_id, k, total, [('0x' || substr(md5('rnd04|' || item_id || '|' || i), 1, 8))::UBIGINT::BIGINT % (total - i) FOR i IN range(3)] AS d FROM items JOIN (SELECT DISTINCT k, total FROM numbered) USING (k)),
+first AS (SELECT *, d[1] AS one, d[2] + (d[2] >= d[1])::INT AS two FROM drawn),
+whole AS (SELECT *, [one, two, d[3] + (d[3] >= least(one, two))::INT + (d[3] + (d[3] >= least(one, two))::INT >= greatest(one, two))::INT] AS numbers FROM first),
+each AS (SELECT item_id, k, unnest(range(3)) AS draw, unnest(numbers) AS number FROM whole)
+SELECT item_id, draw::INT AS draw, array_to_string(list_transform(found, lambda p: 'C' || p), ',') AS signature FROM each JOIN numbered USING (k, number)""")
+def rnd04(spark, sf):
+    """Three unlike sets of at least half of an item's constraints, each found by its number among all such sets (RND-04)."""
+    k, least = F.col("k"), V.far_threshold(F.col("k"))
+    numbers = N.unique_numbers(3, F.col("total"), lambda i: S.draw(F.lit("rnd04"), F.col("item_id"), F.lit(i)))
+    drawn = X.items(spark, sf).select("item_id", "k", N.subsets(k, least).alias("total")).select("item_id", "k", F.posexplode(numbers).alias("draw", "number"))
+    return drawn.select("item_id", "draw", F.array_join(F.transform(N.subset_at(k, least, F.col("number")), lambda p: F.concat(F.lit("C"), p)), ",").alias("signature"))
+
+
 @query("rnd01_sampled_attributes", _W + """, drawn AS (SELECT item_id, attr, k, ('0x' || substr(md5('7|' || c.item_id || '|' || attr), 1, 8))::UBIGINT AS d FROM (SELECT DISTINCT item_id, attr FROM candidates) c JOIN items USING (item_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d, attr) AS rn FROM drawn) SELECT item_id, attr AS attribute, rn::INT AS rn FROM ranked WHERE rn <= k""")
 def rnd01(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselattice.functions import scalar as S
+from caselattice.operators import lexical as L
 from caselattice.operators import runs as R
 from caselattice.plans.registry import query
 from caselattice.sources import views as X
@@ -32,6 +33,16 @@ def agg31(spark, sf):
     return pairs.groupBy("conv_id").agg(F.count("*").alias("n"), F.round(F.avg("o"), 6).alias("mean_overlap"), F.count_if(F.col("o") >= 0.8).alias("n_high"))
 
 
+@query("agg31c_lexical_pairs", """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents), b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS u FROM benchmark),
+p AS (SELECT doc_id, item_id, len(list_intersect(t, u))::DOUBLE / least(len(t), len(u)) AS o FROM d, b WHERE len(t) > 0 AND len(u) > 0)
+SELECT doc_id, item_id, round(o, 6) AS overlap FROM p WHERE o >= 0.8""")
+def agg31c(spark, sf):
+    """All pairs of documents and items of which one holds most tokens of the other (AGG-31, JON-08, SCL-05)."""
+    texts = X.read(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), S.tokens(F.col("text")).alias("tokens"))
+    items = X.read(spark, sf, "benchmark").select("item_id", S.tokens(F.col("text")).alias("tokens"))
+    return L.overlapping(texts, items, 0.8).select(F.col("text_id").alias("doc_id"), "item_id", F.round("overlap", 6).alias("overlap"))
+
+
 @query("scl08_content_hashes", r"SELECT h, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))) AS h FROM documents) GROUP BY h HAVING count(*) > 1")
 def scl08(spark, sf):
     """Groups of texts that are one after normalisation (SCL-08, AGG-40, RND-11)."""
@@ -45,20 +56,43 @@ def agg40(spark, sf):
     return hashed.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_ids"), (F.count("*") - F.countDistinct("h")).alias("n_repeated"))
 
 
-@query("scl06_label_mentions", r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+(?:[''-][A-Za-z0-9]+)*')) AS n_words, regexp_matches(text, '(?:^|[^\p{L}\p{N}\p{M}_])A(?:$|[^\p{L}\p{N}\p{M}_])') AS a, regexp_matches(text, '(?:^|[^\p{L}\p{N}\p{M}_])B(?:$|[^\p{L}\p{N}\p{M}_])') AS b, regexp_matches(text, '(?:^|[^\p{L}\p{N}\p{M}_])' || chr((65 + doc_id % 4)::INT) || '(?:$|[^\p{L}\p{N}\p{M}_])') AS selected FROM documents")
+# Whole words by any language's letters; a word goes from its first letter, digit or underscore over these, ' and -.
+_MENTION_SQL = ", ".join(f"regexp_matches(text, '(?:^|[^\\p{{L}}\\p{{N}}_]){x}(?:$|[^\\p{{L}}\\p{{N}}_])') AS {x.lower()}" for x in "ABCD")
+MENTIONS_SQL = r"SELECT doc_id, lang, chr((65 + doc_id % 5)::INT) AS answer, len(regexp_extract_all(text, '[\p{L}\p{N}_][\p{L}\p{N}_''-]*')) AS n_words, " + _MENTION_SQL + " FROM documents"
+
+
+def _mentions(spark, sf):
+    """Every document as a reasoning, whose answer its id gives; E stands for an answer that is none."""
+    d = X.read(spark, sf, "documents").withColumn("answer", F.char(65 + F.col("doc_id") % 5))
+    return d.select("doc_id", "lang", S.reasoning_diagnostics(F.col("text"), F.col("answer")).alias("d"))
+
+
+@query("scl06_label_mentions", f"WITH m AS ({MENTIONS_SQL}) SELECT doc_id, n_words, a AND b AND c AND d AS mentions_all, CASE answer WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d WHEN 'E' THEN false END AS mentions_selected FROM m")
 def scl06(spark, sf):
-    """Words, whole-word mentions of labels and of the selected one, which the id gives here (SCL-06)."""
-    text, edge = F.col("text"), r"[\p{L}\p{N}\p{M}_]"
-    whole = lambda label: F.regexp_like(text, F.concat(F.lit(f"(?<!{edge})"), label, F.lit(f"(?!{edge})")))
-    return X.read(spark, sf, "documents").select("doc_id", S.word_count(text).cast("long").alias("n_words"), whole(F.lit("A")).alias("a"), whole(F.lit("B")).alias("b"), whole(F.char(65 + F.col("doc_id") % 4)).alias("selected"))
+    """Words, whether all four labels and whether the selected one are mentioned as whole words (SCL-06)."""
+    return _mentions(spark, sf).select("doc_id", F.col("d.n_words"), F.col("d.mentions_all"), F.col("d.mentions_selected"))
+
+
+@query("agg15_diagnostics", f"WITH m AS ({MENTIONS_SQL}) SELECT lang, round(sum(n_words)::DOUBLE / count(n_words), 6) AS mean_words, count(*) FILTER (a AND b AND c AND d) AS n_all, round(count(*) FILTER (CASE answer WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE false END)::DOUBLE / count(*), 6) AS selected_rate FROM m GROUP BY lang")
+def agg15(spark, sf):
+    """Means of the diagnostics of reasonings by language, which stands for a model here (AGG-15, SCL-06)."""
+    d = F.col("d")
+    return _mentions(spark, sf).groupBy("lang").agg(
+        F.round(F.try_divide(F.sum(d["n_words"]).cast("double"), F.count(d["n_words"])), 6).alias("mean_words"),
+        F.count_if(d["mentions_all"]).alias("n_all"),
+        F.round(S.rate_or_zero(d["mentions_selected"]), 6).alias("selected_rate"),
+    )
 
 
-@query("scl01_cjk_counts", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 3 END::BIGINT AS n FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[㐀-䶿一-鿿]')")
+@query("scl01_cjk_counts", """WITH rows AS (SELECT doc_id, text AS question, 'abc 漢字' AS options FROM documents UNION ALL SELECT -1 - doc_id, CASE doc_id % 3 WHEN 0 THEN '㐀漢a字' WHEN 1 THEN 'アab한' ELSE left(text, 5) || '鿿䶿中' END, NULL FROM documents)
+SELECT doc_id, (coalesce(length(regexp_replace(question, '[^㐀-䶿一-鿿]', '', 'g')), 0) + coalesce(length(regexp_replace(options, '[^㐀-䶿一-鿿]', '', 'g')), 0))::BIGINT AS n FROM rows""")
 def scl01(spark, sf):
-    """Chinese characters over several fields of a row: the text, here without any, and a made title (SCL-01)."""
-    title = F.element_at(F.array(F.lit("abc 漢字"), F.lit("アab"), F.lit("㐀漢a字")), (F.col("doc_id") % 3 + 1).cast("int"))
-    count = lambda c: F.coalesce(S.cjk_count(c), F.lit(0))
-    return X.read(spark, sf, "documents").filter(count(F.col("text")) == 0).select("doc_id", (count(F.col("text")) + count(title)).cast("long").alias("n"))
+    """Chinese characters over the fields of a row: all documents beside a title, and as many rows of literal text (SCL-01)."""
+    d = X.read(spark, sf, "documents").select("doc_id", "text")
+    made = F.when(F.col("doc_id") % 3 == 0, "㐀漢a字").when(F.col("doc_id") % 3 == 1, "アab한").otherwise(F.concat(F.left("text", F.lit(5)), F.lit("鿿䶿中")))
+    rows = d.select("doc_id", F.col("text").alias("question"), F.lit("abc 漢字").alias("options")).unionByName(d.select((-1 - F.col("doc_id")).alias("doc_id"), made.alias("question"), F.lit(None).cast("string").alias("options")))
+    count = lambda c: F.coalesce(S.cjk_count(F.col(c)), F.lit(0))
+    return rows.select("doc_id", (count("question") + count("options")).cast("long").alias("n"))
 
 
 @query("scl12_rendered_turns", "SELECT conv_id, string_agg(role || ': ' || text, ' | ' ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id")
@@ -82,11 +116,10 @@ def flt20(spark, sf):
     return d.filter("doc_id % 2 = 0").join(pair, "doc_id").select("doc_id", (F.col("lang") == F.col("lang_b")).alias("same_lang"), F.col("n_chars").eqNullSafe(F.col("n_b")).alias("same_length"))
 
 
-@query("scl14_shown_answers", """SELECT conv_id, turn, 'Agent ' || role || ' said: ' || CASE WHEN trim(coalesce(text, ''), E' \\t\\n\\r') = '' OR turn % 3 = 0 THEN 'UNPARSED' ELSE trim(text, E' \\t\\n\\r') END AS shown FROM conversations""")
+@query("scl14_shown_answers", """SELECT conv_id, turn, 'Agent ' || role || ' said: ' || CASE WHEN trim(coalesce(text, ''), E' \\t\\n\\r') = '' THEN 'UNPARSED' ELSE trim(text, E' \\t\\n\\r') END AS shown FROM conversations""")
 def scl14(spark, sf):
-    """Prompt lines with a fixed word where there is nothing to show (SCL-14). Every third turn is taken as not read."""
-    read = F.when(F.col("turn") % 3 != 0, F.col("text"))
-    return X.read(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("Agent "), "role", F.lit(" said: "), S.shown(read, "UNPARSED")).alias("shown"))
+    """Prompt lines with a fixed word where there is nothing to show (SCL-14)."""
+    return X.read(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("Agent "), "role", F.lit(" said: "), S.shown(F.col("text"), "UNPARSED")).alias("shown"))
 
 
 @query("rnd11_unused_texts", r"WITH h AS (SELECT doc_id, sha256(lower(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))) AS h FROM documents), used AS (SELECT DISTINCT h FROM h WHERE doc_id % 5 = 0) SELECT min(doc_id) AS doc_id FROM h WHERE doc_id % 5 <> 0 AND h NOT IN (SELECT h FROM used) GROUP BY h")

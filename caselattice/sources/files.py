@@ -6,6 +6,7 @@ import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,12 +20,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text): the lines of text files, numbered from 1 within each file, blank ones too. A file is read by as many
+    tasks as it has splits: lines are counted a split, splits summed up a file, and a line's place in its split added."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
+    splits = lines.groupBy("file", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    ahead = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "_at", "_first", ahead.alias("_ahead"))
+    return lines.join(starts, ["file", "_at"]).select("file", (F.col("_ahead") + F.col("_id") - F.col("_first") + 1).alias("line"), "text")
+
+
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of lines that are neither blank nor a JSON object: what to look at after a failed read. Lines are
-    numbered from 1 within a file, so a file is one row here."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("at", "text"))
+    """(file, line, text) of lines that are neither blank nor a JSON object: what to look at after a failed read."""
     kind = F.schema_of_variant(F.try_parse_json("text"))
-    return whole.filter((F.trim("text") != "") & ~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))).select("file", (F.col("at") + 1).alias("line"), "text")
+    return numbered_lines(spark, path).filter((F.trim("text") != "") & ~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False)))
 
 
 def load_json(spark: SparkSession, path: str) -> dict:
