@@ -1,15 +1,16 @@
 r"""Information-theoretic sanitisation of personal data, with built-in functions only.
 
 Fixed patterns give the protected entities: e-mail and IP addresses, payment cards and phone numbers. How strongly a term
-reveals an entity is estimated over the whole corpus: with N distinct texts, c of them holding the entity, d the term, and k
-the term within CONTEXT characters of the entity, the term tells log2(N k / (c d)) of the entity's log2(N / c) bits. Where
-that share reaches REMOVE the term is removed, where it reaches GENERALISE it is replaced by its class, each time at every
-place of a text that has the entity and the term beside it. Entities and pairs in fewer than SUPPORT texts say nothing.
+reveals an entity is estimated over the whole corpus: of N texts, c hold the entity, d the term, and k the term within
+CONTEXT characters of the entity; so the term tells log2(N k / (c d)) of the entity's log2(N / c) bits. Where that share
+reaches REMOVE the term is removed, where it reaches GENERALISE it is replaced by its class, each time at every place of a
+text that has the entity and the term beside it. Every row counts, but entities and pairs in fewer than SUPPORT different
+texts say nothing.
 
-Terms are words that begin with a letter, lower-cased; equal texts count once. Each mention gives its neighbouring words,
-not all words of its text, so work grows with the mentions; counts are combined before they are shuffled. Documents meet
-their terms by a digest of the text: of candidates and of flagged texts at most BROADCAST rows are broadcast, more are joined
-by shuffles, in which only documents that hold an entity take part.
+Terms are words that begin with a letter, lower-cased. Each mention gives its neighbouring words, not all words of its text,
+so work grows with the mentions; counts are combined before they are shuffled. Documents meet their terms by a digest of the
+text: at most BROADCAST candidate terms, and a tenth as many flagged texts, are broadcast; more are joined by shuffles, in which
+only documents that hold an entity take part.
 
 Defined results: null text counts as empty and has no spans; repeated rows have the same spans each; ties are sorted by kind,
 then start; spans of different kinds may overlap, and the redaction merges them. Very long texts are read whole, in time
@@ -111,33 +112,35 @@ def _mentions(text: Column) -> Column:
     return F.concat(*[_only_if(hint, text, _mentions_of(k, text), "array<struct<entity:string,terms:array<string>>>") for k, hint in enumerate(_HINTS)])
 
 
+def _pairs(mentions: Column) -> Column:
+    """The entities of a text, and each with each word near it, as distinct strings: a digest, a space, a word or nothing."""
+    spread = F.transform(mentions, lambda m: F.transform(F.array_append(m["terms"], F.lit("")), lambda t: F.concat(m["entity"], F.lit(" "), t)))
+    return F.array_distinct(F.flatten(spread))
+
+
 def disclosures(documents: DataFrame, text: str) -> DataFrame:
     """(digest, terms): for the MD5 of each text with terms to treat, a map from the term to the kind of its spans."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    texts = documents.select(t.alias("text"), F.md5(t).alias("digest"))
-    held = texts.select("digest", F.explode(_mentions(F.col("text"))).alias("m")).select("digest", "m.entity", F.explode_outer("m.terms").alias("term"))
-    mentions = stored(held.distinct())
-    n_texts = texts.where("text <> ''").select("digest").distinct().count()
-    entities = mentions.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("c")).where(F.col("c") >= SUPPORT)
-    pairs = mentions.where("term IS NOT NULL").groupBy("entity", "term").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT)
-    candidates = stored(pairs.join(entities, "entity"))
+    texts = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    held = texts.select(F.md5("text").alias("digest"), F.explode(_pairs(_mentions(F.col("text")))).alias("pair"))
+    told = held.groupBy("digest", "pair").agg(F.count("*").alias("n"))
+    mentions = stored(told.select("digest", F.left("pair", F.lit(32)).alias("entity"), F.expr("substr(pair, 34)").alias("term"), "n"))
+    known = mentions.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
+    counted = known.where("term <> ''").select("entity", "term", F.col("n").alias("k")).join(known.where("term = ''").select("entity", F.col("n").alias("c")), "entity")
+    candidates = stored(counted)
     asked = candidates.select("term").distinct()
-    words = texts.select("digest", F.explode(_terms(F.col("text"))).alias("term"))
-    counts = _small(asked, BROADCAST)
-    known = words.join(counts, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("d"))
+    words = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
+    # Few terms are sifted before they are counted, many after.
+    few = asked.count() <= BROADCAST
+    holders = (words.join(F.broadcast(asked), "term", "left_semi") if few else words).groupBy("term").agg(F.count("*").alias("d"))
+    n_rows = texts.where("text <> ''").count()
     bits = lambda x: F.log2(x.cast("double"))
-    share = bits(F.lit(n_texts) * F.col("k") / (F.col("c") * F.col("d"))) / bits(F.lit(n_texts) / F.col("c"))
-    told = candidates.where(F.col("c") < n_texts).join(known, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
-    strongest = mentions.join(told, ["entity", "term"]).groupBy("digest", "term").agg(F.max("share").alias("share"))
+    share = bits(F.lit(n_rows) * F.col("k") / (F.col("c") * F.col("d"))) / bits(F.lit(n_rows) / F.col("c"))
+    revealing = candidates.where(F.col("c") < n_rows).join(holders, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    strongest = mentions.join(revealing, ["entity", "term"]).groupBy("digest", "term").agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= REMOVE, KINDS[5]).otherwise(KINDS[4])
     return stored(strongest.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", kind))).alias("terms")))
 
 
-def _small(df: DataFrame, most: int) -> DataFrame:
-    """df, to be broadcast if it has no more rows than that."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def find_personal(df: DataFrame, text: str) -> DataFrame:
     """Adds `personal`: array of (rank of the kind, start, end, kind), sorted; kinds as in KINDS."""
     flagged = disclosures(df, text)

@@ -61,21 +61,24 @@ def spans_by_hand(texts):
                     right = re.sub(r"[^\W_]+\Z", "", right[: personal_data.CONTEXT])
                 if holds(m.group()):
                     near[text][kind + ":" + named(m.group())] |= {w for w, _, _ in words_of(left + " | " + right)}
-    c, k, d = defaultdict(int), defaultdict(int), defaultdict(int)
+    c, k, d, support = (defaultdict(int) for _ in range(4))
     for text in distinct:
+        copies = texts.count(text)
         for w in {w for w, _, _ in words_of(text)}:
-            d[w] += 1
+            d[w] += copies
         for e, ws in near[text].items():
-            c[e] += 1
+            c[e] += copies
+            support[e] += 1
             for w in ws:
-                k[e, w] += 1
+                k[e, w] += copies
+                support[e, w] += 1
     out = []
     for text in texts:
         text, flagged = text or "", {}
         for e, ws in near[text].items():
             for w in ws:
-                n = len(distinct)
-                if c[e] >= personal_data.SUPPORT and k[e, w] >= personal_data.SUPPORT and c[e] < n:
+                n = len([t for t in texts if t])
+                if support[e] >= personal_data.SUPPORT and support[e, w] >= personal_data.SUPPORT and c[e] < n:
                     share = math.log2(n * k[e, w] / (c[e] * d[w])) / math.log2(n / c[e])
                     flagged[w] = max(share, flagged.get(w, 0))
         treated = [(personal_data.KINDS[4 + (flagged[w] >= personal_data.REMOVE)], s, e) for w, s, e in words_of(text) if flagged.get(w, 0) >= personal_data.GENERALISE]
