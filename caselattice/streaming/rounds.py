@@ -1,8 +1,8 @@
 """The round barrier as a stream: a game's next round opens when all agents of the rounds before it are there.
 
 State a game: the agents seen in each round that is not whole yet, and the first such round. Calls may come in any order and
-more than once. Each time the first open round moves, and once when the game begins, a row is sent on; a game of which nothing
-is heard for `patience` gives a row marked as stalled, by a timer of processing time, and may go on later. State and timers
+more than once. Each time the first open round moves, and once when the game begins, a row is sent on; if a patience is given, a game of which nothing
+is heard for so long gives a row marked as stalled, by a timer of processing time, and may go on later. State and timers
 live in the checkpoint, so a restart goes on where the last batch ended.
 """
 
@@ -22,7 +22,7 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 
 class RoundBarrier(StatefulProcessor):
-    def __init__(self, agents: int, patience_ms: int) -> None:
+    def __init__(self, agents: int, patience_ms: int | None) -> None:
         self.agents, self.patience_ms = agents, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -46,9 +46,10 @@ class RoundBarrier(StatefulProcessor):
                 self.seen.removeKey((now, agent))
             now += 1
         self.open.update((now,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+        if self.patience_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
         if new or now != before:
             yield self._row(key, now, False)
 
@@ -62,11 +63,13 @@ class RoundBarrier(StatefulProcessor):
         pass
 
 
-def opened_rounds(calls: DataFrame, agents: int, patience_ms: int = 86_400_000) -> DataFrame:
-    """A stream of (item_id, family, next_round, stalled) from a stream of calls (item_id, family, agent_id, round)."""
+def opened_rounds(calls: DataFrame, agents: int, patience_ms: int | None = None) -> DataFrame:
+    """A stream of (item_id, family, next_round, stalled) from a stream of calls (item_id, family, agent_id, round). Without
+    `patience_ms` no game stalls; with it a query goes on for ever, as timers may always be due, so it must not be one of what is
+    available now."""
     calls.sparkSession.conf.set(_PROVIDER, _ROCKS)
     keyed = calls.select(F.col("item_id").cast("long"), "family", "agent_id", F.col("round").cast("long"))
-    return keyed.groupBy("item_id", "family").transformWithStateInPandas(RoundBarrier(agents, patience_ms), OPENED, "Update", "ProcessingTime")
+    return keyed.groupBy("item_id", "family").transformWithStateInPandas(RoundBarrier(agents, patience_ms), OPENED, "Update", "None" if patience_ms is None else "ProcessingTime")
 
 
 def replayed(calls: DataFrame, path: str, agents: int, batches: int = 4, stop_after: int | None = None) -> DataFrame:
