@@ -36,7 +36,19 @@ def generate(spark: SparkSession, per_cell: int, seed: int) -> DataFrame:
     """(item_id, scenario, cl, ds, il, gold, constraints, wrong masks): per_cell items of each of the 18 cells."""
     level = lambda n, name: spark.range(n).select(F.col("id").alias(name))
     base = level(3, "c").crossJoin(level(3, "d")).crossJoin(level(2, "i")).crossJoin(level(per_cell, "n"))
-    number = ((F.col("c") * 3 + F.col("d")) * 2 + F.col("i")) * per_cell + F.col("n")
+    return _made(spark, base.withColumn("number", ((F.col("c") * 3 + F.col("d")) * 2 + F.col("i")) * per_cell + F.col("n")), seed)
+
+
+def generate_for(ids: DataFrame, seed: int) -> DataFrame:
+    """As generate, an item for each id of `ids` (item_id, whole numbers from 0): twelve ids in a row, with all pairs of a gold label
+    and a scenario, are of one cell, the next twelve of the next."""
+    cell = F.expr("(item_id div 12) % 18")
+    return _made(ids.sparkSession, ids.select(F.col("item_id").cast("long").alias("number"), F.expr("(item_id div 12) % 18 div 6").alias("c"), F.expr("(item_id div 12) % 18 div 2 % 3").alias("d"), (cell % 2).alias("i")), seed)
+
+
+def _made(spark: SparkSession, base: DataFrame, seed: int) -> DataFrame:
+    """Items for rows of a number and the places c, d and i of the levels of their factors."""
+    number = F.col("number")
     scenario = F.element_at(F.array(*[F.lit(s[0]) for s in catalog.SCENARIOS]), (number % len(catalog.SCENARIOS) + 1).cast("int"))
     items = base.select(number.alias("item_id"), scenario.alias("scenario"), (F.col("c") * 2 + 3).cast("int").alias("k"), F.concat(F.lit("CL"), F.col("c") + 1).alias("cl"), F.concat(F.lit("DS"), F.col("d") + 1).alias("ds"), F.concat(F.lit("IL"), F.col("i") + 1).alias("il"), F.char(65 + number % 4).alias("gold"))
     # Catalogs are constants of this module's size; a scenario's attributes are one array.

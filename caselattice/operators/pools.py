@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselattice.functions.scalar import LABELS, draw, normalized, overlap, tokens
-from caselattice.operators.generation import drawn, generate, generate_by_closeness
+from caselattice.operators.generation import drawn, generate, generate_by_closeness, generate_for
 from caselattice.sources import catalog
 
 # The names of the contract that items follow.
@@ -97,6 +97,11 @@ def pool(spark: SparkSession, per_cell: int, seed: int) -> DataFrame:
     return documents(generate(spark, per_cell, seed), seed)
 
 
+def pool_for(ids: DataFrame, seed: int) -> DataFrame:
+    """A document for each id."""
+    return documents(generate_for(ids, seed), seed)
+
+
 def closeness_pool(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """n documents of three to five constraints, by closeness."""
     made = generate_by_closeness(spark, n, seed)

@@ -14,31 +14,31 @@ from caselattice.sources.folders import stored
 MOST = 60
 
 
-def _binomial(n: Column, k: Column) -> Column:
-    """Of numbers up to MOST; 0 where k is negative or above n."""
-    table = F.array(*[F.array(*[F.lit(math.comb(a, b)) for b in range(MOST + 1)]).cast("array<long>") for a in range(MOST + 1)])
+def _binomial(n: Column, k: Column, most: int) -> Column:
+    """Of numbers up to `most`; 0 where k is negative or above n."""
+    table = F.array(*[F.array(*[F.lit(math.comb(a, b)) for b in range(most + 1)]).cast("array<long>") for a in range(most + 1)])
     return F.when((k >= 0) & (n >= 0), F.get(F.get(table, n.cast("int")), k.cast("int"))).otherwise(F.lit(0).cast("long"))
 
 
-def subsets(k: Column, least: Column) -> Column:
-    """How many sets of at least `least` of k elements there are."""
-    return F.aggregate(F.sequence(least, k), F.lit(0).cast("long"), lambda s, n: s + _binomial(k, n))
+def subsets(k: Column, least: Column, most: int = MOST) -> Column:
+    """How many sets of at least `least` of k elements there are; k is at most `most`."""
+    return F.aggregate(F.sequence(least, k), F.lit(0).cast("long"), lambda s, n: s + _binomial(k, n, most))
 
 
-def subset_at(k: Column, least: Column, number: Column) -> Column:
+def subset_at(k: Column, least: Column, number: Column, most: int = MOST) -> Column:
     """The set of that number, from 0, of at least `least` of the elements 1 to k, as a sorted array: smaller sets first, sets of
     one size in order of their elements. Each element is taken or left by one comparison with a binomial, so no set before it
     is made."""
     size = F.aggregate(
         F.sequence(least, k),
         F.struct(number.cast("long").alias("left"), F.lit(0).cast("int").alias("size")),
-        lambda s, n: F.when((s["size"] == 0) & (s["left"] >= _binomial(k, n)), F.struct((s["left"] - _binomial(k, n)).alias("left"), F.lit(0).alias("size")))
+        lambda s, n: F.when((s["size"] == 0) & (s["left"] >= _binomial(k, n, most)), F.struct((s["left"] - _binomial(k, n, most)).alias("left"), F.lit(0).alias("size")))
         .when(s["size"] == 0, F.struct(s["left"].alias("left"), n.cast("int").alias("size")))
         .otherwise(s),
     )
 
     def take(s: Column, p: Column) -> Column:
-        with_it = _binomial(k - p, s["size"] - 1)
+        with_it = _binomial(k - p, s["size"] - 1, most)
         taken = F.struct(s["left"].alias("left"), (s["size"] - 1).alias("size"), F.array_append(s["found"], p.cast("int")).alias("found"))
         passed = F.struct((s["left"] - with_it).alias("left"), s["size"].alias("size"), s["found"].alias("found"))
         return F.when(s["size"] == 0, s).when(s["left"] < with_it, taken).otherwise(passed)

@@ -1,6 +1,7 @@
 """Queries over item documents: contracts with tampered items, variants and generation by closeness.
 
-Each item of a generated pool is tampered with in one way by its id, or left alone; the SQL says which rule that way breaks."""
+The items are one for each part, its factors, gold label and scenario by its key. Each is tampered with in one way by its id, or left
+alone; the SQL says which rule that way breaks."""
 
 from __future__ import annotations
 
@@ -16,8 +17,11 @@ from caselattice.operators import pools as P
 from caselattice.operators import validation as V
 from caselattice.plans.registry import query
 from caselattice.sources import catalog as C
+from caselattice.sources import views as X
 
 PER_CELL, N, SEED = 24, 300, 42
+#: The items: one for each part.
+IDS = "(SELECT p_partkey AS item_id FROM part)"
 Tamper = tuple[str | None, str | None, Callable[[], dict[str, Column]]]
 
 
@@ -154,30 +158,34 @@ def tampered(items: DataFrame, tampers: list[Tamper]) -> DataFrame:
     return items.withColumns(new)
 
 
-def _expected(tampers: list[Tamper], n: int, il: str) -> str:
+def _pool(spark, sf):
+    return P.pool_for(X.read(spark, sf, "part").select(F.col("p_partkey").alias("item_id")), SEED)
+
+
+def _expected(tampers: list[Tamper], ids: str, il: str) -> str:
     rows = ", ".join(f"({i + 1}, {C.values_sql([(a, b)])[8:-1]})" for i, (a, b, _) in enumerate(tampers))
-    return f"SELECT item_id, rule FROM (SELECT item_id, CASE WHEN {il} THEN low ELSE high END AS rule FROM (SELECT unnest(range({n})) AS item_id), (VALUES {rows}) t(way, low, high) WHERE item_id % {len(tampers) + 1} = way) WHERE rule IS NOT NULL"
+    return f"SELECT item_id, rule FROM (SELECT item_id, CASE WHEN {il} THEN low ELSE high END AS rule FROM {ids}, (VALUES {rows}) t(way, low, high) WHERE item_id % {len(tampers) + 1} = way) WHERE rule IS NOT NULL"
 
 
-_LOW = f"(item_id // {PER_CELL}) % 2 = 0"
+_LOW = "(item_id // 12) % 2 = 0"
 
 
-@query("flt08_item_contract", _expected(_v4(), 18 * PER_CELL, _LOW))
+@query("flt08_item_contract", _expected(_v4(), IDS, _LOW))
 def flt08(spark, sf):
     """The first rule that each tampered item breaks, of the contract of factor cells (FLT-08, FLT-09, FLT-10, FLT-11)."""
-    return V.first_failures(K.violations(tampered(P.pool(spark, PER_CELL, SEED), _v4()), K.v4_rules()))
+    return V.first_failures(K.violations(tampered(_pool(spark, sf), _v4()), K.v4_rules()))
 
 
-@query("flt01_item_contract", _expected(_v3(), N, "true"))
+@query("flt01_item_contract", _expected(_v3(), f"(SELECT unnest(range({N})) AS item_id)", "true"))
 def flt01c(spark, sf):
     """The same for the contract by closeness (FLT-01, FLT-02, FLT-03, RND-03, RND-08)."""
     return V.first_failures(K.violations(tampered(P.closeness_pool(spark, N, SEED), _v3()), K.v3_rules()))
 
 
-@query("flt05_semantic_violations", f"SELECT rule, count(*) AS n FROM ({_expected(_semantic(), 18 * PER_CELL, 'true')}) GROUP BY rule")
+@query("flt05_semantic_violations", f"SELECT rule, count(*) AS n FROM ({_expected(_semantic(), IDS, 'true')}) GROUP BY rule")
 def flt05(spark, sf):
     """First semantic rules broken, counted (FLT-05, FLT-06, FLT-07, AGG-30)."""
-    found = V.first_failures(K.violations(tampered(P.pool(spark, PER_CELL, SEED), _semantic()), K.semantics()))
+    found = V.first_failures(K.violations(tampered(_pool(spark, sf), _semantic()), K.semantics()))
     return found.groupBy("rule").agg(F.count("*").alias("n"))
 
 
@@ -190,30 +198,30 @@ def _five() -> list[Tamper]:
     return [by["fact_not_empty"], by["fact_known"], by["fact_category"], by["no_cue"]]
 
 
-@query("flt13_collected_errors", f"SELECT item_id, rule, rule_class FROM (SELECT item_id, rule, 'facts' AS rule_class FROM (SELECT unnest(range({18 * PER_CELL})) AS item_id), ({C.values_sql(_COLLECTED)}) t(way, rule) WHERE item_id % 5 = way AND (rule = 'no_cue' OR NOT {_LOW}))")
+@query("flt13_collected_errors", f"SELECT item_id, rule, rule_class FROM (SELECT item_id, rule, 'facts' AS rule_class FROM {IDS}, ({C.values_sql(_COLLECTED)}) t(way, rule) WHERE item_id % 5 = way AND (rule = 'no_cue' OR NOT {_LOW}))")
 def flt13(spark, sf):
     """Every rule that an item breaks, not the first one alone (FLT-13, FLT-22)."""
-    return K.violations(tampered(P.pool(spark, PER_CELL, SEED), _five()), K.fact_rules()).select("item_id", "rule", "rule_class")
+    return K.violations(tampered(_pool(spark, sf), _five()), K.fact_rules()).select("item_id", "rule", "rule_class")
 
 
-@query("flt04_dataset_balance", f"SELECT 'gold' AS scope, chr(65 + g::INT) AS level, count(*) FILTER (i % 4 = g) AS n, true AS sound FROM (SELECT unnest(range({18 * PER_CELL})) AS i), (SELECT unnest(range(4)) AS g) GROUP BY g UNION ALL SELECT 'scenario', ['harbour', 'museum', 'orchard'][s::INT + 1], count(*) FILTER (i % 3 = s), true FROM (SELECT unnest(range({18 * PER_CELL})) AS i), (SELECT unnest(range(3)) AS s) GROUP BY s")
+@query("flt04_dataset_balance", f"SELECT 'gold' AS scope, chr(65 + g::INT) AS level, count(*) FILTER (i % 4 = g) AS n, true AS sound FROM (SELECT p_partkey AS i FROM part), (SELECT unnest(range(4)) AS g) GROUP BY g UNION ALL SELECT 'scenario', ['harbour', 'museum', 'orchard'][s::INT + 1], count(*) FILTER (i % 3 = s), true FROM (SELECT p_partkey AS i FROM part), (SELECT unnest(range(3)) AS s) GROUP BY s")
 def flt04b(spark, sf):
     """Gold labels and scenarios of a pool against what they should be (FLT-04)."""
-    return K.balance(P.pool(spark, PER_CELL, SEED))
+    return K.balance(_pool(spark, sf))
 
 
-@query("rnd09_rotated_items", f"SELECT item_id || '_r' || r AS variant_id, chr(65 + ((item_id % 4 + r) % 4)::INT) AS gold, true AS sound FROM (SELECT unnest(range({18 * PER_CELL})) AS item_id), (SELECT unnest(range(4)) AS r)")
+@query("rnd09_rotated_items", f"SELECT item_id || '_r' || r AS variant_id, chr(65 + ((item_id % 4 + r) % 4)::INT) AS gold, true AS sound FROM {IDS}, (SELECT unnest(range(4)) AS r)")
 def rnd09(spark, sf):
     """Whole items under four rotations, still valid by their contract (RND-09, JON-12, SCL-10, PRJ-16)."""
-    turned = P.rotated(P.pool(spark, PER_CELL, SEED))
+    turned = P.rotated(_pool(spark, sf))
     broken = K.violations(turned.withColumn("item_id", F.col("variant_id")), K.v4_rules()).select(F.col("item_id").alias("variant_id")).distinct().withColumn("broken", F.lit(True))
     return turned.select("variant_id", "gold").join(broken, "variant_id", "left").select("variant_id", "gold", F.col("broken").isNull().alias("sound"))
 
 
-@query("rnd10_information_pairs", f"SELECT item_id, 2::BIGINT AS n_versions, true AS same_formal, true AS sound FROM (SELECT unnest(range({18 * PER_CELL})) AS item_id) WHERE NOT {_LOW}")
+@query("rnd10_information_pairs", f"SELECT item_id, 2::BIGINT AS n_versions, true AS same_formal, true AS sound FROM {IDS} WHERE NOT {_LOW}")
 def rnd10(spark, sf):
     """Items with and without their facts: both valid, formal fields equal (RND-10, SCL-11, FLT-20, FLT-23, JON-14)."""
-    pairs = P.information_pairs(P.pool(spark, PER_CELL, SEED))
+    pairs = P.information_pairs(_pool(spark, sf))
     sound = K.violations(pairs.withColumn("item_id", F.col("variant_id")), K.v4_rules()).select(F.col("item_id").alias("variant_id")).distinct()
     formal = F.sha2(F.to_json(F.struct("constraints", "signatures", "gold", "scenario", "cl", "ds")), 256)
     both = pairs.join(sound.withColumn("broken", F.lit(True)), "variant_id", "left")
@@ -263,7 +271,7 @@ def agg29(spark, sf):
 def agg29b(spark, sf):
     """Mean words of questions and options by cell; null for a cell without items (AGG-29, JON-20). No SQL: the texts are
     generated here."""
-    items = P.pool(spark, PER_CELL, SEED)
+    items = _pool(spark, sf)
     options = F.aggregate(F.map_values("options"), F.lit(0), lambda a, o: a + S.word_count(o))
     by = items.groupBy("cl", "ds", "il").agg(F.count("*").alias("n"), F.round(F.avg(S.word_count(F.col("question"))), 3).alias("question_words"), F.round(F.sum(options) / F.sum(F.size("options")), 3).alias("option_words"))
     domain = G.cells(spark)
@@ -274,11 +282,11 @@ def agg29b(spark, sf):
 def agg31b(spark, sf):
     """Displayed facts against their constraints' texts (AGG-31, JON-08). No SQL: the texts are generated here; a test compares
     it with a plain loop over the same documents."""
-    return P.lexical_audit(P.pool(spark, PER_CELL, SEED))
+    return P.lexical_audit(_pool(spark, sf))
 
 
 @query("jon15_shown_facts", None)
 def jon15(spark, sf):
     """Broken constraints with the fact that the option shows for each, or a fixed text (JON-15, JON-07). Facts are hidden where
     an item's id and the constraint's number add up to a multiple of five; no SQL, as above."""
-    return P.shown_facts(P.pool(spark, PER_CELL, SEED), lambda pos: (F.col("item_id") + pos) % 5 != 0)
+    return P.shown_facts(_pool(spark, sf), lambda pos: (F.col("item_id") + pos) % 5 != 0)

@@ -234,8 +234,8 @@ def rnd04(spark, sf):
     """Three unlike sets of at least half of an item's constraints, each found by its number among all such sets (RND-04)."""
     k, least = F.col("k"), V.far_threshold(F.col("k"))
     numbers = N.unique_numbers(3, F.col("total"), lambda i: S.draw(F.lit("rnd04"), F.col("item_id"), F.lit(i)))
-    drawn = X.items(spark, sf).select("item_id", "k", N.subsets(k, least).alias("total")).select("item_id", "k", F.posexplode(numbers).alias("draw", "number"))
-    return drawn.select("item_id", "draw", F.array_join(F.transform(N.subset_at(k, least, F.col("number")), lambda p: F.concat(F.lit("C"), p)), ",").alias("signature"))
+    drawn = X.items(spark, sf).select("item_id", "k", N.subsets(k, least, 7).alias("total")).select("item_id", "k", F.posexplode(numbers).alias("draw", "number"))
+    return drawn.select("item_id", "draw", F.array_join(F.transform(N.subset_at(k, least, F.col("number"), 7), lambda p: F.concat(F.lit("C"), p)), ",").alias("signature"))
 
 
 @query("rnd01_sampled_attributes", _W + """, drawn AS (SELECT item_id, attr, k, ('0x' || substr(md5('7|' || c.item_id || '|' || attr), 1, 8))::UBIGINT AS d FROM (SELECT DISTINCT item_id, attr FROM candidates) c JOIN items USING (item_id)),

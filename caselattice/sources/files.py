@@ -31,9 +31,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of lines that are neither blank nor a JSON object: what to look at after a failed read."""
+    """(file, line, text) of lines that are neither blank nor a JSON object, in order: what to look at after a failed read."""
     kind = F.schema_of_variant(F.try_parse_json("text"))
-    return numbered_lines(spark, path).filter((F.trim("text") != "") & ~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False)))
+    return numbered_lines(spark, path).filter((F.trim("text") != "") & ~F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))).orderBy("file", "line")
 
 
 def load_json(spark: SparkSession, path: str) -> dict:
