@@ -32,7 +32,7 @@ from caselattice.llm.storage import stored
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
 #: Chunks of a text within its task, and pre-tokens whose ids a task remembers.
-TASK_CHARS, TASK_OVERLAP, KNOWN = 1024, 128, 500_000
+TASK_CHARS, TASK_OVERLAP, KNOWN = 1600, 64, 500_000
 #: A match that ends this near to the end of a chunk might go on, or be another, in the whole text.
 _MARGIN = 4
 
@@ -139,7 +139,9 @@ def _encode(df: DataFrame, text: str, ids: str, vocabulary: Vocabulary) -> DataF
     schema = T.StructType([df.schema[i] for i in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, encode = regex.compile(vocabulary.pattern), vocabulary.encoder().encode_ordinary
+        compiled, encoder = regex.compile(vocabulary.pattern), vocabulary.encoder()
+        # A pre-token need not be split again.
+        encode = getattr(encoder, "_encode_single_piece", encoder.encode_ordinary)
         known: dict[str, list[int]] = {}
 
         def encoded(whole: str) -> list[int]:
