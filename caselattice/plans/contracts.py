@@ -14,6 +14,7 @@ from caselattice.functions import scalar as S
 from caselattice.operators import contracts as K
 from caselattice.operators import generation as G
 from caselattice.operators import pools as P
+from caselattice.operators import translations as L
 from caselattice.operators import validation as V
 from caselattice.plans.registry import query
 from caselattice.sources import catalog as C
@@ -290,3 +291,32 @@ def jon15(spark, sf):
     """Broken constraints with the fact that the option shows for each, or a fixed text (JON-15, JON-07). Facts are hidden where
     an item's id and the constraint's number add up to a multiple of five; no SQL, as above."""
     return P.shown_facts(_pool(spark, sf), lambda pos: (F.col("item_id") + pos) % 5 != 0)
+
+
+def _translations() -> list[Tamper]:
+    """Ways to spoil a translation, with the check that notices."""
+    way = lambda rule, new: (rule, rule, new)
+    bare = lambda x: {"options": F.transform_values("options", lambda k, o: F.when(k == x, F.lit("plain")).otherwise(o))}
+    return [
+        way("source_item", lambda: {"source_item_id": F.col("source_item_id") + 1}),
+        way("family", lambda: {"family": F.lit("other")}),
+        way("scenario", lambda: {"scenario": F.lit(None).cast("string")}),
+        way("empirical_difficulty", lambda: {"empirical_difficulty": F.lit("easy")}),
+        way("gold", lambda: _turned("gold", {"A": "B", "B": "C", "C": "D", "D": "A"})),
+        way("matrix", lambda: {"matrix": F.transform_values("matrix", lambda _, m: F.transform_values(m, lambda _, v: ~v))}),
+        way("signatures", lambda: {"signatures": F.transform_values("signatures", lambda _, s: F.expr("array('C9')"))}),
+        way("constraint_attribute", lambda: _constraints(lambda c: c.withField("attribute", F.lit("other")))),
+        way("constraint_required_value", lambda: _constraints(lambda c: c.withField("required_value", ~c["required_value"]))),
+        way("constraint_text", lambda: _constraints(lambda c: F.when(c["pos"] == 2, c.withField("text", F.lit("plain"))).otherwise(c))),
+        way("option_C", lambda: bare("C")),
+        way("entity_name", lambda: _entities("name", lambda e: F.upper(e["name"]))),
+        way("entity_display_order", lambda: _entities("display_order", lambda e: F.reverse(e["display_order"]))),
+        way("question", lambda: {"question": F.lit("Who fits?")}),
+    ]
+
+
+@query("flt20b_translations", _expected(_translations(), IDS, "true"))
+def flt20b(spark, sf):
+    """The first check that each spoilt translation fails against its source, over all formal fields and texts (FLT-20)."""
+    items = _pool(spark, sf)
+    return V.first_failures(L.translation_faults(items, tampered(L.in_chinese(items), _translations())))

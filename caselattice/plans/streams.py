@@ -98,3 +98,21 @@ def snk07(spark, sf):
     frozen.freeze(runs, path, ["event_id"])
     changed = runs.withColumn("answer", F.when(F.col("event_id") % 501 == 0, F.concat(F.coalesce("answer", F.lit("")), F.lit("!"))).otherwise(F.col("answer"))).where("event_id % 997 <> 1 OR event_id % 501 = 0")
     return frozen.differences(changed, path, ["event_id"]).select("event_id", "side", "answer")
+
+
+@query("snk01_jsonl_round_trip", f"WITH {RUN_SQL} SELECT event_id, item_id, model_alias, answer, correct, confidence FROM runs")
+def snk01(spark, sf):
+    """Runs written as JSON lines and read again by an explicit schema (SNK-01, SNK-02, SRC-01)."""
+    runs = X.runs(spark, sf).select("event_id", "item_id", "model_alias", "answer", "correct", "confidence")
+    path = folders.new_folder(spark, "jsonl")
+    files.write_jsonl(runs, path)
+    return files.read_jsonl(spark, path, runs.schema)
+
+
+@query("snk04_cell_csv", f"WITH {RUN_SQL} SELECT cl, il, count(*) AS n_runs, count(*) FILTER (correct) AS n_correct, '[\"' || string_agg(DISTINCT model_alias, '\",\"' ORDER BY model_alias) || '\"]' AS models FROM runs GROUP BY cl, il")
+def snk04(spark, sf):
+    """Statistics by cell written as CSV, arrays as JSON, and read again (SNK-04, SNK-05)."""
+    cells = X.runs(spark, sf).groupBy("cl", "il").agg(F.count("*").alias("n_runs"), F.count_if("correct").alias("n_correct"), F.array_sort(F.collect_set("model_alias")).alias("models"))
+    path = folders.new_folder(spark, "csv")
+    files.write_csv(cells, path)
+    return spark.read.schema("cl string, il string, n_runs long, n_correct long, models string").option("header", True).option("escape", '"').csv(path)

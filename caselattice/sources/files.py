@@ -53,10 +53,10 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """With a header; arrays, maps and structs as JSON."""
+    """With a header, quotes doubled within quotes; arrays, maps and structs as JSON."""
     nested = (T.ArrayType, T.MapType, T.StructType)
     flat = [F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema.fields]
-    df.select(*flat).write.mode(mode).option("header", True).csv(path)
+    df.select(*flat).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(spark: SparkSession, path: str, data: dict) -> None:
@@ -74,7 +74,7 @@ def write_cells_csv(df: DataFrame, path: str, cell: str = "cell", mode: str = "e
     nested = (T.ArrayType, T.MapType, T.StructType)
     parts = F.split(cell, "__")
     rest = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name != cell and not isinstance(f.dataType, nested)]
-    df.select(*[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(("cl", "ds", "il"))], *rest).write.mode(mode).option("header", True).csv(path)
+    df.select(*[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(("cl", "ds", "il"))], *rest).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def entity_json(df: DataFrame, *columns: str, out: str = "entity") -> DataFrame:
