@@ -39,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 N_SKETCHES, LENGTH = 96, 2
 #: Members of a bucket's part, which are aligned with the part's least.
 STAR = 512
+#: One bucket in so many is aligned before the others.
+EARLY = 12
 #: Members of a bucket that are paired in a task, one part; those of larger ones meet by their rarest words.
 LARGE = STAR
 #: Members with a rare word, and words in a bucket, that one task pairs with as many others.
@@ -367,9 +369,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     wanted = members.select("node").distinct().join(nodes.select("node", "id", "mark"), "node")
     held = texts.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark", "node"]).select("node", "text")
     words = stored(_map_words(held, "text", "node long, bag binary, words binary", word_hashes, body).join(sketched, "node"))
-    near = stored(verify(_stars(members), words, similarity))
-
-    roots = stored(components(near))
+    # Most of a group of near copies meets in a few of its buckets: the others give only pairs of what is then still apart.
+    some = F.pmod(F.col("key"), F.lit(EARLY)) == 0
+    near = stored(verify(_stars(members.where(some)), words, similarity))
+    early = stored(components(near))
+    apart = lambda df, c: df.join(early.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    left = apart(apart(_stars(members.where(~some)), "a"), "b").where("a_root != b_root").select("a", "b")
+    further = stored(verify(left, words, similarity))
+    roots = stored(components(early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further)))
     placed = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     # Only pairs without the least of a small bucket are left to be aligned.
     mixed = placed.filter((F.col("size") > STAR) | (F.col("node") != F.col("least"))).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
