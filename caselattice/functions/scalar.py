@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 LABELS = ["A", "B", "C", "D"]
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """A double as the SQL side rounds it: its product with 10**places to a whole number, halves away from zero. `F.round` takes
+    the shortest decimal of the double instead, which ends in a half where the product lies just below one."""
+    return F.round(x * F.lit(10.0**places), 0) / F.lit(10.0**places)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a/b rounded to 6 places; null over zero."""
-    return F.round(F.try_divide(a.cast("double"), b.cast("double")), 6)
+    return rounded(F.try_divide(a.cast("double"), b.cast("double")))
 
 
 def rate_or_zero(hit: Column) -> Column:
@@ -97,6 +103,11 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substr(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), F.lit(1), F.lit(8)), 16, 10).cast("long")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value worked out once: inside a lambda Spark works out a repeated expression anew at each place."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lower_rank(sorted_values: Column, p: float) -> Column:
     """The value at index int(p * (n - 1)) of a sorted array; null if it is empty."""
     return F.get(sorted_values, F.floor(F.lit(p) * (F.size(sorted_values) - 1)).cast("int"))

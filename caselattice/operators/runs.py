@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caselattice.functions.scalar import LABELS, draw, empirical_difficulty, lower_rank, rate_or_zero, ratio, screening_category, valid_answer
+from caselattice.functions.scalar import LABELS, draw, empirical_difficulty, lower_rank, rate_or_zero, ratio, rounded, screening_category, valid_answer
 
 
 def answer_counts(answer: Column) -> list[Column]:
@@ -21,7 +21,7 @@ def item_analysis(runs: DataFrame, items: DataFrame | None = None) -> DataFrame:
     found = runs.groupBy("item_id").agg(
         F.count("*").alias("n_runs"),
         F.count_if("correct").alias("n_correct"),
-        F.round(rate_or_zero(F.col("correct")), 6).alias("accuracy"),
+        rounded(rate_or_zero(F.col("correct"))).alias("accuracy"),
         *answer_counts(F.col("answer")),
         F.array_join(F.array_sort(F.collect_set(answer)), ",").alias("answers"),
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("correct"), answer))), ",").alias("wrong_answers"),
@@ -50,7 +50,7 @@ def rollup(runs: DataFrame, *keys: str) -> DataFrame:
         ratio(F.count_if("truncated"), F.count_if(F.col("request_error").isNull())).alias("truncated_rate"),
         ratio(F.count_if("json_compliant"), F.count("*")).alias("compliant_rate"),
         # Sums of decimals do not depend on the order of rows.
-        F.round(F.try_divide(F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double"), F.count("confidence")), 6).alias("mean_confidence"),
+        rounded(F.try_divide(F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double"), F.count("confidence").cast("double"))).alias("mean_confidence"),
     )
 
 
@@ -59,7 +59,7 @@ def grouped_accuracy(runs: DataFrame, dimensions: list[str]) -> DataFrame:
     level = F.coalesce(*[F.when(F.grouping(d) == 0, F.col(d).cast("string")) for d in dimensions])
     name = F.coalesce(*[F.when(F.grouping(d) == 0, F.lit(d)) for d in dimensions])
     sets = [[F.col(d)] for d in dimensions]
-    return runs.groupingSets(sets, *[F.col(d) for d in dimensions]).agg(name.alias("dimension"), level.alias("level"), F.count("*").alias("n"), F.round(rate_or_zero(F.col("correct")), 6).alias("accuracy")).select("dimension", "level", "n", "accuracy")
+    return runs.groupingSets(sets, *[F.col(d) for d in dimensions]).agg(name.alias("dimension"), level.alias("level"), F.count("*").alias("n"), rounded(rate_or_zero(F.col("correct"))).alias("accuracy")).select("dimension", "level", "n", "accuracy")
 
 
 def grid(items: DataFrame, models: DataFrame, run_ids: list[int]) -> DataFrame:

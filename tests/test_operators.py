@@ -185,3 +185,11 @@ def test_draws_are_fixed(spark):
 def test_words_in_a_run_of_a_megabyte(spark):
     df = spark.createDataFrame([("ab-" * 350_000 + "x",), ("a--b c'd-e f-",), ("",), (None,)], "text string")
     assert [r.n for r in df.select(scalar.word_count(F.col("text")).alias("n")).collect()] == [1, 4, 0, None]
+
+
+def test_halves_are_rounded_as_sql_rounds_them(spark):
+    """162.98 / 320 is 0.5093125 as a decimal, its product with a million just below a half."""
+    values = [162.98 / 320, 50 / 256, 16.83 / 32, 1 / 128, 0.0, 1.0]
+    want = [r for (r,) in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x, unnest(range(6)) AS i) ORDER BY i", [values]).fetchall()]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", scalar.rounded(F.col("x")).alias("r")).collect()
+    assert [r.r for r in sorted(rows)] == want
