@@ -2,14 +2,17 @@
 
 A rule is (name, class, condition that holds for a sound item); a null condition counts as broken. Rules stand in the order
 in which a check that stops at the first failure would ask them: `validation.first_failures` names that one, while
-`violations` collects all. Documents are those of `operators.pools`."""
+`violations` collects all and `sound` says whether there is none. Documents are those of `operators.pools`; what several rules
+ask of a document is worked out once, as columns of `_prepared`."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselattice.functions.scalar import LABELS, cjk_count, complexity
+from caselattice.functions.scalar import LABELS, bound, cjk_count, complexity
 from caselattice.operators import pools
 from caselattice.operators.matrix import broken_ids
 from caselattice.operators.validation import closeness, far_threshold, signature_capacity
@@ -34,7 +37,7 @@ def _names() -> Column:
 
 
 def _recomputed(x: Column) -> Column:
-    return broken_ids(F.element_at("entities", x)["attributes"], F.col("constraints"))
+    return F.element_at("_broken", x)
 
 
 def _wrong() -> Column:
@@ -43,7 +46,14 @@ def _wrong() -> Column:
 
 def _sizes() -> Column:
     """Sorted numbers of violations of the wrong options."""
-    return F.array_sort(F.transform(_wrong(), lambda x: F.size(_recomputed(x))))
+    return F.col("_sizes")
+
+
+def _prepared(items: DataFrame) -> DataFrame:
+    """items with the broken constraints of each label, the labels that break none, and the sizes of the wrong ones."""
+    broken = F.map_from_arrays(pools.labels(), F.transform(pools.labels(), lambda x: broken_ids(F.element_at("entities", x)["attributes"], F.col("constraints"))))
+    valid = F.filter(pools.labels(), lambda x: F.size(_recomputed(x)) == 0)
+    return items.withColumn("_broken", broken).withColumns({"_valid": valid, "_sizes": F.array_sort(F.transform(_wrong(), lambda x: F.size(_recomputed(x))))})
 
 
 def _attributes() -> Column:
@@ -53,7 +63,7 @@ def _attributes() -> Column:
 def matrix_rules() -> list[Rule]:
     """What both contracts ask of stored matrices, signatures and gold labels."""
     same = lambda x: F.forall("constraints", lambda c: F.coalesce(F.element_at(F.element_at("matrix", x), c["constraint_id"]) == (F.element_at(F.element_at("entities", x)["attributes"], c["attribute"]) == c["required_value"]), F.lit(False)))
-    valid = F.filter(pools.labels(), lambda x: F.size(_recomputed(x)) == 0)
+    valid = F.col("_valid")
     marked = F.filter(pools.labels(), lambda x: F.coalesce(F.element_at("entities", x)["is_gold"], F.lit(False)))
     return [
         ("attributes_present", "structure", _all(lambda x, e, o: e["attributes"].isNotNull())),
@@ -73,7 +83,7 @@ def constraint_semantics() -> list[Rule]:
     known = F.create_map(*[x for a in catalog.ATTRIBUTES for x in (F.lit(a[0]), F.struct(F.lit(a[1]).alias("category"), F.lit(a[2]).alias("may_be_false"), F.array(*[F.lit(s) for s in a[3]]).alias("scenarios")))])
     allowed = F.create_map(*[x for s in catalog.SCENARIOS for x in (F.lit(s[0]), F.struct(F.array(*[F.lit(c) for c in s[2]]).alias("categories"), (F.array(*[F.lit(k) for k in s[3]]) if s[3] else F.lit(None).cast("array<string>")).alias("keys")))])
     scenario = F.element_at(allowed, F.col("scenario"))
-    each = lambda test: F.forall("constraints", lambda c: F.coalesce(test(c, F.element_at(known, c["attribute"])), F.lit(False)))
+    each = lambda test: F.forall("constraints", lambda c: bound(F.element_at(known, c["attribute"]), lambda a: F.coalesce(test(c, a), F.lit(False))))
     return [
         ("language_en", "semantics", F.col("language") == "en"),
         ("no_cjk", "semantics", (cjk_count(F.col("question")) == 0) & each(lambda c, a: cjk_count(c["text"]) == 0)),
@@ -109,8 +119,10 @@ def fact_rules() -> list[Rule]:
     each = lambda test: _all(lambda x, e, o: F.forall(e["non_target"], lambda f: F.coalesce(test(f, e, o), F.lit(False))))
     names = F.array(*[F.lit(a[0]) for a in catalog.ATTRIBUTES])
     keys = lambda e: F.transform(e["non_target"], lambda f: f["key"])
-    extra = lambda e: F.map_from_entries(F.transform(F.array_distinct(keys(e)), lambda k: F.struct(k, F.lit(True))))
-    with_facts = lambda e: F.map_concat(F.map_filter(e["attributes"], lambda k, _: ~F.array_contains(keys(e), k)), extra(e))
+    # An attribute that is a fact's key is taken as true.
+    value = lambda e, ks, a: F.when(ks.isNotNull() & e["attributes"].isNotNull(), F.when(F.array_contains(ks, a), True).otherwise(F.element_at(e["attributes"], a)))
+    unmet = lambda e, ks: F.filter("constraints", lambda c: ~F.coalesce(value(e, ks, c["attribute"]) == c["required_value"], F.lit(False)))
+    with_facts = lambda e: bound(keys(e), lambda ks: F.transform(unmet(e, ks), lambda c: c["constraint_id"]))
     return [
         ("fact_count", "facts", _all(lambda x, e, o: F.size(e["non_target"]) == F.when(F.col("il") == "IL2", 2).otherwise(0))),
         ("fact_not_empty", "facts", each(lambda f, e, o: (f["key"] != "") & (f["text"] != ""))),
@@ -121,8 +133,8 @@ def fact_rules() -> list[Rule]:
         ("fact_not_repeated", "facts", _all(lambda x, e, o: F.size(F.array_distinct(keys(e))) == F.size(e["non_target"]))),
         ("fact_text", "facts", each(lambda f, e, o: f["text"] == F.concat(e["name"], F.lit(" "), of(f)["text"]))),
         ("fact_in_option", "facts", each(lambda f, e, o: F.contains(o, f["text"]))),
-        ("no_cue", "facts", _all(lambda x, e, o: ~F.lower(o).rlike("|".join(CUES)))),
-        ("facts_change_nothing", "facts", _all(lambda x, e, o: broken_ids(with_facts(e), F.col("constraints")) == _recomputed(x))),
+        ("no_cue", "facts", _all(lambda x, e, o: bound(F.lower(o), lambda t: ~F.contains(t, F.lit(CUES[0])) & ~F.contains(t, F.lit(CUES[1]))))),
+        ("facts_change_nothing", "facts", _all(lambda x, e, o: F.when(F.size(e["non_target"]) == 0, F.lit(True)).otherwise(with_facts(e) == _recomputed(x)))),
     ]
 
 
@@ -197,7 +209,13 @@ def v3_rules() -> list[Rule]:
 def violations(items: DataFrame, rules: list[Rule]) -> DataFrame:
     """(item_id, rule_order, rule, rule_class): every rule that an item breaks."""
     broken = [F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(i).alias("rule_order"), F.lit(name).alias("rule"), F.lit(kind).alias("rule_class"))) for i, (name, kind, ok) in enumerate(rules)]
-    return items.select("item_id", F.explode(F.array_compact(F.array(*broken))).alias("r")).select("item_id", "r.*")
+    return _prepared(items).select("item_id", F.explode(F.array_compact(F.array(*broken))).alias("r")).select("item_id", "r.*")
+
+
+def sound(items: DataFrame, rules: list[Rule]) -> DataFrame:
+    """items with `sound`: whether no rule is broken, known from the row itself."""
+    every = reduce(lambda a, b: a & b, (F.coalesce(ok, F.lit(False)) for _, _, ok in rules))
+    return _prepared(items).withColumn("sound", every).drop("_broken", "_valid", "_sizes")
 
 
 def balance(items: DataFrame) -> DataFrame:

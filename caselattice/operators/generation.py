@@ -21,9 +21,10 @@ def eligible(spark: SparkSession) -> DataFrame:
 
 
 def drawn(values: Column, *parts: Column) -> Column:
-    """An array in the order of its elements' draws."""
-    keyed = F.transform(values, lambda v: F.struct(draw(*parts, v).alias("d"), v.alias("v")))
-    return F.transform(F.array_sort(keyed), lambda x: x["v"])
+    """An array in the order of its elements' draws. Eight hex digits sort as `draw`'s numbers do."""
+    digits = lambda v: F.substr(F.md5(F.concat_ws("|", *[p.cast("string") for p in (*parts, v)])), F.lit(1), F.lit(8))
+    keyed = F.transform(values, lambda v: F.struct(digits(v).alias("d"), v.alias("v")))
+    return F.transform(F.sort_array(keyed), lambda x: x["v"])
 
 
 def cells(spark: SparkSession) -> DataFrame:
@@ -43,6 +44,9 @@ def generate_for(ids: DataFrame, seed: int) -> DataFrame:
     """As generate, an item for each id of `ids` (item_id, whole numbers from 0): twelve ids in a row, with all pairs of a gold label
     and a scenario, are of one cell, the next twelve of the next."""
     cell = F.expr("(item_id div 12) % 18")
+    # An id is eight bytes, a document thousands: ids are dealt out first, as the files of a small table are few.
+    context = ids.sparkSession.sparkContext
+    ids = ids.select("item_id").repartition(max(4 * context.defaultParallelism, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return _made(ids.sparkSession, ids.select(F.col("item_id").cast("long").alias("number"), F.expr("(item_id div 12) % 18 div 6").alias("c"), F.expr("(item_id div 12) % 18 div 2 % 3").alias("d"), (cell % 2).alias("i")), seed)
 
 
@@ -52,18 +56,18 @@ def _made(spark: SparkSession, base: DataFrame, seed: int) -> DataFrame:
     scenario = F.element_at(F.array(*[F.lit(s[0]) for s in catalog.SCENARIOS]), (number % len(catalog.SCENARIOS) + 1).cast("int"))
     items = base.select(number.alias("item_id"), scenario.alias("scenario"), (F.col("c") * 2 + 3).cast("int").alias("k"), F.concat(F.lit("CL"), F.col("c") + 1).alias("cl"), F.concat(F.lit("DS"), F.col("d") + 1).alias("ds"), F.concat(F.lit("IL"), F.col("i") + 1).alias("il"), F.char(65 + number % 4).alias("gold"))
     # Catalogs are constants of this module's size; a scenario's attributes are one array.
-    pools = eligible(spark).groupBy("scenario").agg(F.array_sort(F.collect_list(F.struct("key", "may_be_false"))).alias("pool"))
+    pools = eligible(spark).groupBy("scenario").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "may_be_false")))).alias("flags"))
     chosen = items.join(F.broadcast(pools), "scenario")
-    flags = F.map_from_entries("pool")
-    keys = F.slice(drawn(F.map_keys(flags), F.lit(seed), F.col("item_id")), F.lit(1), F.col("k"))
-    required = lambda a: ~(F.element_at(flags, a) & (draw(F.lit(seed), F.lit("required"), F.col("item_id"), a) % 2 == 0))
+    keys = F.slice(drawn(F.map_keys("flags"), F.lit(seed), F.col("item_id")), F.lit(1), F.col("k"))
+    required = lambda a: ~(F.element_at("flags", a) & (draw(F.lit(seed), F.lit("required"), F.col("item_id"), a) % 2 == 0))
     constraints = F.transform(keys, lambda a, p: F.struct((p + 1).alias("pos"), F.concat(F.lit("C"), p + 1).alias("constraint_id"), a.alias("attribute"), required(a).alias("required_value")))
-    masks = drawn(F.sequence(F.lit(1), (F.pow(F.lit(2), F.col("k")) - 1).cast("int")), F.lit(seed), F.lit("mask"), F.col("item_id"))
-    of = lambda test: F.filter("masks", test)
-    single, several = of(lambda m: F.bit_count(m) == 1), of(lambda m: F.bit_count(m) >= 2)
-    far = of(lambda m: F.bit_count(m) >= far_threshold(F.col("k")))
-    wrong = F.when(F.col("ds") == "DS1", F.slice(far, 1, 3)).when(F.col("ds") == "DS2", F.concat(F.slice(single, 1, 1), F.slice(several, 1, 2))).otherwise(F.slice(single, 1, 3))
-    return chosen.withColumns({"constraints": constraints, "masks": masks}).withColumn("wrong", wrong).select("item_id", "scenario", "k", "cl", "ds", "il", "gold", "constraints", "wrong")
+    # Masks that the level cannot take are left out before the draws, which do not depend on what else is drawn.
+    every = F.sequence(F.lit(1), (F.pow(F.lit(2), F.col("k")) - 1).cast("int"))
+    of = lambda test, n: F.slice(drawn(F.filter(every, test), F.lit(seed), F.lit("mask"), F.col("item_id")), 1, n)
+    single, several = (lambda m: F.bit_count(m) == 1), (lambda m: F.bit_count(m) >= 2)
+    far = lambda m: F.bit_count(m) >= far_threshold(F.col("k"))
+    wrong = F.when(F.col("ds") == "DS1", of(far, 3)).when(F.col("ds") == "DS2", F.concat(of(single, 1), of(several, 2))).otherwise(of(single, 3))
+    return chosen.withColumns({"constraints": constraints, "wrong": wrong}).select("item_id", "scenario", "k", "cl", "ds", "il", "gold", "constraints", "wrong")
 
 
 def feasible_counts(closeness: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselattice.functions.scalar import LABELS, draw, normalized, overlap, tokens
+from caselattice.functions.scalar import LABELS, bound, draw, normalized, overlap, tokens
 from caselattice.operators.generation import drawn, generate, generate_by_closeness, generate_for
 from caselattice.sources import catalog
 
@@ -39,45 +39,38 @@ def said(attribute: Column, value: Column) -> Column:
     return F.when(value, t["true"]).otherwise(t["false"])
 
 
-def by_label(make) -> Column:
-    """Map from label to make(label, place)."""
-    return F.map_from_arrays(labels(), F.transform(labels(), make))
-
-
 def _bit(mask: Column, pos: Column) -> Column:
-    return F.floor(mask / F.pow(F.lit(2), pos - 1)) % 2 == 1
+    return F.getbit(mask, pos - 1) == 1
 
 
 def documents(items: DataFrame, seed: int) -> DataFrame:
     """items (item_id, scenario, k, cl, ds, il, gold, constraints, wrong) as whole documents."""
     attributes = F.transform("constraints", lambda c: c["attribute"])
     place = F.ascii("gold") - 65
-    masks = F.transform(labels(), lambda x, i: F.when(x == F.col("gold"), F.lit(0)).otherwise(F.get("wrong", F.when(i < place, i).otherwise(i - 1))))
-    one = items.withColumns({
-        "keys": attributes,
-        "masks": masks,
-        "names": F.slice(drawn(F.array(*[F.lit(n) for n in catalog.NAMES]), F.lit(seed), F.lit("name"), F.col("item_id")), 1, 4),
-        "facts": F.filter(F.map_keys(fact_pool()), lambda f: F.array_contains(F.element_at(fact_pool(), f)["scenarios"], F.col("scenario"))),
-    })
-
-    def entity(label: Column, i: Column) -> Column:
-        mask, name = F.get("masks", i), F.get("names", i)
-        held = F.map_from_arrays(F.col("keys"), F.transform("constraints", lambda c: c["required_value"] != _bit(mask, c["pos"])))
-        shuffled = drawn(F.col("keys"), F.lit(seed), F.lit("order"), F.col("item_id"), label)
+    names = F.slice(drawn(F.array(*[F.lit(n) for n in catalog.NAMES]), F.lit(seed), F.lit("name"), F.col("item_id")), 1, 4)
+    facts = F.create_map(*[x for s in catalog.SCENARIOS for x in (F.lit(s[0]), F.array(*[F.lit(f[0]) for f in catalog.FACTS if s[0] in f[3]]).cast("array<string>"))])
+
+    def entity(label: Column, mask: Column, name: Column, keys: Column) -> Column:
+        held = F.map_from_arrays(keys, F.transform("constraints", lambda c: c["required_value"] != _bit(mask, c["pos"])))
+        shuffled = drawn(keys, F.lit(seed), F.lit("order"), F.col("item_id"), label)
         # Facts are never shown in the order of the constraints.
-        order = F.when(shuffled == F.col("keys"), F.concat(F.slice(shuffled, F.lit(2), F.size(shuffled)), F.slice(shuffled, 1, 1))).otherwise(shuffled)
-        beside = F.when(F.col("il") == "IL2", F.slice(drawn(F.col("facts"), F.lit(seed), F.lit("fact"), F.col("item_id"), label), 1, 2)).otherwise(F.expr("cast(array() as array<string>)"))
-        return F.struct(
+        order = bound(shuffled, lambda s: F.when(s == keys, F.concat(F.slice(s, F.lit(2), F.size(s)), F.slice(s, 1, 1))).otherwise(s))
+        beside = F.when(F.col("il") == "IL2", F.slice(drawn(F.element_at(facts, F.col("scenario")), F.lit(seed), F.lit("fact"), F.col("item_id"), label), 1, 2)).otherwise(F.expr("cast(array() as array<string>)"))
+        shown = lambda a, v: F.struct(a.alias("attribute"), v.alias("value"), F.concat(name, F.lit(" "), said(a, v)).alias("text"))
+        made = lambda b: F.struct(
             name.alias("name"),
-            held.alias("attributes"),
+            b["held"].alias("attributes"),
             F.transform(F.filter("constraints", lambda c: _bit(mask, c["pos"])), lambda c: c["constraint_id"]).alias("expected"),
             (label == F.col("gold")).alias("is_gold"),
-            order.alias("display_order"),
-            F.transform(order, lambda a: F.struct(a.alias("attribute"), F.element_at(held, a).alias("value"), F.concat(name, F.lit(" "), said(a, F.element_at(held, a))).alias("text"))).alias("displayed"),
-            F.transform(beside, lambda f: F.struct(f.alias("key"), F.element_at(fact_pool(), f)["category"].alias("category"), F.concat(name, F.lit(" "), F.element_at(fact_pool(), f)["text"]).alias("text"))).alias("non_target"),
+            b["order"].alias("display_order"),
+            F.transform(b["order"], lambda a: bound(F.element_at(b["held"], a), lambda v: shown(a, v))).alias("displayed"),
+            F.transform(beside, lambda f: bound(F.element_at(fact_pool(), f), lambda p: F.struct(f.alias("key"), p["category"].alias("category"), F.concat(name, F.lit(" "), p["text"]).alias("text")))).alias("non_target"),
         )
+        return bound(F.struct(held.alias("held"), order.alias("order")), made)
 
-    held = one.withColumn("entities", by_label(entity)).withColumn("constraints", F.transform("constraints", lambda c: c.withField("text", F.concat(F.lit("The person "), said(c["attribute"], c["required_value"])))))
+    all_four = lambda k: F.zip_with(labels(), k["names"], lambda x, n: bound(F.ascii(x) - 65, lambda i: entity(x, F.when(x == F.col("gold"), F.lit(0)).otherwise(F.get(k["wrong"], F.when(i < place, i).otherwise(i - 1))), n, k["keys"])))
+    entities = F.map_from_arrays(labels(), bound(F.struct(attributes.alias("keys"), names.alias("names"), F.col("wrong").alias("wrong")), all_four))
+    held = items.withColumn("entities", entities).withColumn("constraints", F.transform("constraints", lambda c: c.withField("text", F.concat(F.lit("The person "), said(c["attribute"], c["required_value"])))))
     option = lambda e: F.concat(F.array_join(F.transform(e["displayed"], lambda f: f["text"]), ", "), F.lit("."), F.array_join(F.transform(e["non_target"], lambda f: F.concat(F.lit(" "), f["text"], F.lit("."))), ""))
     told = held.withColumn("options", F.transform_values("entities", lambda _, e: option(e)))
     lines = F.array_join(F.transform(labels(), lambda x: F.concat(x, F.lit(". "), F.element_at("options", x))), "\n")
@@ -89,7 +82,7 @@ def documents(items: DataFrame, seed: int) -> DataFrame:
         "version": F.lit(VERSION), "family": F.lit(FAMILY), "task": F.lit(TASK), "language": F.lit(LANGUAGE),
         "empirical_difficulty": F.lit(None).cast("string"),
         "metadata": F.struct(F.lit(VERSION).alias("version"), F.lit(seed).alias("seed"), F.concat(F.lit("t"), draw(F.lit(seed), F.lit("template"), F.col("item_id")) % 4).alias("template_id"), F.expr("cast(array() as array<string>)").alias("warnings"), F.lit(True).alias("semantic_validation_passed")),
-    }).drop("keys", "masks", "names", "facts", "wrong")
+    }).drop("wrong")
 
 
 def pool(spark: SparkSession, per_cell: int, seed: int) -> DataFrame:

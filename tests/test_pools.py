@@ -100,3 +100,16 @@ def test_configurations_and_digests(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/none").count() == 0
     one = files.entity_json(spark.createDataFrame([(1, None)], "a int, b string"), "a", "b").first().entity
     assert json.loads(one) == {"a": 1}
+
+
+def test_ids_of_one_file_are_dealt_out(spark):
+    """A small table is one file and one task, its documents are not."""
+    ids = spark.range(200).select(F.col("id").alias("item_id")).coalesce(1)
+    assert pools.pool_for(ids, 7).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_soundness_of_a_row_is_that_of_its_violations(spark, pool):
+    odd = pool.withColumn("version", F.when(F.col("item_id") % 3 == 0, "4.0").otherwise(F.col("version"))).withColumn("gold", F.when(F.col("item_id") % 5 == 0, "A").otherwise(F.col("gold")))
+    broken = {r.item_id for r in contracts.violations(odd, contracts.v4_rules()).select("item_id").distinct().collect()}
+    got = {r.item_id: r.sound for r in contracts.sound(odd, contracts.v4_rules()).select("item_id", "sound").collect()}
+    assert {i for i, ok in got.items() if not ok} == broken and len(got) > len(broken) > 0
