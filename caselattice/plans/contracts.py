@@ -214,19 +214,16 @@ def flt04b(spark, sf):
 @query("rnd09_rotated_items", f"SELECT item_id || '_r' || r AS variant_id, chr(65 + ((item_id % 4 + r) % 4)::INT) AS gold, true AS sound FROM {IDS}, (SELECT unnest(range(4)) AS r)")
 def rnd09(spark, sf):
     """Whole items under four rotations, still valid by their contract (RND-09, JON-12, SCL-10, PRJ-16)."""
-    turned = P.rotated(_pool(spark, sf))
-    broken = K.violations(turned.withColumn("item_id", F.col("variant_id")), K.v4_rules()).select(F.col("item_id").alias("variant_id")).distinct().withColumn("broken", F.lit(True))
-    return turned.select("variant_id", "gold").join(broken, "variant_id", "left").select("variant_id", "gold", F.col("broken").isNull().alias("sound"))
+    return K.sound(P.rotated(_pool(spark, sf)), K.v4_rules()).select("variant_id", "gold", "sound")
 
 
 @query("rnd10_information_pairs", f"SELECT item_id, 2::BIGINT AS n_versions, true AS same_formal, true AS sound FROM {IDS} WHERE NOT {_LOW}")
 def rnd10(spark, sf):
     """Items with and without their facts: both valid, formal fields equal (RND-10, SCL-11, FLT-20, FLT-23, JON-14)."""
-    pairs = P.information_pairs(_pool(spark, sf))
-    sound = K.violations(pairs.withColumn("item_id", F.col("variant_id")), K.v4_rules()).select(F.col("item_id").alias("variant_id")).distinct()
+    pairs = K.sound(P.information_pairs(_pool(spark, sf)), K.v4_rules())
     formal = F.sha2(F.to_json(F.struct("constraints", "signatures", "gold", "scenario", "cl", "ds")), 256)
-    both = pairs.join(sound.withColumn("broken", F.lit(True)), "variant_id", "left")
-    return both.groupBy("item_id").agg(F.count("*").alias("n_versions"), (F.countDistinct(formal) == 1).alias("same_formal"), (F.count("broken") == 0).alias("sound"))
+    both = pairs.select("item_id", formal.alias("formal"), "sound")
+    return both.groupBy("item_id").agg(F.count("*").alias("n_versions"), (F.min("formal") == F.max("formal")).alias("same_formal"), F.bool_and("sound").alias("sound"))
 
 
 @query("rnd05_closeness_schedule", f"SELECT * FROM ({C.values_sql([(x, n) for x, n in G.ratio_counts(N, {'easy': 0.2, 'medium': 0.6, 'hard': 0.2}).items()])}) t(option_closeness, n)")
