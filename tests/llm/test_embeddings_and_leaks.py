@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from caselattice.llm import decontaminate, embedding_dedup, hnsw
@@ -164,3 +165,19 @@ def test_leaks_of_very_long_and_clashing_rows(spark):
     got = decontaminate.find_leaks(df, "text", spark.createDataFrame([(7, item)], "item_id int, text string"))
     assert sorted(got.columns) == sorted(df.columns)
     assert sorted((r.doc_id, [tuple(x) for x in r.leaks], r._t1 or 0, r.near) for r in got.collect()) == [(1, [(7, 1.0)], 1, "x"), (1, [(7, 1.0)], 1, "x"), (2, [], 0, "x"), (3, [], 2, "y")]
+
+
+def test_links_that_the_graph_misses_are_added(monkeypatch):
+    """A graph that finds nothing leaves no link out: neither within a shard nor between two."""
+    rng = np.random.default_rng(31)
+    v = hnsw.unit(np.repeat(rng.normal(size=(40, 24)), 5, 0) + rng.normal(size=(200, 24)) * 0.15)
+    monkeypatch.setattr(embedding_dedup, "asked", lambda ours, theirs, same, least: np.zeros((len(ours.vectors), len(theirs.vectors)), bool))
+    dumped = lambda rows, at, shard: {"shard": shard, "nodes": np.arange(at, at + len(rows)), "weights": np.ones(len(rows), np.int64), "graph": hnsw.Graph(rows).dump()}
+    true = v @ v.T >= 0.93
+    np.fill_diagonal(true, False)
+    one = embedding_dedup._linker(0.93)(pd.DataFrame([dumped(v, 0, 0)]))
+    assert one["links"].tolist() == true.sum(axis=1).tolist() and true.any()
+    two = embedding_dedup._linker(0.93)(pd.DataFrame([dumped(v[:92], 0, 0), dumped(v[92:], 92, 1)]))
+    across = true.copy()
+    across[:92, :92] = across[92:, 92:] = False
+    assert two["links"].tolist() == across.sum(axis=1).tolist() and across.any()
