@@ -11,8 +11,12 @@ def constraint_matrix(candidates: DataFrame, items: DataFrame) -> DataFrame:
     constraint; satisfied is null where the candidate lacks the attribute.
 
     One join on item_id, before anything is exploded: a candidate's map and an item's array are one row each."""
-    both = candidates.select("item_id", "label", "attributes").join(items.select("item_id", "constraints"), "item_id")
-    each = both.select("item_id", "label", "attributes", F.explode("constraints").alias("c"))
+    return cells(candidates.select("item_id", "label", "attributes").join(items.select("item_id", "constraints"), "item_id"))
+
+
+def cells(candidates: DataFrame) -> DataFrame:
+    """constraint_matrix of candidates (item_id, label, attributes map, constraints array) that hold their item's constraints."""
+    each = candidates.select("item_id", "label", "attributes", F.explode("constraints").alias("c"))
     return each.select("item_id", "label", F.col("c.pos").alias("pos"), F.col("c.constraint_id").alias("constraint_id"), F.col("c.attribute").alias("attribute"), (F.element_at("attributes", F.col("c.attribute")) == F.col("c.required_value")).alias("satisfied"))
 
 

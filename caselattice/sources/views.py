@@ -21,10 +21,26 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+#: Rows that one task of a shuffle of a table takes, about.
+TASK_ROWS = 250_000
+
+
+def tasks_for(spark: SparkSession, sf: str, table: str) -> int | None:
+    """So many tasks that a shuffle of the table is in pieces of one size, however large it is; None where Spark's own number
+    will do. The count reads footers alone."""
+    tasks = -(-read(spark, sf, table).count() // TASK_ROWS)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _dealt(spark: SparkSession, sf: str, table: str, *keys: str) -> DataFrame:
+    tasks = tasks_for(spark, sf, table)
+    return read(spark, sf, table).repartition(tasks, *keys) if tasks else read(spark, sf, table)
+
+
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, label, attributes map): an order's lines, dealt to items in fours; an order's last item may have fewer."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    line = read(spark, sf, "lineitem").withColumn("rn", F.row_number().over(order) - 1)
+    line = _dealt(spark, sf, "lineitem", "l_orderkey").withColumn("rn", F.row_number().over(order) - 1)
     tests = [F.col("l_quantity") >= 10, F.col("l_discount") <= 0.08, F.col("l_returnflag") != "R", F.col("l_tax") <= 0.06, F.col("l_extendedprice") < 60000, F.col("l_linestatus") == "O", F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp")]
     held = F.create_map(*[x for name, test in zip(ATTRIBUTES, tests, strict=True) for x in (F.lit(name), test)])
     return line.select(_numbered(F.col("l_orderkey"), F.floor(F.col("rn") / 4)).alias("item_id"), F.char(F.col("rn") % 4 + 65).alias("label"), held.alias("attributes"))
@@ -51,6 +67,11 @@ def _shaped(found: DataFrame) -> DataFrame:
     return found.withColumn("constraints", constraints_of(F.col("item_id"))).withColumns({"k": k, "cl": level, "il": F.when(F.col("item_id") % 2 == 0, "IL1").otherwise("IL2")})
 
 
+def shaped_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """candidates with their item's constraints: as these follow from the id, no join has to bring them."""
+    return candidates(spark, sf).filter("item_id IS NOT NULL").withColumn("constraints", constraints_of(F.col("item_id")))
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, k, cl, il, constraints)."""
     orders = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.floor((F.count("*") - 1) / 4).alias("last"))
@@ -75,7 +96,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     order = W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     place = F.row_number().over(order).cast("long") - 1
-    e = read(spark, sf, "events").withColumns({"place": place, "k": k}).withColumns({"run_id": F.col("place") % 3 + 1, "user_id": _numbered(F.col("user_id"), F.floor(F.col("place") / 3))})
+    e = _dealt(spark, sf, "events", "user_id", "event_type").withColumns({"place": place, "k": k}).withColumns({"run_id": F.col("place") % 3 + 1, "user_id": _numbered(F.col("user_id"), F.floor(F.col("place") / 3))})
     answer, gold = _letter(F.col("k") % 5), _letter(F.col("user_id") % 4)
     return e.select(
         F.col("user_id").alias("item_id"), F.col("event_type").alias("model_alias"), "run_id", (F.col("run_id") * 11).alias("seed"), "event_id",

@@ -9,6 +9,7 @@ import __spark_entry__
 from caselattice.functions import answers, scalar
 from caselattice.operators import debate, matrix, runs, validation
 from caselattice.plans.registry import ORACLES, QUERIES
+from caselattice.sources import views
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -193,3 +194,13 @@ def test_halves_are_rounded_as_sql_rounds_them(spark):
     want = [r for (r,) in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x, unnest(range(6)) AS i) ORDER BY i", [values]).fetchall()]
     rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", scalar.rounded(F.col("x")).alias("r")).collect()
     assert [r.r for r in sorted(rows)] == want
+
+
+def test_pieces_of_a_shuffle_keep_their_size(spark, sf, monkeypatch):
+    """Tasks grow in number with a table, not in size; cells of candidates need no join; a log's buckets are cut, too."""
+    whole = [QUERIES[n](spark, sf).collect() for n in ("agg01_attribute_statistics", "str04_retried_log")]
+    monkeypatch.setattr(views, "TASK_ROWS", 100)
+    rows = views.candidates(spark, sf)
+    assert rows.rdd.getNumPartitions() == views.tasks_for(spark, sf, "lineitem") > 50
+    assert "Join" not in matrix.cells(views.shaped_candidates(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert [sorted(QUERIES[n](spark, sf).collect()) for n in ("agg01_attribute_statistics", "str04_retried_log")] == [sorted(w) for w in whole]
