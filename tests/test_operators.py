@@ -197,7 +197,7 @@ def test_halves_are_rounded_as_sql_rounds_them(spark):
 
 
 def test_pieces_of_a_shuffle_keep_their_size(spark, sf, monkeypatch):
-    """Tasks grow in number with a table, not in size; cells of candidates need no join; a log's buckets are cut, too."""
+    """Tasks grow in number with a table, not in size; cells of candidates need no join."""
     whole = [QUERIES[n](spark, sf).collect() for n in ("agg01_attribute_statistics", "str04_retried_log")]
     monkeypatch.setattr(views, "TASK_ROWS", 100)
     rows = views.candidates(spark, sf)
