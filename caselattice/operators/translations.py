@@ -36,20 +36,51 @@ def in_chinese(items: DataFrame) -> DataFrame:
     )
 
 
+def source_row() -> Column:
+    """What a translation is compared with: the item's id and a digest (SHA-256 of the text) of each of its formal fields."""
+    return F.struct("item_id", _formal().alias("formal"))
+
+
+def translated_row() -> Column:
+    """The same of a translated item, with the id of its source and whether each of its texts is translated."""
+    told = [F.forall("constraints", lambda c: _has_cjk(c["text"])), *[_has_cjk(F.element_at("options", x)) for x in LABELS], _has_cjk(F.col("question"))]
+    return F.struct("item_id", "source_item_id", _formal().alias("formal"), F.array(*told).alias("told"))
+
+
 def translation_faults(sources: DataFrame, translated: DataFrame) -> DataFrame:
     """(item_id, rule_order, rule): each check that a translated item fails against its source, in their order: a source of that id,
     the formal fields, the constraints' fields and texts, the options' texts and the entities' fields, the question's text."""
+    return faults(sources.select(source_row().alias("r")).select("r.*"), translated.select(translated_row().alias("r")).select("r.*"))
+
+
+def faults(sources: DataFrame, translated: DataFrame) -> DataFrame:
+    """translation_faults of rows of source_row and translated_row, so that digests meet and not documents."""
     pairs = translated.alias("t").join(sources.alias("s"), F.col("t.source_item_id") == F.col("s.item_id"), "left")
-    t, s = (lambda c: F.col(f"t.{c}")), (lambda c: F.col(f"s.{c}"))
-    same = lambda a, b: _text(a).eqNullSafe(_text(b))
-    rules = [("source_item", s("item_id").isNotNull() & (t("item_id") == s("item_id")))]
-    rules += [(f, same(t(f), s(f))) for f in FIELDS]
-    rules += [(f"constraint_{f}", same(_each(t("constraints"), f), _each(s("constraints"), f))) for f in OF_CONSTRAINT]
-    rules.append(("constraint_text", F.forall(t("constraints"), lambda c: _has_cjk(c["text"]))))
-    rules += [(f"option_{x}", _has_cjk(F.element_at(t("options"), x))) for x in LABELS]
-    rules += [(f"entity_{f}", same(_of_entities(t("entities"), f), _of_entities(s("entities"), f))) for f in OF_ENTITY]
-    rules.append(("question", _has_cjk(t("question"))))
-    return violations(pairs.select(t("item_id").alias("item_id"), *[ok.alias(f"_{i}") for i, (_, ok) in enumerate(rules)]), [(name, F.col(f"_{i}")) for i, (name, _) in enumerate(rules)])
+    # Where there is no source, its fields count as null.
+    same = [F.get("t.formal", F.lit(i)) == F.coalesce(F.get("s.formal", F.lit(i)), _digest(F.lit(none))) for i, none in enumerate(_NULLS)]
+    told = [F.get("t.told", F.lit(i)) for i in range(2 + len(LABELS))]
+    n, m = len(FIELDS), len(FIELDS) + len(OF_CONSTRAINT)
+    rules = [("source_item", F.col("s.item_id").isNotNull() & (F.col("t.item_id") == F.col("s.item_id")))]
+    rules += zip(FIELDS, same[:n], strict=True)
+    rules += zip([f"constraint_{f}" for f in OF_CONSTRAINT], same[n:m], strict=True)
+    rules += zip(["constraint_text", *[f"option_{x}" for x in LABELS]], told[:-1], strict=True)
+    rules += zip([f"entity_{f}" for f in OF_ENTITY], same[m:], strict=True)
+    rules.append(("question", told[-1]))
+    return violations(pairs.select(F.col("t.item_id").alias("item_id"), *[ok.alias(f"_{i}") for i, (_, ok) in enumerate(rules)]), [(name, F.col(f"_{i}")) for i, (name, _) in enumerate(rules)])
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _formal() -> Column:
+    """Digests of the fields, then of the constraints' and the entities' fields."""
+    values = [*[F.col(f) for f in FIELDS], *[_each(F.col("constraints"), f) for f in OF_CONSTRAINT], *[_of_entities(F.col("entities"), f) for f in OF_ENTITY]]
+    return F.array(*[_digest(_text(v)) for v in values])
+
+
+#: The texts of null fields.
+_NULLS = ['{"v":null}'] * (len(FIELDS) + len(OF_CONSTRAINT)) + [f'{{"v":[{",".join(["null"] * len(LABELS))}]}}'] * len(OF_ENTITY)
 
 
 def _each(constraints: Column, name: str) -> Column:

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from caselattice.operators import contracts, generation, pools, validation
+from caselattice.operators import contracts, generation, pools, translations, validation
 from caselattice.sources import catalog, files
 
 
@@ -113,3 +113,17 @@ def test_soundness_of_a_row_is_that_of_its_violations(spark, pool):
     broken = {r.item_id for r in contracts.violations(odd, contracts.v4_rules()).select("item_id").distinct().collect()}
     got = {r.item_id: r.sound for r in contracts.sound(odd, contracts.v4_rules()).select("item_id", "sound").collect()}
     assert {i for i, ok in got.items() if not ok} == broken and len(got) > len(broken) > 0
+
+
+def test_digests_of_translations_meet_not_documents(spark, pool):
+    given = translations.in_chinese(pool)
+    assert translations.translation_faults(pool, given).count() == 0
+    lone = given.withColumns({"source_item_id": F.lit(-1).cast("long"), "family": F.lit(None).cast("string")})
+    found = {}
+    for r in translations.translation_faults(pool, lone).collect():
+        found.setdefault(r.item_id, set()).add(r.rule)
+    # A source that is missing has null fields, as the translation's family has.
+    assert len(found) == pool.count() and all({"source_item", "task", "gold", "entity_name"} <= x and not {"family", "empirical_difficulty"} & x for x in found.values())
+    plan = translations.translation_faults(pool, given)._jdf.queryExecution().optimizedPlan().toString()
+    sides = [x for x in plan.split("Join LeftOuter")[1].splitlines() if x.lstrip(" :+-").startswith("Project")]
+    assert "AS formal#" in sides[0]
