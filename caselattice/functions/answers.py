@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caselattice.functions.scalar import bound
+
 # Kinds of mention, claims and fields in which an answer may stand, and the names and texts of the outcomes.
 _MENTIONS = (r"(?iU)\bANSWER\s*[:：-]\s*([ABCD])\b", r"(?iU)\bSELECTED\s+ANSWER\s*[:：-]\s*([ABCD])\b", r"(?iU)\bOPTION\s+([ABCD])\b", r"(?iU)\bCANDIDATE\s+([ABCD])\b")
 _CLAIMS = (
@@ -103,7 +105,7 @@ def json_objects(raw: Column) -> Column:
 
 
 def _or_null(found: Column) -> Column:
-    return F.when(found != "", F.upper(found))
+    return bound(found, lambda f: F.when(f != "", F.upper(f)))
 
 
 def loose_label(text: Column) -> Column:
@@ -113,13 +115,11 @@ def loose_label(text: Column) -> Column:
 
 def strict_label(text: Column) -> Column:
     """A bare label, or one after a prefix and white space, then with an optional dot."""
-    t = F.upper(strip(text))
-    return F.coalesce(F.when(t.isin("A", "B", "C", "D"), t), _or_null(F.regexp_extract(t, r"(?U)\A(?:OPTION|CANDIDATE)\s+([ABCD])\.?\z", 1)))
+    return bound(F.upper(strip(text)), lambda t: F.coalesce(F.when(t.isin("A", "B", "C", "D"), t), _or_null(F.regexp_extract(t, r"(?U)\A(?:OPTION|CANDIDATE)\s+([ABCD])\.?\z", 1))))
 
 
 def bare_label(raw: Column) -> Column:
-    bare = F.upper(strip(raw))
-    return F.when(bare.isin("A", "B", "C", "D"), bare)
+    return bound(F.upper(strip(raw)), lambda bare: F.when(bare.isin("A", "B", "C", "D"), bare))
 
 
 def mentioned_label(raw: Column) -> Column:
@@ -147,12 +147,16 @@ def parse_screening(raw: Column, salvaged: Column | None = None, strict: Column
     salvaged: salvage(raw), and strict: strict_json(raw, salvaged), where the caller has them as columns."""
     salvaged = salvage(raw) if salvaged is None else salvaged
     strict = strict_json(raw, salvaged) if strict is None else strict
-    value = F.coalesce(strict, F.try_parse_json(salvaged["first"]))
+    given = F.struct(raw.alias("raw"), strict.alias("strict"), F.coalesce(strict, F.try_parse_json(salvaged["first"])).alias("value"), salvaged["found"].alias("found"))
+    return bound(given, lambda g: _screened(g["raw"], g["strict"], g["value"], g["found"]))
+
+
+def _screened(raw: Column, strict: Column, value: Column, found: Column) -> Column:
     answer = loose_label(F.try_variant_get(value, "$.answer", "string"))
     sure = F.when(_kind(value, "$.confidence") == "BOOLEAN", F.try_variant_get(value, "$.confidence", "boolean").cast("double")).otherwise(F.try_variant_get(value, "$.confidence", "string").try_cast("double"))
     errors = F.array_compact(F.array(F.when(answer.isNull(), BAD_ANSWER), F.when(sure.isNull(), NO_CONFIDENCE).when(~sure.between(0, 1), OUT_OF_RANGE)))
     parsed = _is_object(value) & (F.size(errors) == 0)
-    unread = F.when(F.coalesce(salvaged["found"], F.lit(False)), NO_DECODE).otherwise(NO_OBJECT)
+    unread = F.when(F.coalesce(found, F.lit(False)), NO_DECODE).otherwise(NO_OBJECT)
     error = F.when(value.isNull(), unread).when(~_is_object(value), NOT_OBJECT).when(F.size(errors) > 0, F.array_join(errors, "; "))
     return F.struct(
         F.coalesce(F.when(_is_object(value), answer), mentioned_label(raw)).alias("answer"),
@@ -164,12 +168,13 @@ def parse_screening(raw: Column, salvaged: Column | None = None, strict: Column
     )
 
 
-def _payload(value: Column) -> dict[str, Column]:
-    """answer, reasoning, confidence and compliant of an object."""
-    answer, reasoning = strict_label(_text(value, "$.answer")), _text(value, "$.reasoning")
+def _payload(value: Column) -> Column:
+    """Struct of answer, reasoning, confidence and compliant of an object."""
     number = F.when(_kind(value, "$.confidence") != "BOOLEAN", F.try_variant_get(value, "$.confidence", "string").try_cast("double"))
-    sure = F.when(number.between(0, 1), number)
-    return {"answer": answer, "reasoning": F.coalesce(reasoning, F.lit("")), "confidence": sure, "compliant": answer.isNotNull() & reasoning.isNotNull() & sure.isNotNull()}
+    sure = bound(number, lambda n: F.when(n.between(0, 1), n))
+    read = F.struct(strict_label(_text(value, "$.answer")).alias("answer"), _text(value, "$.reasoning").alias("reasoning"), sure.alias("confidence"))
+    whole = lambda p: p["answer"].isNotNull() & p["reasoning"].isNotNull() & p["confidence"].isNotNull()
+    return bound(read, lambda p: F.struct(p["answer"].alias("answer"), F.coalesce(p["reasoning"], F.lit("")).alias("reasoning"), p["confidence"].alias("confidence"), whole(p).alias("compliant")))
 
 
 def parse_calibration(raw: Column, salvaged: Column | None = None, strict: Column | None = None) -> Column:
@@ -179,21 +184,39 @@ def parse_calibration(raw: Column, salvaged: Column | None = None, strict: Colum
     salvaged: salvage(raw), and strict: strict_json(raw, salvaged), where the caller has them as columns."""
     salvaged = salvage(raw) if salvaged is None else salvaged
     strict = strict_json(raw, salvaged) if strict is None else strict
-    told = _payload(strict)
+    given = F.struct(raw.alias("raw"), strict.alias("strict"), salvaged["objects"].alias("objects"))
+    # Each step is worked out once a response, however often the next ones ask for it.
+    return bound(given, lambda g: bound(_claims_of(g["raw"], g["strict"], g["objects"]), lambda c: _agreed(g["strict"], c)))
+
+
+def _claims_of(raw: Column, strict: Column, objects: Column) -> Column:
+    """Struct of told (of the strict answer), payloads, claims, bare and fields."""
     # An object alone is the response, an array may hold objects, and what is salvaged has them listed.
-    listed = F.coalesce(salvaged["objects"], F.expr(_TEXTS))
+    listed = F.coalesce(objects, F.expr(_TEXTS))
 
     def read(o: Column) -> Column:
-        p = _payload(F.try_parse_json(o))
-        return F.struct(*[p[x].alias(x) for x in ("answer", "reasoning", "confidence")])
+        return bound(bound(F.try_parse_json(o), _payload), lambda p: F.struct(*[p[x].alias(x) for x in ("answer", "reasoning", "confidence")]))
 
     payloads = F.filter(F.transform(listed, read), lambda p: p["answer"].isNotNull())
-    in_json = F.transform(payloads, lambda p: p["answer"])
     claims = F.concat(*[F.transform(F.regexp_extract_all(raw, F.lit(p), F.lit(1)), lambda a: F.upper(a)) for p in _CLAIMS])
     bare = bare_label(raw)
     fields = F.transform(F.regexp_extract_all(raw, F.lit(_FIELD), F.lit(1)), lambda a: F.upper(a))
-    found = F.array_sort(F.array_distinct(F.concat(in_json, claims, F.when(bare.isNotNull(), F.array(bare)).otherwise(F.expr(_TEXTS)), fields)))
-    found = F.coalesce(found, F.expr(_TEXTS))
+    return F.struct(_payload(strict).alias("told"), payloads.alias("payloads"), claims.alias("claims"), bare.alias("bare"), fields.alias("fields"))
+
+
+def _agreed(strict: Column, said: Column) -> Column:
+    """parse_calibration's struct of what _claims_of found."""
+    return bound(_found(said), lambda found: _judged(strict, said["told"], said["payloads"], said["bare"], said["fields"], found))
+
+
+def _found(said: Column) -> Column:
+    in_json = F.transform(said["payloads"], lambda p: p["answer"])
+    found = F.array_sort(F.array_distinct(F.concat(in_json, said["claims"], F.when(said["bare"].isNotNull(), F.array(said["bare"])).otherwise(F.expr(_TEXTS)), said["fields"])))
+    return F.coalesce(found, F.expr(_TEXTS))
+
+
+def _judged(strict: Column, told: Column, payloads: Column, bare: Column, fields: Column, found: Column) -> Column:
+    in_json = F.transform(payloads, lambda p: p["answer"])
     is_told, one = told["answer"].isNotNull(), F.size(found) == 1
     first = F.when(one & (F.size(in_json) > 0), F.get(payloads, F.lit(0)))
     source = (
@@ -240,21 +263,33 @@ def parse_followup(raw: Column, names: Column, base: Column, salvaged: Column, s
 
     names: name_map of the item; base: parse_calibration(raw, salvaged), salvaged: salvage(raw), as columns."""
     strict = strict_json(raw, salvaged) if strict is None else strict
-    said = F.when(_is_object(strict), _text(strict, "$.answer"))
+    given = F.struct(raw.alias("raw"), names.alias("names"), base.alias("base"), strict.alias("strict"), salvaged["objects"].alias("objects"))
+    # As in parse_calibration, each step is worked out once.
+    return bound(given, lambda g: bound(_named_in(g["raw"], g["names"], g["strict"], g["objects"]), lambda n: bound(F.array_sort(F.array_union(n["told"], g["base"]["candidates"])), lambda every: _followed(g["base"], n, every))))
+
+
+def _named_in(raw: Column, names: Column, strict: Column, objects: Column) -> Column:
+    """Struct of whole (label, by label or name, and strict_format of the strict answer) and told, the labels of all names that are
+    claimed."""
     named = lambda t: F.element_at(names, F.lower(F.regexp_replace(strip(t), r"\.+\z", "")))
-    label, payload = strict_label(said), _payload(strict)
-    by_name = F.when(label.isNull(), named(said))
-    whole = F.coalesce(label, by_name)
-    strict_format = label.isNotNull() & strip(said).isin("A", "B", "C", "D")
+
+    def of(said: Column) -> Column:
+        return bound(strict_label(said), lambda label: F.struct(label.alias("label"), F.coalesce(label, named(said)).alias("whole"), (label.isNotNull() & strip(said).isin("A", "B", "C", "D")).alias("strict_format")))
 
     def from_object(o: Column) -> Column:
-        text = _text(F.try_parse_json(o), "$.answer")
-        return F.when(strict_label(text).isNull(), named(text))
+        return bound(_text(F.try_parse_json(o), "$.answer"), lambda text: F.when(strict_label(text).isNull(), named(text)))
 
-    listed = F.coalesce(salvaged["objects"], F.when(_is_object(strict), F.array(F.to_json(strict))), F.expr(_TEXTS))
-    claimed = F.filter(F.map_entries(names), lambda e: F.regexp_like(F.lower(raw), F.concat(F.lit(_NAME_CLAIM + r"\Q"), e["key"], F.lit(r"\E[.]?\s*$"))))
+    listed = F.coalesce(objects, F.when(_is_object(strict), F.array(F.to_json(strict))), F.expr(_TEXTS))
+    lower = F.lower(raw)
+    # A pattern with a name in it is made anew for each row: only names that the text holds are asked for.
+    claimed = F.filter(F.map_entries(names), lambda e: F.contains(lower, e["key"]) & F.regexp_like(lower, F.concat(F.lit(_NAME_CLAIM + r"\Q"), e["key"], F.lit(r"\E[.]?\s*$"))))
     told = F.coalesce(F.array_compact(F.concat(F.transform(listed, from_object), F.transform(claimed, lambda e: e["value"]))), F.expr(_TEXTS))
-    every = F.array_sort(F.array_union(told, base["candidates"]))
+    whole = bound(F.when(_is_object(strict), _text(strict, "$.answer")), of)
+    return F.struct(whole.alias("whole"), told.alias("told"))
+
+
+def _followed(base: Column, found: Column, every: Column) -> Column:
+    told, label, whole, strict_format = found["told"], found["whole"]["label"], found["whole"]["whole"], found["whole"]["strict_format"]
     is_whole, labels_only = whole.isNotNull(), base["extractable"] & (F.size(told) == 0)
     one, several = ~labels_only & (F.size(every) == 1), ~labels_only & (F.size(every) > 1)
     pick = lambda strictly, alone, many, rest: F.when(is_whole, strictly).when(labels_only, rest).when(one, alone).when(several, many).otherwise(rest)
@@ -264,7 +299,7 @@ def parse_followup(raw: Column, names: Column, base: Column, salvaged: Column, s
         pick(F.when(label.isNotNull(), "strict_json_label").otherwise("strict_json_candidate_name"), F.lit("fallback_candidate_name"), F.lit("conflicting_answers"), base["source"]).alias("source"),
         pick(F.array(whole), every, every, base["candidates"]).alias("candidates"),
         pick(yes, yes, no, base["extractable"]).alias("extractable"),
-        pick(strict_format & F.coalesce(payload["compliant"], no), base["compliant"], base["compliant"], base["compliant"]).alias("compliant"),
+        pick(strict_format & base["compliant"], base["compliant"], base["compliant"], base["compliant"]).alias("compliant"),
         F.coalesce(is_whole & strict_format, no).alias("strict_format"),
         pick(label.isNull(), yes, F.size(told) > 0, no).alias("name_used"),
         pick(label.isNull(), yes, F.size(told) > 0, base["fallback_used"]).alias("fallback_used"),

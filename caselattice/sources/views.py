@@ -37,6 +37,16 @@ def _dealt(spark: SparkSession, sf: str, table: str, *keys: str) -> DataFrame:
     return read(spark, sf, table).repartition(tasks, *keys) if tasks else read(spark, sf, table)
 
 
+#: Rows of responses that one task reads: they are few bytes each but dear to parse.
+RESPONSE_ROWS = 25_000
+
+
+def _spread(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
+    """These columns of the table in pieces of one size: a file of many rows may be small enough for one task to read."""
+    rows = read(spark, sf, table)
+    return rows.select(*columns).repartition(max(1, -(-rows.count() // RESPONSE_ROWS)))
+
+
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """(item_id, label, attributes map): an order's lines, dealt to items in fours; an order's last item may have fewer."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
@@ -119,7 +129,7 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """(event_id, template, raw): fourteen shapes of raw text."""
     k = F.get_json_object("props", "$.k").cast("int")
-    e = read(spark, sf, "events").select("event_id", (F.col("event_id") % 14).cast("int").alias("template"), _letter(k % 4).alias("x"), _letter((k + 1) % 4).alias("y"), k.alias("k"))
+    e = _spread(spark, sf, "events", "event_id", "props").select("event_id", (F.col("event_id") % 14).cast("int").alias("template"), _letter(k % 4).alias("x"), _letter((k + 1) % 4).alias("y"), k.alias("k"))
     x, y, sure = F.col("x"), F.col("y"), (F.col("k") / 100.0).cast("string")
     json = F.concat(F.lit('{"answer": "'), x, F.lit('", "reasoning": "option A", "confidence": '), sure, F.lit("}"))
     shapes = [
@@ -146,7 +156,7 @@ def followups(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     pool = F.array(*[F.lit(n) for n in catalog.NAMES])
     names = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.element_at(pool, (F.pmod(F.col("event_id") + i, F.lit(len(catalog.NAMES))) + 1).cast("int")))
-    e = read(spark, sf, "events").select("event_id", (F.col("event_id") % 8).cast("int").alias("template"), _letter(k % 4).alias("x"), _letter((k + 1) % 4).alias("y"), (k % 4).alias("at"), names.alias("names"))
+    e = _spread(spark, sf, "events", "event_id", "props").select("event_id", (F.col("event_id") % 8).cast("int").alias("template"), _letter(k % 4).alias("x"), _letter((k + 1) % 4).alias("y"), (k % 4).alias("at"), names.alias("names"))
     x, name = F.col("x"), F.get("names", F.col("at"))
     rest = F.lit('", "reasoning": "r", "confidence": 0.5}')
     shapes = [

@@ -204,3 +204,9 @@ def test_pieces_of_a_shuffle_keep_their_size(spark, sf, monkeypatch):
     assert rows.rdd.getNumPartitions() == views.tasks_for(spark, sf, "lineitem") > 50
     assert "Join" not in matrix.cells(views.shaped_candidates(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert [sorted(QUERIES[n](spark, sf).collect()) for n in ("agg01_attribute_statistics", "str04_retried_log")] == [sorted(w) for w in whole]
+
+
+def test_responses_are_parsed_in_pieces(spark, tmp_path):
+    spark.range(120_000).select(F.col("id").alias("event_id"), F.lit('{"k": 3}').alias("props")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for made in (views.responses(spark, str(tmp_path)), views.followups(spark, str(tmp_path))):
+        assert made.rdd.getNumPartitions() == 5
