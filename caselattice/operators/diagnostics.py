@@ -52,7 +52,21 @@ def attribute_errors(items: DataFrame, runs: DataFrame, runs_per_item: int) -> D
     wrong = runs.filter(F.col("answer").isNotNull() & (F.col("answer") != F.col("gold")))
     broken = F.transform(F.filter("constraints", lambda c: F.array_contains("selected", c["constraint_id"])), lambda c: c["attribute"])
     errors = wrong.select(F.explode(broken).alias("attribute")).groupBy("attribute").agg(F.count("*").alias("n_violations"))
-    found = held.join(errors, "attribute", "left").withColumns({"n_violations": F.coalesce("n_violations", F.lit(0)), "run_exposure": F.col("n_items") * runs_per_item})
+    return _error_rates(held.join(errors, "attribute", "left").withColumn("n_violations", F.coalesce("n_violations", F.lit(0))), runs_per_item)
+
+
+def attribute_errors_in(runs: DataFrame, first: Column, runs_per_item: int) -> DataFrame:
+    """attribute_errors where each item has runs, of which `first` marks one: as its constraints ride with them, one pass counts
+    items and errors."""
+    wrong = F.col("answer").isNotNull() & (F.col("answer") != F.col("gold"))
+    broken = lambda a: F.size(F.filter("constraints", lambda c: (c["attribute"] == a) & F.array_contains("selected", c["constraint_id"])))
+    each = F.transform(F.array_distinct(F.transform("constraints", lambda c: c["attribute"])), lambda a: F.struct(a.alias("attribute"), F.when(wrong, broken(a)).otherwise(0).alias("broken")))
+    seen = runs.where(first | wrong).select(first.alias("first"), F.explode(each).alias("e")).select("first", "e.*")
+    return _error_rates(seen.groupBy("attribute").agg(F.sum("broken").alias("n_violations"), F.count_if("first").alias("n_items")), runs_per_item)
+
+
+def _error_rates(counts: DataFrame, runs_per_item: int) -> DataFrame:
+    found = counts.select("attribute", "n_violations", "n_items", (F.col("n_items") * runs_per_item).alias("run_exposure"))
     return found.withColumns({"rate": ratio(F.col("n_violations"), F.col("run_exposure")), "per_item": ratio(F.col("n_violations"), F.col("n_items"))})
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from caselattice.functions import answers, scalar
-from caselattice.operators import debate, matrix, runs, validation
+from caselattice.operators import debate, diagnostics, matrix, runs, validation
 from caselattice.plans.registry import ORACLES, QUERIES
 from caselattice.sources import views
 
@@ -210,3 +210,18 @@ def test_responses_are_parsed_in_pieces(spark, tmp_path):
     spark.range(120_000).select(F.col("id").alias("event_id"), F.lit('{"k": 3}').alias("props")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     for made in (views.responses(spark, str(tmp_path)), views.followups(spark, str(tmp_path))):
         assert made.rdd.getNumPartitions() == 5
+
+
+@pytest.mark.parametrize("name", ["top02b_missed_attributes"])
+def test_lines_are_read_once(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and sum("Relation [" in x for x in plan.splitlines()) == 1
+
+
+def test_errors_in_one_pass_equal_those_in_two(spark):
+    c = lambda *names: [(f"C{i + 1}", n) for i, n in enumerate(names)]
+    rows = [(1, 1, c("x", "y", "x"), "A", "B", ["C1", "C3"]), (1, 2, c("x", "y", "x"), "A", "A", []), (2, 1, c("y"), "B", None, []), (2, 2, c("y"), "B", "C", ["C1"])]
+    made = spark.createDataFrame(rows, "item_id long, run long, constraints array<struct<constraint_id:string,attribute:string>>, gold string, answer string, selected array<string>")
+    got = diagnostics.attribute_errors_in(made, F.col("run") == 1, 2)
+    want = diagnostics.attribute_errors(made.where("run = 1"), made, 2).select(got.columns)
+    assert canonical(got.collect()) == canonical(want.collect()) and {r.attribute: r.n_violations for r in got.collect()} == {"x": 2, "y": 1}
