@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caselattice.functions.scalar import LABELS, draw, empirical_difficulty, lower_rank, rate_or_zero, ratio, rounded, screening_category, valid_answer
+from caselattice.functions.draws import drawer
+from caselattice.functions.scalar import LABELS, empirical_difficulty, lower_rank, rate_or_zero, ratio, rounded, screening_category, valid_answer
 
 
 def answer_counts(answer: Column) -> list[Column]:
@@ -118,14 +120,41 @@ def placed(items: DataFrame, key: str, order: str, block: int = 1024) -> DataFra
     return each.withColumn("_in", inside).join(starts, [key, "_block"]).withColumn("pos", F.col("_in") + F.col("_from_block") + F.col("_from_wide")).drop("_block", "_wide", "_in", "_from_block", "_from_wide")
 
 
+#: Positions in an array and in a task, resamples of a task, and draws made at once.
+BLOCK, RANGE, RESAMPLES, DRAWS = 1 << 14, 1 << 23, 100, 1 << 14
+
+
 def cluster_bootstrap(items: DataFrame, key: str, top: str, bottom: str, resamples: int = 1000, seed: int = 17) -> DataFrame:
     """(lower, upper) of a ratio of sums over resampled clusters: draw number d of resample r takes the cluster whose
-    position a hash gives. items: one row a cluster and group `key`, with `pos` from 0 and `size` of its group."""
-    # Resamples are dealt out before they grow; draws are many, so that neither side may be broadcast by a wrong estimate.
-    each = items.select(key, F.col("size").alias("drawn")).distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = each.repartition(max(1, resamples // 50), key, "r").withColumn("d", F.explode(F.sequence(F.lit(0), (F.col("drawn") - 1).cast("int"))))
-    picks = draws.withColumn("pos", (draw(F.lit(seed), F.col(key), F.col("r"), F.col("d")) % F.col("drawn")).cast("int"))
-    sums = picks.join(items.hint("shuffle_hash"), [key, "pos"]).groupBy(key, "r").agg(F.try_divide(F.sum(top).cast("double"), F.sum(bottom).cast("double")).alias("rate"))
+    position a hash gives. items: one row a cluster and group `key`, with `pos` from 0, `size` of its group and whole numbers.
+
+    A group's numbers lie by position in arrays of BLOCK, which go to the tasks of its resamples; there draws are made and
+    looked up in pieces, so that no draw is a row. A task holds RANGE positions at most; in a larger group each range of it
+    makes the draws anew and takes those that fall into it."""
+    lists = items.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key"), F.floor(F.col("pos") / BLOCK).alias("block"))
+    numbers = F.array_sort(F.collect_list(F.struct("pos", F.coalesce(top, F.lit(0)).alias("t"), F.coalesce(bottom, F.lit(0)).alias("b"))))
+    blocks = lists.agg(F.max("size").alias("size"), numbers.alias("x")).select("key", "block", "size", F.transform("x", lambda x: x["t"].cast("long")).alias("tops"), F.transform("x", lambda x: x["b"].cast("long")).alias("bottoms"))
+    chunks = -(-resamples // RESAMPLES)
+    dealt = blocks.withColumns({"range": F.floor(F.col("block") / (RANGE // BLOCK)), "chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
+    make = drawer()
+
+    def resample(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        tops, bottoms = (np.concatenate(list(rows[c])) for c in ("tops", "bottoms"))
+        size, low, name, chunk = int(rows["size"].iloc[0]), int(rows["block"].iloc[0]) * BLOCK, rows["key"].iloc[0], int(rows["chunk"].iloc[0])
+        of = range(chunk * RESAMPLES, min(resamples, (chunk + 1) * RESAMPLES))
+        sums = np.zeros((2, len(of)), np.int64)
+        for at in range(0, size, DRAWS):
+            for r, found in make([f"{seed}|{name}|{r}|".encode() for r in of], at, min(size, at + DRAWS)):
+                place = found.astype(np.int64) % size - low
+                if len(tops) < size:
+                    place = place[(place >= 0) & (place < len(tops))]
+                sums[0, r] += tops[place].sum(dtype=np.int64)
+                sums[1, r] += bottoms[place].sum(dtype=np.int64)
+        return pd.DataFrame({key: name, "r": list(of), "top": sums[0], "bottom": sums[1]})
+
+    parts = dealt.repartition(8 * chunks, "key", "range", "chunk").groupBy("key", "range", "chunk").applyInPandas(resample, f"{key} string, r long, top long, bottom long")
+    sums = parts.groupBy(key, "r").agg(F.try_divide(F.sum("top").cast("double"), F.sum("bottom").cast("double")).alias("rate"))
     ordered = sums.groupBy(key).agg(F.array_sort(F.collect_list("rate")).alias("rates"))
     return ordered.select(key, F.round(lower_rank(F.col("rates"), 0.025), 6).alias("lower"), F.round(lower_rank(F.col("rates"), 0.975), 6).alias("upper"))
 

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from caselattice.functions import answers, scalar
+from caselattice.functions import answers, draws, scalar
 from caselattice.operators import debate, diagnostics, matrix, runs, validation
 from caselattice.plans.registry import ORACLES, QUERIES
 from caselattice.sources import views
@@ -225,3 +226,24 @@ def test_errors_in_one_pass_equal_those_in_two(spark):
     got = diagnostics.attribute_errors_in(made, F.col("run") == 1, 2)
     want = diagnostics.attribute_errors(made.where("run = 1"), made, 2).select(got.columns)
     assert canonical(got.collect()) == canonical(want.collect()) and {r.attribute: r.n_violations for r in got.collect()} == {"x": 2, "y": 1}
+
+
+def test_many_draws_equal_single_ones():
+    prefixes = [p.encode() for p in ("", "17|view|0|", "17|view|12|", "é" * 27 + "|", "x" * 63, "y" * 130)]
+    for start, stop in ((0, 120), (995, 1005)):
+        found = {i: [] for i in range(len(prefixes))}
+        for i, numbers in draws.drawer()(prefixes, start, stop):
+            found[i] += numbers.tolist()
+        assert found == {i: [int(hashlib.md5(p + str(d).encode()).hexdigest()[:8], 16) for d in range(start, stop)] for i, p in enumerate(prefixes)}
+
+
+def test_resamples_in_ranges_equal_whole_ones(spark, monkeypatch):
+    rows = [("m", i, 30, i % 3, 3) for i in range(30)] + [("n", i, 5, 1, 1 + i) for i in range(5)]
+    made = spark.createDataFrame(rows, "m string, pos long, size long, top long, bottom long")
+    whole = runs.cluster_bootstrap(made, "m", "top", "bottom", 40)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert " Join " not in plan  # a draw is no row that has to meet its cluster
+    want = canonical(whole.collect())
+    for name, value in (("BLOCK", 4), ("RANGE", 8), ("RESAMPLES", 7), ("DRAWS", 11)):
+        monkeypatch.setattr(runs, name, value)
+    assert canonical(runs.cluster_bootstrap(made, "m", "top", "bottom", 40).collect()) == want
