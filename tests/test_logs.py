@@ -3,6 +3,7 @@
 import random
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from caselattice.operators import debate
@@ -123,3 +124,28 @@ def test_a_game_of_which_nothing_is_heard_stalls(spark, tmp_path):
         assert {(r.item_id, r.next_round, r.stalled) for r in spark.table("stalls").collect()} == {(1, 1, False), (1, 1, True)}
     finally:
         spark.conf.unset(rounds._PROVIDER) if kept is None else spark.conf.set(rounds._PROVIDER, kept)
+
+
+def test_a_game_is_asked_and_told_once_a_batch():
+    class Value:
+        held, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, shape):
+            return value
+
+    value, game = Value(), rounds.RoundBarrier(2, None)
+    game.init(Handle())
+    calls = lambda *given: [Row(round=r, agent_id=a) for r, a in given]
+    of = lambda *given: [tuple(x) for x in game.handleInputRows((7, "f"), iter(calls(*given)), None)]
+    assert of((1, "a"), (1, "b"), (0, "a"), (0, "a"), (0, None), (None, "a")) == [(7, "f", 0, False)]
+    assert of((0, "b")) == [(7, "f", 2, False)] and of((0, "c"), (2, "a")) == []
+    assert value.calls == ["get", "update"] * 3 and value.held == (2, '[[2, "a"]]')
