@@ -46,6 +46,8 @@ LARGE = STAR
 #: Members with a rare word, and words in a bucket, that one task pairs with as many others.
 BLOCK, WEIGHT = 2048, 1 << 22
 _BINS = 256
+#: Bins of word counts where large buckets are paired.
+_WIDE = 1024
 _STEP = 256
 
 
@@ -209,15 +211,25 @@ def _bags(rows: pa.Table) -> tuple:
     return (single.reshape(rows.num_rows, -1, 8).sum(2, dtype=np.int16), 2), (single, 2), (double, 4)
 
 
+def _wide_bags(rows: pa.Table) -> tuple:
+    """The same of counts by _labelled_words, for few bins and all."""
+    packed = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    single = np.concatenate([packed & 15, packed >> 4], 1).astype(np.int16)
+    return (single.reshape(rows.num_rows, -1, 32).sum(2, dtype=np.int16), 2), (single, 2)
+
+
 def _partners(i: int, n: np.ndarray, may: np.ndarray, bags: tuple, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows after i that lengths (n ascends) and bags leave as its partners, and how far off the last bag has them."""
+    """Rows after i that lengths (n ascends) and bags leave as its partners, and how far off the last bag has them.
+
+    An edit that also makes up for a difference in length changes a bag by one less: of two texts with k edits between them,
+    the longer one has at most k words (2 k pairs of words) that the other has not."""
     # Sorted by length: the longer partner may have no more words than this.
     j = np.arange(i + 1, np.searchsorted(n, n[i] / similarity + 1e-9, "right"))
     j = j[may[j]]
     far = np.zeros(len(j), np.int64)
     for held, each in bags:
         far = np.abs(held[j] - held[i]).sum(1)
-        near = far <= each * (1 - similarity) * n[j] + 1e-9
+        near = far <= each * (round((1 - similarity) * 1_000_000) * n[j].astype(np.int64) // 1_000_000) - (n[j] - n[i])
         j, far = j[near], far[near]
     return j, far
 
@@ -294,20 +306,22 @@ def _across(members: DataFrame, similarity: float) -> DataFrame:
     return _in_groups(dealt, ["key", "low", "high"], pair)
 
 
-def _labelled_words(words: np.ndarray) -> tuple[np.ndarray]:
-    """Each word together with the number of its occurrence."""
-    return (labelled_kmers(words.astype(np.uint64), 1).view(np.int64),)
+def _labelled_words(words: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Each word together with the number of its occurrence, and counts of words in many bins, up to 15 and two to a byte."""
+    counts = np.minimum(np.bincount(words & (_WIDE - 1), minlength=_WIDE), 15).astype(np.uint8)
+    return labelled_kmers(words.astype(np.uint64), 1).view(np.int64), (counts[: _WIDE // 2] | counts[_WIDE // 2 :] << 4).tobytes()
 
 
 def _rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
-    """members (node, comp, n, bag, words) of large buckets: pairs (a, b) across components that may be near.
+    """members (node, comp, n, words) of large buckets: pairs (a, b) across components that may be near.
 
     Of a text of n words a near one has all but allowed(n) at least. With both texts' words in one order, those two then
     share one of the first allowed(n) + 1. In the order of how many members have a word, these are its rarest, so members
     meet in small groups. Words of more than BLOCK members are not counted but come last, by hash; where texts have little
-    else, their groups are dealt to blocks of BLOCK. Members of all large buckets are one set: a pair that no bucket
+    else, their groups are dealt to blocks of BLOCK. Words are counted in more bins than elsewhere, as each pair left is a row
+    that is joined with both texts. Members of all large buckets are one set: a pair that no bucket
     holds but that is near is a link all the same."""
-    texts = stored(_map_words(members.select("node", "comp", "n", "bag", "words"), "words", "node long, comp long, n int, bag binary, tokens array<bigint>", lambda x: np.frombuffer(x, np.uint32), _labelled_words))
+    texts = stored(_map_words(members.select("node", "comp", "n", "words"), "words", "node long, comp long, n int, tokens array<bigint>, bag binary", lambda x: np.frombuffer(x, np.uint32), _labelled_words))
     each = texts.select("node", F.explode("tokens").alias("w"))
     counts = each.groupBy("w").agg(F.count("*").alias("c")).filter(F.col("c") <= BLOCK)
     rare = each.join(counts, "w").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("rare"))
@@ -325,7 +339,7 @@ def _rare_pairs(members: DataFrame, similarity: float) -> DataFrame:
     def pair(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         n, comp, nodes, own = (rows.column(c).to_numpy() for c in ("n", "comp", "node", "own"))
         low, high = (rows.column(c)[0].as_py() for c in ("low", "high"))
-        bags = _bags(rows)
+        bags = _wide_bags(rows)
         found = [(i, _partners(i, n, (comp != comp[i]) & ((low == high) | (own != own[i])), bags, similarity)[0]) for i in range(len(n))]
         left, right = np.concatenate([np.full(len(j), nodes[i]) for i, j in found]), np.concatenate([nodes[j] for _, j in found])
         return np.minimum(left, right), np.maximum(left, right)

@@ -150,3 +150,34 @@ def test_components_of_paths_stars_and_loops(spark):
 def test_allowed_edits_of_long_texts_are_plain_integers():
     got = near_dedup._allowed(np.int32(20000), np.int32(18000), 0.8)
     assert type(got) is int and got == 4000
+
+
+def partners(a, b, wide):
+    """Whether lengths and bags leave two texts' words as a pair."""
+    import pyarrow as pa
+
+    a, b = sorted((a, b), key=len)
+    bags = pa.table({"bag": [near_dedup._labelled_words(x.astype(np.uint32))[1] if wide else near_dedup._bag(x) for x in (a, b)]})
+    held = near_dedup._wide_bags(bags) if wide else near_dedup._bags(bags)
+    return len(near_dedup._partners(0, np.array([len(a), len(b)], np.int32), np.ones(2, bool), held, near_dedup.SIMILARITY)[0]) > 0
+
+
+def test_bags_leave_near_texts_and_fewer_others():
+    rng, fresh = random.Random(4), lambda n: text_kernel.mix(np.array([rng.getrandbits(60) for _ in range(n)], np.uint64))
+    words = fresh(40)
+    for _ in range(300):
+        a = [rng.choice(words) for _ in range(rng.randint(5, 150))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 5)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        if near_dedup.near_enough(a.astype(np.uint32), b.astype(np.uint32), near_dedup.SIMILARITY):
+            assert partners(a, b, False) and partners(a, b, True)
+    a = fresh(100)
+    # 29 edits, of which 19 are those of length: with no regard to these, two texts of 20 edits may differ by as many words.
+    assert not partners(a, np.concatenate([a[:71], fresh(10)]), False)
+    assert not partners(a, np.concatenate([a[:71], fresh(10)]), True)
+    # 85 words of 300 replaced, 60 allowed: in few bins many of them meet another's bin.
+    long = fresh(300)
+    assert not partners(long, np.concatenate([long[:215], fresh(85)]), True)
