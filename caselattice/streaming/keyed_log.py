@@ -71,12 +71,16 @@ class KeyedLog:
         if not parts:
             return rows
         touched = sorted(r[0] for r in rows.select(_BUCKET).distinct().collect())
-        held = self._rows(parts, touched)
-        return rows.alias("n").join(held.alias("h"), self._same_key("n", "h"), "left_anti")
+        return self._without(rows, self._rows(parts, touched))
+
+    def _without(self, rows: DataFrame, held: DataFrame) -> DataFrame:
+        # The files of a log are small for its rows: by their size it would be broadcast, and each task would hold all its keys.
+        return rows.alias("n").join(held.hint("merge").alias("h"), self._same_key("n", "h"), "left_anti")
 
     def _write(self, rows: DataFrame) -> str:
         part = f"part={uuid.uuid4().hex}"
-        rows.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/rows/{part}")
+        # Large buckets are dealt to several tasks.
+        rows.hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/rows/{part}")
         return part
 
     def append(self, batch: DataFrame, order: str | None = None, writer: str | None = None, batch_id: int | None = None) -> Version:
@@ -125,7 +129,7 @@ class KeyedLog:
     def missing(self, jobs: DataFrame) -> DataFrame:
         """The jobs whose key the log lacks."""
         bucketed = jobs.withColumn(_BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-        return bucketed.alias("n").join(self._rows(self.version().parts).alias("h"), self._same_key("n", "h"), "left_anti").drop(_BUCKET)
+        return self._without(bucketed, self._rows(self.version().parts)).drop(_BUCKET)
 
     def follow(self, stream: DataFrame, checkpoint: str, writer: str, order: str | None = None) -> StreamingQuery:
         """Appends a stream's batches until none is left."""

@@ -149,3 +149,25 @@ def test_a_game_is_asked_and_told_once_a_batch():
     assert of((1, "a"), (1, "b"), (0, "a"), (0, "a"), (0, None), (None, "a")) == [(7, "f", 0, False)]
     assert of((0, "b")) == [(7, "f", 2, False)] and of((0, "c"), (2, "a")) == []
     assert value.calls == ["get", "update"] * 3 and value.held == (2, '[[2, "a"]]')
+
+
+def test_a_log_is_not_broadcast(spark, tmp_path):
+    log = log_at(spark, tmp_path)
+    log.append(rows(spark, *[(k, "x", 0) for k in range(50)]))
+    jobs = rows(spark, *[(k, "x", 0) for k in range(60)])
+    bucketed = jobs.withColumn("_bucket", F.pmod(F.xxhash64("a", "b"), F.lit(4)).cast("int"))
+    for lacking in (log.missing(jobs), log._lacking(bucketed, log.version().parts)):
+        assert sorted(r.a for r in lacking.collect()) == list(range(50, 60))
+        assert "Broadcast" not in lacking._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        log = log_at(spark, tmp_path, buckets=1)
+        log.append(spark.range(20_000, numPartitions=4).select(F.col("id").alias("a"), F.lit("x").alias("b"), "id", F.lit("p").alias("phase")).toDF("a", "b", "v", "phase"))
+        assert log.read().agg(F.count("*"), F.countDistinct("a")).first()[:] == (20_000, 20_000)
+        assert len(list((tmp_path / "log" / "rows").rglob("*.parquet"))) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
