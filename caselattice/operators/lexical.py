@@ -29,7 +29,8 @@ def overlapping(texts: DataFrame, items: DataFrame, least: float = 0.8) -> DataF
     texts (text_id, tokens) may be of any size, items (item_id, tokens) are the fewer. Where the item is the smaller set, one of
     its tokens that fewest texts hold must be in the text; where the text is, one of those of its own that fewest items hold, which
     for most texts are tokens of no item. Only pairs that share such a token are compared. Empty sets are in no pair."""
-    texts, items = texts.where(F.size("tokens") > 0), stored(items.where(F.size("tokens") > 0))
+    # Texts are asked four times for their tokens, which are dear to find.
+    texts, items = stored(texts.where(F.size("tokens") > 0)), stored(items.where(F.size("tokens") > 0))
     held = items.select("item_id", F.size("tokens").alias("item_size"), F.explode("tokens").alias("token"))
     by_items = stored(held.groupBy("token").agg(F.count("*").alias("n_items")))
     tokens = by_items.count()

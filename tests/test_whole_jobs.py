@@ -144,3 +144,19 @@ def test_items_are_resampled_1000_times(spark, sf):
         seen[r.model_alias][r.item_id] = (top + r.correct, bottom + (r.answer is not None))
     got = {r.model_alias: (r.lower, r.upper) for r in QUERIES["agg36_cluster_bootstrap"](spark, sf).collect()}
     assert got == {m: bounds(m, [x for _, x in sorted(items.items())], 1000) for m, items in seen.items()}
+
+
+def test_tokens_of_texts_are_found_once(spark):
+    from caselattice.operators import lexical
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = spark.createDataFrame([(k, [f"t{k}", "x", "y"]) for k in range(6)], "text_id long, tokens array<string>").mapInArrow(counted, "text_id long, tokens array<string>")
+    items = spark.createDataFrame([(0, ["t1", "x"]), (1, ["t2", "x", "y", "z"])], "item_id long, tokens array<string>")
+    assert {(r.text_id, r.item_id) for r in lexical.overlapping(texts, items, 0.8).collect()} == {(1, 0), (2, 1)}
+    assert seen.value == 6
