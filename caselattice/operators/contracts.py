@@ -1,7 +1,7 @@
 """The contracts of item documents: each rule is a named condition over one row, so all are checked in one pass.
 
 A rule is (name, class, condition that holds for a sound item); a null condition counts as broken. Rules stand in the order
-in which a check that stops at the first failure would ask them: `validation.first_failures` names that one, while
+in which a check that stops at the first failure would ask them: `first_failures` names that one, while
 `violations` collects all and `sound` says whether there is none. Documents are those of `operators.pools`; what several rules
 ask of a document is worked out once, as columns of `_prepared`."""
 
@@ -212,6 +212,14 @@ def violations(items: DataFrame, rules: list[Rule]) -> DataFrame:
     return _prepared(items).select("item_id", F.explode(F.array_compact(F.array(*broken))).alias("r")).select("item_id", "r.*")
 
 
+def first_failures(items: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(item_id, rule): the first rule that an item breaks. The row itself tells: rules behind a broken one are not asked, and no
+    rows are gathered by item, so an id that stands twice counts twice."""
+    first = reduce(lambda asked, rule: asked.when(~F.coalesce(rule[2], F.lit(False)), F.lit(rule[0])), rules, F)
+    # A filter would be pushed below this column and ask all rules twice.
+    return _prepared(items).select("item_id", F.explode(F.array_compact(F.array(first))).alias("rule"))
+
+
 def sound(items: DataFrame, rules: list[Rule]) -> DataFrame:
     """items with `sound`: whether no rule is broken, known from the row itself."""
     every = reduce(lambda a, b: a & b, (F.coalesce(ok, F.lit(False)) for _, _, ok in rules))

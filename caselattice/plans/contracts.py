@@ -175,19 +175,19 @@ _LOW = "(item_id // 12) % 2 = 0"
 @query("flt08_item_contract", _expected(_v4(), IDS, _LOW))
 def flt08(spark, sf):
     """The first rule that each tampered item breaks, of the contract of factor cells (FLT-08, FLT-09, FLT-10, FLT-11)."""
-    return V.first_failures(K.violations(tampered(_pool(spark, sf), _v4()), K.v4_rules()))
+    return K.first_failures(tampered(_pool(spark, sf), _v4()), K.v4_rules())
 
 
 @query("flt01_item_contract", _expected(_v3(), f"(SELECT unnest(range({N})) AS item_id)", "true"))
 def flt01c(spark, sf):
     """The same for the contract by closeness (FLT-01, FLT-02, FLT-03, RND-03, RND-08)."""
-    return V.first_failures(K.violations(tampered(P.closeness_pool(spark, N, SEED), _v3()), K.v3_rules()))
+    return K.first_failures(tampered(P.closeness_pool(spark, N, SEED), _v3()), K.v3_rules())
 
 
 @query("flt05_semantic_violations", f"SELECT rule, count(*) AS n FROM ({_expected(_semantic(), IDS, 'true')}) GROUP BY rule")
 def flt05(spark, sf):
     """First semantic rules broken, counted (FLT-05, FLT-06, FLT-07, AGG-30)."""
-    found = V.first_failures(K.violations(tampered(_pool(spark, sf), _semantic()), K.semantics()))
+    found = K.first_failures(tampered(_pool(spark, sf), _semantic()), K.semantics())
     return found.groupBy("rule").agg(F.count("*").alias("n"))
 
 

@@ -1,10 +1,14 @@
 import json
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from caselattice.functions import scalar
 from caselattice.operators import contracts, generation, pools, translations, validation
+from caselattice.plans import contracts as plans
+from caselattice.plans.registry import ORACLES, QUERIES
 from caselattice.sources import catalog, files
 
 
@@ -127,3 +131,28 @@ def test_digests_of_translations_meet_not_documents(spark, pool):
     plan = translations.translation_faults(pool, given)._jdf.queryExecution().optimizedPlan().toString()
     sides = [x for x in plan.split("Join LeftOuter")[1].splitlines() if x.lstrip(" :+-").startswith("Project")]
     assert "AS formal#" in sides[0]
+
+
+def test_first_failures_of_rows_are_those_of_all_violations(spark, pool):
+    for tampers, rules in ((plans._v4(), contracts.v4_rules()), (plans._semantic(), contracts.semantics())):
+        odd = plans.tampered(pool, tampers)
+        got = [tuple(r) for r in contracts.first_failures(odd, rules).select("item_id", "rule").collect()]
+        want = validation.first_failures(contracts.violations(odd, rules)).select("item_id", "rule").collect()
+        assert sorted(got) == sorted(tuple(r) for r in want) and len({rule for _, rule in got}) > 8
+
+
+@pytest.mark.parametrize("name", ["flt05_semantic_violations", "flt08_item_contract"])
+def test_parts_that_stand_twice_count_twice(spark, tmp_path, name):
+    """As in the SQL: rows are not gathered by item."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT range AS p_partkey FROM range(120) UNION ALL SELECT range FROM range(40)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == sorted(con.execute(ORACLES[name]).fetchall())
+    assert "hashpartitioning(item_id" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_text_is_not_searched_for_cjk(spark):
+    df = spark.createDataFrame([("abc",), ("",), ("é漢字",), ("\U0001f600",), (None,)], "t string")
+    assert [r.n for r in df.select(scalar.cjk_count(F.col("t")).alias("n")).collect()] == [0, 0, 2, 0, None]
+    assert "octet_length" in df.select(scalar.cjk_count(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
