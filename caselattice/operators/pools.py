@@ -146,9 +146,11 @@ def lexical_audit(items: DataFrame, threshold: float = 0.8) -> DataFrame:
     constraint = lambda f: F.element_at(F.filter("constraints", lambda c: c["attribute"] == f["attribute"]), -1)["text"]
     shown = F.flatten(F.transform(F.map_values("entities"), lambda e: e["displayed"]))
     held = F.transform(F.filter(shown, lambda f: F.exists("constraints", lambda c: c["attribute"] == f["attribute"])), lambda f: F.struct(f["text"].alias("fact"), constraint(f).alias("constraint")))
-    pairs = items.select(F.explode(held).alias("p")).select("p.*").withColumn("o", overlap(tokens(F.col("fact")), tokens(F.col("constraint"))))
-    same = normalized(F.col("fact")) == normalized(F.col("constraint"))
-    return pairs.agg(F.count("*").alias("n_pairs"), F.round(F.avg("o"), 6).alias("mean_overlap"), F.count_if(same).alias("n_exact"), F.count_if(F.col("o") >= threshold).alias("n_high"))
+    # Texts come from catalogs, so pairs are often the same: they are counted before their words are taken.
+    pairs = items.select(F.explode(held).alias("p")).select("p.*").groupBy("fact", "constraint").agg(F.count("*").alias("n"))
+    told = pairs.select("n", overlap(tokens(F.col("fact")), tokens(F.col("constraint"))).alias("o"), (normalized(F.col("fact")) == normalized(F.col("constraint"))).alias("same"))
+    number = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    return told.agg(number(F.lit(True)).alias("n_pairs"), F.round(F.sum(F.col("o") * F.col("n")) / F.sum("n"), 6).alias("mean_overlap"), number(F.col("same")).alias("n_exact"), number(F.col("o") >= threshold).alias("n_high"))
 
 
 def shown_facts(items: DataFrame, shows: Callable[[Column], Column]) -> DataFrame:

@@ -156,3 +156,11 @@ def test_plain_text_is_not_searched_for_cjk(spark):
     df = spark.createDataFrame([("abc",), ("",), ("é漢字",), ("\U0001f600",), (None,)], "t string")
     assert [r.n for r in df.select(scalar.cjk_count(F.col("t")).alias("n")).collect()] == [0, 0, 2, 0, None]
     assert "octet_length" in df.select(scalar.cjk_count(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_pairs_are_audited_once(spark, pool):
+    found = pools.lexical_audit(pool.unionAll(pool))
+    once = pools.lexical_audit(pool).first()
+    assert found.first().asDict() == once.asDict() | {c: 2 * once[c] for c in ("n_pairs", "n_exact", "n_high")}
+    assert "Aggregate [fact" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(pools.lexical_audit(pool.limit(0)).first()) == (0, None, 0, 0)
