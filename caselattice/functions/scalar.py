@@ -105,8 +105,9 @@ def draw(*parts: Column) -> Column:
 
 
 def bound(value: Column, use) -> Column:
-    """use(value) with value worked out once: inside a lambda Spark works out a repeated expression anew at each place."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    """use(value) with value worked out once: inside a lambda Spark works out a repeated expression anew at each place. It is the
+    start of a fold over no element, as a transformed array would copy the result, with all that lies in it, once more."""
+    return F.aggregate(F.array(), value, lambda v, _: v, use)
 
 
 def lower_rank(sorted_values: Column, p: float) -> Column:

@@ -73,7 +73,9 @@ def documents(items: DataFrame, seed: int) -> DataFrame:
     held = items.withColumn("entities", entities).withColumn("constraints", F.transform("constraints", lambda c: c.withField("text", F.concat(F.lit("The person "), said(c["attribute"], c["required_value"])))))
     option = lambda e: F.concat(F.array_join(F.transform(e["displayed"], lambda f: f["text"]), ", "), F.lit("."), F.array_join(F.transform(e["non_target"], lambda f: F.concat(F.lit(" "), f["text"], F.lit("."))), ""))
     told = held.withColumn("options", F.transform_values("entities", lambda _, e: option(e)))
-    lines = F.array_join(F.transform(labels(), lambda x: F.concat(x, F.lit(". "), F.element_at("options", x))), "\n")
+    # Options by their map, not by label: if only the question is asked for, Spark puts what makes them in place of the map, and
+    # inside a lambda over labels that would be worked out four times.
+    lines = F.array_join(F.transform(F.map_entries("options"), lambda o: F.concat(o["key"], F.lit(". "), o["value"])), "\n")
     wanted = F.array_join(F.transform("constraints", lambda c: F.concat(c["text"], F.lit("."))), " ")
     return told.withColumns({
         "question": F.concat(F.lit("Who fits? "), wanted, F.lit(MARKER), lines, F.lit("\n\nName one letter.")),

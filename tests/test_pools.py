@@ -1,3 +1,4 @@
+import hashlib
 import json
 import re
 
@@ -158,6 +159,24 @@ def test_plain_text_is_not_searched_for_cjk(spark):
     assert "octet_length" in df.select(scalar.cjk_count(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_draws_sort_by_digest_then_value(spark):
+    digits = lambda v: hashlib.md5(f"7|x|3|{v}".encode()).hexdigest()[:8]
+    for values, strings in ((["ada", "bo|b", "", "é", "Zoe"], True), (list(range(1, 128)), False)):
+        found = generation.drawn(F.array(*[F.lit(v) for v in values]), F.lit(7), F.lit("x"), F.col("id"), strings=strings)
+        df = spark.range(3, 4).select(found.alias("d"))
+        assert df.first().d == sorted(values, key=lambda v: (digits(v), v))
+        # What the elements share is joined once, before they are digested.
+        assert "md5(cast(concat_ws" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_documents_are_worked_out_once(spark):
+    """Nothing is copied to be bound to a name, and a question alone does not make the options anew for each label."""
+    made = pools.pool_for(spark.range(5).select(F.col("id").alias("item_id")), 7)
+    plan = lambda *c: made.select(*c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at(transform(array(" not in plan("question", "options")
+    assert "element_at(transform_values(" not in plan("question")
+
+
 def test_equal_pairs_are_audited_once(spark, pool):
     found = pools.lexical_audit(pool.unionAll(pool))
     once = pools.lexical_audit(pool).first()
